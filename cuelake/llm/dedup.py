@@ -6,9 +6,9 @@ about as often as their Jaccard similarity, and the sketch of a union is the reg
 make a band; 32 bands miss a pair at similarity 0.75 once in 200,000.
 
 Documents with equal sets are one class. Classes that share a band are compared: all with each other in small
-buckets, in large ones each with the bucket's lead, which differs from band to band. Candidates whose
-likelihood-estimated similarity is far too low go; the rest are verified on full sets. Large buckets that still
-hold several components are then compared across these components, so a bucket's size bounds no search.
+buckets, in large ones each with the bucket's most central member. Candidates whose likelihood-estimated similarity
+is far too low go; the rest are verified on full sets. Large buckets that still hold several components are then
+compared across these components, less the pairs that a bound rules out, so a bucket's size ends no search.
 
 Edge cases: no words, or a null text, is the empty set: linked with nothing, its component is its own id; fewer
 words than five are one shingle; null ids are kept and take no part as the smallest id unless all are null; equal
@@ -34,8 +34,6 @@ BASE = 1.001
 WORDS = 5
 #: Size up to which all members of a bucket are compared with each other at once.
 CHUNK = 12
-#: Different leads that a large group meets over its bands.
-LEADS = 6
 #: Estimated similarity below which a candidate isn't verified: 0.75 less six standard errors of 128 registers.
 DOUBT = 0.52
 
@@ -138,18 +136,26 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInPandas(keep, "a binary, b binary, na long, nb long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
-    """Those pairs whose full sets reach the threshold. owners: key and the doc_id whose text has the set."""
-    needed = durable(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(owners, "key"))
+def _sets(docs: DataFrame, keys: DataFrame, owners: DataFrame) -> DataFrame:
+    """key, items: the full shingle sets of the classes in keys, read from the text of one document each."""
+    needed = durable(keys.join(owners, "key"))
     wanted = bit_filter(needed, F.xxhash64("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")), F.col("text").cast("string"))
     found = texts.mapInArrow(_shingling(wanted), "doc_id long, items array<long>")
-    sets = durable(found.join(small(needed.withColumnRenamed("doc_id", "_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "items").dropDuplicates(["key"]))
+    return durable(found.join(small(needed.withColumnRenamed("doc_id", "_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "items").dropDuplicates(["key"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose full sets reach the threshold."""
     rows = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("key").alias("b"), F.col("items").alias("ib")), "b")
     both = F.size(F.array_intersect("ia", "ib"))
     return rows.filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     rows = durable(sketches(docs))
@@ -157,18 +163,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = durable(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")))
     owners = classes.select("key", "doc_id")
     placed = classes.select("key", F.explode("bands").alias("band"))
-    order = F.struct(F.xxhash64("key", F.pmod("band", F.lit(LEADS))).alias("h"), "key")
-    buckets = durable(placed.groupBy("band").agg(F.min(order)["key"].alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    buckets = durable(placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = durable(placed.join(buckets, "band"))
-    star = members.filter((F.col("size") == 2) | (F.col("size") > CHUNK)).filter("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
-    whole = members.filter((F.col("size") > 2) & (F.col("size") <= CHUNK)).groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # CHUNK keys at most
+    whole = members.filter(F.col("size") <= CHUNK).groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # CHUNK keys at most
     near = whole.select(F.posexplode("keys").alias("i", "a"), "keys").select("a", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("b"))
+    # The lead of a large bucket is its most central member: the one whose buckets hold the most.
+    large = members.filter(F.col("size") > CHUNK)
+    weight = durable(large.groupBy("key").agg(F.sum("size").alias("weight")))
+    lead = durable(large.join(weight, "key").groupBy("band").agg(F.max(F.struct("weight", "key"))["key"].alias("lead")))
+    star = large.join(lead, "band").filter("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
     pairs = durable(_likely(star.union(near).distinct(), classes))
-    links = durable(_verified(pairs, docs, owners, percent))
+    links = durable(_verified(pairs, _sets(docs, _ends(pairs), owners), percent))
     labels = components(links)
-    links = _close(links, labels, members, pairs, classes, docs, owners, percent)
-    if links is not None:
-        labels = components(links)
+    more = _closed(labels, large, pairs, classes, docs, owners, percent)
+    if more is not None:
+        labels = components(links.union(more))
     sets = classes.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     lowest = durable(sets.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     named = durable(sets.join(lowest, "label").select("key", "component_id"))
@@ -177,21 +186,41 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _close(links, labels, members, pairs, classes, docs, owners, percent):
-    """Compare across the components of buckets too large to have been compared whole; None when none is open."""
-    large = members.filter(F.col("size") > CHUNK).join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    state = large.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-    open_ = durable(large.join(durable(state), "band").select("band", "key", "label"))
+def _closed(labels: DataFrame, large: DataFrame, pairs: DataFrame, classes: DataFrame, docs: DataFrame, owners: DataFrame, percent: int) -> DataFrame | None:
+    """The links that are left in large buckets of several components; None when there is no such bucket.
+
+    An intersection holds only shingles that occur in two open sets at least. With s such shingles on the poorer side,
+    the similarity is at most s / (na + nb - s); pairs that this bound rules out are never made."""
+    large = large.select("band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    split = durable(large.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band"))
+    open_ = durable(large.join(split, "band").select("band", "key", "label"))
     if not open_.head(1):
         return None
-    # One side is every member outside the bucket's largest component, the other is all members.
-    counts = open_.groupBy("band", "label").count()
-    top = durable(counts.groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("top")))
-    outside = open_.join(top, "band").filter("label <> top").join(classes.select("key", "n"), "key").select("band", F.col("key").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    every = open_.join(classes.select("key", "n"), "key").select("band", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    cross = outside.join(every, "band").filter("la <> lb and 100 * least(na, nb) >= 75 * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = _sets(docs, open_.select("key").distinct(), owners)
+    twice = sets.mapInArrow(_item_counts, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).filter("n > 1")
+    common = bit_filter(twice, F.col("item"))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [np.asarray(x, np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.size for x in items], pa.int64()), pa.array([int(in_filter(common, x).sum()) for x in items], pa.int64())], ["key", "n", "s"])
+
+    bounds = durable(sets.mapInArrow(shared, "key binary, n long, s long"))
+    rows = durable(open_.join(bounds, "key").filter(100 * F.col("s") >= percent * F.col("n")))
+    top = rows.groupBy("band", "label").count().groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
+    outside = rows.join(durable(top), "band").filter("label <> top")
+    side = lambda df, x: df.select("band", F.col("key").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    s = F.least("sa", "sb")
+    possible = (F.col("la") != F.col("lb")) & (100 * s >= percent * (F.col("na") + F.col("nb") - s))
+    cross = side(outside, "a").join(side(rows, "b"), "band").filter(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = durable(_likely(cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), classes))
-    return durable(links.union(_verified(more, docs, owners, percent)))
+    return durable(_verified(more, sets, percent))
+
+
+def _item_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        items, n = np.unique(np.concatenate([np.empty(0, np.int64), *(np.asarray(x, np.int64) for x in batch.column(1).to_pylist())]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(n.astype(np.int64))], ["item", "n"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
