@@ -115,7 +115,7 @@ SPACE_WORD_BYTES = byte_class(set(range(256)) - {0x20, 0x09, 0x0A, 0x0B, 0x0C, 0
 ALNUM_WORD_BYTES = byte_class([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
-def _segment(b: np.ndarray, flags: np.ndarray) -> np.ndarray:
+def _segment(b: np.ndarray, flags: np.ndarray, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
     inside = flags[b]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
@@ -123,16 +123,20 @@ def _segment(b: np.ndarray, flags: np.ndarray) -> np.ndarray:
     if inside[-1]:
         edges = np.concatenate((edges, [b.size]))
     if not edges.size:
-        return np.empty(0, np.uint64)
+        return [np.empty(0, np.uint64)] * (1 + len(prefixes))
     power, inverse = _grown(b.size)
     sums = np.zeros(b.size + 1, np.uint64)
     np.cumsum(_BYTE[b] * power[: b.size], out=sums[1:])
-    starts = edges[0::2]
-    return mixed((sums[edges[1::2]] - sums[starts]) * inverse[starts])
+    starts, ends = edges[0::2], edges[1::2]
+    whole = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    begun = [np.where(starts + n < ends, mixed((sums[np.minimum(starts + n, ends)] - sums[starts]) * inverse[starts] + np.uint64(n)), np.uint64(0)) for n in prefixes]
+    return [whole, *begun]
+
 
+def word_hashes(raw: bytes, flags: np.ndarray, prefixes: tuple[int, ...] | None = None):
+    """64-bit hash of every word of a UTF-8 text, in order. Long texts go through in segments cut between words.
 
-def word_hashes(raw: bytes, flags: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word of a UTF-8 text, in order. Long texts go through in segments cut between words."""
+    With prefixes, also a list of hashes of the words' beginnings of so many bytes, 0 for words not longer."""
     b = np.frombuffer(raw, np.uint8)
     parts, at = [], 0
     while at < b.size:
@@ -140,9 +144,10 @@ def word_hashes(raw: bytes, flags: np.ndarray) -> np.ndarray:
         while end < b.size and flags[b[end]]:
             rest = flags[b[end : end + _SEGMENT]]
             end += int(rest.size if rest.all() else np.argmin(rest))
-        parts.append(_segment(b[at:end], flags))
+        parts.append(_segment(b[at:end], flags, prefixes or ()))
         at = end
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    joined = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.uint64)] * (1 + len(prefixes or ()))
+    return joined[0] if prefixes is None else (joined[0], joined[1:])
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
