@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 from cuelake.functions.timecode import parse_timing
-from cuelake.operators import clean, gate, glossary, memory, merge, passes, quality, validate
+from cuelake.operators import gate, glossary, memory, quality
+from cuelake.registry import ORACLES, QUERIES, query
 from cuelake.sources import adapters as A
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 #: Rules for the given tables, whose texts are invented words in Latin script.
 LATIN_GATE = gate.GateRules(keep=("OK", "The", "and"), isolated=("Of", "On", "In", "Un", "Es"), meta=("MIT",), meta_latin=("license", "all rights"), exclamation_run=2)
 
 
-def query(*tables: str, sql: str | None = None):
-    """Register a function as a query; sql continues a WITH of the adapters named in tables."""
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            parts = [getattr(A, t).strip() for t in tables]
-            ORACLES[f.__name__] = ("WITH " + ",\n".join(parts) + ("," if sql.lstrip().startswith("WITH ") else "\n") + sql.lstrip().removeprefix("WITH ")) if parts else sql
-        return f
-
-    return add
-
-
 # -- parsing, speech rate, gaps ------------------------------------------------------------------------
 
 @query("CUES", sql="SELECT file_id, pos, idx, start_ms, end_ms, text FROM cues")
@@ -311,3 +294,6 @@ def term_hits_phrases(spark, d):
     keyed = terms.withColumn("w", longest)
     near = docs.select("file_id", "text", F.explode(words("text")).alias("w")).join(keyed, "w")
     return near.filter(T.contains_term(F.col("src"), F.col("text"))).select("file_id", "item_id")
+
+
+from cuelake import catalog_files, catalog_lanes  # noqa: E402, F401

@@ -109,7 +109,7 @@ glossary AS (SELECT src, upper(src) AS dst, row_number() OVER (ORDER BY n DESC,
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.create_map(*(F.lit(x) for x in ("view", "phase_progress", "click", "heartbeat", "error", "error", "purchase", "phase_finished", "signup", "phase_started")))
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), "ts", kind[F.col("event_type")].alias("type"), F.concat(F.lit("phase"), (F.col("event_id") % 3).cast("string")).alias("phase"), F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind[F.col("event_type")].alias("type"), F.concat(F.lit("phase"), (F.col("event_id") % 3).cast("string")).alias("phase"), F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
 
 
 RUN_EVENTS = r"""
