@@ -34,6 +34,8 @@ BASE = 1.001
 WORDS = 5
 #: Size up to which all members of a bucket are compared with each other at once.
 CHUNK = 12
+#: Hash parts, and sums of parts, by which intersections are bounded.
+PARTS, COARSE = 128, 16
 #: Estimated similarity below which a candidate isn't verified: 0.75 less six standard errors of 128 registers.
 DOUBT = 0.52
 
@@ -189,8 +191,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 def _closed(labels: DataFrame, large: DataFrame, pairs: DataFrame, classes: DataFrame, docs: DataFrame, owners: DataFrame, percent: int) -> DataFrame | None:
     """The links that are left in large buckets of several components; None when there is no such bucket.
 
-    An intersection holds only shingles that occur in two open sets at least. With s such shingles on the poorer side,
-    the similarity is at most s / (na + nb - s); pairs that this bound rules out are never made."""
+    An intersection holds only shingles that occur in two open sets at least. These are counted by PARTS hash parts; the
+    sum of the smaller counts bounds the intersection, and pairs whose similarity it rules out are never made."""
     large = large.select("band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     split = durable(large.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band"))
     open_ = durable(large.join(split, "band").select("band", "key", "label"))
@@ -203,16 +205,21 @@ def _closed(labels: DataFrame, large: DataFrame, pairs: DataFrame, classes: Data
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = [np.asarray(x, np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.size for x in items], pa.int64()), pa.array([int(in_filter(common, x).sum()) for x in items], pa.int64())], ["key", "n", "s"])
+            counts = [np.bincount((x[in_filter(common, x)] >> 40) & (PARTS - 1), minlength=PARTS) for x in items]
+            coarse = [c.reshape(-1, COARSE).sum(axis=0) for c in counts]
+            lists = (pa.array([np.asarray(c, np.int32) for c in x], pa.list_(pa.int32())) for x in (coarse, counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.size for x in items], pa.int64()), pa.array([int(c.sum()) for c in counts], pa.int64()), *lists], ["key", "n", "s", "coarse", "parts"])
 
-    bounds = durable(sets.mapInArrow(shared, "key binary, n long, s long"))
+    bounds = durable(sets.mapInArrow(shared, "key binary, n long, s long, coarse array<int>, parts array<int>"))
     rows = durable(open_.join(bounds, "key").filter(100 * F.col("s") >= percent * F.col("n")))
     top = rows.groupBy("band", "label").count().groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
     outside = rows.join(durable(top), "band").filter("label <> top")
-    side = lambda df, x: df.select("band", F.col("key").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
-    s = F.least("sa", "sb")
-    possible = (F.col("la") != F.col("lb")) & (100 * s >= percent * (F.col("na") + F.col("nb") - s))
-    cross = side(outside, "a").join(side(rows, "b"), "band").filter(possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda df, x: df.select("band", *(F.col(c).alias(f"{c}{x}") for c in ("key", "label", "n", "coarse", "parts")))
+    fits = lambda m: 100 * m >= percent * (F.col("na") + F.col("nb") - m)
+    rough = sum((F.least(F.get("coarsea", F.lit(k)), F.get("coarseb", F.lit(k))) for k in range(COARSE)), F.lit(0))
+    fine = F.aggregate(F.zip_with("partsa", "partsb", lambda x, y: F.least(x, y)), F.lit(0), lambda m, x: m + x)
+    possible = (F.col("labela") != F.col("labelb")) & fits(rough) & F.when(fits(rough), fits(fine)).otherwise(False)
+    cross = side(outside, "a").join(side(rows, "b"), "band").filter(possible).select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct()
     more = durable(_likely(cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), classes))
     return durable(_verified(more, sets, percent))
 
