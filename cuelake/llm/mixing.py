@@ -95,10 +95,10 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
     """The mixed corpus: every document as many times as the mix takes it, with the columns of the input."""
-    rows = sized(docs)
+    rows = sized(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")).drop("doc_id", "text", "source")
     bounds = plan(durable(rows.select("_src", "_n", "_h")), weights, max_repeat)
     out = apply_plan(rows, bounds).filter("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 def oracle(weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, rounds: int = ROUNDS) -> str:

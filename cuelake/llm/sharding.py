@@ -125,16 +125,18 @@ def assign(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def reshard(docs: DataFrame, new_shards: int = 40, old_shards: int = 32, old_shard: Column | None = None) -> DataFrame:
-    """The documents with shard, move (whether the document leaves its old shard) and slot, gapless from 0 in each shard."""
-    rows = laid_out(docs.drop("slot"), old_shard, old_shards)
+    """Rows with the document (_row), its shard, move (whether it leaves its old shard) and what numbers the slots."""
+    docs = docs.drop("shard", "slot", "move") if old_shard is None else docs.withColumn("_place", old_shard).drop("shard", "slot", "move")
+    own = F.struct(*(c for c in docs.columns if c != "_place")).alias("_row")
+    rows = docs.select(own, "doc_id", "text", *([] if old_shard is None else ["_place"]))
+    rows = laid_out(rows, None if old_shard is None else F.col("_place"), old_shards).drop("doc_id", "text", "_place")
     compact = durable(rows.select("_old", "_class", "_dig", "_size", "_h"))
     cuts = plan(compact, old_shards, new_shards)
     digit = F.pmod(F.shiftright("_h", 30), F.lit(SLOT_DIGITS)).cast("int")
     counts = durable(assign(compact, cuts).groupBy("shard", digit.alias("_at")).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_b")))
     order = Window.partitionBy("shard").orderBy("_at")
     counts = counts.select("shard", "_at", (F.sum("_n").over(order) - F.col("_n")).alias("_first"), (F.sum("_b").over(order) - F.col("_b")).alias("_b"))
-    out = assign(rows, cuts).withColumn("_at", digit).join(F.broadcast(durable(counts)), ["shard", "_at"])  # at most shards x digits rows
-    return out
+    return assign(rows, cuts).withColumn("_at", digit).join(F.broadcast(durable(counts)), ["shard", "_at"])  # at most shards x digits rows
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -152,8 +154,7 @@ def write_shards(rows: DataFrame, path: str, file_bytes: int = 128 << 20, affect
         moved = rows.filter("move")
         touched = durable(moved.select("shard").union(moved.select(F.col("_old").alias("shard"))).distinct())
         rows = rows.join(F.broadcast(touched), "shard", "left_semi")  # a row per shard
-    out = numbered(rows.repartition("shard", "_file"))
-    out = out.select(*(c for c in out.columns if not (c.startswith("_") and c in {"_old", "_size", "_h", "_class", "_dig", "_at", "_first", "_b", "_file"})))
+    out = numbered(rows.repartition("shard", "_file")).select("_row.*", "move", "slot", "shard")
     out.write.partitionBy("shard").mode("append").parquet(path)
 
 
