@@ -74,17 +74,17 @@ def unmatched_rows(spark, d):
 
 
 @query("CUES", "RUN_EVENTS", "TELEMETRY", sql="""
-WITH b AS (SELECT file_id, scene, greatest(audio_duration_s, 0) AS dur, sum(greatest(audio_duration_s, 0)) OVER (PARTITION BY file_id ORDER BY scene) AS hi FROM telemetry),
+WITH b AS (SELECT file_id, scene, greatest(audio_duration_s, 0) AS dur, round(sum(greatest(audio_duration_s, 0)) OVER (PARTITION BY file_id ORDER BY scene), 6) AS hi FROM telemetry),
 m AS (SELECT file_id, pos, (start_ms + end_ms) / 2000 AS mid FROM cues)
-SELECT m.file_id, m.pos, min(b.scene) AS scene FROM m LEFT JOIN b ON m.file_id = b.file_id AND dur > 0 AND mid <= hi AND (mid > hi - dur OR (hi - dur = 0 AND mid <= 0)) GROUP BY m.file_id, m.pos""")
+SELECT m.file_id, m.pos, min(b.scene) AS scene FROM m LEFT JOIN b ON m.file_id = b.file_id AND dur > 0 AND mid <= hi AND (mid > round(hi - dur, 6) OR (round(hi - dur, 6) = 0 AND mid <= 0)) GROUP BY m.file_id, m.pos""")
 def scene_assign(spark, d):
     return passes.assign_scenes(A.cues(spark, d), A.telemetry(spark, d)).select("file_id", "pos", "scene")
 
 
 @query("CUES", "RUN_EVENTS", "TELEMETRY", sql=r"""
-WITH b AS (SELECT file_id, scene, greatest(audio_duration_s, 0) AS dur, sum(greatest(audio_duration_s, 0)) OVER (PARTITION BY file_id ORDER BY scene) AS hi FROM telemetry),
+WITH b AS (SELECT file_id, scene, greatest(audio_duration_s, 0) AS dur, round(sum(greatest(audio_duration_s, 0)) OVER (PARTITION BY file_id ORDER BY scene), 6) AS hi FROM telemetry),
 m AS (SELECT file_id, pos, (start_ms + end_ms) / 2000 AS mid, length(regexp_replace(text, '\s', '', 'g')) / ((end_ms - start_ms) / 1000) AS cps FROM cues WHERE end_ms - start_ms >= 500)
-SELECT m.file_id, b.scene, count(*) AS rows, round(avg(cps), 6) AS cps FROM m JOIN b ON m.file_id = b.file_id AND dur > 0 AND mid < hi AND mid >= hi - dur GROUP BY ALL""")
+SELECT m.file_id, b.scene, count(*) AS rows, round(avg(cps), 6) AS cps FROM m JOIN b ON m.file_id = b.file_id AND dur > 0 AND mid < hi AND mid >= round(hi - dur, 6) GROUP BY ALL""")
 def scene_cps(spark, d):
     rows = passes.assign_scenes(quality.with_cps(A.cues(spark, d)).filter("cps is not null"), A.telemetry(spark, d), closed=False).filter("scene is not null")
     return rows.groupBy("file_id", "scene").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("cps"), 6).alias("cps"))

@@ -59,9 +59,9 @@ def unmatched(left: DataFrame, right: DataFrame, width_ms: int = 2000) -> DataFr
 
 
 def scene_bounds(scenes: DataFrame) -> DataFrame:
-    """Cumulative bounds of scenes in ms."""
+    """Cumulative bounds of scenes in seconds, rounded to microseconds so that neighbours meet."""
     total = F.sum(F.greatest("audio_duration_s", F.lit(0.0))).over(Window.partitionBy("file_id").orderBy("scene"))
-    return scenes.withColumn("hi_s", total).withColumn("lo_s", F.col("hi_s") - F.greatest("audio_duration_s", F.lit(0.0)))
+    return scenes.withColumn("hi_s", F.round(total, 6)).withColumn("lo_s", F.round(F.col("hi_s") - F.greatest("audio_duration_s", F.lit(0.0)), 6))
 
 
 def assign_scenes(cues: DataFrame, scenes: DataFrame, closed: bool = True, how_wide: float = 10.0) -> DataFrame:
