@@ -1,9 +1,9 @@
 """Quality rules: repetition inside a document and lines that a host repeats across documents. DataFrame functions only.
 
 Lines are normalised (lower case, white space folded, digits to 0) and hashed; per host the distinct texts that
-hold a line are counted. A line above the limit, max(min_texts, share of the host's texts), is boilerplate and
-removed; a document that loses too much of itself is rejected. Exact copies of a text count once, so copies alone
-make no line common.
+hold a line are counted. A line in more than min_texts of them is boilerplate and removed, however large the host
+is; a document that loses too much of itself is rejected. Exact copies of a text count once, so copies alone make no
+line common.
 
 Edge cases: a null or empty text has no words and fails the base rule; a null source is a host of its own; rows
 with equal source and text share a verdict; an empty table gives an empty result; columns of the input named as
@@ -64,14 +64,13 @@ def measured(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "_host", "_text", F.col("_w.n").alias("n_words"), "word_chars", "n_symbols", F.col("_l.dup").alias("n_dup_lines"), F.col("_w.r").alias("n_repeat_words"), F.col("_l.each").alias("_lines"))
 
 
-def quality_rules(docs: DataFrame, min_texts: int = 20, share: float = 0.02, min_left: float = 0.5, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
+def quality_rules(docs: DataFrame, min_texts: int = 20, min_left: float = 0.5, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
     """doc_id, the base columns, base_failed, n_removed_words (words in boilerplate lines), n_left_words and kept."""
     rows = durable(measured(docs))
     each = rows.select("_host", "_text", F.explode("_lines").alias("x")).select("_host", "_text", "x.h", "x.n")
     copies = durable(rows.groupBy("_host", "_text").agg(F.count(F.lit(1)).alias("copies")))
-    hosts = durable(copies.groupBy("_host").agg(F.count(F.lit(1)).alias("of")))
-    counts = each.select("_host", "h", "_text").distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > min_texts)
-    common = durable(counts.join(small(hosts), "_host").filter(F.col("texts") > F.col("of") * share).select("_host", "h"))
+    counts = each.select("_host", "h", "_text").distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("texts"))
+    common = durable(counts.filter(F.col("texts") > min_texts).select("_host", "h"))
     lost = each.join(small(common), ["_host", "h"]).groupBy("_host", "_text").agg(F.sum("n").alias("all"))
     # Rows with equal source and text have the same lines: the sum over them is shared among them.
     lost = durable(lost.join(copies, ["_host", "_text"]).select("_host", "_text", (F.col("all") / F.col("copies")).cast("long").alias("lost")))

@@ -97,6 +97,16 @@ def test_rules_of_odd_rows(spark, docs, duck):
     same_rows(rules.quality_rules(kept), con, ORACLES["op9_quality_rules"])
 
 
+def test_boilerplate_limit_does_not_grow_with_the_host(spark):
+    # 25 texts of a host of 2,000 share a line: under 2 % of it, and more than 20.
+    big = [(k, prose(k, 40) + ("\n" + prose(9000, 20) if k < 25 else ""), "big") for k in range(2000)]
+    # Copies count once: 30 copies of a text on a host make its lines no boilerplate; 20 texts are still within the limit.
+    small = [(3000 + k, prose(9001, 40), "copies") for k in range(30)] + [(4000 + k, prose(k, 40) + "\n" + prose(9002, 20), "twenty") for k in range(20)]
+    docs = spark.createDataFrame(big + small, "doc_id long, text string, source string")
+    removed = {r.doc_id: r.n_removed_words for r in rules.quality_rules(docs).collect()}
+    assert removed == {k: 20 if k < 25 else 0 for k, *_ in big + small}
+
+
 PAGES = "page_id long, url string, html string"
 
 
