@@ -97,26 +97,38 @@ TOOLS: Schemas = {
 
 def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results out of plain turns: a user turn asks a tool, the assistant turn after it answers; the call
-    depends on the call at half its turn. Some calls break their schema."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")
+    depends on the call at half its turn. Some calls break their schema. Texts go whole into arguments and content."""
+    text = F.coalesce("text", F.lit(""))
     identifier = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
     n = F.length("text")
     rows = conversations.select("conv_id", "turn", "role", "text").filter("conv_id is not null and turn is not null")
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"(?s)\A\[|\]\z", "")
     limit = F.when(n % 11 == 0, quoted((n % 7).cast("string"))).otherwise((n % 7).cast("string"))
     arguments = (
-        F.when(n % 3 == 0, F.concat(F.lit('{ "query" : '), quoted(F.substring(text, 1, 40)), F.lit(' , "limit": '), limit, F.lit("}")))
-        .when(n % 3 == 1, F.concat(F.lit('{"limit":'), limit, F.lit(',  "key": '), quoted(F.substring(text, 1, 12)), F.lit("}")))
+        F.when(n % 3 == 0, F.concat(F.lit('{ "query" : '), quoted(text), F.lit(' , "limit": '), limit, F.lit("}")))
+        .when(n % 3 == 1, F.concat(F.lit('{"limit":'), limit, F.lit(',  "key": '), quoted(text), F.lit("}")))
         .otherwise(F.concat(F.lit('{"exact":true , "chars":'), n.cast("string"), F.lit("}")))
     )
     name = F.when(n % 3 == 0, "search").when(n % 3 == 1, "lookup").otherwise("compute")
     calls = rows.filter("role = 'user'").select("conv_id", identifier(F.col("turn")).alias("call_id"), "turn", name.alias("name"), F.coalesce(arguments, F.lit("{}")).alias("arguments"), F.when(F.col("turn") > 1, F.array(identifier(F.floor(F.col("turn") / 2).cast("long")))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
-    results = rows.filter("role = 'assistant'").select("conv_id", identifier(F.col("turn") - 1).alias("call_id"), "turn", F.substring(text, 1, 200).alias("content"))
+    results = rows.filter("role = 'assistant'").select("conv_id", identifier(F.col("turn") - 1).alias("call_id"), "turn", text.alias("content"))
     return calls, results
 
 
+def other_turns(conversations: DataFrame) -> DataFrame:
+    """The turns that are neither call nor result, as rows of link_calls: they have no identifier and no place in the order."""
+    linked = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    problems = F.array_compact(F.array(
+        F.when(F.col("conv_id").isNull(), "no conversation"), F.when(F.col("turn").isNull(), "no turn"),
+        F.when(F.col("role").isNull(), "no role").when(~linked, F.concat(F.lit("neither call nor result: "), "role")),
+    ))
+    message = F.to_json(F.struct(F.col("text").alias("content"), "role", "turn"))
+    rows = conversations.select("conv_id", "turn", "role", "text").filter(F.col("conv_id").isNull() | F.col("turn").isNull() | ~linked)
+    return rows.select("conv_id", F.lit(None).cast("string").alias("call_id"), "turn", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("order_no"), problems.alias("problems"), message.alias("message"))
+
+
 def chat_report(conversations: DataFrame) -> DataFrame:
-    out = link_calls(*from_conversations(conversations), TOOLS)
+    out = link_calls(*from_conversations(conversations), TOOLS).unionByName(other_turns(conversations))
     return out.withColumn("problems", F.array_join("problems", "; "))
 
 

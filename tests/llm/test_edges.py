@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import json
 import random
 
 import pytest
@@ -156,6 +157,29 @@ def test_adapter_of_odd_turns(spark):
     assert chat.chat_report(turns).count() == 1
 
 
+def test_chat_keeps_whole_texts_and_all_turns(spark):
+    odd = ["", 'say "x"\\ \n\t\x01 [1]', "да — 日本語 😀]", "</a> é [", "x" * 999 + "é", 'ends with "', "\u2028 line", "{}"]
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()]
+    rows += [(9000 + k, turn, role, t + "z" * pad) for k, t in enumerate(odd) for pad in range(3) for turn, role in ((10 * pad + 1, "user"), (10 * pad + 2, "assistant"))]
+    rows += [(None, 0, "user", "a"), (9100, None, "assistant", "b"), (9100, 3, None, "c"), (9100, 4, "tool", None), (None, None, None, None)]
+    got = chat.chat_report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    tools = {"search": "query", "lookup": "key"}
+    asked = {(c, t): x for c, t, role, x in rows if role == "user" and c is not None}
+    told = {(c, t - 1): x for c, t, role, x in rows if role == "assistant" and t is not None}
+    left = [r for r in rows if r[0] is None or r[1] is None or r[2] not in ("user", "assistant")]
+    assert len(got) == len(asked.keys() | told.keys()) + len(left)
+    for key in asked.keys() | told.keys():
+        row = next(r for r in got if r.call_id == f"call_{key[0]}_{key[1]}")
+        message = json.loads(row.message)
+        assert row.message == json.dumps(message, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert message.get("result") == told.get(key)
+        if row.name in tools:
+            assert message["arguments"][tools[row.name]] == asked[key]
+    rest = sorted((str(r.conv_id), str(r.turn), r.problems, r.message) for r in got if r.call_id is None)
+    assert len(rest) == len(left) and ("9100", "3", "no role", '{"content":"c","turn":3}') in rest and ("None", "0", "no conversation", '{"content":"a","role":"user","turn":0}') in rest
+    assert {p for *_, p, _ in rest} == {"no conversation", "no turn", "no role", "neither call nor result: system", "neither call nor result: tool", "no conversation; no turn; no role"}
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages(spark, docs, labels, bench, tmp_path, k):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
