@@ -39,3 +39,20 @@ def test_files_are_isolated(spark):
     among = gate.classify(cues).filter("file_id = 3")
     assert sorted(map(str, one.collect())) == sorted(map(str, among.select(*one.columns).collect()))
     assert cues.filter(F.col("file_id") == 3).count() == one.count()
+
+
+@pytest.mark.parametrize("name", ["vtt_to_cues", "ass_to_cues"])
+def test_long_files_are_converted_whole(spark, tmp_path, name):
+    # 95 sentences: the cues after the fortieth come out too, with the places and texts of the cues that went in.
+    from cuelake.sources import adapters
+
+    text = " ".join(f"Sentence number {k}." for k in range(95))
+    spark.createDataFrame([(1, text, "en"), (2, "One. Two.", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    step = 1 if name == "vtt_to_cues" else 10
+    expected, end = [], {}
+    for c in sorted(adapters.cues(spark, str(tmp_path)).collect(), key=lambda c: (c.file_id, c.start_ms // step, c.end_ms // step, c.pos)):
+        first, last = c.start_ms // step * step, c.end_ms // step * step
+        expected.append((c.file_id, max(first, end.get(c.file_id, first)), last, c.text))
+        end[c.file_id] = last
+    got = sorted((r.file_id, r.start_ms, r.end_ms, r.text) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert len(got) == 97 and got == sorted(expected)
