@@ -130,10 +130,10 @@ telemetry AS (SELECT task_id::BIGINT AS file_id, row_number() OVER (PARTITION BY
   CASE WHEN k % 4 <> 0 THEN k / 100.0::DOUBLE END AS max_no_speech_prob, CASE WHEN k % 4 <> 0 THEN -(k % 20) / 10.0::DOUBLE END AS mean_avg_logprob FROM run_events)"""
 
 
-def hops(c: DataFrame, seconds: int = 60) -> DataFrame:
-    """10 ms energy values over the first minute of each file that has one."""
+def hops(c: DataFrame) -> DataFrame:
+    """10 ms energy values to the end of each file's last cue."""
     ends = c.groupBy("file_id").agg(F.max("end_ms").alias("end_ms"))
-    rows = ends.select("file_id", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.floor(F.col("end_ms") / 10), F.lit(seconds * 100)) - 1)).alias("hop_no"))
+    rows = ends.select("file_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end_ms") / 10) - 1)).alias("hop_no"))
     return rows.withColumn("rms", ((F.floor(F.col("hop_no") / 37) * 7919 + F.col("file_id") * 104729) % 1000).cast("double"))
 
 

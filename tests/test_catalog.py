@@ -56,3 +56,27 @@ def test_long_files_are_converted_whole(spark, tmp_path, name):
         end[c.file_id] = last
     got = sorted((r.file_id, r.start_ms, r.end_ms, r.text) for r in QUERIES[name](spark, str(tmp_path)).collect())
     assert len(got) == 97 and got == sorted(expected)
+
+
+def test_energy_runs_to_the_end_of_each_file(spark, tmp_path):
+    from cuelake.operators import audio
+    from cuelake.sources import adapters
+
+    text = " ".join(f"Sentence number {k}." for k in range(95))
+    spark.createDataFrame([(3, text, "en"), (4, "One. Two.", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    cues = adapters.cues(spark, str(tmp_path))
+    ends = {r.file_id: r.e for r in cues.groupBy("file_id").agg({"end_ms": "max"}).withColumnRenamed("max(end_ms)", "e").collect()}
+    assert ends[3] > 180_000 > 60_000 > ends[4]
+    expected, ratio = [], {}
+    for f, end in ends.items():
+        rms = [(k // 37 * 7919 + f * 104729) % 1000 for k in range(end // 10)]
+        limit = sorted(rms)[round((len(rms) - 1) * 0.85)]
+        loud = [k for k, x in enumerate(rms) if x > limit]
+        starts = [k for k in loud if k - 1 not in set(loud)]
+        expected += [(f, 10 * k, 10 * (next(j for j in range(k, len(rms) + 1) if j == len(rms) or rms[j] <= limit))) for k in starts]
+        ratio[f] = 10 * len(loud)
+    assert sorted(map(tuple, QUERIES["speech_segments"](spark, str(tmp_path)).collect())) == sorted(expected)
+    assert {r.file_id: r.speech_ms for r in QUERIES["speech_ratio"](spark, str(tmp_path)).collect()} == {f: n for f, n in ratio.items() if n}
+    h = adapters.hops(cues)
+    found = audio.speech_in_gaps(cues, audio.speech_segments(h, audio.threshold(h)), top=1000).collect()
+    assert max(r.start_ms for r in found) > 60_000
