@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,12 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session takes a new temporary
+    folder (tests); on a cluster that would be the driver's own disk, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="cuelake-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -56,21 +60,38 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
-#: Bits of a filter that is sent to executors, whatever the number of keys (4 MB).
-FILTER_BITS = 1 << 25
+#: Least and most bits of a filter that is sent to executors (8 KB to 64 MB), and how many there are per key.
+FILTER_BITS, BITS_PER_KEY = (1 << 16, 1 << 29), 16
+_BLOCK = 1 << 12
+
+
+def filter_fits(keys: int) -> bool:
+    """Whether a filter of so many keys still tells most other keys apart."""
+    return keys <= FILTER_BITS[1] // 4
 
 
 def bit_filter(df: DataFrame, key: Column) -> np.ndarray:
-    """A fixed-size filter of 64-bit keys: no key is missed, others pass at the rate of the bits set."""
-    spot = key.bitwiseAND(F.lit(FILTER_BITS - 1))
-    marks = df.groupBy(F.shiftright(spot, 3).cast("int").alias("byte")).agg(F.bit_or(F.pow(F.lit(2), F.pmod(spot, F.lit(8))).cast("int")).alias("bits")).toPandas()  # at most FILTER_BITS / 8 rows
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    bits[marks["byte"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.uint8)
-    return bits
+    """A filter of 64-bit keys whose size follows their counted number: no key is missed, others pass at the rate of
+    the bits set. It is packed on the executors; the driver gets the filter itself and nothing else."""
+    keys = durable(df.select(key.alias("key")).distinct())
+    size = min(max(1 << (BITS_PER_KEY * max(keys.count(), 1) - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    spot = F.col("key").bitwiseAND(F.lit(size - 1))
+    byte, bit = F.shiftright(spot, 3), F.pow(F.lit(2), F.pmod(spot, F.lit(8))).cast("int")
+    marks = keys.groupBy(byte.alias("byte")).agg(F.bit_or(bit).alias("bits")).select(F.floor(F.col("byte") / _BLOCK).cast("int").alias("block"), (F.col("byte") % _BLOCK).cast("int").alias("at"), "bits")
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(_BLOCK, np.uint8)
+        block[frame["at"].to_numpy()] = frame["bits"].to_numpy().astype(np.uint8)
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "data": [block.tobytes()]})
+
+    out = np.zeros(max(size // 8, _BLOCK), np.uint8)
+    for row in marks.groupBy("block").applyInPandas(pack, "block int, data binary").toLocalIterator():  # size / 8 bytes in all
+        out[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["data"], np.uint8)
+    return out[: size // 8]
 
 
 def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys.astype(np.int64).view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    at = keys.astype(np.int64).view(np.uint64) & np.uint64(8 * bits.size - 1)
     return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 

@@ -7,12 +7,16 @@ make a band; 32 bands miss a pair at similarity 0.75 once in 200,000.
 
 Documents with equal sets are one class. Classes that share a band are compared: all with each other in small
 buckets, in large ones each with the bucket's most central member. Candidates whose likelihood-estimated similarity
-is far too low go; the rest are verified on full sets. Large buckets that still hold several components are then
-compared across these components, less the pairs that a bound rules out, so a bucket's size ends no search.
+is far too low go; the rest are verified on full sets. The members of large buckets that still hold several components
+are then joined exactly on their sets: shingles are ordered by rarity, and two sets of the threshold's similarity share
+one of the rarest seventh of the smaller and the rarest quarter of the larger. These prefixes are joined across
+components, less what sizes and places rule out, in blocks where a shingle is frequent. So a bucket's size ends no
+search, and members of one component are never paired again.
 
 Edge cases: no words, or a null text, is the empty set: linked with nothing, its component is its own id; fewer
 words than five are one shingle; null ids are kept and take no part as the smallest id unless all are null; equal
-rows are one class; an empty table gives an empty result; other columns of the input are ignored.
+rows are one class; different texts may share an id; an empty table gives an empty result; other columns of the input
+are ignored. deduplicated() keeps one row of each component, however many rows share its smallest id or text.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import SPACE_WORD_BYTES, as_bytes, bit_filter, durable, in_filter, mixed, shingle_hashes, small, word_hashes
+from cuelake.llm.common import SPACE_WORD_BYTES, as_bytes, bit_filter, durable, filter_fits, in_filter, mixed, shingle_hashes, small, word_hashes
 from cuelake.llm.components import components
 
 REGISTERS, BAND = 128, 4
@@ -34,8 +38,8 @@ BASE = 1.001
 WORDS = 5
 #: Size up to which all members of a bucket are compared with each other at once.
 CHUNK = 12
-#: Hash parts, and sums of parts, by which intersections are bounded.
-PARTS, COARSE = 128, 16
+#: Places of the table of shingle frequencies, and rows of a frequent shingle that are joined at a time.
+RANKS, BLOCK = 1 << 22, 1024
 #: Estimated similarity below which a candidate isn't verified: 0.75 less six standard errors of 128 registers.
 DOUBT = 0.52
 
@@ -104,23 +108,26 @@ def _sketching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = registers(items) if items.size else None
             regs.append(None if own is None else own.tobytes())
             hashes.append(None if own is None else bands(own))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "key", "n", "regs", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "key", "n", "regs", "bands", "_text"])
 
 
-def _shingling(wanted: np.ndarray):
-    """Sets of the documents whose id passes the filter."""
+def _shingling(wanted: np.ndarray | None):
+    """key and set of the documents whose id passes the filter."""
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(in_filter(wanted, batch.column(1).to_numpy())))
-            sets = [shingle_set(raw).view(np.int64) for raw in as_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "items"])
+            if wanted is not None:
+                batch = batch.filter(pa.array(in_filter(wanted, batch.column(0).to_numpy())))
+            sets = [shingle_set(raw) for raw in as_bytes(batch.column(1))]
+            keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["key", "items"])
 
     return shingle
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (digest of the set, null when empty), n, regs and bands for every document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketching, "doc_id long, key binary, n long, regs binary, bands array<long>")
+def sketches(docs: DataFrame, extra: Column | None = None) -> DataFrame:
+    """doc_id, key (digest of the set, null when empty), n, regs, bands and _text (the extra column) for every document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(None) if extra is None else extra).cast("string").alias("_text"))
+    return rows.mapInArrow(_sketching, "doc_id long, key binary, n long, regs binary, bands array<long>, _text string")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -139,12 +146,15 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, keys: DataFrame, owners: DataFrame) -> DataFrame:
-    """key, items: the full shingle sets of the classes in keys, read from the text of one document each."""
+    """key, items: the full shingle sets of the classes in keys, read from the text of one document each. Texts are
+    picked by a filter of ids where it is selective, else by a join; the set's own key decides."""
     needed = durable(keys.join(owners, "key"))
-    wanted = bit_filter(needed, F.xxhash64("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")), F.col("text").cast("string"))
-    found = texts.mapInArrow(_shingling(wanted), "doc_id long, items array<long>")
-    return durable(found.join(small(needed.withColumnRenamed("doc_id", "_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "items").dropDuplicates(["key"]))
+    ids = needed.select(F.xxhash64("doc_id").alias("h"))
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("text").cast("string").alias("text"))
+    fits = filter_fits(needed.count())
+    texts = texts if fits else texts.join(ids.distinct(), "h", "left_semi")
+    found = texts.mapInArrow(_shingling(bit_filter(ids, F.col("h")) if fits else None), "key binary, items array<long>")
+    return durable(found.join(small(needed.select("key")), "key", "left_semi").dropDuplicates(["key"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,7 +170,13 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
-    rows = durable(sketches(docs))
+    out = _components(docs, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _components(docs: DataFrame, percent: int, extra: Column | None = None) -> DataFrame:
+    """doc_id, key, n_shingles, component_id and label, the class that names the component (null without shingles)."""
+    rows = durable(sketches(docs, extra))
     full = rows.filter("key is not null")
     classes = durable(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")))
     owners = classes.select("key", "doc_id")
@@ -182,48 +198,74 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         labels = components(links.union(more))
     sets = classes.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     lowest = durable(sets.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    named = durable(sets.join(lowest, "label").select("key", "component_id"))
-    out = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = durable(sets.join(lowest, "label").select("key", "label", "component_id"))
+    out = rows.select("doc_id", "key", F.col("n").alias("n_shingles"), "_text").join(named, "key", "left")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def _closed(labels: DataFrame, large: DataFrame, pairs: DataFrame, classes: DataFrame, docs: DataFrame, owners: DataFrame, percent: int) -> DataFrame | None:
     """The links that are left in large buckets of several components; None when there is no such bucket.
 
-    An intersection holds only shingles that occur in two open sets at least. These are counted by PARTS hash parts; the
-    sum of the smaller counts bounds the intersection, and pairs whose similarity it rules out are never made."""
+    Shingles of one set alone come first in the order and need no row; they only use up places of the prefix."""
     large = large.select("band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     split = durable(large.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band"))
-    open_ = durable(large.join(split, "band").select("band", "key", "label"))
+    open_ = durable(large.join(split, "band", "left_semi").select("key", "label").distinct())
     if not open_.head(1):
         return None
-    sets = _sets(docs, open_.select("key").distinct(), owners)
+    sets = _sets(docs, open_.select("key"), owners)
     twice = sets.mapInArrow(_item_counts, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).filter("n > 1")
-    common = bit_filter(twice, F.col("item"))
+    ranks = _ranks(twice)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [np.asarray(x, np.int64) for x in batch.column(1).to_pylist()]
-            counts = [np.bincount((x[in_filter(common, x)] >> 40) & (PARTS - 1), minlength=PARTS) for x in items]
-            coarse = [c.reshape(-1, COARSE).sum(axis=0) for c in counts]
-            lists = (pa.array([np.asarray(c, np.int32) for c in x], pa.list_(pa.int32())) for x in (coarse, counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.size for x in items], pa.int64()), pa.array([int(c.sum()) for c in counts], pa.int64()), *lists], ["key", "n", "s", "coarse", "parts"])
-
-    bounds = durable(sets.mapInArrow(shared, "key binary, n long, s long, coarse array<int>, parts array<int>"))
-    rows = durable(open_.join(bounds, "key").filter(100 * F.col("s") >= percent * F.col("n")))
-    top = rows.groupBy("band", "label").count().groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
-    outside = rows.join(durable(top), "band").filter("label <> top")
-    side = lambda df, x: df.select("band", *(F.col(c).alias(f"{c}{x}") for c in ("key", "label", "n", "coarse", "parts")))
-    fits = lambda m: 100 * m >= percent * (F.col("na") + F.col("nb") - m)
-    rough = sum((F.least(F.get("coarsea", F.lit(k)), F.get("coarseb", F.lit(k))) for k in range(COARSE)), F.lit(0))
-    fine = F.aggregate(F.zip_with("partsa", "partsb", lambda x, y: F.least(x, y)), F.lit(0), lambda m, x: m + x)
-    possible = (F.col("labela") != F.col("labelb")) & fits(rough) & F.when(fits(rough), fits(fine)).otherwise(False)
-    cross = side(outside, "a").join(side(rows, "b"), "band").filter(possible).select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct()
+            own, items, places, sizes = [], [], [], []
+            for i, values in enumerate(batch.column(1).to_pylist()):
+                x = np.asarray(values, np.int64)
+                rank = ranks[x.view(np.uint64) & np.uint64(RANKS - 1)]
+                order = np.lexsort((x, rank))[: x.size - -(-percent * x.size // 100) + 1]
+                at = np.flatnonzero(rank[order] > 0)
+                own.append(np.full(at.size, i))
+                items.append(x[order[at]])
+                places.append(at)
+                sizes.append(np.full(at.size, x.size))
+            take = pa.array(np.concatenate([np.empty(0, np.int64), *own]).astype(np.int64))
+            whole = lambda parts: pa.array(np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), whole(items), whole(places), whole(sizes)], ["key", "item", "place", "n"])
+
+    rows = durable(sets.mapInArrow(prefixes, "key binary, item long, place long, n long").join(open_, "key"))
+    counts = rows.groupBy("item", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("item").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("top"))
+    counts = durable(counts.filter("labels > 1").select("item", "top", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+    rows = durable(rows.join(small(counts), "item").withColumn("out", F.col("label") != F.col("top")))
+    # The smaller set gives its first places only: twice the threshold over one and the threshold of it may be missing.
+    first = rows.filter(F.col("place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100 + percent))).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    second = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    side = lambda df, x: df.select("item", "block", *(F.col(c).alias(f"{c}{x}") for c in ("key", "label", "n", "place")))
+    possible = F.expr(f"labela <> labelb and struct(na, keya) < struct(nb, keyb) and 100 * na >= {percent} * nb and {100 + percent} * least(na - placea, nb - placeb) >= {percent} * (na + nb)")
+    meet = lambda a, b: side(a, "a").join(side(b, "b"), ["item", "block"]).filter(possible)
+    # Two members of a shingle's most frequent component needn't meet.
+    met = meet(first.filter("out"), second).unionByName(meet(first.filter("not out"), second.filter("out")))
+    cross = met.select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct()
     more = durable(_likely(cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), classes))
     return durable(_verified(more, sets, percent))
 
 
+def _ranks(twice: DataFrame) -> np.ndarray:
+    """For each place of a table of hashed shingles, four times the logarithm of how often they occur; 0 for once."""
+    place = F.col("item").bitwiseAND(F.lit(RANKS - 1)).cast("int")
+    rank = F.least(F.floor(F.log2(F.sum("n")) * 4), F.lit(255)).cast("int")
+    marks = twice.groupBy(place.alias("place")).agg(rank.alias("rank")).select(F.floor(F.col("place") / 4096).alias("block"), (F.col("place") % 4096).alias("at"), "rank")
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(4096, np.uint8)
+        block[frame["at"].to_numpy()] = frame["rank"].to_numpy().astype(np.uint8)
+        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "data": [block.tobytes()]})
+
+    out = np.zeros(RANKS, np.uint8)
+    for row in marks.groupBy("block").applyInPandas(pack, "block int, data binary").toLocalIterator():  # RANKS bytes in all
+        out[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["data"], np.uint8)
+    return out
+
+
 def _item_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items, n = np.unique(np.concatenate([np.empty(0, np.int64), *(np.asarray(x, np.int64) for x in batch.column(1).to_pylist())]), return_counts=True)
@@ -231,6 +273,19 @@ def _item_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The input with one document of each group: the one with the smallest id."""
-    kept = durable(near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    """The input with one row of each component: of the rows with its smallest id, the one with the smallest text digest.
+    Rows without shingles are components of their own; of rows with equal id and text one stays."""
+    text = lambda df: F.coalesce(F.md5(df["text"].cast("string").cast("binary")), F.lit(""))
+    rows = _components(docs, 75, text(docs))
+    group = F.coalesce(F.col("label"), F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "_text")).cast("binary"))
+    kept = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("k"))
+    kept = durable(kept.select(F.col("k.doc_id").alias("_id"), F.col("k._text").alias("_text")))
+    again = durable(rows.groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), "_text"))
+    is_row = lambda df: docs["doc_id"].cast("long").eqNullSafe(df["_id"]) & (text(docs) == df["_text"])
+    out = docs.join(kept, is_row(kept), "left_semi")
+    if not again.head(1):
+        return out
+    same = [docs["doc_id"].cast("long"), text(docs)]
+    repeated = out.join(small(again), is_row(again), "left_semi")
+    one = repeated.withColumn("_row", F.struct(*docs.columns)).groupBy(*same).agg(F.first("_row").alias("_row")).select("_row.*")
+    return out.join(small(again), is_row(again), "left_anti").unionByName(one)
