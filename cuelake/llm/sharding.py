@@ -1,10 +1,16 @@
 """Resharding by minimum-cost flow: from old shard sizes and new capacities, the transfers that move the fewest bytes.
 
-Documents of a shard are laid out in blocks (size class, then hash digit), largest first. The flow between
-shards is solved on shard totals alone; each old shard then gives its blocks, in order, first to itself and
-then to the shards that the flow names. Only blocks that a boundary cuts are looked at document by document.
-Every decision is a comparison with a bounded table (shards x classes x digits), so documents carry their
-text through one shuffle only, the one that writes the new shard files.
+A sharded corpus is a folder of files under data/gen=G/shard=K/file=F and a manifest that names, for its newest
+version, the files of every shard in order. Files of a shard hold blocks of documents (size class, then hash digit),
+largest documents first, and each document's place and byte offset in its file.
+
+To reshard, the flow between shards is solved on shard totals alone. Each old shard gives its files, in order, first
+to itself and then to the shards that the flow names; a file that a boundary cuts is split by document at its byte
+offset. Only the files that are cut or leave their shard are rewritten, into a new generation; all other files stay
+as they are and are carried over by the next manifest, which is the commit: a failed attempt leaves a generation
+that no manifest names. Slots are the manifest's running counts plus the place in the file.
+
+Decisions are joins with tables of files or spans, so documents carry their text through one shuffle per write.
 
 Edge cases: a null text has 0 bytes and a null checksum; equal rows are interchangeable; an empty table gives
 empty shards; a column named shard, slot or move of the input is replaced.
@@ -14,15 +20,19 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from cuelake.llm.common import durable, new_folder, row_hash
+from cuelake.llm.common import durable, new_folder, row_hash, small
 
 OVERHEAD = 16
 DIGITS = 64
-SLOT_DIGITS = 1024
+#: Files that a shard is cut into, and the least and most bytes of one.
+FILES, FILE_BYTES = 8, (1 << 20, 128 << 20)
+MANIFEST = "gen string, shard int, file int, seq long, rows long, bytes long, first_slot long, fresh boolean, version int"
 
 
 def stored_size(text: Column) -> Column:
@@ -73,103 +83,126 @@ def min_cost_transfers(sizes: list[int], capacities: list[int], cost=lambda i, j
     return {k: v for k, v in flow.items() if v > 0}
 
 
-def laid_out(docs: DataFrame, old_shard: Column | None = None, old_shards: int = 32) -> DataFrame:
-    """The input with _old, _size, _h, _class (0 for the largest sizes) and _dig. Without a column of old shards, documents lie where their hash puts them."""
-    out = docs.withColumns({"_h": row_hash(F.col("doc_id"), F.col("text")), "_size": stored_size(F.col("text"))})
-    return out.withColumns({
-        "_old": (F.pmod(F.col("_h"), F.lit(old_shards)) if old_shard is None else old_shard).cast("int"),
-        "_class": (F.lit(80) - F.floor(F.log2("_size") * 2)).cast("int"),
-        "_dig": F.pmod(F.shiftright("_h", 20), F.lit(DIGITS)).cast("int"),
-    })
+def _unnamed(docs: DataFrame) -> DataFrame:
+    return docs.drop("shard", "slot", "move")
+
+
+def _file_bytes(shard_bytes: int) -> int:
+    return min(max(shard_bytes // FILES, FILE_BYTES[0]), FILE_BYTES[1])
+
+
+def _write(rows: DataFrame, path: str, gen: str) -> None:
+    """Rows (_row, _h, _size, _from, shard, file) as files of one generation, each with its places and byte offsets."""
+    order = Window.partitionBy("shard", "file").orderBy(F.desc("_size"), "_h")
+    rows = rows.repartition("shard", "file").withColumns({"_pos": (F.row_number().over(order) - 1).cast("long"), "_off": F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")})
+    rows.select("_row", "_h", "_size", "_from", "_pos", "_off", "shard", "file").write.partitionBy("shard", "file").parquet(f"{path}/data/gen={gen}")
+
+
+def _data(spark: SparkSession, path: str, row: StructType) -> DataFrame:
+    schema = StructType().add("_row", row)
+    for name, kind in (("_h", "long"), ("_size", "long"), ("_from", "integer"), ("_pos", "long"), ("_off", "long"), ("gen", "string"), ("shard", "integer"), ("file", "integer")):
+        schema = schema.add(name, kind)
+    return spark.read.schema(schema).parquet(f"{path}/data")
 
 
-def plan(rows: DataFrame, old_shards: int, new_shards: int) -> DataFrame:
-    """A row per block of the old layout: _cuts, an array of (size, h, shard) in order. A document goes to the
-    first cut whose (size, h) it doesn't come after; the last cut is open."""
-    spark = rows.sparkSession
-    block = ["_old", "_class", "_dig"]
+def _commit(files: DataFrame, path: str, version: int) -> None:
+    """files (gen, shard, file, seq, rows, bytes, fresh) as the newest version. One small file is the commit."""
+    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("seq")) - F.col("rows")
+    names = ["gen", "shard", "file", "seq", "rows", "bytes", "first_slot", "fresh"]
+    files.withColumn("first_slot", before).select(*names, F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The files of the newest committed version."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    newest = rows.agg(F.max("version")).first()[0]
+    return rows.filter(F.col("version") == (newest or 0))
+
+
+def _counted(data: DataFrame, gen: str, version: int) -> DataFrame:
+    rows = data.filter(F.col("gen") == gen).groupBy("gen", "shard", "file").agg(F.count(F.lit(1)).alias("rows"), F.sum("_size").alias("bytes"))
+    return rows.withColumns({"seq": F.lit(version << 32) + F.col("file"), "fresh": F.lit(True)})
+
+
+def lay_out(docs: DataFrame, path: str, shards: int = 32, shard: Column | None = None, file_bytes: int | None = None) -> None:
+    """Write a corpus as version 0 of a sharded folder. Without a column of shards, documents go where their hash says."""
+    place = docs if shard is None else docs.withColumn("_place", shard)
+    own = F.struct(*_unnamed(docs).columns).alias("_row")
+    rows = place.select(own, row_hash(F.col("doc_id"), F.col("text")).alias("_h"), stored_size(F.col("text")).alias("_size"), *([] if shard is None else ["_place"]))
+    rows = rows.withColumn("shard", (F.pmod(F.col("_h"), F.lit(shards)) if shard is None else F.col("_place")).cast("int")).withColumns({
+        "_from": F.col("shard"), "_class": (F.lit(80) - F.floor(F.log2("_size") * 2)).cast("int"), "_dig": F.pmod(F.shiftright("_h", 20), F.lit(DIGITS)).cast("int"),
+    })
+    block = ["shard", "_class", "_dig"]
     blocks = durable(rows.groupBy(*block).agg(F.sum("_size").alias("_bytes")))
-    old = {r["_old"]: r["b"] for r in blocks.groupBy("_old").agg(F.sum("_bytes").alias("b")).collect()}  # a row per shard
-    sizes = [old.get(i, 0) for i in range(old_shards)]
+    if file_bytes is None:
+        file_bytes = _file_bytes(blocks.groupBy("shard").agg(F.sum("_bytes").alias("b")).agg(F.max("b")).first()[0] or 0)
+    before = F.sum("_bytes").over(Window.partitionBy("shard").orderBy("_class", "_dig")) - F.col("_bytes")
+    placed = durable(blocks.withColumn("file", F.floor(before / F.lit(file_bytes)).cast("int")).drop("_bytes"))
+    gen = f"g0-{uuid.uuid4().hex}"
+    _write(rows.join(small(placed), block), path, gen)
+    data = _data(docs.sparkSession, path, _unnamed(docs).schema)
+    _commit(_counted(data, gen, 0), path, 0)
+
+
+def plan(files: DataFrame, old_shards: int, new_shards: int) -> DataFrame:
+    """The manifest's files with _before (bytes of their shard in front of them), shares (an array of (upto, shard) in
+    order: who gets the shard's bytes up to there) and stays (whole, in its shard)."""
+    old = {r["shard"]: r["b"] for r in files.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()}  # a row per shard
+    sizes = [old.get(i, 0) for i in range(max([old_shards, *(k + 1 for k in old)]))]
     total = sum(sizes)
-    capacities = [total * (j + 1) // new_shards - total * j // new_shards for j in range(new_shards)]
-    transfers = min_cost_transfers(sizes, capacities)
+    transfers = min_cost_transfers(sizes, [total * (j + 1) // new_shards - total * j // new_shards for j in range(new_shards)])
     spans = []
-    for i in range(old_shards):
+    for i in range(len(sizes)):
         at = 0
         for j in sorted((j for k, j in transfers if k == i), key=lambda j: (j != i, j)):
-            spans.append((i, float(at), float(at + transfers[i, j]), j))
+            spans.append((i, at, at + transfers[i, j], j))
             at += transfers[i, j]
-    spans = spark.createDataFrame(spans or [(0, 0.0, 0.0, 0)], "_old int, _from double, _upto double, shard int")  # at most old + new shards
-    before = F.sum("_bytes").over(Window.partitionBy("_old").orderBy("_class", "_dig")) - F.col("_bytes")
-    overlaps = blocks.withColumn("_before", before).join(F.broadcast(spans), "_old").filter((F.col("_upto") > F.col("_before")) & (F.col("_from") < F.col("_before") + F.col("_bytes")))
-    parts = durable(overlaps.withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy(*block))))
-    cut = F.broadcast(parts.filter("_parts > 1").select(*block, "_before").distinct())
-    order = Window.partitionBy(*block).orderBy(F.desc("_size"), "_h")
-    inside = rows.select(*block, "_size", "_h").join(cut, block).withColumn("_mid", F.col("_before") + F.sum("_size").over(order) - F.col("_size") / 2)
-    found = inside.join(F.broadcast(spans), "_old").filter((F.col("_mid") >= F.col("_from")) & (F.col("_mid") < F.col("_upto")))
-    ends = found.groupBy(*block, "shard").agg(F.max("_from").alias("_from"), F.max(F.struct((-F.col("_size")).alias("s"), F.col("_h").alias("h"))).alias("_end"))
-    ends = ends.select(*block, "_from", F.struct(F.col("_end.s").alias("s"), F.col("_end.h").alias("h"), "shard").alias("_cut"))
-    whole = parts.filter("_parts = 1").select(*block, "_from", F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("h"), "shard").alias("_cut"))
-    cuts = ends.unionByName(whole).groupBy(*block).agg(F.sort_array(F.collect_list(F.struct("_from", "_cut"))).alias("_cuts"))  # a cut per span
-    return durable(cuts.select(*block, F.transform("_cuts", lambda x: x["_cut"]).alias("_cuts")))
-
-
-def assign(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """laid_out() rows with their new shard. The cuts are at most shards x classes x digits rows."""
-    key = F.struct((-F.col("_size")).alias("s"), F.col("_h").alias("h"))
-    first = F.get(F.filter("_cuts", lambda c: key <= F.struct(c["s"].alias("s"), c["h"].alias("h"))), 0)
-    shard = F.coalesce(F.when(F.size("_cuts") > 1, first["shard"]), F.element_at("_cuts", -1)["shard"])
-    out = rows.drop("shard", "move").join(F.broadcast(cuts), ["_old", "_class", "_dig"])
-    return out.withColumn("shard", shard).withColumn("move", F.col("shard") != F.col("_old")).drop("_cuts")
-
-
-def reshard(docs: DataFrame, new_shards: int = 40, old_shards: int = 32, old_shard: Column | None = None) -> DataFrame:
-    """Rows with the document (_row), its shard, move (whether it leaves its old shard) and what numbers the slots."""
-    docs = docs.drop("shard", "slot", "move") if old_shard is None else docs.withColumn("_place", old_shard).drop("shard", "slot", "move")
-    own = F.struct(*(c for c in docs.columns if c != "_place")).alias("_row")
-    rows = docs.select(own, "doc_id", "text", *([] if old_shard is None else ["_place"]))
-    rows = laid_out(rows, None if old_shard is None else F.col("_place"), old_shards).drop("doc_id", "text", "_place")
-    compact = durable(rows.select("_old", "_class", "_dig", "_size", "_h"))
-    cuts = plan(compact, old_shards, new_shards)
-    digit = F.pmod(F.shiftright("_h", 30), F.lit(SLOT_DIGITS)).cast("int")
-    counts = durable(assign(compact, cuts).groupBy("shard", digit.alias("_at")).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_b")))
-    order = Window.partitionBy("shard").orderBy("_at")
-    counts = counts.select("shard", "_at", (F.sum("_n").over(order) - F.col("_n")).alias("_first"), (F.sum("_b").over(order) - F.col("_b")).alias("_b"))
-    return assign(rows, cuts).withColumn("_at", digit).join(F.broadcast(durable(counts)), ["shard", "_at"])  # at most shards x digits rows
-
-
-def numbered(rows: DataFrame) -> DataFrame:
-    """Slots for the rows of reshard(): the digit's first slot plus the place in the digit."""
-    place = F.row_number().over(Window.partitionBy("shard", "_file", "_at").orderBy("_h", "_size"))
-    return rows.withColumn("slot", (F.col("_first") + place - 1).cast("long"))
-
-
-def write_shards(rows: DataFrame, path: str, file_bytes: int = 128 << 20, affected_only: bool = False) -> None:
-    """Rewrite the shard files under path/shard=K. Files are cut by slot order at about file_bytes of text.
-
-    With affected_only, shards that neither give nor take anything are left as they are on disk."""
-    rows = rows.withColumn("_file", F.floor(F.col("_b") / F.lit(file_bytes)).cast("int"))
-    if affected_only:
-        moved = rows.filter("move")
-        touched = durable(moved.select("shard").union(moved.select(F.col("_old").alias("shard"))).distinct())
-        rows = rows.join(F.broadcast(touched), "shard", "left_semi")  # a row per shard
-    out = numbered(rows.repartition("shard", "_file")).select("_row.*", "move", "slot", "shard")
-    out.write.partitionBy("shard").mode("append").parquet(path)
-
-
-def reshard_files(docs: DataFrame, new_shards: int = 40, old_shards: int = 32, old_shard: Column | None = None, path: str | None = None) -> DataFrame:
-    """Write all documents into shard files and read them back: the input's columns, shard, slot and move."""
-    spark: SparkSession = docs.sparkSession
-    path = path or new_folder(spark, "shards")
-    rows = reshard(docs, new_shards, old_shards, old_shard)
-    write_shards(rows, path)
-    schema = docs.drop("shard", "slot", "move").schema
-    for name, kind in (("move", "boolean"), ("slot", "long"), ("shard", "integer")):
-        schema = schema.add(name, kind)
-    return spark.read.schema(schema).parquet(path)
-
-
-def shard_report(docs: DataFrame, new_shards: int = 40, old_shards: int = 32) -> DataFrame:
-    files = reshard_files(docs.select("doc_id", "text"), new_shards, old_shards)
+    spans = files.sparkSession.createDataFrame(spans, "shard int, _start long, upto long, to int")  # at most old + new shards
+    before = F.sum("bytes").over(Window.partitionBy("shard").orderBy("seq")) - F.col("bytes")
+    parts = files.withColumn("_before", before).join(small(durable(spans)), "shard")
+    parts = parts.filter((F.col("upto") > F.col("_before")) & (F.col("_start") < F.col("_before") + F.col("bytes")))
+    shares = F.sort_array(F.collect_list(F.struct("upto", "to"))).alias("shares")  # a file's part of its shard's spans
+    rows = parts.groupBy("gen", "shard", "file", "seq", "rows", "bytes", "_before").agg(shares)
+    return durable(rows.withColumn("stays", (F.size("shares") == 1) & (F.element_at("shares", 1)["to"] == F.col("shard"))))
+
+
+def reshard(spark: SparkSession, path: str, row: StructType, new_shards: int = 40, old_shards: int = 32, file_bytes: int | None = None) -> None:
+    """The next version of a sharded folder, in which new_shards shards have sizes as equal as documents allow."""
+    current = durable(manifest(spark, path))
+    version = (current.agg(F.max("version")).first()[0] or 0) + 1
+    files = plan(current, old_shards, new_shards)
+    if file_bytes is None:
+        file_bytes = _file_bytes((files.agg(F.sum("bytes")).first()[0] or 0) // new_shards)
+    went = files.filter("not stays").select("shard", "_before", "bytes", F.posexplode("shares").alias("_k", "s"), "shares")
+    given = F.least(F.col("s.upto"), F.col("_before") + F.col("bytes")) - F.greatest(F.when(F.col("_k") > 0, F.get("shares", F.col("_k") - 1)["upto"]).otherwise(F.col("_before")), F.col("_before"))
+    counts = durable(went.groupBy(F.col("s.to").alias("to")).agg(F.ceil(F.sum(given) / F.lit(file_bytes)).cast("int").alias("_files")))  # a row per shard
+    moving = files.filter("not stays").select("gen", "shard", "file", "_before", "shares")
+    rows = _data(spark, path, row).join(small(durable(moving)), ["gen", "shard", "file"])
+    middle = F.col("_before") + F.col("_off") + F.col("_size") / 2
+    to = F.coalesce(F.get(F.filter("shares", lambda x: middle < x["upto"]), 0), F.element_at("shares", -1))["to"]
+    rows = rows.select("_row", "_h", "_size", F.col("shard").alias("_from"), to.alias("to")).join(small(counts), "to", "left")
+    rows = rows.withColumn("file", F.pmod(F.shiftright("_h", 30), F.greatest(F.coalesce("_files", F.lit(1)), F.lit(1))).cast("int")).withColumnRenamed("to", "shard")
+    gen = f"g{version}-{uuid.uuid4().hex}"
+    _write(rows, path, gen)
+    kept = files.filter("stays").select("gen", "shard", "file", "rows", "bytes", "seq", F.lit(False).alias("fresh"))
+    _commit(kept.unionByName(_counted(_data(spark, path, row), gen, version)), path, version)
+
+
+def read_shards(spark: SparkSession, path: str, row: StructType) -> DataFrame:
+    """The documents of the newest version: the input's columns, shard, slot and move (the last resharding moved it)."""
+    files = durable(manifest(spark, path).select("gen", "shard", "file", "first_slot", "fresh"))
+    rows = _data(spark, path, row).join(small(files), ["gen", "shard", "file"])
+    return rows.select("_row.*", "shard", (F.col("first_slot") + F.col("_pos")).alias("slot"), (F.col("fresh") & (F.col("_from") != F.col("shard"))).alias("move"))
+
+
+def reshard_files(docs: DataFrame, new_shards: int = 40, old_shards: int = 32, old_shard: Column | None = None, path: str | None = None, file_bytes: int | None = None) -> DataFrame:
+    """Lay all documents out in their old shards, reshard the folder, and read it back."""
+    path, row = path or new_folder(docs.sparkSession, "shards"), _unnamed(docs).schema
+    lay_out(docs, path, old_shards, old_shard, file_bytes)
+    reshard(docs.sparkSession, path, row, new_shards, old_shards, file_bytes)
+    return read_shards(docs.sparkSession, path, row)
+
+
+def shard_report(docs: DataFrame, new_shards: int = 40, old_shards: int = 32, **options) -> DataFrame:
+    files = reshard_files(docs.select("doc_id", "text"), new_shards, old_shards, **options)
     return files.select("doc_id", stored_size(F.col("text")).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "move")
