@@ -1,14 +1,17 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-partitioned by page_id into shards of about equal payload, by bounds from a byte histogram
-(no sampling, so reruns give the same files), sorted, and streamed into gzip members; a file is rolled when its
-compressed size reaches the limit. Headers and digests are regenerated from the payload. Tasks write under
+Records are range-partitioned by page_id into shards of about equal payload. The bounds come from a histogram of
+bytes by the leading bits of page_id; only buckets heavier than a shard are refined, down to single ids, so they
+hold however unevenly ids lie, and without sampling, so reruns give the same files. Records are sorted and streamed
+into gzip members; a file is rolled when its compressed size reaches the limit. Headers and digests are regenerated from the payload. Tasks write under
 temporary names that hold the attempt, report a manifest row per file, and a second job gives the files of the
-attempts that succeeded their final names. The manifest table, written last, is the commit.
+attempts that succeeded their final names. The manifest table, written last, is the commit; what failed attempts
+left under temporary names is deleted then.
 
 Edge cases: a null html is an empty payload; null page_ids sort first and are kept as null; rows that repeat the
-largest page_id of a payload are all responses; a null url has no target header; a range that ties heavily is
-split by digest; an empty table commits an empty manifest. Other columns of the input are ignored.
+largest page_id of a payload are all responses; a null url has no target header; an id
+heavier than a shard (as null may be) is split by the hash of payload digest and url, and its records are sorted by
+it; any page_id of 64 bits will do; an empty table commits an empty manifest. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +31,8 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import durable, new_folder, small
 
-#: Bounds of the histogram of payload bytes; what the driver holds.
-BUCKETS = 16_384
+#: Leading bits that a histogram of payload bytes tells apart at a time.
+BITS = 14
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, seq int, temp string, name string, records long, bytes long, sha1 string"
@@ -140,37 +145,71 @@ def linked(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     return rows.withColumns({"revisit": revisit, "refers_to": F.when(revisit, F.col("_top"))}).drop("_top")
 
 
-def sharded(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """The rows with shard, numbered in page_id order, and how many shards there are."""
-    spark = rows.sparkSession
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = low or 0, high or 0
-    bucket = F.coalesce(F.floor((F.col("page_id") - low) * F.lit(float(BUCKETS)) / F.lit(float(high - low + 1))), F.lit(-1)).cast("int")
-    rows = rows.withColumn("_bucket", bucket)
-    sizes = sorted(tuple(r) for r in rows.groupBy("_bucket").agg(F.sum(F.col("_bytes") + 512)).collect())  # at most BUCKETS + 1 rows
-    bounds, at, filled = [], 0, 0
-    for k, b in sizes:
-        parts = max(1, round(b / shard_bytes))
-        if filled and (filled + b > shard_bytes or parts > 1):
+def ranges(pages: DataFrame, shard_bytes: int) -> tuple[list[tuple[int, int, int]], int]:
+    """Runs of page_ids as (first id, shard, parts) in order, and the number of shards. Ids are counted from -2**63;
+    null comes first, as -1. A run of several parts is one id that is heavier than a shard."""
+    key = F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))  # its order as an unsigned number is that of page_id
+    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
+    nulls = pages.filter("page_id is null").agg(F.sum("_weight")).first()[0]
+    leaves = [] if nulls is None else [(-1, nulls, True)]
+    if low is not None:
+        shift, rows = max(0, ((low + (1 << 63)) ^ (high + (1 << 63))).bit_length() - BITS), pages.filter("page_id is not null")
+        while True:
+            counts = rows.groupBy(F.shiftrightunsigned(key, shift).alias("p")).agg(F.sum("_weight").alias("w")).collect()  # at most 2 ** BITS rows and two per shard
+            found = [(r["p"] % (1 << 64), r["w"]) for r in counts]
+            heavy = [p for p, w in found if w > shard_bytes and shift]
+            leaves += [(p << shift, w, not shift) for p, w in found if w <= shard_bytes or not shift]
+            if not heavy:
+                break
+            finer = shift - min(shift, max(1, BITS - len(heavy).bit_length()))
+            wanted = pages.sparkSession.createDataFrame([(p,) for p in heavy], "p long")  # a row per shard at most
+            rows = pages.filter("page_id is not null").join(F.broadcast(wanted), F.shiftrightunsigned(key, shift) == F.col("p"), "left_semi")
+            shift = finer
+    runs, at, filled = [], 0, 0
+    for first, weight, single in sorted(leaves):
+        parts = max(1, round(weight / shard_bytes)) if single else 1
+        if filled and (parts > 1 or filled + weight > shard_bytes):
             at, filled = at + 1, 0
-        bounds.append((k, at, parts))
-        at, filled = (at + parts, 0) if parts > 1 else (at, filled + b)
-    frame = F.broadcast(spark.createDataFrame(bounds or [(-1, 0, 1)], "_bucket int, _shard int, _parts int"))
-    split = F.pmod(F.crc32(F.concat_ws("|", "_digest", "url").cast("binary")), F.col("_parts"))
-    return rows.join(frame, "_bucket").withColumn("shard", (F.col("_shard") + split).cast("int")).drop("_bucket", "_shard", "_parts"), at + 1
+        if not filled:
+            runs.append((first, at, parts))
+        at, filled = (at + parts, 0) if parts > 1 else (at, filled + weight)
+    return runs or [(-1, 0, 1)], max(1, at + (filled > 0))
+
+
+def sharded(rows: DataFrame, runs: list[tuple[int, int, int]]) -> DataFrame:
+    """The rows with _h, by which an id's records are ordered, and shard. There are no more runs than shards."""
+    first = np.array([max(f, 0) for f, _, _ in runs], np.uint64)
+    null = runs[0] if runs[0][0] < 0 else None
+    at, parts = (np.array([r[k] for r in runs]) for k in (1, 2))
+
+    @F.pandas_udf("int")
+    def shard(page_id: pd.Series, known: pd.Series, h: pd.Series) -> pd.Series:
+        unsigned = page_id.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        run = np.maximum(np.searchsorted(first[int(null is not None) :], unsigned, "right") - 1 + int(null is not None), 0)
+        run = np.where(known.to_numpy(bool), run, 0)
+        return pd.Series(at[run] + np.minimum((h.to_numpy(np.int64) / float(1 << 60) * parts[run]).astype(np.int64), parts[run] - 1))
+
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "_digest", "url").cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = rows.withColumn("_h", h)
+    return rows.withColumn("shard", shard(F.coalesce("page_id", F.lit(0).cast("long")), F.col("page_id").isNotNull(), F.col("_h")))
 
 
 def write_archives(pages: DataFrame, folder: str, shard_bytes: int | None = None, roll_bytes: int = 1 << 30, level: int = 6, date: str = "1970-01-01T00:00:00Z", min_revisit_bytes: int = 0) -> DataFrame:
     """Write a record per page under folder and return the committed manifest. Shards default to 1/2048 of all
     payload, between 8 MB and 1 GB."""
     spark: SparkSession = pages.sparkSession
-    rows = linked(pages, min_revisit_bytes)
-    total = rows.agg(F.sum("_bytes")).first()[0] or 0 if shard_bytes is None else 0
-    rows, shards = sharded(rows, shard_bytes or min(max(total // 2048, 8 << 20), 1 << 30))
-    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "url", "_digest")
+    weight = F.coalesce(F.octet_length(F.col("html").cast("binary")), F.lit(0)).cast("long") + 512
+    sizes = durable(pages.select(F.col("page_id").cast("long").alias("page_id"), weight.alias("_weight")))
+    if shard_bytes is None:
+        shard_bytes = min(max((sizes.agg(F.sum("_weight")).first()[0] or 0) // 2048, 8 << 20), 1 << 30)
+    runs, shards = ranges(sizes, shard_bytes)
+    rows = sharded(linked(pages, min_revisit_bytes), runs)
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "_h", "url")
     _prepare(spark, folder)
     staged = durable(rows.select("shard", "page_id", "url", "html", "refers_to", "revisit").mapInArrow(_writer(folder, roll_bytes, level, date), MANIFEST))
     staged.repartition(max(1, shards // 8), "name").mapInArrow(_renamer(folder), MANIFEST).drop("temp").write.parquet(f"{folder}/manifest")
+    store, root = _store(folder)
+    store.delete_dir(f"{root}/temporary")
     return spark.read.parquet(f"{folder}/manifest")
 
 
