@@ -1,7 +1,8 @@
 """Tool-call linking for chat data, in DataFrame functions only.
 
 Calls and results meet in a hash join on conversation and identifier. Calls are put in topological order of the
-results they depend on, by rounds that settle every call whose dependencies are settled. Arguments are parsed to
+results they depend on, by rounds that settle every call whose dependencies are settled. In each round a call that
+waits for a single other one also hands its waiting on, so a chain takes rounds by the logarithm of its length. Arguments are parsed to
 variants and checked against the tool's schema; each linked call is serialised as canonical JSON: keys sorted at
 every depth, no white space.
 
@@ -13,6 +14,8 @@ come last; null identifiers link with nothing; empty tables give an empty result
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,17 +46,31 @@ def problems_of(name: Column, arguments: Column, parsed: Column, schemas: Schema
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """conv_id, call_id, level: 0 without dependencies, else one more than the deepest of them; none on or behind a cycle.
 
-    A round settles what depends on settled calls only, so there are as many rounds as the deepest chain is long."""
+    An edge says that a call lies w levels above another at least. A round resolves edges to what the last round
+    settled, settles calls without edges, and replaces edges to calls with one edge by edges to what those wait for.
+    As long as a call can be settled, a round settles one, so a round without any ends the search."""
     key = ["conv_id", "call_id"]
-    edges = durable(edges)
-    settled = durable(calls.join(edges, key, "left_anti").select(*key, F.lit(0).alias("level")))
-    fresh = settled
+    edges = durable(edges.select(*key, "dep", F.lit(1).cast("long").alias("w")))
+    waiting = durable(calls.join(edges, key, "left_semi").select(*key, F.lit(0).cast("long").alias("base")))
+    fresh = durable(calls.join(edges, key, "left_anti").select(*key, F.lit(0).cast("long").alias("level")))
+    settled = [fresh]
     while fresh.head(1):
-        reached = edges.join(fresh.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi").select(*key).distinct()
-        deps = edges.join(reached, key).join(settled.select("conv_id", F.col("call_id").alias("dep"), "level"), ["conv_id", "dep"], "left")
-        fresh = durable(deps.groupBy(*key).agg(F.max("level").alias("m"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0").select(*key, (F.col("m") + 1).alias("level")))
-        settled = durable(settled.union(fresh))
-    return settled
+        known = fresh.select("conv_id", F.col("call_id").alias("dep"), "level")
+        seen = durable(edges.join(known, ["conv_id", "dep"], "left"))
+        left = seen.filter("level is null").drop("level")
+        told = seen.filter("level is not null").groupBy(*key).agg(F.max(F.col("w") + F.col("level")).alias("m"))
+        waiting = durable(waiting.join(told, key, "left").select(*key, F.greatest("base", F.coalesce("m", F.lit(0))).alias("base")))
+        fresh = durable(waiting.join(left, key, "left_anti").select(*key, F.col("base").alias("level")))
+        settled.append(fresh)
+        waiting = waiting.join(left, key, "left_semi")
+        single = left.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("next"), F.min("w").alias("more")).filter("n = 1").join(waiting, key)
+        single = single.select("conv_id", F.col("call_id").alias("dep"), "next", "more", F.col("base").alias("own"))
+        jumped = durable(left.join(single, ["conv_id", "dep"], "left"))
+        further = F.least(F.col("w") + F.coalesce("more", F.lit(0)), F.lit(1 << 40))  # on a cycle it grows without end
+        edges = durable(jumped.select(*key, F.coalesce("next", "dep").alias("dep"), further.alias("w")).groupBy(*key, "dep").agg(F.max("w").alias("w")))
+        passed = jumped.filter("next is not null").groupBy(*key).agg(F.max(F.col("w") + F.col("own")).alias("m"))
+        waiting = durable(waiting.join(passed, key, "left").select(*key, F.greatest("base", F.least(F.coalesce("m", F.lit(0)), F.lit(1 << 40))).alias("base")))
+    return reduce(DataFrame.union, settled).select(*key, F.col("level").cast("int").alias("level"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -133,13 +150,13 @@ def chat_report(conversations: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH RECURSIVE t AS (SELECT conv_id, turn, role, length(text) AS n, regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g') AS s FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, length(text) AS n, to_json(coalesce(text, '')) AS q FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 c AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || turn AS call_id, CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'compute' END AS name, n,
-  CASE WHEN n % 11 = 0 THEN '"' || (n % 7) || '"' ELSE (n % 7)::VARCHAR END AS lim, s,
+  CASE WHEN n % 11 = 0 THEN '"' || (n % 7) || '"' ELSE (n % 7)::VARCHAR END AS lim, q,
   CASE WHEN turn > 1 THEN 'call_' || conv_id || '_' || (turn // 2) END AS dep FROM t WHERE role = 'user'),
-a AS (SELECT *, CASE n % 3 WHEN 0 THEN '{"limit":' || lim || ',"query":"' || s[1:40] || '"}' WHEN 1 THEN '{"key":"' || s[1:12] || '","limit":' || lim || '}'
+a AS (SELECT *, CASE n % 3 WHEN 0 THEN '{"limit":' || lim || ',"query":' || q || '}' WHEN 1 THEN '{"key":' || q || ',"limit":' || lim || '}'
   ELSE '{"chars":' || n || ',"exact":true}' END AS args, EXISTS (FROM c AS p WHERE p.conv_id = c.conv_id AND p.call_id = c.dep) AS linked FROM c),
-r AS (SELECT conv_id, turn AS result_turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id, s[1:200] AS content FROM t WHERE role = 'assistant'),
+r AS (SELECT conv_id, turn AS result_turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id, q AS content FROM t WHERE role = 'assistant'),
 v AS (SELECT conv_id, call_id, 0 AS level FROM a WHERE NOT linked
   UNION ALL SELECT a.conv_id, a.call_id, v.level + 1 FROM a JOIN v ON a.conv_id = v.conv_id AND a.dep = v.call_id WHERE a.linked),
 j AS (SELECT coalesce(a.conv_id, r.conv_id) AS conv_id, coalesce(a.call_id, r.call_id) AS call_id, coalesce(a.turn, result_turn) AS turn, name, level, args, content, result_turn, a.turn AS own, n, lim, dep, linked
@@ -148,6 +165,11 @@ SELECT conv_id, call_id, turn, name, level, row_number() OVER (PARTITION BY conv
   array_to_string(list_filter([CASE WHEN own IS NOT NULL AND n % 3 < 2 AND n % 11 = 0 THEN 'limit isn''t integer' END, CASE WHEN own IS NOT NULL AND result_turn IS NULL THEN 'no result' END,
     CASE WHEN own IS NULL THEN 'no call' END, CASE WHEN dep IS NOT NULL AND NOT linked THEN 'unknown dependency' END], lambda x: x IS NOT NULL), '; ') AS problems,
   '{' || CASE WHEN args IS NOT NULL THEN '"arguments":' || args || ',' ELSE '' END || '"id":"' || call_id || '"' || CASE WHEN name IS NOT NULL THEN ',"name":"' || name || '"' ELSE '' END
-    || CASE WHEN content IS NOT NULL THEN ',"result":"' || content || '"' ELSE '' END || ',"turn":' || turn || '}' AS message
+    || CASE WHEN content IS NOT NULL THEN ',"result":' || content ELSE '' END || ',"turn":' || turn || '}' AS message
 FROM j
+UNION ALL SELECT conv_id, NULL, turn, NULL, NULL, NULL,
+  array_to_string(list_filter([CASE WHEN conv_id IS NULL THEN 'no conversation' END, CASE WHEN turn IS NULL THEN 'no turn' END,
+    CASE WHEN role IS NULL THEN 'no role' WHEN role NOT IN ('user', 'assistant') THEN 'neither call nor result: ' || role END], lambda x: x IS NOT NULL), '; '),
+  '{' || array_to_string(list_filter(['"content":' || to_json(text), '"role":' || to_json(role), '"turn":' || turn], lambda x: x IS NOT NULL), ',') || '}'
+FROM conversations WHERE conv_id IS NULL OR turn IS NULL OR coalesce(role NOT IN ('user', 'assistant'), true)
 """
