@@ -93,7 +93,7 @@ r AS (SELECT doc_id, t, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, t,
 s AS (SELECT doc_id, t, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id, t ORDER BY i) AS nxt FROM r) GROUP BY doc_id, t),
 l AS (SELECT doc_id, host, t, unnest(ls) AS ln FROM w),
 m AS (SELECT doc_id, host, t, trim(regexp_replace(regexp_replace(lower(ln), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS k, len(regexp_extract_all(ln, '[^\x20\x09-\x0D]+')) AS n FROM l),
-c AS (SELECT host, k FROM m GROUP BY host, k HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > 0.02 * (SELECT count(DISTINCT t) FROM d WHERE d.host = m.host)),
+c AS (SELECT host, k FROM m GROUP BY host, k HAVING count(DISTINCT t) > 20),
 x AS (SELECT doc_id, t, sum(n)::BIGINT AS lost FROM m JOIN c USING (host, k) GROUP BY doc_id, t),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(w.t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
         (length(w.t) - length(regexp_replace(w.t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
