@@ -15,6 +15,8 @@ BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
 KANA = r"[\x{3040}-\x{30ff}]"
 HAN = r"[\x{4e00}-\x{9fff}]"
 LATIN = r"[A-Za-z0-9_\x{c0}-\x{24f}]"
+#: Marks that don't count when two transcriptions are compared (fixed values).
+SIMILARITY_MARKS = r"，。、！？…!?~〜·「」『』,.!?：:；;（）()【】《》〈〉\[\]\"'“”‘’—－_／/"
 #: The mark of a row that was left untranslated (a fixed format).
 UNTRANSLATED = "[未翻译]"
 
@@ -35,8 +37,8 @@ def norm_spaces(c: Column) -> Column:
 
 
 def norm_similarity(c: Column) -> Column:
-    """White space and common punctuation dropped before comparing two transcriptions."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), BLANK[:-1] + r"、。，．,.!！?？…・~〜～\-—「」『』（）()\[\]]+", "")
+    """White space and the punctuation in SIMILARITY_MARKS dropped before comparing two transcriptions."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), BLANK[:-1] + SIMILARITY_MARKS + "]+", "")
 
 
 def norm_match(c: Column) -> Column:
@@ -107,6 +109,27 @@ def fluent(c: Column, target: str = "zh") -> Column:
     return (F.regexp_count(c, F.lit("[A-Za-z]")) >= 2) & ~c.rlike(KANA)
 
 
+def acronym(c: Column) -> Column:
+    """The first run of two or more capital Latin letters that is a word; null without one."""
+    found = F.regexp_extract(c, r"(?<![\p{L}\p{N}_])([A-Z]{2,})(?![\p{L}\p{N}_])", 1)
+    return F.when(found != "", found)
+
+
+def grammar_hints(c: Column, before: Column) -> Column:
+    """What a row's grammar suggests, as names in order: contrast, modifier, omitted_subject, plural_adnominal. before
+    holds the texts of the rows in front. The patterns are fixed values."""
+    contrast = c.rlike("(?<![一-鿿])(が|けど|けれども)")
+    omitted = strip(c).rlike(r"[でがしよねなわ、…]$") & before.rlike("[はが]")
+    plural = c.rlike("(?:僕|私|俺|ボク|ワタシ|オレ)たち[^はがを。！？]{0,12}で")
+    return F.array_compact(F.array(*(F.when(test, F.lit(name)) for test, name in ((contrast, "contrast"), (c.rlike(r"\S+の\S+"), "modifier"), (omitted, "omitted_subject"), (plural, "plural_adnominal")))))
+
+
+def report_line(c: Column) -> Column:
+    """A report line without what changes from run to run: clock times and the memory's summary line."""
+    timeless = F.regexp_replace(c, r"时间: \d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "时间: <归一化>")
+    return F.when(F.startswith(c, F.lit("TM: ")), F.lit("TM: <归一化>")).otherwise(timeless)
+
+
 def keep_last_part(c: Column) -> Column:
     """The text after the last ' ||| '."""
     return F.substring_index(c, " ||| ", -1)
@@ -129,8 +152,9 @@ def evidence_times(c: Column) -> Column:
 
 
 def first_json(c: Column, opening: str = "[") -> Column:
-    """The widest JSON array (or object) in a fenced reply."""
-    return F.regexp_extract(c, r"(?s)\[.*\]" if opening == "[" else r"(?s)\{.*\}", 0)
+    """The widest JSON array (or object) in a fenced reply; null where it isn't JSON."""
+    found = F.regexp_extract(c, r"(?s)\[.*\]" if opening == "[" else r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(found).isNotNull(), found)
 
 
 def peel_quotes(c: Column) -> Column:
@@ -145,8 +169,12 @@ def csv_pairs(c: Column, limit: int = 20) -> Column:
 
 
 def contains_term(term: Column, text: Column) -> Column:
-    """A term occurs, not inside a longer Latin word. Both sides are lower-cased; compose them with nfkc() for full-width forms."""
-    t, s = F.lower(term), F.lower(text)
+    """A term occurs, not inside a longer Latin word. Both sides are folded: full-width forms and capitals count as plain ones."""
+    return contains_folded(fold(term), fold(text))
+
+
+def contains_folded(t: Column, s: Column) -> Column:
+    """contains_term() of texts that are folded already."""
     quoted = F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))
     left = F.when(F.substring(t, 1, 1).rlike(LATIN), F.lit(f"(?<!{LATIN})")).otherwise(F.lit(""))
     right = F.when(F.substring(t, -1, 1).rlike(LATIN), F.lit(f"(?!{LATIN})")).otherwise(F.lit(""))
@@ -154,6 +182,11 @@ def contains_term(term: Column, text: Column) -> Column:
     return F.when(short | ~F.contains(s, t), False).otherwise(F.regexp_like(s, F.concat(left, quoted, right)))
 
 
+def fold(c: Column) -> Column:
+    """NFKC, lower-cased; fold a row once and keep it."""
+    return F.lower(nfkc(c))
+
+
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
@@ -166,10 +199,10 @@ def nfkc_casefold(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks, longest first, of two short texts."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+    """Ratio of matching blocks, longest first, of two short texts; 0 where one is empty."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    """One less edits over the longer length; 0 where a text is empty."""
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))

@@ -8,46 +8,84 @@ from pyspark.sql import functions as F
 from cuelake.functions import text as T
 from cuelake.plans.islands import band_join, interval_join
 
-#: Review thresholds on similarity (fixed values).
+#: Review thresholds on similarity, and the lengths that make a pair an artifact (fixed values).
 STRICT, OPTIONAL = 0.30, 0.50
+SHORT_MOST, LONG_LEAST = 3, 4
+#: Replies and interjections that make a pair an artifact when the shorter text is one (fixed values).
+INTERJECTIONS = (
+    "うん", "うんうん", "うんっ", "はい", "ね", "ねえ", "な", "ん",
+    "ああ", "あー", "えっ", "ええ", "ううん", "ふふ", "おっ", "おお", "はぁ",
+)
+
+
+def best_spans(left: DataFrame, right: DataFrame) -> DataFrame:
+    """file_id, pos, r_pos, r_start_ms, r_end_ms and overlap_ms: the right row that overlaps a left row most, the first in
+    file order on ties. Texts don't take part."""
+    span = ["file_id", "pos", "start_ms", "end_ms"]
+    pairs = interval_join(left.select(*span), right.select(*span), ["file_id"])
+    best = F.max_by(F.struct("r_pos", "r_start_ms", "r_end_ms", "overlap_ms"), F.struct("overlap_ms", -F.col("r_pos")))
+    return pairs.groupBy("file_id", "pos").agg(best.alias("b")).select("file_id", "pos", "b.*")
 
 
 def best_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Each left row with the right row that overlaps it most; the first in file order on ties; none without overlap."""
-    w = Window.partitionBy("file_id", "pos").orderBy(F.desc("overlap_ms"), "r_pos")
-    best = interval_join(left.select("file_id", "pos", "start_ms", "end_ms"), right.select("file_id", "pos", "start_ms", "end_ms", "text"), ["file_id"])
-    best = best.withColumn("k", F.row_number().over(w)).filter("k = 1").select("file_id", "pos", "r_pos", "r_start_ms", "r_end_ms", "r_text", "overlap_ms")
+    """Each left row with the right row that overlaps it most; none without overlap."""
+    best = best_spans(left, right).join(right.select("file_id", F.col("pos").alias("r_pos"), F.col("text").alias("r_text")), ["file_id", "r_pos"])
     return left.join(best, ["file_id", "pos"], "left")
 
 
-def disagreement(first: DataFrame, second: DataFrame, native: bool = False) -> DataFrame:
-    """Rows of one transcription beside the best-overlapping rows of another: IoU, offset and text similarity.
-    native takes the Levenshtein ratio instead of matching blocks."""
-    rows = best_overlap(first, second).filter("r_pos is not null")
-    union = F.greatest("end_ms", "r_end_ms") - F.least("start_ms", "r_start_ms")
-    a, b = T.norm_similarity(F.col("text")), T.norm_similarity(F.col("r_text"))
-    rows = rows.withColumns({"iou": F.bround(F.col("overlap_ms") / union, 4), "offset_s": F.bround((F.col("r_start_ms") - F.col("start_ms")) / 1000, 3)})
-    return rows.withColumn("similarity", F.bround(T.levenshtein_ratio(a, b) if native else T.seq_ratio(a, b), 4))
+def disagreement(merged: DataFrame, first: DataFrame, second: DataFrame, native: bool = False) -> DataFrame:
+    """Rows of the merged transcription that overlap a row of both passes, with these two rows: their IoU, the larger
+    difference of their starts or ends, the similarity of their texts and whether the pair is an artifact. native takes
+    the Levenshtein ratio instead of matching blocks."""
+    sides = []
+    for k, lane in ((1, first), (2, second)):
+        best = best_spans(merged, lane).select("file_id", "pos", *(F.col(f"r_{c}").alias(f"{c}{k}") for c in ("pos", "start_ms", "end_ms")))
+        sides.append(best.join(lane.select("file_id", F.col("pos").alias(f"pos{k}"), F.col("text").alias(f"text{k}")), ["file_id", f"pos{k}"]))
+    rows = sides[0].join(sides[1], ["file_id", "pos"])
+    overlap = F.greatest(F.lit(0), F.least("end_ms1", "end_ms2") - F.greatest("start_ms1", "start_ms2"))
+    union = F.col("end_ms1") - F.col("start_ms1") + F.col("end_ms2") - F.col("start_ms2") - overlap
+    offset = F.greatest(F.abs(F.col("start_ms1") - F.col("start_ms2")), F.abs(F.col("end_ms1") - F.col("end_ms2")))
+    rows = rows.withColumns({"iou": F.bround(F.when(union > 0, overlap / union).otherwise(0.0), 4), "offset_s": F.bround(offset / 1000, 3), "norm1": T.norm_similarity(F.col("text1")), "norm2": T.norm_similarity(F.col("text2"))})
+    a, b = F.col("norm1"), F.col("norm2")
+    rows = rows.withColumns({
+        "short": F.least(F.length(a), F.length(b)), "long": F.greatest(F.length(a), F.length(b)),
+        "interjection": F.when(F.length(a) <= F.length(b), a).otherwise(b).isin(*INTERJECTIONS), "similarity": T.levenshtein_ratio(a, b) if native else T.seq_ratio(a, b),
+    })
+    artifact = F.col("interjection") | ((F.col("short") <= SHORT_MOST) & (F.col("long") >= LONG_LEAST) & (F.col("similarity") < STRICT))
+    return rows.withColumn("artifact", artifact).drop("norm1", "norm2")
+
+
+def review_groups(rows: DataFrame) -> DataFrame:
+    """must_see, optional, artifact or none."""
+    group = F.when(F.col("artifact"), "artifact").when(F.col("similarity") < STRICT, "must_see").when(F.col("similarity") < OPTIONAL, "optional").otherwise("none")
+    return rows.withColumn("group", group)
 
 
-def review_groups(rows: DataFrame, short: int = 2, long: int = 8) -> DataFrame:
-    """must_see, optional, artifact or none. An artifact is a very short text beside a long one that says nothing alike."""
-    a, b = F.length(T.norm_similarity(F.col("text"))), F.length(T.norm_similarity(F.col("r_text")))
-    artifact = (F.least(a, b) <= short) & (F.greatest(a, b) >= long) & (F.col("similarity") < STRICT)
-    group = F.when(artifact, "artifact").when(F.col("similarity") < STRICT, "must_see").when(F.col("similarity") < OPTIONAL, "optional").otherwise("none")
-    return rows.withColumn("group", group)
+def artifact_sample(rows: DataFrame, n: int = 5) -> DataFrame:
+    """The artifacts of a file with the least IoU, then the largest offset; a sample is the feature."""
+    w = Window.partitionBy("file_id").orderBy("iou", F.desc("offset_s"), "pos")
+    return rows.filter("artifact").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def similarity_buckets(rows: DataFrame) -> DataFrame:
-    bucket = F.least(F.floor(F.col("similarity") * 10), F.lit(9)).cast("int")
-    return rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("group") == "artifact").alias("artifacts"))
+    """Rows and artifacts below the strict threshold, up to the optional one, and above."""
+    bucket = F.when(F.col("similarity") < STRICT, "strict").when(F.col("similarity") < OPTIONAL, "mid").otherwise("high")
+    return rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("artifact").alias("artifacts"))
+
+
+def threshold_grid(rows: DataFrame, ious: tuple[float, ...] = (0.20, 0.25, 0.30, 0.35), offsets: tuple[float, ...] = (1.5, 2.0, 2.5, 3.0)) -> DataFrame:
+    """For labelled rows (label A, B or C) and each pair of limits: the share of A, of B and of both that survives, and of C
+    that is cleared, when interjections and rows with IoU below and offset above their limits are artifacts; null without
+    rows of the label."""
+    grid = F.explode(F.array(*(F.struct(F.lit(i).alias("iou_limit"), F.lit(o).alias("offset_limit")) for i in ious for o in offsets)))
+    cells = rows.groupBy("label", "iou", "offset_s", "interjection").agg(F.count(F.lit(1)).alias("n")).withColumn("g", grid).select("*", "g.*")
+    gone = F.col("interjection") | ((F.col("iou") < F.col("iou_limit")) & (F.col("offset_s") > F.col("offset_limit")))
 
+    def share(labels: tuple[str, ...], test):
+        own = F.col("label").isin(*labels)
+        return F.sum(F.when(own, F.when(test, F.col("n")).otherwise(0))) / F.sum(F.when(own, F.col("n")))
 
-def threshold_grid(rows: DataFrame, sims: list[float], longs: list[int]) -> DataFrame:
-    """Share of rows that would be artifacts at each pair of limits, a small grid."""
-    grid = F.explode(F.array(*(F.struct(F.lit(s).alias("sim"), F.lit(n).alias("long")) for s in sims for n in longs)))
-    cells = rows.select("similarity", F.greatest(F.length("text"), F.length("r_text")).alias("len"), grid.alias("g"))
-    return cells.groupBy("g.sim", "g.long").agg(F.count(F.lit(1)).alias("rows"), F.count_if((F.col("similarity") < F.col("g.sim")) & (F.col("len") >= F.col("g.long"))).alias("artifacts"))
+    return cells.groupBy("iou_limit", "offset_limit").agg(share(("A",), ~gone).alias("a_alive"), share(("B",), ~gone).alias("b_alive"), share(("A", "B"), ~gone).alias("ab_alive"), share(("C",), gone).alias("c_cleared"))
 
 
 def unmatched(left: DataFrame, right: DataFrame, width_ms: int = 2000) -> DataFrame:

@@ -8,13 +8,36 @@ from pyspark.sql import functions as F
 from cuelake.functions import text as T
 
 
+#: Characters beside Latin letters that don't make a row Chinese or Japanese, characters that do, and particles that make
+#: a short row Japanese (fixed values).
+_PLAIN = T.BLANK[1:-1] + r"\p{Nd}.,!?'\"\-:;()/"
+_CJK = r"[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{31f0}-\x{31ff}\x{3000}-\x{303f}\x{ff00}-\x{ffef}]"
+_PARTICLE = "[はがをにでともねよか]|から|まで|へ"
+
+
 def valid_target(c: Column, target: str, whitelist: str | None = None) -> Column:
-    """The text looks like its target language. Rows without letters pass; so do whitelisted ones."""
+    """The text looks like its target language (zh or chinese, en or english, else ja). Empty rows pass: whether they may
+    be empty is decided elsewhere. whitelist is a pattern of short Japanese texts that always pass; a project brings it."""
     s = T.strip(F.coalesce(c, F.lit("")))
-    kana, han, latin = s.rlike(T.KANA), s.rlike(T.HAN), s.rlike("[A-Za-z]")
-    signature = {"ja": kana | han, "zh": han & ~kana, "en": latin & ~kana & ~han}[target]
-    free = ~s.rlike(r"[\p{L}]") if whitelist is None else ~s.rlike(r"[\p{L}]") | s.rlike(whitelist)
-    return (s != "") & (free | signature)
+    lang = {"chinese": "zh", "zh": "zh", "english": "en", "en": "en"}.get(target, "ja")
+    kana, han = s.rlike(T.KANA), s.rlike(r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]")
+    latin = s.rlike("[A-Za-z]")
+    verdict = F.when(s == "", True)
+    if lang == "zh":
+        verdict = verdict.when(F.contains(s, F.lit(" ||| ")), False)
+    if lang == "ja" and whitelist is not None:
+        verdict = verdict.when(s.rlike(whitelist), True)
+    verdict = verdict.when(s.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), False)
+    if lang == "en":
+        return verdict.otherwise(~kana & latin)
+    wide = r"\x{3000}-\x{303f}\x{ff01}-\x{ff60}\x{ffe0}-\x{ffe6}"
+    verdict = verdict.when(s.rlike(f"^[A-Za-z{_PLAIN}\\\\]+$"), False).when(latin & s.rlike(f"^[A-Za-z{_PLAIN}\\\\{wide}]+$"), False).when(~s.rlike(_CJK), False)
+    if lang == "ja":
+        verdict = verdict.when(s.rlike(_PARTICLE), True).when(s.rlike(f"^{T.KANA}{{1,2}}[。！？,.]?$"), False)
+        verdict = verdict.when(s.rlike(f"^{T.HAN}{{1,6}}[。！？,.]?$"), True).when(s.rlike(f"^{T.HAN}{{1,3}}[,{T.BLANK[1:-1]}]*[A-Za-z]"), False)
+    else:
+        verdict = verdict.when(~han & kana, False)
+    return verdict.otherwise(True)
 
 
 def language_filter(rows: DataFrame, invalid: Column, valve: float = 0.5) -> DataFrame:
@@ -45,25 +68,28 @@ def mistranslations(pairs: DataFrame, rules: list[tuple[str, str, str, str | Non
 
 
 def learn_defect(source: Column, target: Column) -> Column:
-    """Why a pair must not be learnt, the first reason of six, else null."""
-    s, t = T.strip(F.coalesce(source, F.lit(""))), T.strip(F.coalesce(target, F.lit("")))
+    """Why a pair must not be learnt, the first reason of six, else null: left untranslated, marks of a reply's format,
+    kana left, the source with a translation behind it, a placeholder, or a length ratio out of bounds."""
+    s, t = F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))
     ratio = T.weighted_length(t) / T.weighted_length(s)
     return (
-        F.when(t == "", "empty").when(T.is_untranslated(t), "untranslated").when(s == t, "copy").when(t.rlike(T.KANA), "source_script")
-        .when(~t.rlike(r"[\p{L}\p{N}]"), "no_letters").when((T.weighted_length(s) >= 4) & ((ratio < 0.2) | (ratio > 6)), "length")
+        F.when(T.is_untranslated(t), "untranslated").when(F.contains(t, F.lit("Translation")), "leak").when((t != s) & t.rlike(r"[\x{3040}-\x{30ff}\x{ff66}-\x{ff9f}]"), "kana")
+        .when((F.length(t) > F.length(s)) & F.startswith(t, F.substring(s, F.lit(1), F.greatest(F.lit(1), F.length(s) - 1))), "src_prefix")
+        .when(F.contains(t, F.lit("无对应条目")), "placeholder").when((T.weighted_length(s) >= 4) & ((ratio < 0.25) | (ratio > 8)), "len_ratio")
     )
 
 
 def learn_admission(final: DataFrame, orig: DataFrame, flagged: dict[str, DataFrame]) -> DataFrame:
-    """Rows aligned by exact span with the reason they aren't learnt: a flag (frames of file_id, idx, in order of
-    precedence), then a defect; null means admitted."""
-    src = orig.select("file_id", "start_ms", "end_ms", F.col("text").alias("source")).dropDuplicates(["file_id", "start_ms", "end_ms"])
+    """Rows aligned by exact span with the reason they aren't learnt: no_pair (a side is empty, untranslated or both are
+    equal), a flag (frames of file_id, idx, in order of precedence), then a defect; null means admitted."""
+    src = orig.groupBy("file_id", "start_ms", "end_ms").agg(F.min_by(T.strip(F.coalesce("text", F.lit(""))), "pos").alias("source"))
     rows = final.join(src, ["file_id", "start_ms", "end_ms"])
-    reason = []
+    target = T.strip(F.coalesce("text", F.lit("")))
+    reason = [F.when((F.col("source") == "") | (target == "") | T.is_untranslated(target) | (target == F.col("source")), "no_pair")]
     for name, df in flagged.items():
         rows = rows.join(df.select("file_id", "idx").distinct().withColumn(name, F.lit(name)), ["file_id", "idx"], "left")
         reason.append(F.col(name))
-    rows = rows.withColumn("reason", F.coalesce(*reason, learn_defect(F.col("source"), F.col("text"))))
+    rows = rows.withColumn("reason", F.coalesce(*reason, learn_defect(F.col("source"), target)))
     return rows.drop(*flagged)
 
 
@@ -74,15 +100,34 @@ def retranslation_gate(new: Column, old: Column, target: str = "zh") -> Column:
 
 
 def apply_retranslations(final: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The new rows, and the violations of the invariants: row count, timings, texts of other rows. None may occur."""
+    """The new rows with the accepted texts (file_id, pos, new_text), and their violations(); none may occur."""
     new = accepted.groupBy("file_id", "pos").agg(F.first("new_text").alias("new_text"))
     out = final.join(new, ["file_id", "pos"], "left")
     out = out.withColumn("text", F.coalesce("new_text", "text")).drop("new_text")
-    side = lambda df, p: df.select("file_id", "pos", *(F.col(c).alias(f"{p}_{c}") for c in ("start_ms", "end_ms", "text")))
-    both = side(final, "a").join(side(out, "b"), ["file_id", "pos"], "full_outer").join(new, ["file_id", "pos"], "left")
+    return out, violations(final, out, new)
+
+
+def violations(old: DataFrame, new: DataFrame, selected: DataFrame) -> DataFrame:
+    """Places where a new version breaks what a retranslation must keep: row_count (a row came or went), timing (its span
+    changed), text (it changed though the row wasn't selected)."""
+    side = lambda df, p: df.select("file_id", "pos", F.lit(True).alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("start_ms", "end_ms", "text")))
+    chosen = selected.select("file_id", "pos").distinct().withColumn("chosen", F.lit(True))
+    both = side(old, "a").join(side(new, "b"), ["file_id", "pos"], "full_outer").join(chosen, ["file_id", "pos"], "left")
     moved = ~(F.col("a_start_ms").eqNullSafe(F.col("b_start_ms")) & F.col("a_end_ms").eqNullSafe(F.col("b_end_ms")))
-    touched = F.col("new_text").isNull() & ~F.col("a_text").eqNullSafe(F.col("b_text"))
-    return out, both.filter(moved | touched)
+    touched = F.col("chosen").isNull() & ~F.col("a_text").eqNullSafe(F.col("b_text"))
+    kind = F.when(F.col("a").isNull() | F.col("b").isNull(), "row_count").when(moved, "timing").when(touched, "text")
+    return both.select("file_id", "pos", kind.alias("violation")).filter("violation is not null")
+
+
+def selected_items(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Guide items to act on: the listed ones (file_id, idx), or without a list those open with a current text."""
+    return items.filter("status = 'open' and current_text is not null") if wanted is None else items.join(wanted.select("file_id", "idx").distinct(), ["file_id", "idx"], "left_semi")
+
+
+def full_sources(items: DataFrame, source: DataFrame) -> DataFrame:
+    """Items with the whole source text of their exact span: the first row of the span, null where there is none."""
+    first = source.groupBy("file_id", "start_ms", "end_ms").agg(F.min_by("text", "pos").alias("source_text"))
+    return items.join(first, ["file_id", "start_ms", "end_ms"], "left")
 
 
 def verified_pairs(pairs: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
