@@ -2,53 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 
 KEY = ["content_hash", "stage", "source_lang", "target_lang"]
-
-
-def lookup_exact(queries: DataFrame, tm: DataFrame, by: tuple[str, ...] = ("content_hash", "stage")) -> DataFrame:
-    """Queries (text, stage) with the memory's target. Equal texts are looked up once, so frequent replies make no hot key."""
-    hashed = queries.withColumn("content_hash", T.content_hash(F.col("text")))
-    keys = hashed.select(*by).distinct()
-    hits = keys.join(tm.select(*by, "id", "target_text"), list(by))
-    return hashed.join(hits, list(by), "left")
-
-
-def lookup_fuzzy(queries: DataFrame, tm: DataFrame, threshold: float = 0.6, candidates: int = 200, top: int = 10) -> DataFrame:
-    """For each query (query_id, text): entries within half of its length, of these the most used, of these the most
-    alike by character sets. Ties of the cut go to the smaller id."""
-    # Length classes of a third: entries within +-50 % of a query lie in its class or the two on either side.
-    cls = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / F.log(F.lit(1.5)))
-    q = queries.withColumn("n", F.length("text")).withColumn("cls", F.explode(F.sequence(cls(F.col("n")) - 2, cls(F.col("n")) + 2)))
-    e = tm.select("id", "source_text", "target_text", "hit_count", "char_count").withColumn("cls", cls(F.col("char_count")))
-    pairs = q.join(e, "cls").filter((F.col("char_count") >= F.floor(F.col("n") * 0.5)) & (F.col("char_count") <= F.floor(F.col("n") * 1.5)))
+#: The direction of rows that don't name one.
+SOURCE_LANG, TARGET_LANG = "ja", "zh"
+TM = "id long, content_hash string, source_text string, target_text string, stage int, char_count int, hit_count long, created_at timestamp, source_name string, source_lang string, target_lang string"
+
+
+def _directed(df: DataFrame) -> DataFrame:
+    """The frame with its languages; those it lacks are the default ones."""
+    for name, default in (("source_lang", SOURCE_LANG), ("target_lang", TARGET_LANG)):
+        df = df.withColumn(name, F.coalesce(name, F.lit(default)) if name in df.columns else F.lit(default))
+    return df
+
+
+def lookup_exact(queries: DataFrame, tm: DataFrame) -> DataFrame:
+    """Queries (text, stage, languages or the default ones) with the memory's target. Equal texts are looked up once, so
+    frequent replies make no hot key."""
+    hashed = _directed(queries.withColumn("content_hash", T.content_hash(F.col("text"))))
+    hits = hashed.select(*KEY).distinct().join(_directed(tm).select(*KEY, "id", "target_text"), KEY)
+    return hashed.join(hits, KEY, "left")
+
+
+def lookup_stages(queries: DataFrame, tm: DataFrame) -> DataFrame:
+    """Queries (text) with targets, a map of the memory's target by stage; empty where the memory doesn't know the text."""
+    key = [k for k in KEY if k != "stage"]
+    hashed = _directed(queries.withColumn("content_hash", T.content_hash(F.col("text"))))
+    known = _directed(tm).join(hashed.select(*key).distinct(), key, "left_semi")
+    stages = known.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stage", "target_text")))).alias("targets"))  # a row per stage
+    none = F.map_from_entries(F.array().cast("array<struct<stage:int,target_text:string>>"))
+    return hashed.join(stages, key, "left").withColumn("targets", F.coalesce("targets", none))
+
+
+def known(queries: DataFrame, tm: DataFrame) -> DataFrame:
+    """Those queries (text, stage) that the memory has."""
+    hashed = _directed(queries.withColumn("content_hash", T.content_hash(F.col("text"))))
+    return hashed.join(_directed(tm).select(*KEY), KEY, "left_semi")
+
+
+def lookup_fuzzy(queries: DataFrame, tm: DataFrame, threshold: float = 0.8, candidates: int = 200, top: int = 10) -> DataFrame:
+    """For each query (query_id, text, stage): entries of its stage and direction within half of its length, of these the
+    most used, of these the most alike by character sets, capitals and runs of white space aside. Ties of the cut go to
+    the smaller id. Of every length only the most used entries can be among the most used of all lengths, so the memory
+    is cut to these first, once, and a query meets a bounded number of entries however large the memory is."""
+    key = [k for k in KEY if k != "content_hash"]
+    q = _directed(queries).select("query_id", *key, F.lower(T.norm_spaces(F.col("text"))).alias("text")).filter("text <> ''").withColumn("n", F.length("text"))
+    most = Window.partitionBy(*key, "char_count").orderBy(F.desc("hit_count"), "id")
+    e = _directed(tm).select("id", *key, "char_count", "hit_count", F.lower(T.norm_spaces(F.col("source_text"))).alias("source")).withColumn("k", F.row_number().over(most)).filter(F.col("k") <= candidates).drop("k")
+    lengths = F.sequence(F.greatest(F.lit(1), F.floor(F.col("n") * 0.5)).cast("int"), F.greatest(F.lit(1), F.floor(F.col("n") * 1.5)).cast("int"))
+    pairs = q.withColumn("char_count", F.explode(lengths)).join(e, [*key, "char_count"])
     used = Window.partitionBy("query_id").orderBy(F.desc("hit_count"), "id")
     pairs = pairs.withColumn("k", F.row_number().over(used)).filter(F.col("k") <= candidates)
-    pairs = pairs.withColumn("similarity", T.char_jaccard(F.col("text"), F.col("source_text"))).filter(F.col("similarity") >= threshold)
+    pairs = pairs.withColumn("similarity", T.char_jaccard(F.col("text"), F.col("source"))).filter(F.col("similarity") >= threshold)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("hit_count"), "id")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "id", "similarity", "rank")
 
 
+def _terms(c) -> Column:
+    return F.regexp_extract_all(T.nfkc_casefold(c), F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
 def postings(tm: DataFrame) -> DataFrame:
-    """term, id, tf and the entry's length in terms."""
-    tokens = F.regexp_extract_all(F.lower(F.concat_ws(" ", "source_text", "target_text")), F.lit(r"[\p{L}\p{N}]+"), 0)
-    rows = tm.select("id", tokens.alias("tokens")).withColumn("len", F.size("tokens"))
-    return rows.select("id", "len", F.explode("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """id, tokens and len of every entry, folded: the table that searches read. A memory that is searched often keeps it."""
+    return tm.select("id", _terms(F.concat_ws(" ", "source_text", "target_text")).alias("tokens")).withColumn("len", F.size("tokens"))
 
 
-def search(queries: DataFrame, tm: DataFrame, limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """For each query (query_id, text): entries that hold all its terms, best BM25 first."""
-    p = postings(tm)
-    stats = tm.select("id").agg(F.count(F.lit(1)).alias("docs")).crossJoin(p.groupBy("id").agg(F.first("len").alias("len")).agg(F.avg("len").alias("avg_len")))  # one row
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))).alias("term"))
+def search(queries: DataFrame, index: DataFrame, limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """For each query (query_id, text): entries of postings() that hold all its terms, best BM25 first. Only rows of asked
+    terms are grouped; ties go to the smaller id."""
+    stats = index.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("avg_len"))  # one row
+    terms = queries.select("query_id", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     asked = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    own = p.join(terms.select("term").distinct(), "term", "left_semi")
-    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = terms.join(own, "term").join(df, "term").crossJoin(F.broadcast(stats))
+    own = index.select("id", "len", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    own = own.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
+    scored = terms.join(own, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     hits = scored.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.sum(part).alias("score")).join(asked, "query_id").filter("n = n_terms")
@@ -56,14 +87,59 @@ def search(queries: DataFrame, tm: DataFrame, limit: int = 20, k1: float = 1.2,
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(1, min(limit, 200))).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def probe(queries: DataFrame, tm: DataFrame) -> DataFrame:
+    """For each query (query_id, text) the first entry (by id) with an equal text, else with an equal normalised text, else
+    with the text inside it: match exact, normalised or like; no row without any. Containment pairs meet by the first
+    three characters of the query."""
+    q = queries.select("query_id", "text", T.content_hash(F.col("text")).alias("h"), T.norm_match(F.col("text")).alias("norm"), T.norm_spaces(F.col("text")).alias("like"))
+    first = lambda df, name: df.groupBy("query_id").agg(F.min("id").alias("id")).withColumn("match", F.lit(name))
+    exact = first(q.join(tm.select("id", F.col("content_hash").alias("h")), "h"), "exact")
+    rest = q.join(exact, "query_id", "left_anti").filter("norm <> ''")
+    same = first(rest.join(tm.select("id", T.norm_match(F.col("source_text")).alias("norm")), "norm"), "normalised")
+    rest = q.join(exact.union(same), "query_id", "left_anti").filter("like <> ''").withColumn("gram", F.substring("like", 1, 3))
+    n = F.length("source_text")
+    grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(F.col("source_text"), i, k)))))
+    wanted = rest.select("gram").distinct()
+    held = tm.select("id", "source_text", F.explode(grams).alias("gram")).join(wanted, "gram", "left_semi")
+    like = first(rest.join(held, "gram").filter(F.contains("source_text", "like")), "like")
+    return exact.union(same).union(like).select("query_id", "match", "id")
+
+
 def upsert(tm: DataFrame, batch: DataFrame) -> DataFrame:
-    """The next version of the memory. Of a batch's rows with a key the last (by ord) gives the text; existing rows keep
-    their id, creation time and hit count; provenance stays where the batch has none."""
-    key = [c for c in KEY if c in batch.columns and c in tm.columns]
-    last = batch.groupBy(*key).agg(F.max_by(F.struct(*(c for c in batch.columns if c not in key)), "ord").alias("b"))
-    rows = tm.join(last, key, "full_outer")
-    pick = lambda c, new_first=True: F.coalesce(F.col(f"b.{c}"), F.col(c)) if new_first else F.coalesce(F.col(c), F.col(f"b.{c}"))
-    return rows.select(*key, "id", pick("source_text").alias("source_text"), pick("target_text").alias("target_text"), pick("created_at", False).alias("created_at"), F.coalesce("hit_count", F.lit(0)).alias("hit_count"), pick("source_name").alias("source_name"))
+    """The next version of the memory, all its columns. batch: source_text, target_text, stage, created_at, source_name,
+    ord, and languages or the default ones. Texts are folded to single spaces; rows with an empty side are ignored. Of a
+    batch's rows with a key the last (by ord) gives the texts, the first its creation time; existing rows keep id, creation time and hit count;
+    provenance stays where the batch has none. New rows are numbered on from the largest id in order of their keys, by
+    counts of 4,096 hash prefixes, so no task sees all of them."""
+    rows = _directed(batch).withColumns({"source_text": T.norm_spaces(F.col("source_text")), "target_text": T.norm_spaces(F.col("target_text"))}).filter("source_text <> '' and target_text <> ''")
+    rows = rows.withColumn("content_hash", T.content_hash(F.col("source_text")))
+    last = F.max_by(F.struct("source_text", "target_text"), "ord").alias("b")
+    new = rows.groupBy(*KEY).agg(last, F.max_by("source_name", F.when(F.col("source_name").isNotNull(), F.col("ord"))).alias("name"), F.min_by("created_at", "ord").alias("at"))
+    both = _directed(tm).join(new, KEY, "full_outer")
+    old = both.filter("id is not null")
+    fresh = both.filter("id is null").withColumn("prefix", F.substring("content_hash", 1, 3))
+    top = tm.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))  # one row
+    counts = fresh.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("prefix")) - F.col("n")).drop("n")  # at most 4,096 rows
+    place = F.row_number().over(Window.partitionBy("prefix").orderBy(*KEY))
+    fresh = fresh.join(F.broadcast(before), "prefix").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("before") + place).drop("prefix", "before", "top")
+    source = F.coalesce("b.source_text", "source_text")
+    return old.unionByName(fresh).select("id", "content_hash", source.alias("source_text"), F.coalesce("b.target_text", "target_text").alias("target_text"), "stage", F.length(source).alias("char_count"), F.coalesce("hit_count", F.lit(0)).alias("hit_count"), F.coalesce("created_at", "at").alias("created_at"), F.coalesce("name", "source_name").alias("source_name"), "source_lang", "target_lang")
+
+
+def apply_suggestions(tm: DataFrame, suggestions: DataFrame, watch: DataFrame) -> DataFrame:
+    """Suggested pairs (source, target, ord) for the upsert, with status added or exists (in the memory or earlier in the
+    batch) and conflict_warn: the source is a term with conflicts in the watch log that nobody marked as false."""
+    rows = _directed(suggestions.withColumns({"source": T.strip(F.col("source")), "target": T.strip(F.col("target"))}).filter("source <> '' and target <> ''").withColumn("stage", F.lit(0)))
+    rows = rows.withColumn("content_hash", T.content_hash(F.col("source")))
+    there = _directed(tm).select(*KEY).distinct().withColumn("there", F.lit(True))
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("ord"))
+    rows = rows.withColumn("place", place).join(there, KEY, "left")
+    terms = watch.select(F.explode("per_term").alias("term", "v"), "manual_fp").filter(F.col("v.conflicts") > 0).filter(~F.coalesce(F.map_contains_key("manual_fp", F.col("term")), F.lit(False))).select("term").distinct()
+    open_ = terms.withColumn("warn", F.lit(True))
+    lower = F.when(F.col("source").rlike(r"^[\x00-\x7f]*$"), F.lower("source"))
+    rows = rows.withColumn("low", lower).join(open_.select(F.col("term").alias("source"), F.col("warn").alias("w1")), "source", "left").join(open_.select(F.col("term").alias("low"), F.col("warn").alias("w2")), "low", "left")
+    return rows.select("source", "target", "ord", F.when(F.col("there").isNotNull() | (F.col("place") > 1), "exists").otherwise("added").alias("status"), (F.col("w1").isNotNull() | F.col("w2").isNotNull()).alias("conflict_warn"))
 
 
 def count_hits(tm: DataFrame, hits: DataFrame) -> DataFrame:
@@ -78,25 +154,71 @@ def promote(target: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame
     return entries.join(target.select(*key), key, "left_anti"), entries.join(target.select(*key), key, "left_semi")
 
 
-def purge_plan(tm: DataFrame, candidates: DataFrame, start=None, end=None, exclude: DataFrame | None = None) -> DataFrame:
-    """Entries to delete: those whose source equals a candidate text as it is, folded, or normalised (best match named),
-    created in the time window, without excluded ids. Entries matched from another file are suspicious."""
-    rows = tm if start is None else tm.filter((F.col("created_at") >= start) & (F.col("created_at") < end))
-    norm = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", ""))
-    out = rows.withColumns({"m1": F.col("source_text"), "m2": T.norm_spaces(F.col("source_text")), "m3": norm(F.col("source_text"))})
-    for k, form in ((1, F.col("text")), (2, T.norm_spaces(F.col("text"))), (3, norm(F.col("text")))):
-        own = candidates.select(form.alias(f"m{k}"), "name").groupBy(f"m{k}").agg(F.min("name").alias(f"name{k}"))
-        out = out.join(own, f"m{k}", "left")
-    match = F.when(F.col("name1").isNotNull(), "raw").when(F.col("name2").isNotNull(), "folded").when(F.col("name3").isNotNull() & (F.col("m3") != ""), "normalised")
-    out = out.withColumn("match", match).filter("match is not null").withColumn("suspicious", ~F.coalesce("name1", "name2", "name3").eqNullSafe(F.col("source_name")))
-    out = out.select("id", "stage", "match", "suspicious")
-    return out if exclude is None else out.join(exclude.select("id"), "id", "left_anti")
+def backup(tm: DataFrame, path: str) -> DataFrame:
+    """A copy of the memory under path, read back."""
+    tm.write.parquet(path)
+    return tm.sparkSession.read.parquet(path)
+
+
+def promoted(target: DataFrame, entries: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
+    """The target's next version with the new rows appended, after a backup under path; a dry run gives the target as it is."""
+    if dry_run:
+        return target
+    saved = backup(target, path)
+    new, _ = promote(saved, entries)
+    return saved.unionByName(new.select(*saved.columns))
+
+
+def purge_candidates(cues: DataFrame, merged: DataFrame) -> DataFrame:
+    """text, name and form of what a purge looks for: the source rows of files, and rows that merging made of them.
+    Both frames have file_id, text and name, the file's stem."""
+    rows = cues.select(T.strip(F.col("text")).alias("text"), "name", F.lit("raw").alias("form")).unionByName(merged.select(T.strip(F.col("text")).alias("text"), "name", F.lit("premerge").alias("form")))
+    return rows.filter("text <> ''").distinct()
+
+
+def purge_plan(tm: DataFrame, candidates: DataFrame, since=None, until=None, unknown_time: bool = False, exclude: DataFrame | None = None) -> DataFrame:
+    """Entries that candidates (text, name, form) match by content hash, raw or premerge, or by normalised text, with the
+    best form as match. Entries outside the time window (both ends in it) aren't planned; action is would_delete,
+    would_keep_unknown_time (no creation time, a window is given, unknown_time is not) or would_keep_excluded. Unless
+    one of the matching candidates comes from the entry's own file, the entry is suspicious."""
+    c = candidates.withColumns({"h": T.content_hash(F.col("text")), "norm": T.norm_match(F.col("text"))})
+    rows = tm.withColumn("norm", T.norm_match(F.col("source_text"))).withColumn("h", F.col("content_hash"))
+    raw_hash = c.filter("form = 'raw'").select("h").distinct()
+    forms = {"raw": raw_hash, "premerge": c.filter("form = 'premerge'").select("h").distinct().join(raw_hash, "h", "left_anti"), "normalized": c.filter("norm <> ''").select("norm").distinct()}
+    for name, keys in forms.items():
+        rows = rows.join(keys.withColumn(name, F.lit(name)), keys.columns, "left")
+    rows = rows.filter(F.coalesce(*forms).isNotNull())
+    for key, flag in (("h", "own_h"), ("norm", "own_norm")):
+        rows = rows.join(c.filter(f"{key} <> ''").select(key, F.col("name").alias("source_name")).distinct().withColumn(flag, F.lit(True)), [key, "source_name"], "left")
+    window = since is not None or until is not None
+    inside = F.lit(True)
+    if since is not None:
+        inside = inside & (F.col("created_at") >= since)
+    if until is not None:
+        inside = inside & (F.col("created_at") <= until)
+    unknown = F.col("created_at").isNull()
+    rows = rows.filter(unknown | inside) if window else rows
+    action = F.when(unknown & F.lit(window and not unknown_time), "would_keep_unknown_time").otherwise("would_delete")
+    if exclude is not None:
+        rows = rows.join(exclude.select("id").distinct().withColumn("hold", F.lit(True)), "id", "left")
+        action = F.when(F.col("hold"), "would_keep_excluded").otherwise(action)
+    return rows.select("id", "stage", F.coalesce(*forms).alias("match"), action.alias("action"), (F.col("own_h").isNull() & F.col("own_norm").isNull()).alias("suspicious"))
 
 
 def purge_digest(plan: DataFrame) -> DataFrame:
-    """Rows by kind of match and an order-defined digest per kind; a plan is a reviewed, bounded list."""
-    ids = F.transform(F.array_sort(F.collect_list("id")), lambda x: F.concat(x.cast("string"), F.lit("\n")))
-    return plan.groupBy("match").agg(F.count(F.lit(1)).alias("rows"), F.count_if("suspicious").alias("suspicious"), F.sha2(F.array_join(ids, "").cast("binary"), 256).alias("sha256"))
+    """Per kind of match the rows to delete, the suspicious ones and a digest of the ids in ascending order. Each id and
+    a newline are hashed in runs of 65,536 ids, the runs' digests likewise, in four levels: no group is larger than that."""
+    rows = plan.filter("action = 'would_delete'")
+    level = rows.select("match", F.col("id").alias("k"), F.concat(F.col("id").cast("string"), F.lit("\n")).alias("d"))
+    for _ in range(4):
+        level = level.groupBy("match", F.shiftright("k", 16).alias("up")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), "").cast("binary"), 256).alias("d")).withColumnRenamed("up", "k")
+    counts = rows.groupBy("match").agg(F.count(F.lit(1)).alias("rows"), F.count_if("suspicious").alias("suspicious"))
+    return counts.join(level.select("match", F.col("d").alias("sha256")), "match")
+
+
+def purged(tm: DataFrame, plan: DataFrame, path: str) -> DataFrame:
+    """The memory without the rows that the plan deletes, after a backup under path."""
+    return backup(tm, path).join(plan.filter("action = 'would_delete'").select("id"), "id", "left_anti")
 
 
 def stats(tm: DataFrame) -> DataFrame:
@@ -115,8 +237,9 @@ def window_summary(tm: DataFrame, now, days: tuple[int, ...] = (7, 30, 36500), t
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """An order-free digest of a table's content: rows, sum and xor of row hashes."""
-    h = F.xxhash64(*columns)
+    """An order-free digest of a table's content: rows, sum and xor of 60-bit row hashes (the sum of their low 31 bits)."""
+    text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns))
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum"), F.bit_xor(h).alias("xor"))
 
 
