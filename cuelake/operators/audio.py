@@ -10,16 +10,18 @@ from cuelake.operators.quality import gap_observations
 
 
 def threshold(hops: DataFrame, pct: int = 85) -> DataFrame:
-    """Per file the value whose 0-based rank is pct of the last rank, rounded half to even."""
-    w = Window.partitionBy("file_id").orderBy("rms", "hop_no")
-    rows = hops.withColumns({"rank": F.row_number().over(w) - 1, "last": F.count(F.lit(1)).over(Window.partitionBy("file_id")) - 1})
-    return rows.filter(F.col("rank") == F.bround(F.col("last") * (pct / 100))).select("file_id", F.col("rms").alias("threshold"))
+    """Per file the value whose 0-based rank is pct of the last rank, rounded half to even. Equal values are counted
+    before they are ordered, so files aren't sorted hop by hop."""
+    counts = hops.groupBy("file_id", "rms").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("file_id").orderBy("rms"))
+    rows = counts.withColumns({"upto": upto, "last": F.sum("n").over(Window.partitionBy("file_id")) - 1})
+    return rows.filter(F.col("upto") > F.bround(F.col("last") * (pct / 100))).groupBy("file_id").agg(F.min("rms").alias("threshold"))
 
 
 def speech_segments(hops: DataFrame, limits: DataFrame, hop_ms: int = 10) -> DataFrame:
     """Runs of neighbouring hops above the file's threshold as spans."""
     w = Window.partitionBy("file_id").orderBy("hop_no")
-    loud = hops.join(limits, "file_id").filter("rms > threshold")
+    loud = hops.join(limits, "file_id").filter("rms > threshold").select("file_id", "hop_no")
     loud = loud.withColumn("run", island(F.coalesce(F.col("hop_no") != F.lag("hop_no").over(w) + 1, F.lit(True)), w))
     return loud.groupBy("file_id", "run").agg((F.min("hop_no") * hop_ms).alias("start_ms"), ((F.max("hop_no") + 1) * hop_ms).alias("end_ms"))
 

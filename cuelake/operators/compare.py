@@ -48,32 +48,41 @@ def speech_union(cues: DataFrame) -> DataFrame:
     return spans.groupBy("file_id").agg(F.sum("ms").alias("speech_ms"), F.count(F.lit(1)).alias("spans"))
 
 
-def version_measures(cues: DataFrame) -> DataFrame:
-    """Per file: share of very short rows without Han, adjacent equal rows, rows with a character four times in a row."""
+def version_measures(cues: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+    """Per file: share of very short rows without Han, adjacent equal rows, rows with a character four times in a row,
+    rows of eight or more letters that are nearly all kana, and rows that match each given garble pattern."""
     w = by_file()
     rows = cues.withColumn("dup", F.coalesce(F.col("text") == F.lag("text").over(w), F.lit(False)))
     short = (F.length(T.strip(F.col("text"))) <= 3) & ~F.col("text").rlike(T.HAN)
-    return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("rows"), F.avg(short.cast("double")).alias("fragment_ratio"), F.count_if("dup").alias("duplicate_pairs"), F.count_if(F.col("text").rlike(r"(?s)(.)\1{3,}")).alias("repeated"))
+    norm = T.norm_words(F.col("text"))
+    kana = (F.length(norm) >= 8) & ~norm.rlike(T.HAN) & (F.regexp_count(norm, F.lit(T.KANA)) > 0.95 * F.length(norm))
+    more = [F.count_if(F.col("text").rlike(p)).alias(name) for name, p in (patterns or {}).items()]
+    return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("rows"), F.avg(short.cast("double")).alias("fragment_ratio"), F.count_if("dup").alias("duplicate_pairs"), F.count_if(F.col("text").rlike(r"(?s)(.)\1{3,}")).alias("repeated"), F.count_if(kana).alias("kana_only"), *more)
 
 
-def side_by_side(a: DataFrame, b: DataFrame, window_ms: int = 600_000, least_ms: int = 200) -> DataFrame:
-    """Rows of two versions one to one: within a stretch of time each left row, in order, takes the free right row that
-    overlaps it most. The stretches bound what a task holds."""
+def side_by_side(a: DataFrame, b: DataFrame, least_ms: int = 200) -> DataFrame:
+    """Rows of two versions one to one: each left row, in order, takes the free right row that overlaps it most. Files are
+    cut where neither version has a row, which no pair crosses, so a right row is never used twice."""
     keep = ["file_id", "pos", "start_ms", "end_ms", "text"]
-    pairs = interval_join(a.select(*keep), b.select(*keep), ["file_id"]).filter(F.col("overlap_ms") > least_ms)
-    pairs = pairs.withColumn("stretch", F.floor(F.col("start_ms") / window_ms)).select("file_id", "stretch", "pos", "r_pos", "overlap_ms")
+    pairs = interval_join(a.select(*keep), b.select(*keep), ["file_id"]).filter(F.col("overlap_ms") > least_ms).select("file_id", "pos", "r_pos", "overlap_ms")
+    w = by_file("start_ms", "end_ms", "side", "pos")
+    both = a.select(*keep[:4], F.lit(0).alias("side")).union(b.select(*keep[:4], F.lit(1).alias("side"))).filter("end_ms > start_ms")
+    reach = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    stretch = both.withColumn("stretch", island(F.coalesce(F.col("start_ms") >= reach, F.lit(True)), w)).filter("side = 0").select("file_id", "pos", "stretch")
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for pos, rows in frame.sort_values(["pos", "overlap_ms", "r_pos"], ascending=[True, False, True]).groupby("pos", sort=False):
-            for r in rows.itertuples():
-                if r.r_pos not in used:
-                    used.add(r.r_pos)
-                    out.append((r.file_id, pos, r.r_pos, r.overlap_ms))
-                    break
-        return pd.DataFrame(out, columns=["file_id", "pos", "r_pos", "overlap_ms"])
+        frame = frame.sort_values(["pos", "overlap_ms", "r_pos"], ascending=[True, False, True])
+        used, served, take = set(), set(), []
+        for k, (pos, r_pos) in enumerate(zip(frame["pos"].tolist(), frame["r_pos"].tolist(), strict=True)):
+            if pos not in served and r_pos not in used:
+                served.add(pos)
+                used.add(r_pos)
+                take.append(k)
+        return frame.iloc[take][["file_id", "pos", "r_pos", "overlap_ms"]]
 
-    return pairs.groupBy("file_id", "stretch").applyInPandas(match, "file_id long, pos long, r_pos long, overlap_ms long")
+    # Stretches don't touch each other, so a group may hold many of them.
+    rows = pairs.join(stretch, ["file_id", "pos"]).withColumn("part", F.floor(F.col("stretch") / 1000))
+    return rows.groupBy("file_id", "part").applyInPandas(match, "file_id long, pos long, r_pos long, overlap_ms long")
 
 
 def label_rows(labels: DataFrame, rows: DataFrame, width_ms: int = 500) -> DataFrame:
@@ -95,11 +104,14 @@ def changed_inputs(current: DataFrame, ledger: DataFrame, prints: tuple[str, ...
 
 
 def confusion(rows: DataFrame, truth: str, guess: str, classes: list[str]) -> DataFrame:
-    """Per class: true and false positives, misses, precision and recall (1 where nothing is to be found)."""
+    """Per class: true and false positives, misses, precision and recall (1 where nothing is to be found), and the averages
+    of both over the classes on every row."""
     out = rows.select(truth, guess, F.explode(F.array(*map(F.lit, classes))).alias("class")).groupBy("class").agg(
         F.count_if((F.col(truth) == F.col("class")) & (F.col(guess) == F.col("class"))).alias("tp"),
         F.count_if((F.col(truth) != F.col("class")) & (F.col(guess) == F.col("class"))).alias("fp"),
         F.count_if((F.col(truth) == F.col("class")) & (F.col(guess) != F.col("class"))).alias("fn"),
     )
     ratio = lambda d: F.when(d == 0, 1.0).otherwise(F.col("tp") / d)
-    return out.withColumns({"precision": ratio(F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp") + F.col("fn"))})
+    out = out.withColumns({"precision": ratio(F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp") + F.col("fn"))})
+    whole = Window.partitionBy(F.lit(0))  # a row per class
+    return out.withColumns({"macro_precision": F.avg("precision").over(whole), "macro_recall": F.avg("recall").over(whole)})

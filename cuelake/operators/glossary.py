@@ -13,18 +13,34 @@ MIN_RUNS, MIN_CANDIDATES, CANDIDATE_CUTOFF, FALSE_RATE = 3, 100, 300, 0.02
 
 
 def term_hits(rows: DataFrame, glossary: DataFrame, text: str = "text") -> DataFrame:
-    """Rows with every term they contain. Single-word terms meet the rows' words in an equi-join; the others (phrases,
-    unspaced scripts) by their first two characters, then all are verified."""
-    folded = F.lower(F.col(text))
-    words = F.array_distinct(F.regexp_extract_all(folded, F.lit(f"{T.LATIN}+"), 0))
-    g = glossary.withColumn("t", F.lower("src"))
-    single = g.filter(F.col("t").rlike(f"^{T.LATIN}+$") & (F.length("t") >= 2))
-    rest = g.filter(~F.col("t").rlike(f"^{T.LATIN}+$"))
-    by_word = rows.withColumn("t", F.explode(words)).join(single, "t").drop("t")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(folded) - 1, F.lit(1))), lambda i: F.substring(folded, i, F.lit(2))))
-    by_gram = rows.withColumn("gram", F.explode(grams)).join(rest.withColumn("gram", F.substring("t", 1, 2)), "gram")
-    by_gram = by_gram.filter(T.contains_term(F.col("src"), F.col(text))).drop("t", "gram")
-    return by_word.unionByName(by_gram)
+    """Rows (file_id, pos) with every term they contain. Texts and terms are folded once. Single-word terms meet the rows'
+    words in an equi-join; the others (phrases, unspaced scripts) by their first two characters and are verified. Only
+    ids travel to the joins; the rows are fetched for what was hit."""
+    folded = rows.select("file_id", "pos", T.fold(F.col(text)).alias("s"))
+    words = F.array_distinct(F.regexp_extract_all("s", F.lit(f"{T.LATIN}+"), 0))
+    g = glossary.withColumn("t", T.fold(F.col("src")))
+    single = F.col("t").rlike(f"^{T.LATIN}+$")
+    by_word = folded.select("file_id", "pos", F.explode(words).alias("t")).join(g.filter(single & (F.length("t") >= 2)), "t").drop("t")
+    rest = g.filter(~single).withColumn("gram", F.substring("t", 1, 2))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.substring(F.col("s"), i, F.lit(2))))
+    near = folded.select("file_id", "pos", F.explode(grams).alias("gram")).join(rest.select("src", "t", "gram"), "gram").select("file_id", "pos", "src", "t")
+    by_gram = near.join(folded, ["file_id", "pos"]).filter(T.contains_folded(F.col("t"), F.col("s"))).select("file_id", "pos", "src").join(glossary, "src")
+    hits = by_word.select("file_id", "pos", *glossary.columns).unionByName(by_gram.select("file_id", "pos", *glossary.columns))
+    return rows.join(hits, ["file_id", "pos"])
+
+
+def injected_terms(rows: DataFrame, glossary: DataFrame, most: int = 100) -> DataFrame:
+    """The terms that a batch of rows (file_id, scene, batch, pos, text) brings along, at most most of them in order of
+    the glossary, and how many were hit in all."""
+    hits = term_hits(rows, glossary).select("file_id", "scene", "batch", "src", "dst", "ord").distinct()
+    w = Window.partitionBy("file_id", "scene", "batch")
+    hits = hits.withColumns({"place": F.row_number().over(w.orderBy("ord", "src", "dst")), "hits": F.count(F.lit(1)).over(w)})
+    return hits.filter(F.col("place") <= most)
+
+
+def conflict_distribution(conflicts: DataFrame, top: int = 10) -> DataFrame:
+    """The terms with the most conflicts."""
+    return conflicts.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(top)
 
 
 def merge_terms(glossary: DataFrame) -> DataFrame:

@@ -100,11 +100,15 @@ def placeholder_stats(final: DataFrame) -> DataFrame:
     return final.groupBy("file_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(T.is_untranslated(F.col("text"))).alias("untranslated"), F.count_if(text == "").alias("empty"), F.count_if(text.rlike(r"^[-—–]+$")).alias("dashes"))
 
 
-def residue(final: DataFrame, pattern: str = T.KANA) -> DataFrame:
-    """Runs of source script left in the target, per row."""
-    parts = F.regexp_extract_all("text", F.lit(f"{pattern}+"), 0)
-    rows = final.withColumn("fragments", parts).filter(F.size("fragments") > 0)
-    return rows.withColumn("residue_chars", F.aggregate("fragments", F.lit(0), lambda a, x: a + F.length(x)))
+def residue(final: DataFrame, orig: DataFrame, pattern: str = T.KANA) -> DataFrame:
+    """Runs of source script left in the target, per row that isn't marked untranslated, and whether the source of its span
+    has all of them, some or none."""
+    src = orig.groupBy("file_id", "start_ms", "end_ms").agg(F.min_by(T.strip(F.coalesce("text", F.lit(""))), "pos").alias("source"))
+    rows = final.filter(~T.is_untranslated(F.col("text"))).withColumn("fragments", F.regexp_extract_all("text", F.lit(f"({pattern}+)"), 1)).filter(F.size("fragments") > 0)
+    rows = rows.join(src, ["file_id", "start_ms", "end_ms"], "left").withColumn("source", F.coalesce("source", F.lit("")))
+    found = F.size(F.filter("fragments", lambda x: F.contains(F.col("source"), x)))
+    note = F.when(found == F.size("fragments"), "all").when(found > 0, "some").otherwise("none")
+    return rows.withColumns({"residue_chars": F.aggregate("fragments", F.lit(0), lambda a, x: a + F.length(x)), "in_source": note}).drop("source")
 
 
 def term_retention(final: DataFrame, orig: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
@@ -126,22 +130,61 @@ def identity(original: DataFrame, **counts: DataFrame) -> DataFrame:
     return out.withColumn("balanced", F.col("n") == sum((F.col(k) for k in counts), F.lit(0)))
 
 
-def guide_items(final: DataFrame, orig: DataFrame) -> DataFrame:
-    """One table of what a reviewer should see: untranslated rows, long lines, missed rows and fast rows."""
-    def item(df, category, severity, message, text=None):
-        return df.select("file_id", F.col("idx").cast("long").alias("idx"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), message.alias("message"), (F.col("text") if text is None else text).alias("current_text"))
+def guide_items(final: DataFrame, orig: DataFrame, warnings: DataFrame | None = None, missed_speech: DataFrame | None = None) -> DataFrame:
+    """One table of what a reviewer should see: warnings (file_id, idx, timing, category, message), untranslated rows, long
+    lines, missed speech (file_id, idx, timing, message; an observation) and fast rows, with status, the current text of
+    the index's first final row and 40 characters of the source. place orders a file's items by index, null last."""
+    current = final.groupBy("file_id", "idx").agg(F.min_by("text", "pos").alias("now"))
+    source = orig.groupBy("file_id", "idx").agg(F.substring(F.coalesce(F.min_by("text", "pos"), F.lit("")), 1, 40).alias("src"))
 
-    none = F.lit(None).cast("string")
+    def item(df, category, message, status="open", text=None, excerpt=None):
+        one = lambda c: F.lit(None).cast("string") if c is None else c
+        return df.select("file_id", F.col("idx").cast("long").alias("idx"), F.coalesce(F.col("timing"), F.lit("")).alias("timing"), category.alias("category"), message.alias("message"), F.lit(status).alias("status"), one(text).alias("own"), one(excerpt).alias("excerpt"))
+
+    u = F.lit("untranslated")
     parts = [
-        item(final.filter(T.is_untranslated(F.col("text"))), "untranslated", "high", F.lit("left untranslated")),
-        item(long_lines(final), "single_line_too_long", "medium", F.concat(F.lit("line of "), F.col("max_len").cast("string"))),
-        item(coverage(final, orig).filter("state = 'missing'"), "missed", "high", F.lit("no translation"), none),
-        item(cps_actions(final, CPS_OTHER * CPS_TOLERANCE, cjk_only=False), "cps", "low", F.concat(F.lit("rank "), F.col("rank").cast("string"))),
+        item(final.filter(T.is_untranslated(F.col("text"))), u, F.lit("left untranslated"), text=F.col("text")),
+        item(long_lines(final), F.lit("single_line_too_long"), F.concat(F.lit("line of "), F.col("max_len").cast("string")), excerpt=F.col("excerpt")),
+        item(cps_actions(final, CPS_OTHER * CPS_TOLERANCE, cjk_only=False), F.lit("cps_too_fast"), F.concat(F.lit("rank "), F.col("rank").cast("string")), excerpt=F.lit("")),
     ]
+    if warnings is not None:
+        parts.append(item(warnings, F.col("category"), F.col("message")))
+    if missed_speech is not None:
+        parts.append(item(missed_speech, F.lit("suspected_missed_speech"), F.col("message"), "observation", excerpt=F.lit("")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    out = out.join(current, ["file_id", "idx"], "left").join(source, ["file_id", "idx"], "left")
+    text = F.when(F.col("status") == "observation", F.lit(None)).otherwise(F.coalesce("own", "now"))
+    w = Window.partitionBy("file_id").orderBy(F.asc_nulls_last("idx"), "category", "message", "timing")
+    return out.withColumns({"current_text": text, "source_excerpt": F.coalesce("excerpt", "src", F.lit("")), "place": F.row_number().over(w)}).drop("own", "now", "src", "excerpt")
+
+
+def final_rows(final: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Indexes (file_id, idx) of a report with the final row they mean: the first in file order with exactly that index, or
+    nothing; neighbours are never guessed."""
+    first = final.groupBy("file_id", "idx").agg(F.min_by(F.struct("pos", "start_ms", "end_ms", "text"), "pos").alias("r"))
+    return indexes.join(first, ["file_id", "idx"], "left").select(*indexes.columns, "r.pos", "r.start_ms", "r.end_ms", "r.text")
+
+
+def recompute(final: DataFrame, merged: DataFrame) -> DataFrame:
+    """Per file, from the two versions alone: rate of final rows whose span is in the merged version, merged rows with Han
+    and those of them without a final row, upper median of the length ratio and the share below 0.3."""
+    span = ["file_id", "start_ms", "end_ms"]
+    said = final.withColumn("t", T.strip(F.coalesce("text", F.lit("")))).groupBy(*span).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "").alias("said"))  # rows of one span
+    rows = merged.select(*span, T.strip(F.coalesce("text", F.lit(""))).alias("s")).join(said, span, "left")
+    ratio = F.when((F.col("s") != "") & (F.col("said") != ""), T.weighted_length(F.col("said")) / F.greatest(F.lit(1.0), T.weighted_length(F.col("s"))))
+    rows = rows.withColumns({"ratio": ratio, "han": F.col("s").rlike(r"[\x{4e00}-\x{9fff}々]")})
+    out = rows.groupBy("file_id").agg(F.count_if("han").alias("content_rows"), F.count_if(F.col("han") & F.col("said").isNull()).alias("missed"), F.get(F.sort_array(F.collect_list("ratio")), F.floor(F.count("ratio") / 2).cast("int")).alias("median_ratio"), F.avg((F.col("ratio") < 0.3).cast("double")).alias("low_share"))
+    spans = merged.select(*span).distinct().withColumn("hit", F.lit(True))
+    aligned = final.join(spans, span, "left").groupBy("file_id").agg(F.count(F.lit(1)).alias("rows"), F.count("hit").alias("aligned"))
+    return out.join(aligned, "file_id", "full_outer").withColumn("align_rate", F.when(F.col("rows") > 0, F.col("aligned") / F.col("rows")))
+
+
+def rejoined(normal: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows that went through a filter and rows kept as they are, one table again in time order: pos is the new place."""
+    rows = normal.unionByName(kept)
+    return rows.withColumn("pos", F.row_number().over(_pos(("idx",))) - 1)
 
 
 def risk_rollup(events: DataFrame, samples: int = 3) -> DataFrame:
@@ -149,3 +192,30 @@ def risk_rollup(events: DataFrame, samples: int = 3) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("task_id", "phase", "type").orderBy("seq"))
     rows = events.withColumn("rank", rank)
     return rows.groupBy("task_id", "phase", "type").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("rank") <= samples, F.col("seq")))).alias("samples"))
+
+
+def risk_events(rows: DataFrame, samples: int = 3) -> DataFrame:
+    """Rows (file_id, idx, timing, stage, reason, action, severity) as risk events: the range of indexes, the first and
+    last timing, the rows affected and the first few timings."""
+    rank = F.row_number().over(Window.partitionBy("file_id", "stage", "reason", "action", "severity").orderBy("idx", "timing"))
+    few = F.array_sort(F.collect_list(F.when(F.col("rank") <= samples, F.struct("rank", "timing"))))
+    out = rows.withColumn("rank", rank).groupBy("file_id", "stage", "reason", "action", "severity").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.min_by("timing", "rank").alias("first_timing"), F.max_by("timing", "rank").alias("last_timing"), F.count(F.lit(1)).alias("affected"), F.transform(few, lambda x: x["timing"]).alias("timings"))
+    span = F.when(F.col("lo").isNull(), "").when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat_ws("-", "lo", "hi"))
+    return out.select("file_id", "stage", "reason", "action", "severity", span.alias("entry_range"), F.concat_ws("→", "first_timing", "last_timing").alias("timing_range"), "affected", "timings")
+
+
+def risk_files(events: DataFrame, totals: DataFrame, majority: float = 0.8) -> DataFrame:
+    """Per file (totals: file_id, total, kept: rows left in the source language) events by severity, untranslated_majority
+    (kept is at least that share of all), and degraded: an event that isn't just information acted on rows, or a majority."""
+    is_ = lambda name: F.count_if(F.col("severity") == name).alias(name)
+    acted = F.coalesce(F.bool_or((F.col("severity") != "info") & (F.col("action") != "") & (F.col("affected") > 0)), F.lit(False))
+    sums = events.groupBy("file_id").agg(is_("info"), is_("warning"), is_("critical"), acted.alias("acted"))
+    rows = totals.join(sums, "file_id", "left").withColumn("untranslated_majority", (F.col("total") > 0) & (F.col("kept") >= majority * F.col("total")))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("info", "warning", "critical")}
+    return rows.withColumns(zero | {"degraded": F.coalesce("acted", F.lit(False)) | F.col("untranslated_majority")}).drop("acted")
+
+
+def run_totals(files: DataFrame) -> DataFrame:
+    """Per run (run, failed, degraded): files that went well, of these degraded ones, and files that failed."""
+    ok = ~F.col("failed")
+    return files.groupBy("run").agg(F.count_if(ok).alias("files_ok"), F.count_if(ok & F.col("degraded")).alias("files_degraded"), F.count_if("failed").alias("files_failed"))

@@ -9,8 +9,6 @@ from cuelake.functions.text import UNTRANSLATED
 from cuelake.functions.timecode import timing
 
 
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,6 +48,16 @@ pass2 AS (SELECT file_id, lang, pos, idx, start_ms + (pos % 7 - 3) * 150 AS star
   CASE WHEN pos % 3 = 0 THEN regexp_replace(text, '^\S+\s*', '') ELSE text END AS text FROM cues WHERE (pos + file_id) % 5 <> 0)"""
 
 
+def merged(c: DataFrame) -> DataFrame:
+    """What a merge of both transcriptions may be: some rows missing, others shifted a little."""
+    shift = F.col("pos") % 3 * 200
+    return c.filter((F.col("pos") + F.col("file_id")) % 11 != 0).withColumns({"start_ms": F.col("start_ms") + shift, "end_ms": F.col("end_ms") + shift})
+
+
+MERGED = r"""
+merged AS (SELECT file_id, lang, pos, idx, start_ms + pos % 3 * 200 AS start_ms, end_ms + pos % 3 * 200 AS end_ms, text FROM cues WHERE (pos + file_id) % 11 <> 0)"""
+
+
 def final(c: DataFrame) -> DataFrame:
     """A translated version: some rows missing, some marked untranslated, the others upper case."""
     text = F.when(F.col("pos") % 13 == 5, F.concat(F.lit(f"{UNTRANSLATED} "), "text")).otherwise(F.upper("text"))
@@ -81,7 +89,7 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = cues(spark, sf_dir).select(norm_spaces(F.col("text")).alias("source_text")).distinct()
     rows = texts.withColumn("content_hash", content_hash(F.col("source_text"))).withColumn("id", F.conv(F.substring("content_hash", 1, 12), 16, 10).cast("long"))
     rows = rows.filter(F.col("id") % 3 == 0)
-    return rows.select("id", "content_hash", "source_text", F.upper("source_text").alias("target_text"), (F.col("id") % 2 + 1).cast("int").alias("stage"), F.length("source_text").alias("char_count"), (F.col("id") % 9).alias("hit_count"), F.timestamp_add("DAY", (F.col("id") % 60).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("created_at"), F.concat(F.lit("src"), (F.col("id") % 8).cast("string")).alias("source_name"))
+    return rows.select("id", "content_hash", "source_text", F.upper("source_text").alias("target_text"), (F.col("id") % 2 + 1).cast("int").alias("stage"), F.length("source_text").alias("char_count"), (F.col("id") % 9).alias("hit_count"), F.timestamp_add("DAY", (F.col("id") % 60).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("created_at"), F.concat(F.lit("src"), (F.col("id") % 8).cast("string")).alias("source_name"), F.lit("ja").alias("source_lang"), F.lit("zh").alias("target_lang"))
 
 
 MEMORY = r"""
@@ -89,7 +97,7 @@ tm0 AS (SELECT DISTINCT trim(regexp_replace(text, '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+
 tm1 AS (SELECT *, substr(sha256(source_text), 1, 32) AS content_hash FROM tm0),
 tm2 AS (SELECT *, ('0x' || substr(content_hash, 1, 12))::BIGINT AS id FROM tm1),
 tm AS (SELECT id, content_hash, source_text, replace(upper(source_text), 'ẞ', 'SS') AS target_text, (id % 2 + 1)::INT AS stage, length(source_text) AS char_count, id % 9 AS hit_count,
-  TIMESTAMP '2024-01-01' + to_days((id % 60)::INT) AS created_at, 'src' || (id % 8) AS source_name FROM tm2 WHERE id % 3 = 0)"""
+  TIMESTAMP '2024-01-01' + to_days((id % 60)::INT) AS created_at, 'src' || (id % 8) AS source_name, 'ja' AS source_lang, 'zh' AS target_lang FROM tm2 WHERE id % 3 = 0)"""
 
 
 def glossary(spark: SparkSession, sf_dir: str, size: int = 50) -> DataFrame:
@@ -109,12 +117,18 @@ glossary AS (SELECT src, upper(src) AS dst, row_number() OVER (ORDER BY n DESC,
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.create_map(*(F.lit(x) for x in ("view", "phase_progress", "click", "heartbeat", "error", "error", "purchase", "phase_finished", "signup", "phase_started")))
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind[F.col("event_type")].alias("type"), F.concat(F.lit("phase"), (F.col("event_id") % 3).cast("string")).alias("phase"), F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind[F.col("event_type")].alias("type"), F.concat(F.lit("phase"), (F.col("event_id") % 3).cast("string")).alias("phase"), F.get_json_object("props", "$.k").cast("long").alias("k"), "value", *event_names())
+
+
+def event_names() -> list:
+    """A file and a message for every event of the given table."""
+    return [F.concat(F.lit("file"), (F.col("event_id") % 4).cast("string")).alias("file"), F.concat(F.lit("message "), (F.col("event_id") % 7).cast("string")).alias("message")]
 
 
 RUN_EVENTS = r"""
 run_events AS (SELECT user_id::VARCHAR AS task_id, event_id AS seq, ts, CASE event_type WHEN 'view' THEN 'phase_progress' WHEN 'click' THEN 'heartbeat' WHEN 'error' THEN 'error'
-  WHEN 'purchase' THEN 'phase_finished' WHEN 'signup' THEN 'phase_started' END AS type, 'phase' || (event_id % 3) AS phase, json_extract(props, '$.k')::BIGINT AS k, value FROM events)"""
+  WHEN 'purchase' THEN 'phase_finished' WHEN 'signup' THEN 'phase_started' END AS type, 'phase' || (event_id % 3) AS phase, json_extract(props, '$.k')::BIGINT AS k, value,
+  'file' || (event_id % 4) AS file, 'message ' || (event_id % 7) AS message FROM events)"""
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +144,18 @@ telemetry AS (SELECT task_id::BIGINT AS file_id, row_number() OVER (PARTITION BY
   CASE WHEN k % 4 <> 0 THEN k / 100.0::DOUBLE END AS max_no_speech_prob, CASE WHEN k % 4 <> 0 THEN -(k % 20) / 10.0::DOUBLE END AS mean_avg_logprob FROM run_events)"""
 
 
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every benchmark item as a query."""
+    parts = F.filter(F.transform(F.regexp_extract_all("text", F.lit("[^.!?]+[.!?]*"), 0), lambda x: F.trim(x)), lambda x: x != "")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(parts).alias("no", "text"))
+    return rows.select(F.concat_ws("_", "item_id", "no").alias("query_id"), "text", F.lit(1).alias("stage"))
+
+
+SENTENCES = r"""
+sent0 AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM benchmark),
+sentences AS (SELECT item_id || '_' || (k - 1) AS query_id, parts[k] AS text FROM sent0, unnest(range(1, len(parts) + 1)) AS u(k))"""
+
+
 def hops(c: DataFrame) -> DataFrame:
     """10 ms energy values to the end of each file's last cue."""
     ends = c.groupBy("file_id").agg(F.max("end_ms").alias("end_ms"))
@@ -139,4 +165,4 @@ def hops(c: DataFrame) -> DataFrame:
 
 HOPS = r"""
 hop_end AS (SELECT file_id, max(end_ms) AS end_ms FROM cues GROUP BY file_id),
-hops AS (SELECT file_id, hop_no, ((hop_no // 37) * 7919 + file_id * 104729) % 1000::DOUBLE AS rms FROM hop_end, unnest(range(least(end_ms // 10, 6000))) AS u(hop_no))"""
+hops AS (SELECT file_id, hop_no, ((hop_no // 37) * 7919 + file_id * 104729) % 1000::DOUBLE AS rms FROM hop_end, unnest(range(end_ms // 10)) AS u(hop_no))"""

@@ -58,7 +58,7 @@ def decode(files: DataFrame, ladder: tuple[str, ...] = CONVERT) -> DataFrame:
 
 def parse_srt(files: DataFrame, strict: bool = True) -> DataFrame:
     """files (file_id, content) to cue rows. Strict drops malformed blocks; tolerant keeps them: the index is the place,
-    missing timings are 0."""
+    missing timings are 0; a block of nothing but a number is noise and goes in both."""
     text = F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), "^﻿", "")
     blocks = files.select("file_id", F.posexplode(F.split(T.strip(text), r"\n\s*\n")).alias("block", "b"))
     idx = F.regexp_extract("b", r"^\s*(\d+)\s*\n", 1)
@@ -66,7 +66,7 @@ def parse_srt(files: DataFrame, strict: bool = True) -> DataFrame:
     if strict:
         rows = blocks.filter(F.col("b").rlike(r"(?s)^\s*\d+\s*\n\s*" + _STAMP + r"[^\n]*\n.*\S"))
     else:
-        rows = blocks.filter(T.strip(F.col("b")) != "")
+        rows = blocks.filter((T.strip(F.col("b")) != "") & ~T.strip(F.col("b")).rlike(r"^[+-]?\d+$"))
     body = F.when(when != "", F.regexp_replace("b", r"(?s)^.*?-->[^\n]*\n?", "")).otherwise(F.regexp_replace("b", r"^\s*\d+\s*\n", ""))
     at = parse_timing(when)
     pos = F.row_number().over(Window.partitionBy("file_id").orderBy("block")) - 1
@@ -135,8 +135,22 @@ def format_srt(cues: DataFrame) -> DataFrame:
 
 
 def write_srt(cues: DataFrame, folder: str) -> None:
-    """A folder per file with its text."""
-    format_srt(cues).withColumnRenamed("content", "value").repartition("file_id").write.partitionBy("file_id").option("lineSep", "").text(folder)
+    """A folder per file with its text; the writer ends the last line."""
+    rows = format_srt(cues).select("file_id", F.regexp_replace("content", r"\n\z", "").alias("value"))
+    rows.repartition("file_id").write.partitionBy("file_id").text(folder)
+
+
+def to_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files of mixed formats (file_id, name, content bytes) to cues, and warnings (file_id, line, warning): files that no
+    encoding fits or whose format is unknown, and events without text or times. SRT files pass through the parser."""
+    texts = decode(files).withColumn("format", F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)))
+    of = lambda *names: texts.filter(F.col("text").isNotNull() & F.col("format").isin(*names)).select("file_id", F.col("text").alias("content"))
+    good, bad = converted(parse_vtt(of("vtt")).unionByName(parse_ass(of("ass", "ssa"))))
+    names = ["file_id", "pos", "idx", "start_ms", "end_ms", "text"]
+    cues = good.select(*names).unionByName(parse_srt(of("srt")).select(*names))
+    whole = texts.select("file_id", F.lit(None).cast("int").alias("line"), F.when(F.col("text").isNull(), F.col("error")).when(~F.col("format").isin("vtt", "ass", "ssa", "srt"), "unknown format").alias("warning")).filter("warning is not null")
+    events = bad.select("file_id", "line", F.when(F.col("text") == "", "empty event").otherwise("event without times").alias("warning"))
+    return cues, whole.unionByName(events)
 
 
 def read_wav(files: DataFrame, hop_ms: int = 10) -> DataFrame:

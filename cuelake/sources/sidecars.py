@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +43,14 @@ def export_memory(tm: DataFrame, path: str, stage: int | None = None) -> None:
 
 
 def import_memory(spark: SparkSession, path: str, source_lang: str, target_lang: str) -> DataFrame:
-    """Rows of an export for the upsert; files of the older layout lack the languages."""
-    rows = spark.read.schema(TM_COLUMNS).option("header", True).option("enforceSchema", True).csv(path)
-    return rows.select(T.content_hash(F.col("source_text")).alias("content_hash"), "source_text", "target_text", F.coalesce("stage", F.lit(1)).alias("stage"), F.coalesce("source_lang", F.lit(source_lang)).alias("source_lang"), F.coalesce("target_lang", F.lit(target_lang)).alias("target_lang"))
+    """Rows of an export for the upsert, of any of its layouts: two columns, three with the stage, or six with hits and
+    languages. Heads are rows whose first column names it; stages that are no number are 0; missing languages are given."""
+    rows = spark.read.schema("source string, target string, stage string, hits string, source_lang string, target_lang string").option("mode", "PERMISSIVE").csv(path)
+    text = lambda c: T.strip(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", ""))
+    rows = rows.select(text("source").alias("source_text"), text("target").alias("target_text"), *(text(c).alias(c) for c in ("stage", "source_lang", "target_lang")))
+    rows = rows.filter((F.col("source_text") != "") & (F.col("target_text") != "") & ~F.lower("source_text").isin("source", "source_text", "原文", "original"))
+    lang = lambda c, default: F.when(F.col(c) != "", F.col(c)).otherwise(F.lit(default)).alias(c)
+    return rows.select(T.content_hash(F.col("source_text")).alias("content_hash"), "source_text", "target_text", F.when(F.col("stage").rlike(r"^\d+$"), F.col("stage").try_cast("int")).otherwise(0).alias("stage"), lang("source_lang", source_lang), lang("target_lang", target_lang))
 
 
 def run_meta(lines: DataFrame, status: tuple[str, ...] = ("status", "state", "result"), coverage: tuple[str, ...] = ("mileage_pct", "coverage", "coverage_ratio")) -> DataFrame:
@@ -68,13 +75,47 @@ def fresh(files: DataFrame, sidecars: DataFrame, hours: float) -> DataFrame:
     return rows.filter(F.unix_timestamp("file_modified") - F.unix_timestamp("modified") <= hours * 3600)
 
 
-def discover(files: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Files with the one sidecar whose name begins with theirs, less suffixes; none where there are several."""
-    stem = F.regexp_replace(F.regexp_replace("name", r"\.[^.]+$", ""), r"[._-](pass[12]|merged|final|japanese|chinese|translated)$", "")
-    left = files.withColumn("stem", stem).withColumn("head", F.substring(stem, 1, 4))
-    right = sidecars.select(F.col("name").alias("sidecar"), F.substring("name", 1, 4).alias("head"))
-    pairs = left.join(right, "head").filter(F.startswith("sidecar", F.col("stem")))
-    return pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("n = 1").select("name", "sidecar")
+#: Endings of file names that say language or pipeline (fixed values).
+STEM_ENDINGS = (".ja.whisperjav", ".whisperjav", ".ja")
+
+
+def discover(files: DataFrame, sidecars: DataFrame, ending: str, endings: tuple[str, ...] = STEM_ENDINGS) -> DataFrame:
+    """Files (name) with the one sidecar (name, ends with ending) that begins with their stem, off which all endings are
+    taken, one after the other; none where there are several. They meet by the stem's first characters."""
+    tail = "|".join(re.escape(e) for e in endings)
+    files = files.withColumn("stem", F.regexp_extract(F.regexp_replace("name", r"\.[^.]+$", ""), f"(?i)^(.+?)(?:{tail})*$", 1))
+    rest = F.col("name").substr(F.lit(1), F.length("name") - len(ending))
+    right = sidecars.filter(F.endswith(F.lower("name"), F.lit(ending))).select(F.col("name").alias("sidecar"), rest.alias("rest"), F.explode(F.array_distinct(F.array(*(F.substring(rest, 1, k) for k in (1, 2, 3, 4))))).alias("head"))
+    pairs = files.withColumn("head", F.substring("stem", 1, 4)).join(right, "head").filter(F.startswith("rest", F.col("stem")))
+    return pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("sidecar").alias("sidecar")).filter("n = 1").select("name", "sidecar")
+
+
+def pair_media(files: DataFrame, manifests: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Files (path) with media and source: override (path, media) where given, else the first entry of a manifest (manifest,
+    files array<struct<path,output>>) whose output is the file; both paths are compared without case, and with '/'."""
+    plain = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"\\", "/"), "/\\.?/", "/"))
+    entries = manifests.select("manifest", F.posexplode("files").alias("at", "f")).filter("f.output <> ''")
+    first = entries.groupBy(plain(F.col("f.output")).alias("key")).agg(F.min_by(T.strip(F.col("f.path")), F.struct("manifest", "at")).alias("hit"))
+    rows = files.withColumn("key", plain(F.col("path"))).join(first, "key", "left").drop("key")
+    if overrides is not None:
+        rows = rows.join(overrides.select("path", F.col("media").alias("given")), "path", "left")
+    given = F.when(F.col("given") != "", F.col("given")) if overrides is not None else F.lit(None).cast("string")
+    hit = F.when(F.col("hit") != "", F.col("hit"))
+    return rows.withColumns({"media": F.coalesce(given, hit, F.lit("")), "source": F.when(given.isNotNull(), "override").when(hit.isNotNull(), "manifest").otherwise("")}).drop("hit", "given")
+
+
+def resume_states(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """Input files (folder, name) with state: completed when their final file is in the listing (folder, name, content),
+    resumable when only their manifest is, else none. A manifest's direction a→b names the final file's language."""
+    stem = T.strip_language_suffix(F.regexp_replace("name", r"\.[^.]+$", ""))
+    rows = files.withColumn("stem", stem)
+    found = listing.filter(F.endswith("name", F.lit("_manifest.json"))).select("folder", F.regexp_replace("name", r"_manifest\.json$", "").alias("stem"), F.split(F.coalesce(F.get_json_object("content", "$.direction"), F.lit("ja→zh")), "→").alias("d"))
+    target = F.when(F.size("d") > 1, F.element_at("d", -1)).otherwise("zh")
+    rows = rows.join(found.select("folder", "stem", target.alias("target"), F.lit(True).alias("manifest")).dropDuplicates(["folder", "stem"]), ["folder", "stem"], "left")
+    ending = F.when(F.coalesce("target", F.lit("zh")) == "zh", "cn").otherwise(F.col("target"))
+    finals = listing.select("folder", F.col("name").alias("final"), F.lit(True).alias("done")).distinct()
+    rows = rows.withColumn("final", F.concat("stem", F.lit("_final_"), ending, F.lit(".srt"))).join(finals, ["folder", "final"], "left")
+    return rows.select("folder", "name", "stem", F.when(F.col("done"), "completed").when(F.col("manifest"), "resumable").otherwise("none").alias("state"))
 
 
 def lanes(files: DataFrame) -> DataFrame:
@@ -85,12 +126,29 @@ def lanes(files: DataFrame) -> DataFrame:
     return rows.withColumn("mode", mode)
 
 
+#: Heads of a context file's two parts (fixed format).
+SUMMARY_HEAD, MISHEAR_HEAD = "【剧情摘要】", "【误听怀疑】"
+
+
 def context_sidecar(lines: DataFrame) -> DataFrame:
-    """file_id, line_no, value under '[summary]' and '[mishear]' heads: kind, and suspect and correct of 'a => b' lines."""
+    """file_id, line_no, value to summary rows, and mishear rows of 'a => b' lines with suspect and correct. A summary may
+    begin beside its head; lines before a head, lines that begin with # and pairs with an empty side are dropped."""
     w = Window.partitionBy("file_id").orderBy("line_no")
-    head = F.regexp_extract(F.trim("value"), r"^\[(\w+)\]$", 1)
-    rows = lines.withColumn("kind", F.last(F.when(head != "", head), True).over(w)).filter((head == "") & (F.trim("value") != ""))
-    return rows.select("file_id", "line_no", "kind", F.trim("value").alias("value"), F.trim(F.regexp_extract("value", "^(.*?)=>", 1)).alias("suspect"), F.trim(F.regexp_extract("value", "=>(.*)$", 1)).alias("correct"))
+    s = T.strip(F.coalesce("value", F.lit("")))
+    head = F.when(F.startswith(s, F.lit(SUMMARY_HEAD)), "summary").when(F.startswith(s, F.lit(MISHEAR_HEAD)), "mishear")
+    rows = lines.withColumns({"head": head, "s": s}).withColumn("kind", F.last("head", True).over(w))
+    value = F.when(F.col("head") == "summary", T.strip(F.substring("s", len(SUMMARY_HEAD) + 1, 1 << 30))).when(F.col("head").isNull(), F.col("s"))
+    rows = rows.withColumn("value", value).filter("kind is not null and value <> ''").filter(F.col("head").isNotNull() | ~F.startswith("s", F.lit("#")))
+    side = lambda k: F.when(F.col("kind") == "mishear", T.strip(F.regexp_extract("value", "^(.*?)=>(.*)$", k))).otherwise("")
+    rows = rows.select("file_id", "line_no", "kind", "value", side(1).alias("suspect"), side(2).alias("correct"))
+    return rows.filter("kind = 'summary' or (suspect <> '' and correct <> '')")
+
+
+def mishear_rows(final: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Final rows (aligned: orig_text) that hold a suspect word of their file's context, one row per pair; a file's pairs
+    are few and given by hand."""
+    rows = final.join(pairs.select("file_id", "suspect", "correct"), "file_id").filter(F.contains(T.strip(F.coalesce("orig_text", F.lit(""))), "suspect"))
+    return rows.select("file_id", "pos", "idx", "suspect", "correct", F.substring(T.strip(F.coalesce("text", F.lit(""))), 1, 60).alias("preview"))
 
 
 def log_batches(lines: DataFrame) -> DataFrame:
@@ -107,6 +165,14 @@ def log_batches(lines: DataFrame) -> DataFrame:
     return rows.select("file_id", "run", "batch", "at", (F.col("at") - before).alias("seconds"))
 
 
+def batch_summary(batches: DataFrame) -> DataFrame:
+    """Per file: runs and batches, the least, upper median, mean and total seconds of a batch, the seconds from its first
+    batch to its last, and batches an hour. Batches without a batch before them have no duration."""
+    seconds = F.sort_array(F.collect_list("seconds"))  # the batches of one log
+    out = batches.groupBy("file_id").agg(F.count_distinct("run").alias("runs"), F.count(F.lit(1)).alias("batches"), F.min("seconds").alias("least"), F.get(seconds, F.floor(F.count("seconds") / 2).cast("int")).alias("median"), F.round(F.avg("seconds"), 6).alias("mean"), F.sum("seconds").alias("total"), (F.max("at") - F.min("at")).alias("span_s"))
+    return out.withColumn("per_hour", F.when(F.col("span_s") > 0, F.round(3600 * F.col("batches") / F.col("span_s"), 6)))
+
+
 def append_dropped(rows: DataFrame, path: str, stage: str, reason) -> None:
     """Dropped rows to the archive, a folder per day."""
     rows.select("file_id", F.lit(stage).alias("stage"), "idx", reason.alias("reason"), "text", F.current_date().alias("day")).write.mode("append").partitionBy("day").parquet(path)

@@ -28,8 +28,18 @@ def parse_events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def distinct_risks(events: DataFrame, late: str = LATE) -> DataFrame:
-    """The first error of a task, phase and type within the watermark."""
-    return events.filter("type = 'error'").withWatermark("ts", late).dropDuplicatesWithinWatermark(["task_id", "phase", "type"])
+    """The first error of a task with its type, phase, file and message within the watermark."""
+    key = ["task_id", "type", "phase", "file", "message"]
+    rows = events.filter("type = 'error'")
+    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(key) if events.isStreaming else rows.dropDuplicates(key)
+
+
+def watch_totals(records: DataFrame, size: str = "1 day", late: str = LATE) -> DataFrame:
+    """Candidates and conflicts per window and term from a stream of watch records (ts, per_term map)."""
+    rows = records.withWatermark("ts", late) if records.isStreaming else records
+    rows = rows.select("ts", F.explode("per_term").alias("term", "v"))
+    out = rows.groupBy(F.window("ts", size).alias("w"), "term").agg(F.sum("v.candidates").alias("candidates"), F.sum("v.conflicts").alias("conflicts"))
+    return out.select(F.col("w.start").alias("window_start"), "term", "candidates", "conflicts")
 
 
 def stalls(events: DataFrame, gap: str = "45 seconds", late: str = LATE) -> DataFrame:
@@ -46,10 +56,17 @@ def windowed_counts(events: DataFrame, size: str = "1 day", late: str = LATE) ->
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """Current state per task: the newest event by seq, however late it came, and counters. In a stream (update or
-    complete mode) the state is one row per task."""
+    """Current state per task: the newest event by seq, however late it came, and counters. In a stream (update
+    or complete mode) the state is one row per task."""
     newest = F.max(F.struct("seq", "type", "phase", "k"))
-    return events.groupBy("task_id").agg(newest.alias("m"), F.count(F.lit(1)).alias("events"), F.count_if(F.col("type") == "error").alias("errors")).select("task_id", F.col("m.seq").alias("seq"), F.col("m.type").alias("type"), F.col("m.phase").alias("phase"), F.col("m.k").alias("k"), "events", "errors")
+    out = events.groupBy("task_id").agg(newest.alias("m"), F.count(F.lit(1)).alias("events"), F.count_if(F.col("type") == "error").alias("errors"))
+    return out.select("task_id", F.col("m.seq").alias("seq"), F.col("m.type").alias("type"), F.col("m.phase").alias("phase"), F.col("m.k").alias("k"), "events", "errors")
+
+
+def file_states(events: DataFrame, finished: str = "file_finished") -> DataFrame:
+    """done or running for every file of a task; a finished file stays done."""
+    out = events.filter("file is not null and file <> ''").groupBy("task_id", "file").agg(F.max(F.col("type") == finished).alias("done"), F.max("seq").alias("seq"))
+    return out.select("task_id", "file", F.when(F.col("done"), "done").otherwise("running").alias("state"), "seq")
 
 
 def learn_stream(pairs: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
