@@ -142,16 +142,43 @@ def tm_window_summary(spark, d):
     return memory.window_summary(A.memory(spark, d), F.lit("2024-03-01 00:00:00").cast("timestamp"))
 
 
+@query("CUES", "MEMORY", sql=rf"""WITH {_HASHED}
+SELECT file_id, pos, coalesce((SELECT string_agg(tm.stage || ':' || tm.target_text, '|' ORDER BY tm.stage) FROM tm WHERE tm.content_hash = h.content_hash), '') AS targets FROM hashed AS h""")
+def tm_all_stages(spark, d):
+    q = memory.lookup_stages(A.cues(spark, d).select("file_id", "pos", "text"), A.memory(spark, d))
+    return q.select("file_id", "pos", F.array_join(F.transform(F.map_entries("targets"), lambda e: F.concat_ws(":", e["key"], e["value"])), "|").alias("targets"))
+
+
+@query("CUES", "MEMORY", sql=f"WITH {_HASHED} SELECT file_id, pos FROM hashed AS h WHERE EXISTS (FROM tm WHERE tm.content_hash = h.content_hash AND tm.stage = h.stage)")
+def tm_known(spark, d):
+    q = A.cues(spark, d).select("file_id", "pos", "text", (F.col("pos") % 2 + 1).cast("int").alias("stage"))
+    return memory.known(q, A.memory(spark, d)).select("file_id", "pos")
+
+
+@query("CUES", "MEMORY", sql=f"WITH {_HASHED} SELECT id, hit_count + (EXISTS (FROM hashed AS h WHERE tm.content_hash = h.content_hash AND tm.stage = h.stage))::INT AS hit_count FROM tm")
+def tm_hit_counts(spark, d):
+    tm = A.memory(spark, d)
+    q = A.cues(spark, d).select("file_id", "pos", "text", (F.col("pos") % 2 + 1).cast("int").alias("stage"))
+    return memory.count_hits(tm, memory.lookup_exact(q, tm).filter("id is not null")).select("id", "hit_count")
+
+
+@query("CUES", "MEMORY", sql="SELECT id FROM tm WHERE stage <> 2")
+def tm_clear(spark, d):
+    return memory.clear(A.memory(spark, d), 2).select("id")
+
+
 @query("CUES", "MEMORY", "PAIRS", sql=r"""
-WITH b0 AS (SELECT substr(sha256(trim(regexp_replace(source_text, '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))), 1, 32) AS content_hash, 1 AS stage, source_text, target_text, created_at, source_name, conv_id * 1000 + turn AS ord FROM pairs
-  UNION ALL SELECT content_hash, stage, source_text, reverse(target_text), TIMESTAMP '2025-01-01', NULL, id FROM tm WHERE id % 5 = 0),
-b AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY content_hash, stage ORDER BY ord DESC) = 1)
-SELECT content_hash, stage, tm.id, coalesce(b.source_text, tm.source_text) AS source_text, coalesce(b.target_text, tm.target_text) AS target_text, coalesce(tm.created_at, b.created_at) AS created_at,
-  coalesce(tm.hit_count, 0) AS hit_count, coalesce(b.source_name, tm.source_name) AS source_name FROM tm FULL JOIN b USING (content_hash, stage)""")
+WITH b0 AS (SELECT trim(regexp_replace(source_text, '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g')) AS source_text, trim(regexp_replace(target_text, '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g')) AS target_text, 1 AS stage, created_at, source_name, conv_id * 1000 + turn AS ord FROM pairs
+  UNION ALL SELECT source_text, trim(reverse(target_text)), stage, TIMESTAMP '2025-01-01', NULL, id FROM tm WHERE id % 5 = 0),
+b AS (SELECT substr(sha256(source_text), 1, 32) AS content_hash, stage, arg_max(source_text, ord) AS source_text, arg_max(target_text, ord) AS target_text, arg_min(created_at, ord) AS created_at, arg_max(source_name, ord) FILTER (source_name IS NOT NULL) AS source_name
+  FROM b0 WHERE source_text <> '' AND target_text <> '' GROUP BY 1, 2)
+SELECT coalesce(tm.id, (SELECT max(id) FROM tm) + row_number() OVER (PARTITION BY tm.id IS NULL ORDER BY content_hash, stage)) AS id, content_hash, stage, coalesce(b.source_text, tm.source_text) AS source_text, coalesce(b.target_text, tm.target_text) AS target_text,
+  length(coalesce(b.source_text, tm.source_text)) AS char_count, coalesce(tm.created_at, b.created_at) AS created_at, coalesce(tm.hit_count, 0) AS hit_count, coalesce(b.source_name, tm.source_name) AS source_name, 'ja' AS source_lang, 'zh' AS target_lang
+FROM tm FULL JOIN b USING (content_hash, stage)""")
 def tm_upsert(spark, d):
     tm = A.memory(spark, d)
-    new = A.pairs(spark, d).select(T.content_hash(F.col("source_text")).alias("content_hash"), F.lit(1).alias("stage"), "source_text", "target_text", "created_at", "source_name", (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
-    again = tm.filter("id % 5 = 0").select("content_hash", "stage", "source_text", F.reverse("target_text").alias("target_text"), F.lit("2025-01-01 00:00:00").cast("timestamp").alias("created_at"), F.lit(None).cast("string").alias("source_name"), F.col("id").alias("ord"))
+    new = A.pairs(spark, d).select(F.lit(1).alias("stage"), "source_text", "target_text", "created_at", "source_name", (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
+    again = tm.filter("id % 5 = 0").select("stage", "source_text", F.reverse("target_text").alias("target_text"), F.lit("2025-01-01 00:00:00").cast("timestamp").alias("created_at"), F.lit(None).cast("string").alias("source_name"), F.col("id").alias("ord"))
     return memory.upsert(tm, new.unionByName(again))
 
 
@@ -164,58 +191,96 @@ def tm_promote(spark, d):
     return new.select("id", F.lit(False).alias("skipped")).union(skipped.select("id", F.lit(True)))
 
 
-_PURGE = r"""
-WITH cand AS (SELECT CASE WHEN pos % 3 = 0 THEN text WHEN pos % 3 = 1 THEN '  ' || text ELSE replace(upper(text), 'ẞ', 'SS') || '!' END AS text, 'src' || (file_id % 8) AS name FROM cues WHERE pos % 50 = 7),
-n AS (SELECT text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t2, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS t3, name FROM cand),
-p AS (SELECT id, stage, source_name, (SELECT min(name) FROM n WHERE n.text = source_text) AS n1, (SELECT min(name) FROM n WHERE n.t2 = source_text) AS n2,
-  (SELECT min(name) FROM n WHERE n.t3 = lower(regexp_replace(source_text, '[^\p{L}\p{N}]+', '', 'g'))) AS n3 FROM tm WHERE id % 20 <> 0),
-plan AS (SELECT id, stage, CASE WHEN n1 IS NOT NULL THEN 'raw' WHEN n2 IS NOT NULL THEN 'folded' ELSE 'normalised' END AS match, coalesce(n1, n2, n3) <> source_name AS suspicious FROM p WHERE coalesce(n1, n2, n3) IS NOT NULL)
+@query("CUES", "MEMORY", sql="""WITH e AS (SELECT *, CASE WHEN id % 2 = 0 THEN content_hash ELSE reverse(content_hash) END AS h FROM tm)
+SELECT id, content_hash FROM tm UNION ALL SELECT id, h FROM e WHERE NOT EXISTS (FROM tm WHERE tm.content_hash = e.h AND tm.stage = e.stage)""")
+def tm_promoted(spark, d):
+    from cuelake.catalog_files import folder
+
+    tm = A.memory(spark, d)
+    entries = tm.withColumn("content_hash", F.when(F.col("id") % 2 == 0, F.col("content_hash")).otherwise(F.reverse("content_hash")))
+    return memory.promoted(tm, entries, folder(spark, "backup")).select("id", "content_hash")
+
+
+_FOLD = r"trim(regexp_replace({}, '[\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+_MATCH = r"trim(regexp_replace(regexp_replace({}, '[\p{{P}}…⋯‥~〜～·]', '', 'g'), '[\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+_PURGE = f"""
+WITH next AS (SELECT *, lead(text) OVER (PARTITION BY file_id ORDER BY pos) AS after FROM cues),
+c0 AS (SELECT trim(CASE lang WHEN 'en' THEN text WHEN 'de' THEN '  ' || text ELSE '«' || text || '»!' END) AS text, 'src' || (file_id % 8) AS name, 'raw' AS form FROM cues
+  UNION SELECT trim(text || after), 'src' || (file_id % 8), 'premerge' FROM next WHERE length(text) < 12 AND after IS NOT NULL),
+c AS (SELECT *, substr(sha256({_FOLD.format('text')}), 1, 32) AS h, {_MATCH.format('text')} AS norm FROM c0 WHERE text <> ''),
+t AS (SELECT id, stage, content_hash AS h, source_name, {_MATCH.format('source_text')} AS norm, CASE WHEN id % 50 <> 0 THEN created_at END AS created_at FROM tm),
+p AS (SELECT *, CASE WHEN h IN (SELECT h FROM c WHERE form = 'raw') THEN 'raw' WHEN h IN (SELECT h FROM c WHERE form = 'premerge') THEN 'premerge' WHEN norm IN (SELECT norm FROM c WHERE norm <> '') THEN 'normalized' END AS match,
+  NOT EXISTS (FROM c WHERE c.h = t.h AND name = source_name) AND NOT EXISTS (FROM c WHERE c.norm = t.norm AND c.norm <> '' AND name = source_name) AS suspicious FROM t),
+plan AS (SELECT id, stage, match, CASE WHEN id % 20 = 0 THEN 'would_keep_excluded' WHEN created_at IS NULL THEN 'would_keep_unknown_time' ELSE 'would_delete' END AS action, suspicious FROM p
+  WHERE match IS NOT NULL AND (created_at IS NULL OR created_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-02-20'))
 """
 
 
 def _purge(spark, d):
-    text = F.when(F.col("pos") % 3 == 0, F.col("text")).when(F.col("pos") % 3 == 1, F.concat(F.lit("  "), "text")).otherwise(F.concat(F.upper("text"), F.lit("!")))
-    cand = A.cues(spark, d).filter("pos % 50 = 7").select(text.alias("text"), F.concat(F.lit("src"), (F.col("file_id") % 8).cast("string")).alias("name"))
-    tm = A.memory(spark, d)
-    return memory.purge_plan(tm, cand, exclude=tm.filter("id % 20 = 0"))
+    from pyspark.sql import Window
+
+    c = A.cues(spark, d).withColumns({"name": F.concat(F.lit("src"), (F.col("file_id") % 8).cast("string")), "after": F.lead("text").over(Window.partitionBy("file_id").orderBy("pos"))})
+    asked = c.withColumn("text", F.when(F.col("lang") == "en", F.col("text")).when(F.col("lang") == "de", F.concat(F.lit("  "), "text")).otherwise(F.concat(F.lit("«"), "text", F.lit("»!"))))
+    joined = c.filter("length(text) < 12 and after is not null").withColumn("text", F.concat("text", "after"))
+    tm = A.memory(spark, d).withColumn("created_at", F.when(F.col("id") % 50 != 0, F.col("created_at")))
+    at = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp")
+    return tm, memory.purge_plan(tm, memory.purge_candidates(asked, joined), at("2024-01-10"), at("2024-02-20"), exclude=tm.filter("id % 20 = 0"))
 
 
 @query("CUES", "MEMORY", sql=_PURGE + "SELECT * FROM plan")
 def tm_purge_plan(spark, d):
-    return _purge(spark, d)
+    return _purge(spark, d)[1]
 
 
-@query("CUES", "MEMORY", sql=_PURGE + "SELECT match, count(*) AS rows, count(*) FILTER (suspicious) AS suspicious, sha256(string_agg(id::VARCHAR || chr(10), '' ORDER BY id)) AS sha256 FROM plan GROUP BY match")
+@query("CUES", "MEMORY", sql=_PURGE + """, n AS (SELECT * FROM plan WHERE action = 'would_delete'),
+d1 AS (SELECT match, id >> 16 AS k, sha256(string_agg(id::VARCHAR || chr(10), '' ORDER BY id)) AS d FROM n GROUP BY ALL), d2 AS (SELECT match, k >> 16 AS k2, sha256(string_agg(d, '' ORDER BY k)) AS d FROM d1 GROUP BY ALL),
+d3 AS (SELECT match, k2 >> 16 AS k3, sha256(string_agg(d, '' ORDER BY k2)) AS d FROM d2 GROUP BY ALL), d4 AS (SELECT match, sha256(string_agg(d, '' ORDER BY k3)) AS d FROM d3 GROUP BY ALL)
+SELECT match, count(*) AS rows, count(*) FILTER (suspicious) AS suspicious, min(d) AS sha256 FROM n JOIN d4 USING (match) GROUP BY match""")
 def tm_purge_digest(spark, d):
-    return memory.purge_digest(_purge(spark, d))
+    return memory.purge_digest(_purge(spark, d)[1])
 
 
-@query("CUES", "MEMORY", sql=r"""
-WITH qs AS (SELECT item_id AS query_id, split_part(text, '.', 1) || '.' AS text FROM benchmark),
-c AS (SELECT query_id, text, id, source_text, hit_count FROM qs JOIN tm ON char_count >= floor(length(text) * 0.5) AND char_count <= floor(length(text) * 1.5)
+@query("CUES", "MEMORY", sql=_PURGE + "SELECT id, stage FROM tm WHERE id NOT IN (SELECT id FROM plan WHERE action = 'would_delete')")
+def tm_purged(spark, d):
+    from cuelake.catalog_files import folder
+
+    return memory.purged(*_purge(spark, d), folder(spark, "backup")).select("id", "stage")
+
+
+@query("CUES", "MEMORY", "SENTENCES", sql=f"""
+WITH qs AS (SELECT query_id, lower({_FOLD.format('text')}) AS text FROM sentences),
+c AS (SELECT query_id, text, id, lower(source_text) AS source_text, hit_count FROM qs JOIN tm ON stage = 1 AND char_count BETWEEN greatest(1, floor(length(text) * 0.5)) AND greatest(1, floor(length(text) * 1.5)) WHERE text <> ''
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hit_count DESC, id) <= 200),
 j AS (SELECT *, list_distinct(string_split(text, '')) AS a, list_distinct(string_split(source_text, '')) AS b FROM c),
 s AS (SELECT query_id, id, hit_count, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS similarity FROM j)
 SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, hit_count DESC, id) AS rank FROM s WHERE similarity >= 0.6
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, hit_count DESC, id) <= 10""")
 def tm_fuzzy(spark, d):
-    q = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.substring_index("text", ".", 1), F.lit(".")).alias("text"))
-    return memory.lookup_fuzzy(q, A.memory(spark, d))
+    return memory.lookup_fuzzy(A.sentences(spark, d), A.memory(spark, d), 0.6)
 
 
-@query("CUES", "MEMORY", sql=r"""
-WITH t0 AS (SELECT id, regexp_extract_all(lower(source_text || ' ' || target_text), '[\p{L}\p{N}]+') AS tk FROM tm),
+@query("CUES", "MEMORY", "SENTENCES", sql=r"""
+WITH t0 AS (SELECT id, regexp_extract_all(replace(lower(source_text || ' ' || target_text), 'ß', 'ss'), '[\p{L}\p{N}]+') AS tk FROM tm),
 p AS (SELECT id, len(tk) AS l, term, count(*) AS tf FROM t0, unnest(tk) AS u(term) GROUP BY ALL),
 st AS (SELECT (SELECT count(*) FROM tm) AS docs, (SELECT avg(l) FROM (SELECT DISTINCT id, l FROM p)) AS avg_len),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:2]) AS term FROM benchmark),
+q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+')) AS term FROM sentences),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 h AS (SELECT query_id, id, count(*) AS n, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len))) AS score FROM q JOIN p USING (term) JOIN df USING (term), st GROUP BY query_id, id),
 f AS (SELECT h.* FROM h WHERE n = (SELECT count(*) FROM q WHERE q.query_id = h.query_id))
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 20""")
 def tm_search(spark, d):
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0), 1, 2)
-    q = A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
-    return memory.search(q, A.memory(spark, d))
+    return memory.search(A.sentences(spark, d), memory.postings(A.memory(spark, d)))
+
+
+@query("CUES", "MEMORY", "SENTENCES", sql=f"""
+WITH q AS (SELECT query_id, substr(sha256({_FOLD.format('text')}), 1, 32) AS h, {_MATCH.format('text')} AS norm, {_FOLD.format('text')} AS t FROM (SELECT query_id, text FROM sentences UNION ALL SELECT query_id || 'm', '(' || text || ')' FROM sentences UNION ALL SELECT query_id || 'p', substr(text, 3, 12) FROM sentences)),
+m AS (SELECT *, {_MATCH.format('source_text')} AS norm FROM tm),
+r AS (SELECT query_id, (SELECT min(id) FROM m WHERE m.content_hash = q.h) AS e, (SELECT min(id) FROM m WHERE m.norm = q.norm AND q.norm <> '') AS n, (SELECT min(id) FROM m WHERE contains(m.source_text, q.t) AND q.t <> '') AS l FROM q)
+SELECT query_id, CASE WHEN e IS NOT NULL THEN 'exact' WHEN n IS NOT NULL THEN 'normalised' ELSE 'like' END AS match, coalesce(e, n, l) AS id FROM r WHERE coalesce(e, n, l) IS NOT NULL""")
+def tm_probe(spark, d):
+    q = A.sentences(spark, d).select("query_id", "text")
+    more = q.select(F.concat("query_id", F.lit("m")).alias("query_id"), F.concat(F.lit("("), "text", F.lit(")")).alias("text")).union(q.select(F.concat("query_id", F.lit("p")), F.substring("text", 3, 12)))
+    return memory.probe(q.union(more), A.memory(spark, d))
 
 
 # -- glossary ---------------------------------------------------------------------------------------
@@ -274,26 +339,49 @@ def glossary_reset(spark, d):
     return glossary.reset(g, g.filter("ord % 4 = 1").select(F.upper("src").alias("src"))).select("src", "kept")
 
 
-@query(sql="""WITH e AS (SELECT ts::DATE AS day, event_type, count(*) AS c, count(*) FILTER (value > 150) AS x FROM events GROUP BY ALL)
-SELECT count(DISTINCT day) AS runs, sum(c)::BIGINT AS candidates, sum(x)::BIGINT AS conflicts, 0 AS false_positives, 0 AS protected, 0.0::DOUBLE AS rate, 'ready' AS advice FROM e""")
-def watch_eval(spark, d):
-    e = A.table(spark, d, "events").groupBy(F.to_date("ts").alias("date"), "event_type").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("value") > 150).alias("conflicts"))
+def watch_log(spark, d):
+    """The given events as watch records: a record a day, candidates and conflicts by event type, some marked as false."""
+    e = A.table(spark, d, "events").groupBy(F.to_date("ts").alias("date"), "event_type").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("value") > 150).alias("conflicts"), F.count_if(F.col("value") > 195).alias("wrong"))
     per = F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("candidates", "conflicts"))))
-    log = e.groupBy("date").agg(per.alias("per_term")).withColumn("manual_fp", F.from_json(F.lit("{}"), "map<string,struct<count:bigint,category:string>>"))
-    return glossary.evaluate_watch(log)
+    wrong = F.map_from_entries(F.collect_list(F.when((F.col("event_type") == "error") & (F.col("wrong") > 0), F.struct("event_type", F.struct(F.col("wrong").alias("count"), F.when(F.col("candidates") % 2 == 0, "name").otherwise("word").alias("category"))))))
+    return e.groupBy("date").agg(per.alias("per_term"), wrong.alias("manual_fp"))
+
+
+_WATCH = """WITH e AS (SELECT ts::DATE AS day, event_type, count(*) AS c, count(*) FILTER (value > 150) AS x, count(*) FILTER (value > 195) AS w FROM events GROUP BY ALL)
+"""
+
+
+@query(sql=_WATCH + """, s AS (SELECT count(DISTINCT day) AS runs, sum(c)::BIGINT AS candidates, sum(x)::BIGINT AS conflicts, coalesce(sum(w) FILTER (event_type = 'error'), 0)::BIGINT AS false_positives, coalesce(sum(w) FILTER (event_type = 'error' AND c % 2 = 0), 0)::BIGINT AS protected FROM e),
+r AS (SELECT *, CASE WHEN conflicts > 0 THEN false_positives / conflicts ELSE 0 END AS rate FROM s)
+SELECT *, CASE WHEN runs >= 3 AND candidates < 100 THEN 'insufficient' WHEN (runs >= 3 OR candidates >= 300) AND rate < 0.02 AND protected = 0 THEN 'ready' ELSE 'not_ready' END AS advice FROM r""")
+def watch_eval(spark, d):
+    return glossary.evaluate_watch(watch_log(spark, d))
 
 
 @query("CUES", sql=r"""WITH b AS (SELECT item_id, lower(text) AS t FROM benchmark), f AS (SELECT doc_id AS file_id, lower(text) AS t FROM documents)
 SELECT file_id, item_id FROM f, b WHERE contains(f.t, b.t) AND regexp_matches(f.t, '(?:^|[^A-Za-z0-9_\x{c0}-\x{24f}])\Q' || b.t || '\E(?:$|[^A-Za-z0-9_\x{c0}-\x{24f}])')""")
 def term_hits_phrases(spark, d):
-    terms = A.table(spark, d, "benchmark").select(F.col("text").alias("src"), "item_id")
-    # Whole items as terms: the rarest of a phrase's words brings the pair together, the phrase itself is verified.
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"{T.LATIN}+"), 0))
-    longest = F.array_max(F.transform(words("src"), lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
-    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
-    keyed = terms.withColumn("w", longest)
-    near = docs.select("file_id", "text", F.explode(words("text")).alias("w")).join(keyed, "w")
-    return near.filter(T.contains_term(F.col("src"), F.col("text"))).select("file_id", "item_id")
+    """Whole items as terms: the rarest of a phrase's words brings ids together, texts are fetched and verified for these."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"{T.LATIN}+"), 0))
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), T.fold(F.col("text")).alias("s"))
+    terms = A.table(spark, d, "benchmark").select("item_id", T.fold(F.col("text")).alias("t"))
+    asked = terms.select("item_id", F.explode(words(F.col("t"))).alias("w"))
+    held = docs.select("file_id", F.explode(words(F.col("s"))).alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
+    rarest = asked.join(held.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w").groupBy("item_id").agg(F.min(F.struct("df", "w"))["w"].alias("w"))
+    near = held.join(rarest, "w").select("file_id", "item_id")
+    return near.join(terms, "item_id").join(docs, "file_id").filter(T.contains_folded(F.col("t"), F.col("s"))).select("file_id", "item_id")
+
+
+@query("CUES", "GLOSSARY", sql=r"""WITH w AS (SELECT DISTINCT file_id, pos // 20 AS batch, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_\x{c0}-\x{24f}]+')) AS t FROM cues),
+h AS (SELECT file_id, batch, src, row_number() OVER (PARTITION BY file_id, batch ORDER BY ord) AS place, count(*) OVER (PARTITION BY file_id, batch) AS hits FROM w JOIN glossary ON t = src) SELECT * FROM h WHERE place <= 5""")
+def term_injection(spark, d):
+    rows = A.cues(spark, d).withColumns({"scene": F.lit(0), "batch": F.floor(F.col("pos") / 20)})
+    return glossary.injected_terms(rows, A.glossary(spark, d), 5).select("file_id", "batch", "src", "place", "hits")
+
+
+@query("CUES", "FINAL", "GLOSSARY", sql=_HITS + "SELECT src, count(*) AS n FROM hit WHERE verdict = 'neither' GROUP BY src ORDER BY n DESC, src LIMIT 10")
+def conflict_distribution(spark, d):
+    return glossary.conflict_distribution(_conflicts(spark, d).filter("verdict = 'neither'"))
 
 
-from cuelake import catalog_files, catalog_lanes  # noqa: E402, F401
+from cuelake import catalog_files, catalog_lanes, catalog_review  # noqa: E402, F401

@@ -15,8 +15,12 @@ from cuelake.sources import sidecars
 from cuelake.streaming import events as R
 
 
-def _folder(spark, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cuelake-")
+def folder(spark, name: str) -> str:
+    """A new folder in the one that all executors share; only a local session may do without spark.checkpoint.dir."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="cuelake-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -33,7 +37,7 @@ def srt_tolerant(spark, d):
     return S.parse_srt(text, strict=False)
 
 
-@query("CUES", sql="""WITH o AS (SELECT *, lag(end_ms) OVER (PARTITION BY file_id ORDER BY start_ms, end_ms, pos) AS e FROM cues WHERE pos < 40)
+@query("CUES", sql="""WITH o AS (SELECT *, lag(end_ms) OVER (PARTITION BY file_id ORDER BY start_ms, end_ms, pos) AS e FROM cues)
 SELECT file_id, greatest(start_ms, coalesce(e, start_ms)) AS start_ms, end_ms, text, (pos % 2)::INT AS tags FROM o""")
 def vtt_to_cues(spark, d):
     from cuelake.functions.timecode import timing
@@ -46,7 +50,7 @@ def vtt_to_cues(spark, d):
     return good.select("file_id", "start_ms", "end_ms", "text", "tags")
 
 
-@query("CUES", sql="""WITH o AS (SELECT *, start_ms // 10 * 10 AS s, end_ms // 10 * 10 AS f FROM cues WHERE pos < 40), e AS (SELECT *, lag(f) OVER (PARTITION BY file_id ORDER BY s, f, pos) AS p FROM o)
+@query("CUES", sql="""WITH o AS (SELECT *, start_ms // 10 * 10 AS s, end_ms // 10 * 10 AS f FROM cues), e AS (SELECT *, lag(f) OVER (PARTITION BY file_id ORDER BY s, f, pos) AS p FROM o)
 SELECT file_id, greatest(s, coalesce(p, s)) AS start_ms, f AS end_ms, text FROM e""")
 def ass_to_cues(spark, d):
     c = A.cues(spark, d)
@@ -58,10 +62,39 @@ def ass_to_cues(spark, d):
     return good.select("file_id", "start_ms", "end_ms", "text")
 
 
-@query(sql="SELECT doc_id AS file_id, CASE WHEN doc_id % 5 = 4 THEN 'gb18030' ELSE 'utf-8' END AS encoding, length(text) AS chars FROM documents WHERE doc_id % 5 <> 4 UNION ALL SELECT doc_id, 'utf-8', length(text) FROM documents WHERE doc_id % 5 = 4".split(" WHERE doc_id % 5 <> 4")[0].replace("CASE WHEN doc_id % 5 = 4 THEN 'gb18030' ELSE 'utf-8' END", "'utf-8'"))
+@query(sql="SELECT doc_id AS file_id, CASE lang WHEN 'en' THEN 'utf-8' WHEN 'de' THEN 'utf-8-sig' ELSE 'utf-16' END AS encoding, length(text) AS chars, md5(text) AS digest FROM documents")
 def decode_ladder(spark, d):
-    files = A.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("content"))
-    return S.decode(files).select("file_id", "encoding", F.length("text").alias("chars"))
+    """Documents as bytes, by language with no mark, a UTF-8 mark or a UTF-16 mark."""
+    files = A.table(spark, d, "documents")
+    content = F.when(F.col("lang") == "en", F.encode("text", "UTF-8")).when(F.col("lang") == "de", F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+    out = S.decode(files.select(F.col("doc_id").alias("file_id"), content.alias("content")))
+    return out.select("file_id", "encoding", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query()
+def decode_legacy(spark, d):
+    """Documents as Latin-1 bytes: what isn't ASCII meets the legacy rungs of the ladder, or none. Held against brute force."""
+    files = A.table(spark, d, "documents")
+    out = S.decode(files.select(F.col("doc_id").alias("file_id"), F.encode(F.regexp_replace("text", r"[^\x00-\x{ff}]", "?"), "ISO-8859-1").alias("content")))
+    return out.select("file_id", "encoding", "error", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("CUES", sql="""WITH n AS (SELECT *, CASE file_id % 4 WHEN 0 THEN 'vtt' WHEN 1 THEN 'srt' WHEN 2 THEN 'doc' ELSE 'vtt' END AS f FROM cues), o AS (SELECT *, lag(end_ms) OVER (PARTITION BY file_id ORDER BY start_ms, end_ms, pos) AS e FROM n)
+SELECT file_id, CASE WHEN f = 'vtt' THEN greatest(start_ms, coalesce(e, start_ms)) ELSE start_ms END AS start_ms, end_ms, text, NULL AS warning FROM o WHERE f <> 'doc'
+UNION ALL SELECT DISTINCT file_id, NULL, NULL, NULL, 'unknown format' FROM n WHERE f = 'doc'""")
+def mixed_files(spark, d):
+    """Files of several formats as bytes, to cues and warnings."""
+    from cuelake.functions.timecode import timing
+
+    c = A.cues(spark, d)
+    stamp = timing(F.col("start_ms"), F.col("end_ms"))
+    block = F.concat_ws("\n", F.regexp_replace(stamp, ",", "."), "text", F.lit(""))
+    vtt = c.groupBy("file_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x["b"]), "\n")).alias("vtt"))
+    kind = F.element_at(F.array(F.lit("vtt"), F.lit("srt"), F.lit("doc"), F.lit("vtt")), (F.col("file_id") % 4 + 1).cast("int"))
+    files = vtt.join(S.format_srt(c), "file_id").select("file_id", F.concat(F.lit("a."), kind).alias("name"), F.encode(F.when(kind == "srt", F.col("content")).otherwise(F.col("vtt")), "UTF-8").alias("content"))
+    cues, warnings = S.to_cues(files)
+    none = lambda kind: F.lit(None).cast(kind)
+    return cues.select("file_id", "start_ms", "end_ms", "text", none("string").alias("warning")).unionByName(warnings.select("file_id", none("long").alias("start_ms"), none("long").alias("end_ms"), none("string").alias("text"), "warning"))
 
 
 @query("RUN_EVENTS", sql="SELECT DISTINCT task_id::BIGINT AS file_id, seq // 50 AS scene FROM run_events WHERE k % 10 <> 9")
@@ -76,7 +109,7 @@ def scene_telemetry(spark, d):
 def glossary_csv(spark, d):
     g = A.glossary(spark, d)
     lines = g.select(F.concat(F.lit(" "), "src").alias("src"), "dst", F.when(F.col("ord") % 2 == 0, F.concat_ws("|", F.reverse("src"), F.lit(""), "src")).alias("alias"), "ord")
-    path = _folder(spark, "glossary")
+    path = folder(spark, "glossary")
     lines.unionByName(lines).select("src", "dst", "alias").write.csv(path)
     return sidecars.read_glossary(spark, path).select("src", "dst", F.array_join("aliases", "+").alias("aliases"))
 
@@ -88,12 +121,28 @@ def learned_merge(spark, d):
     return sidecars.learned_rows(g.filter("ord % 2 = 0"), new).select("src", "dst", "part")
 
 
-@query("CUES", "MEMORY", sql="SELECT content_hash, source_text, target_text, stage FROM tm WHERE stage = 2")
+@query("GLOSSARY", sql="SELECT src, dst, CASE WHEN ord % 2 = 0 THEN reverse(src) ELSE '' END AS aliases FROM glossary")
+def glossary_written(spark, d):
+    path = folder(spark, "glossary")
+    sidecars.write_glossary(A.glossary(spark, d), path)
+    return sidecars.read_glossary(spark, path).select("src", "dst", F.array_join("aliases", "+").alias("aliases"))
+
+
+@query("CUES", "MEMORY", sql="SELECT content_hash, source_text, target_text, stage, source_lang, target_lang FROM tm WHERE stage = 2")
 def tm_csv(spark, d):
-    tm = A.memory(spark, d).withColumns({"source_lang": F.lit("ja"), "target_lang": F.lit("zh")})
-    path = _folder(spark, "memory")
-    sidecars.export_memory(tm, path, 2)
-    return sidecars.import_memory(spark, path, "ja", "zh").select("content_hash", "source_text", "target_text", "stage")
+    path = folder(spark, "memory")
+    sidecars.export_memory(A.memory(spark, d), path, 2)
+    return sidecars.import_memory(spark, path, "en", "fr").select("content_hash", "source_text", "target_text", "stage", "source_lang", "target_lang")
+
+
+@query("CUES", "MEMORY", sql="SELECT source_text, target_text, CASE WHEN id % 2 = 0 THEN stage ELSE 0 END AS stage, 'en' AS source_lang, 'fr' AS target_lang FROM tm")
+def tm_csv_layouts(spark, d):
+    """Older layouts of an export: two columns, or three with the stage, under a head of their own."""
+    tm, path = A.memory(spark, d), folder(spark, "memory")
+    tm.filter("id % 2 = 1").select("source_text", "target_text").toDF("source", "target").write.option("header", True).csv(f"{path}/two")
+    tm.filter("id % 2 = 0").select("source_text", "target_text", "stage").toDF("原文", "译文", "stage").write.option("header", True).csv(f"{path}/three")
+    rows = [sidecars.import_memory(spark, f"{path}/{k}", "en", "fr") for k in ("two", "three")]
+    return rows[0].unionByName(rows[1]).select("source_text", "target_text", "stage", "source_lang", "target_lang")
 
 
 @query("RUN_EVENTS", sql="""WITH m AS (SELECT task_id, 'status' || (count(*) % 3) AS status, count(*) % 97 AS pct FROM run_events GROUP BY task_id)
@@ -105,16 +154,30 @@ def run_meta(spark, d):
     return sidecars.run_meta(m.select(F.col("task_id").cast("long").alias("file_id"), value.alias("value")))
 
 
-@query("RUN_EVENTS", sql="""WITH c AS (SELECT task_id::BIGINT AS file_id, seq AS line_no, (seq * 977) % 400000 AS t, seq % 40 = 0 AS head FROM run_events),
-r AS (SELECT *, (sum(head::INT) OVER (PARTITION BY file_id ORDER BY line_no))::BIGINT AS run FROM c)
-SELECT file_id, run, count(*) AS batches FROM r WHERE NOT head GROUP BY ALL""")
-def log_batches(spark, d):
+_LOG = """WITH c AS (SELECT task_id::BIGINT AS file_id, seq AS line_no, (seq * 977) % 400000 AS t0, seq % 40 = 0 AS head FROM run_events),
+c1 AS (SELECT *, (t0 // 3600) % 24 * 3600 + t0 % 3600 AS clock FROM c), c2 AS (SELECT *, coalesce(clock < lag(clock) OVER (PARTITION BY file_id ORDER BY line_no) - 43200, false) AS midnight FROM c1),
+r AS (SELECT *, (sum(head::INT) OVER w)::BIGINT AS run, sum(midnight::INT) OVER w * 86400 + clock AS "at" FROM c2 WINDOW w AS (PARTITION BY file_id ORDER BY line_no)),
+b AS (SELECT *, "at" - lag("at") OVER (PARTITION BY file_id, run ORDER BY line_no) AS seconds FROM r WHERE NOT head)
+"""
+
+
+def _log(spark, d):
     e = A.run_events(spark, d)
     t = (F.col("seq") * 977) % 400_000
     clock = F.format_string("%02d:%02d:%02d", F.floor(t / 3600) % 24, F.floor(t / 60) % 60, t % 60)
     text = F.when(F.col("seq") % 40 == 0, F.concat(clock, F.lit(" run start"))).otherwise(F.concat(clock, F.lit(" batch "), F.col("seq").cast("string"), F.lit(" done")))
-    rows = sidecars.log_batches(e.select(F.col("task_id").cast("long").alias("file_id"), F.col("seq").alias("line_no"), text.alias("value")))
-    return rows.groupBy("file_id", "run").agg(F.count(F.lit(1)).alias("batches"))
+    return sidecars.log_batches(e.select(F.col("task_id").cast("long").alias("file_id"), F.col("seq").alias("line_no"), text.alias("value")))
+
+
+@query("RUN_EVENTS", sql=_LOG + 'SELECT file_id, run, line_no AS batch, "at", seconds FROM b')
+def log_batches(spark, d):
+    return _log(spark, d)
+
+
+@query("RUN_EVENTS", sql=_LOG + """SELECT file_id, count(DISTINCT run) AS runs, count(*) AS batches, min(seconds) AS least, list_sort(list(seconds) FILTER (seconds IS NOT NULL))[count(seconds) // 2 + 1] AS median, round(avg(seconds), 6) AS mean,
+  sum(seconds)::BIGINT AS total, max("at") - min("at") AS span_s, CASE WHEN max("at") > min("at") THEN round(3600 * count(*) / (max("at") - min("at")), 6) END AS per_hour FROM b GROUP BY file_id""")
+def log_summary(spark, d):
+    return sidecars.batch_summary(_log(spark, d))
 
 
 @query("RUN_EVENTS", sql="""SELECT task_id, phase, type, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n, array_to_string(list_sort(list(seq))[1:3], ',') AS samples FROM run_events GROUP BY ALL""")
@@ -122,9 +185,10 @@ def risk_rollup(spark, d):
     return quality.risk_rollup(A.run_events(spark, d)).withColumn("samples", F.array_join(F.col("samples").cast("array<string>"), ","))
 
 
-@query("CUES", "MEMORY", sql="SELECT count(*) AS rows FROM tm")
+@query("CUES", "MEMORY", sql="""WITH h AS (SELECT ('0x' || substr(md5(content_hash || chr(31) || target_text || chr(31) || stage), 1, 15))::BIGINT AS h FROM tm)
+SELECT count(*) AS rows, sum(h % 2147483648)::BIGINT AS sum, bit_xor(h) AS xor FROM h""")
 def tm_fingerprint(spark, d):
-    return memory.fingerprint(A.memory(spark, d), ["content_hash", "target_text", "stage"]).select("rows")
+    return memory.fingerprint(A.memory(spark, d), ["content_hash", "target_text", "stage"])
 
 
 # -- streams ---------------------------------------------------------------------------------------------
@@ -134,31 +198,69 @@ def _stream(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     raw = spark.readStream.schema(schema).parquet(d if d.endswith("/events.parquet") else f"{d}/events.parque[t]")
     kind = F.create_map(*(F.lit(x) for x in ("view", "phase_progress", "click", "heartbeat", "error", "error", "purchase", "phase_finished", "signup", "phase_started")))
-    return raw.select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind[F.col("event_type")].alias("type"), F.concat(F.lit("phase"), (F.col("event_id") % 3).cast("string")).alias("phase"), F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
+    return raw.select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind[F.col("event_type")].alias("type"), F.concat(F.lit("phase"), (F.col("event_id") % 3).cast("string")).alias("phase"), F.get_json_object("props", "$.k").cast("long").alias("k"), "value", *A.event_names())
 
 
 @query("RUN_EVENTS", sql="""WITH m AS (SELECT task_id, max(seq) AS seq, count(*) AS events, count(*) FILTER (type = 'error') AS errors FROM run_events GROUP BY task_id)
 SELECT m.*, e.type, e.phase, e.k FROM m JOIN run_events AS e ON e.task_id = m.task_id AND e.seq = m.seq""")
 def events_progress(spark, d):
-    return R.drained(R.progress(_stream(spark, d)), _folder(spark, "progress"), "complete")
+    return R.drained(R.progress(_stream(spark, d)), folder(spark, "progress"), "complete")
 
 
 @query("RUN_EVENTS", sql="""WITH g AS (SELECT task_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY task_id ORDER BY ts) >= INTERVAL 6 HOUR, true) AS b FROM run_events),
 s AS (SELECT *, sum(b::INT) OVER (PARTITION BY task_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT task_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS events FROM s GROUP BY task_id, k""")
 def events_stall_sessions(spark, d):
-    return R.drained(R.stalls(_stream(spark, d), "6 hours"), _folder(spark, "stalls"), "complete")
+    return R.drained(R.stalls(_stream(spark, d), "6 hours"), folder(spark, "stalls"), "complete")
 
 
 @query("RUN_EVENTS", sql="SELECT ts::DATE::TIMESTAMP AS window_start, type, count(*) AS n, round(sum(value), 4) AS value FROM run_events GROUP BY ALL")
 def events_daily(spark, d):
-    return R.drained(R.windowed_counts(_stream(spark, d)), _folder(spark, "daily"), "complete").withColumn("value", F.round("value", 4))
+    return R.drained(R.windowed_counts(_stream(spark, d)), folder(spark, "daily"), "complete").withColumn("value", F.round("value", 4))
 
 
-@query("RUN_EVENTS", sql="SELECT DISTINCT task_id, phase, type FROM run_events WHERE type = 'error'")
+@query("RUN_EVENTS", sql="SELECT DISTINCT task_id, type, phase, file, message FROM run_events WHERE type = 'error'")
 def events_dedup(spark, d):
-    rows = R.drained(R.distinct_risks(_stream(spark, d), "60 days"), _folder(spark, "risks"))
-    return rows.select("task_id", "phase", "type").distinct()
+    rows = R.drained(R.distinct_risks(_stream(spark, d), "60 days"), folder(spark, "risks"))
+    return rows.select("task_id", "type", "phase", "file", "message")
+
+
+@query("RUN_EVENTS", sql="SELECT task_id, file, CASE WHEN bool_or(type = 'phase_finished') THEN 'done' ELSE 'running' END AS state, max(seq) AS seq FROM run_events GROUP BY ALL")
+def events_files(spark, d):
+    return R.drained(R.file_states(_stream(spark, d), "phase_finished"), folder(spark, "files"), "complete")
+
+
+@query("RUN_EVENTS", sql="SELECT ts::DATE::TIMESTAMP AS window_start, type AS term, sum(k)::BIGINT AS candidates, count(*) FILTER (value > 150) AS conflicts FROM run_events GROUP BY ALL")
+def watch_daily(spark, d):
+    one = F.create_map("type", F.struct(F.col("k").alias("candidates"), (F.col("value") > 150).cast("long").alias("conflicts")))
+    return R.drained(R.watch_totals(_stream(spark, d).select("ts", one.alias("per_term"))), folder(spark, "watch"), "complete")
+
+
+@query("RUN_EVENTS", sql="SELECT phase, k AS done, count(*) AS n FROM run_events GROUP BY ALL")
+def legacy_lines(spark, d):
+    """Old progress lines 'Stage X: n/m' become events."""
+    lines = A.run_events(spark, d).select(F.concat(F.lit("Stage "), "phase", F.lit(": "), F.col("k").cast("string"), F.lit("/100")).alias("value"))
+    events, _ = R.parse_events(lines)
+    return events.filter("payload['total'] = '100'").groupBy("phase", F.col("payload")["done"].cast("long").alias("done")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("CUES", sql="SELECT file_id, pos, idx, start_ms, end_ms, text FROM cues")
+def file_intake(spark, d):
+    """Cue files written one per file_id, picked up as a stream and parsed."""
+    base = folder(spark, "intake")
+    S.write_srt(A.cues(spark, d), f"{base}/in")
+    stream = R.arriving_files(spark, f"{base}/in", "*.txt").select(F.regexp_extract("path", r"file_id=(\d+)", 1).cast("long").alias("file_id"), "content")
+    return S.parse_srt(R.drained(stream, f"{base}/out"))
+
+
+@query("PAIRS", sql="SELECT source_text, count(*) AS n FROM pairs GROUP BY ALL")
+def learn_stream(spark, d):
+    """Pairs that arrive as a stream go through a merge per micro-batch."""
+    base = folder(spark, "learn")
+    A.pairs(spark, d).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+    R.learn_stream(stream, lambda batch, k: batch.groupBy("source_text").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{base}/out/batch={k}"), f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("source_text").agg(F.sum("n").alias("n"))
 
 
 @query("RUN_EVENTS", sql="SELECT task_id, seq, type FROM run_events WHERE k % 10 <> 9")

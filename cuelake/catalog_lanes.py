@@ -24,46 +24,64 @@ def best_overlap(spark, d):
     return passes.best_overlap(c, A.second_pass(c)).select("file_id", "pos", "r_pos", "overlap_ms")
 
 
-_NORM = r"regexp_replace({}, '[\s\p{{Z}}\x{{1c}}-\x{{1f}}\x{{85}}、。，．,.!！?？…・~〜～\-—「」『』（）()\[\]]+', '', 'g')"
-_DISAGREE = _OVERLAP + ", n AS (SELECT *, " + _NORM.format("text") + " AS na, " + _NORM.format("r_text") + """ AS nb FROM best),
-s AS (SELECT *, round_even(overlap_ms / (greatest(end_ms, r_end_ms) - least(start_ms, r_start_ms)), 4) AS iou, round_even((r_start_ms - start_ms) / 1000, 3) AS offset_s,
-  round_even(CASE WHEN greatest(length(na), length(nb)) = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein(na, nb) / greatest(length(na), length(nb)) END, 4) AS similarity FROM n),
-g AS (SELECT *, CASE WHEN least(length(na), length(nb)) <= 2 AND greatest(length(na), length(nb)) >= 8 AND similarity < 0.3 THEN 'artifact' WHEN similarity < 0.3 THEN 'must_see' WHEN similarity < 0.5 THEN 'optional' ELSE 'none' END AS "group" FROM s)
+_NORM = r"""regexp_replace({}, '[\s\p{{Z}}\x{{1c}}-\x{{1f}}\x{{85}}，。、！？…!?~〜·「」『』,.!?：:；;（）()【】《》〈〉\[\]"''“”‘’—－_／/]+', '', 'g')"""
+_DISAGREE = """
+WITH o1 AS (SELECT m.file_id, m.pos, b.pos AS pos1, b.start_ms AS s1, b.end_ms AS e1, b.text AS t1 FROM merged AS m JOIN cues AS b ON m.file_id = b.file_id AND m.start_ms < b.end_ms AND b.start_ms < m.end_ms
+  QUALIFY row_number() OVER (PARTITION BY m.file_id, m.pos ORDER BY least(m.end_ms, b.end_ms) - greatest(m.start_ms, b.start_ms) DESC, b.pos) = 1),
+o2 AS (SELECT m.file_id, m.pos, b.pos AS pos2, b.start_ms AS s2, b.end_ms AS e2, b.text AS t2 FROM merged AS m JOIN pass2 AS b ON m.file_id = b.file_id AND m.start_ms < b.end_ms AND b.start_ms < m.end_ms
+  QUALIFY row_number() OVER (PARTITION BY m.file_id, m.pos ORDER BY least(m.end_ms, b.end_ms) - greatest(m.start_ms, b.start_ms) DESC, b.pos) = 1),
+n AS (SELECT *, greatest(0, least(e1, e2) - greatest(s1, s2)) AS ov, """ + _NORM.format("t1") + " AS n1, " + _NORM.format("t2") + """ AS n2 FROM o1 JOIN o2 USING (file_id, pos)),
+g AS (SELECT *, round_even(ov / ((e1 - s1) + (e2 - s2) - ov), 4) AS iou, round_even(greatest(abs(s1 - s2), abs(e1 - e2)) / 1000, 3) AS offset_s, least(length(n1), length(n2)) AS short, greatest(length(n1), length(n2)) AS long FROM n)
 """
 
 
-def _disagreement(spark, d):
+def _lanes(spark, d):
     c = A.cues(spark, d)
-    ascii_only = F.lit(r"[^\x00-\x7f]")
-    a = c.withColumn("text", F.regexp_replace("text", ascii_only, F.lit("")))
-    b = A.second_pass(c).withColumn("text", F.regexp_replace("text", ascii_only, F.lit("")))
-    return passes.review_groups(passes.disagreement(a, b, native=True))
+    return A.merged(c), c, A.second_pass(c)
 
 
-_ASCII = _DISAGREE.replace("a.text, b.pos", r"regexp_replace(a.text, '[^\x00-\x7f]', '', 'g') AS text, b.pos").replace("b.text AS r_text", r"regexp_replace(b.text, '[^\x00-\x7f]', '', 'g') AS r_text")
+@query("CUES", "MERGED", "PASS2", sql=_DISAGREE + "SELECT file_id, pos, pos1, pos2, iou, offset_s, short, long FROM g")
+def pass_disagreement(spark, d):
+    """The rows of both passes beside each merged row; similarity is in the next query, SQL has no such measure."""
+    return passes.disagreement(*_lanes(spark, d)).select("file_id", "pos", "pos1", "pos2", "iou", "offset_s", "short", "long")
 
 
-@query("CUES", "PASS2", sql=_ASCII + 'SELECT file_id, pos, r_pos, iou, offset_s, similarity, "group" FROM g')
-def pass_disagreement(spark, d):
-    return _disagreement(spark, d).select("file_id", "pos", "r_pos", "iou", "offset_s", "similarity", "group")
+@query()
+def pass_disagreement_blocks(spark, d):
+    """With similarity by matching blocks, in Arrow batches; held against brute force in the tests."""
+    return passes.review_groups(passes.disagreement(*_lanes(spark, d))).select("file_id", "pos", "pos1", "pos2", "similarity", "artifact", "group")
+
+
+_BY_LENGTH = _DISAGREE + """, s AS (SELECT *, CASE WHEN short = 0 THEN 0::DOUBLE ELSE short / long END AS similarity FROM g),
+a AS (SELECT *, short <= 3 AND long >= 4 AND similarity < 0.3 AS artifact FROM s),
+r AS (SELECT *, CASE WHEN artifact THEN 'artifact' WHEN similarity < 0.3 THEN 'must_see' WHEN similarity < 0.5 THEN 'optional' ELSE 'none' END AS "group" FROM a)
+"""
 
 
-@query("CUES", "PASS2", sql=_ASCII + """SELECT least(floor(similarity * 10), 9)::INT AS bucket, count(*) AS rows, count(*) FILTER ("group" = 'artifact') AS artifacts FROM g GROUP BY 1""")
+def by_length(spark, d):
+    """The comparison with the ratio of lengths as similarity, which SQL has too."""
+    rows = passes.disagreement(*_lanes(spark, d)).withColumn("similarity", F.when(F.col("short") == 0, 0.0).otherwise(F.col("short") / F.col("long")))
+    artifact = F.col("interjection") | ((F.col("short") <= passes.SHORT_MOST) & (F.col("long") >= passes.LONG_LEAST) & (F.col("similarity") < passes.STRICT))
+    return passes.review_groups(rows.withColumn("artifact", artifact))
+
+
+@query("CUES", "MERGED", "PASS2", sql=_BY_LENGTH + """SELECT CASE WHEN similarity < 0.3 THEN 'strict' WHEN similarity < 0.5 THEN 'mid' ELSE 'high' END AS bucket, count(*) AS rows, count(*) FILTER (artifact) AS artifacts FROM r GROUP BY 1""")
 def similarity_buckets(spark, d):
-    return passes.similarity_buckets(_disagreement(spark, d))
+    return passes.similarity_buckets(by_length(spark, d))
 
 
-@query("CUES", "PASS2", sql=_ASCII + """SELECT sim, long, count(*) AS rows, count(*) FILTER (similarity < sim AND greatest(length(text), length(r_text)) >= long) AS artifacts
-FROM g, (SELECT unnest([0.2::DOUBLE, 0.3, 0.5]) AS sim), (SELECT unnest([8, 20]) AS long) GROUP BY ALL""")
-def threshold_grid(spark, d):
-    return passes.threshold_grid(_disagreement(spark, d), [0.2, 0.3, 0.5], [8, 20])
+@query("CUES", "MERGED", "PASS2", sql=_BY_LENGTH + """SELECT file_id, pos, iou, offset_s, row_number() OVER (PARTITION BY file_id ORDER BY iou, offset_s DESC, pos) AS rank FROM r WHERE artifact QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY iou, offset_s DESC, pos) <= 5""")
+def artifact_sample(spark, d):
+    return passes.artifact_sample(by_length(spark, d)).select("file_id", "pos", "iou", "offset_s", "rank")
 
 
-@query()
-def pass_disagreement_blocks(spark, d):
-    """By matching blocks, in Arrow batches; SQL has no such measure."""
-    c = A.cues(spark, d)
-    return passes.review_groups(passes.disagreement(c, A.second_pass(c))).select("file_id", "pos", "r_pos", "similarity", "group")
+@query("CUES", "MERGED", "PASS2", sql=_DISAGREE + """, l AS (SELECT *, CASE WHEN short < 10 THEN 'C' WHEN long > 60 THEN 'A' ELSE 'B' END AS label FROM g),
+c AS (SELECT *, iou < i AND offset_s > o AS gone FROM l, (SELECT unnest([0.2::DOUBLE, 0.25, 0.3, 0.35]) AS i), (SELECT unnest([1.5::DOUBLE, 2.0, 2.5, 3.0]) AS o))
+SELECT i AS iou_limit, o AS offset_limit, count(*) FILTER (label = 'A' AND NOT gone) / count(*) FILTER (label = 'A') AS a_alive, count(*) FILTER (label = 'B' AND NOT gone) / count(*) FILTER (label = 'B') AS b_alive,
+  count(*) FILTER (label <> 'C' AND NOT gone) / count(*) FILTER (label <> 'C') AS ab_alive, count(*) FILTER (label = 'C' AND gone) / count(*) FILTER (label = 'C') AS c_cleared FROM c GROUP BY ALL""")
+def threshold_grid(spark, d):
+    label = F.when(F.col("short") < 10, "C").when(F.col("long") > 60, "A").otherwise("B")
+    return passes.threshold_grid(passes.disagreement(*_lanes(spark, d)).withColumn("label", label))
 
 
 @query("CUES", "PASS2", sql="""WITH m AS (SELECT file_id, pos, (start_ms + end_ms) // 2 AS mid FROM cues), o AS (SELECT file_id, (start_ms + end_ms) // 2 AS mid FROM pass2)
@@ -90,18 +108,18 @@ def scene_cps(spark, d):
     return rows.groupBy("file_id", "scene").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("cps"), 6).alias("cps"))
 
 
-@query("CUES", "FINAL", sql="""WITH o AS (SELECT file_id, start_ms, min(pos) AS p FROM cues GROUP BY ALL)
-SELECT f.file_id, f.pos, c.pos AS orig_pos, c.idx AS orig_idx FROM final AS f LEFT JOIN cues AS c ON f.file_id = c.file_id AND f.start_ms = c.start_ms AND f.end_ms = c.end_ms AND f.pos = c.pos""")
+@query("CUES", "FINAL", sql="""SELECT f.file_id, f.pos, c.pos AS orig_pos, c.idx AS orig_idx FROM final AS f LEFT JOIN cues AS c ON f.file_id = c.file_id AND f.start_ms = c.start_ms
+QUALIFY row_number() OVER (PARTITION BY f.file_id, f.pos ORDER BY c.pos) = 1""")
 def align_by_start(spark, d):
     c = A.cues(spark, d)
     return passes.align_by_start(A.final(c), c).select("file_id", "pos", "orig_pos", "orig_idx")
 
 
-@query("CUES", sql="""WITH t AS (SELECT file_id, pos AS target FROM cues WHERE pos % 40 = 11)
+@query("CUES", sql="""WITH t AS (SELECT file_id, pos AS target FROM cues WHERE length(text) > 60)
 SELECT t.file_id, target, string_agg(c.text, '|' ORDER BY c.pos) AS context FROM t JOIN cues AS c ON c.file_id = t.file_id AND c.pos BETWEEN target - 5 AND target + 5 GROUP BY ALL""")
 def review_context(spark, d):
     c = A.cues(spark, d)
-    return passes.context_windows(c.filter("pos % 40 = 11"), c).withColumn("context", F.array_join("context", "|"))
+    return passes.context_windows(c.filter("length(text) > 60"), c).withColumn("context", F.array_join("context", "|"))
 
 
 # -- merging and cleaning: sequential folds, held against brute force in the tests ----------------------------
@@ -114,10 +132,11 @@ def fragment_merge(spark, d):
 
 @query()
 def premerge(spark, d):
-    return merge.premerge(A.cues(spark, d).withColumn("text", F.when(F.col("pos") % 4 == 1, F.concat(F.lit("その"), F.substring("text", 1, 5))).otherwise(F.col("text"))))
+    return merge.premerge(A.cues(spark, d))
 
 
-_TINY = clean.CleanRules(sensory=("tion", "heit"), short=("Un", "Of", "On"), exclamations=("Es", "In"), fillers=("And", "The"), addresses=("ing",), actions=("is", "est"), particles=("en",), degrees=("very",), hardened=("zz",), meta_strong=("License",), meta_weak=("MIT",), garbage=(r"^[.!?]+$",))
+#: Rules of the catalogue, for Latin script.
+_TINY = clean.CleanRules(sensory=("tion", "heit"), short=("Un", "Of", "On"), exclamations=("Es", "In"), fillers=("And", "The"), addresses=("ing",), actions=("is", "est"), particles=("en",), degrees=("very",), hardened=("zz",), hardened_patterns=("[0-9]{4}",), meta_strong=("License",), meta_weak=("MIT",), garbage=(r"^[.!?]+$",))
 
 
 @query()
@@ -127,6 +146,15 @@ def clean_rules(spark, d):
     return clean.judged(rows, _TINY).select("file_id", "pos", "segment", "rule", "deleted")
 
 
+@query()
+def clean_files(spark, d):
+    """The whole cleaner: merging, evidence from another lane, verdicts, statistics."""
+    c = A.cues(spark, d)
+    source = c.filter("pos % 3 > 0").withColumn("text", F.when(F.col("pos") % 2 == 0, "ああああああ").otherwise("abc"))
+    _, stats = clean.cleaned(c, source, _TINY)
+    return stats.withColumn("by_rule", F.array_join(F.transform(F.map_entries("by_rule"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+
+
 @query("CUES", sql="""WITH s AS (SELECT *, coalesce(start_ms - lag(end_ms) OVER (PARTITION BY file_id ORDER BY pos) > 1500, true) AS b FROM cues)
 SELECT file_id, pos, sum(b::INT) OVER (PARTITION BY file_id ORDER BY pos)::BIGINT AS segment FROM s""")
 def segments(spark, d):
@@ -142,7 +170,7 @@ def short_runs(spark, d):
     return clean.short_runs(A.cues(spark, d), _TINY).select("file_id", "pos", "text")
 
 
-_INVALID = r"""WITH v AS (SELECT *, NOT (trim(text) <> '' AND (NOT regexp_matches(text, '\p{L}') OR (regexp_matches(text, '[A-Za-z]') AND NOT regexp_matches(text, '[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]')))) AS invalid FROM final),
+_INVALID = r"""WITH v AS (SELECT *, trim(text) <> '' AND (regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]') OR regexp_matches(text, '[\x{3040}-\x{30ff}]') OR NOT regexp_matches(text, '[A-Za-z]')) AS invalid FROM final),
 f AS (SELECT *, avg(invalid::DOUBLE) OVER (PARTITION BY file_id) <= 0.5 AS ok FROM v)
 """
 
@@ -153,6 +181,16 @@ def language_filter(spark, d):
     return validate.language_filter(rows, ~validate.valid_target(F.col("text"), "en")).select("file_id", "pos", "invalid", "dropped")
 
 
+@query("CUES", "FINAL", sql=r"""WITH t AS (SELECT file_id, pos, trim(text) AS s FROM final)
+SELECT file_id, pos, CASE WHEN s = '' THEN true WHEN contains(s, ' ||| ') OR regexp_matches(s, '[\x00-\x08\x0b\x0c\x0e-\x1f]') THEN false WHEN regexp_full_match(s, '[A-Za-z\s\p{Z}\p{Nd}.,!?''"\-:;()/\\]+') THEN false
+  WHEN regexp_matches(s, '[A-Za-z]') AND regexp_full_match(s, '[A-Za-z\s\p{Z}\p{Nd}.,!?''"\-:;()/\\\x{3000}-\x{303f}\x{ff01}-\x{ff60}\x{ffe0}-\x{ffe6}]+') THEN false
+  WHEN NOT regexp_matches(s, '[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{31f0}-\x{31ff}\x{3000}-\x{303f}\x{ff00}-\x{ffef}]') THEN false
+  WHEN NOT regexp_matches(s, '[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]') AND regexp_matches(s, '[\x{3040}-\x{30ff}]') THEN false ELSE true END AS valid FROM t""")
+def language_signature(spark, d):
+    """The marked rows of the final lane hold Han; the others are Latin."""
+    return A.final(A.cues(spark, d)).select("file_id", "pos", validate.valid_target(F.col("text"), "zh").alias("valid"))
+
+
 @query("CUES", "FINAL", sql=_INVALID + "SELECT file_id, pos, CASE WHEN invalid AND ok THEN '[未翻译] ' || text ELSE text END AS text FROM f")
 def language_mark(spark, d):
     rows = A.final(A.cues(spark, d))
@@ -169,24 +207,36 @@ def mistranslation_scan(spark, d):
     return out.select("file_id", "idx", "fixed", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query("CUES", "FINAL", sql=r"""WITH a AS (SELECT f.file_id, f.pos, f.text AS t, c.text AS s FROM final AS f JOIN (SELECT DISTINCT ON (file_id, start_ms, end_ms) * FROM cues) AS c USING (file_id, start_ms, end_ms)),
-r AS (SELECT *, (length(t) * 0.5) / (length(s) * 0.5) AS q FROM a)
-SELECT coalesce(CASE WHEN pos % 29 = 4 THEN 'flagged' WHEN trim(t) = '' THEN 'empty' WHEN starts_with(t, '[未翻译]') THEN 'untranslated' WHEN s = t THEN 'copy' WHEN NOT regexp_matches(t, '[\p{L}\p{N}]') THEN 'no_letters'
-  WHEN length(s) * 0.5 >= 4 AND (q < 0.2 OR q > 6) THEN 'length' END, 'learnt') AS reason, count(*) AS rows FROM r GROUP BY 1""")
+@query("CUES", "FINAL", sql=r"""WITH a AS (SELECT f.file_id, f.pos, trim(CASE WHEN length(f.text) % 9 = 4 THEN f.text || ' Translation' WHEN length(f.text) % 9 = 5 THEN c.text || f.text WHEN length(f.text) % 9 = 6 THEN '' ELSE f.text END) AS t, trim(c.text) AS s
+  FROM final AS f JOIN (FROM cues QUALIFY row_number() OVER (PARTITION BY file_id, start_ms, end_ms ORDER BY pos) = 1) AS c USING (file_id, start_ms, end_ms))
+SELECT file_id, pos, CASE WHEN s = '' OR t = '' OR starts_with(t, '[未翻译]') OR s = t THEN 'no_pair' WHEN length(s) < 12 THEN 'flagged' WHEN contains(t, 'Translation') THEN 'leak' WHEN length(t) > length(s) AND starts_with(t, s[1:greatest(1, length(s) - 1)]) THEN 'src_prefix'
+  WHEN length(s) * 0.5 >= 4 AND (length(t) / length(s) < 0.25 OR length(t) / length(s) > 8) THEN 'len_ratio' ELSE 'learnt' END AS reason FROM a""")
 def learn_admission(spark, d):
     c = A.cues(spark, d)
-    f = A.final(c)
-    rows = validate.learn_admission(f, c, {"flagged": f.filter("pos % 29 = 4").select("file_id", "idx")})
-    return rows.groupBy(F.coalesce("reason", F.lit("learnt")).alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
+    src = c.select("file_id", "pos", F.col("text").alias("s"))
+    n = F.length("text") % 9
+    text = F.when(n == 4, F.concat("text", F.lit(" Translation"))).when(n == 5, F.concat("s", "text")).when(n == 6, "").otherwise(F.col("text"))
+    f = A.final(c).join(src, ["file_id", "pos"]).withColumn("text", text).drop("s")
+    rows = validate.learn_admission(f, c, {"flagged": c.filter("length(trim(text)) < 12").select("file_id", "idx")})
+    return rows.select("file_id", "pos", F.coalesce("reason", F.lit("learnt")).alias("reason"))
 
 
-@query("CUES", "FINAL", sql="SELECT file_id, pos, CASE WHEN pos % 19 = 2 THEN lower(text) || '!' ELSE text END AS text, 0 AS violations FROM final")
+@query("CUES", "FINAL", sql="SELECT file_id, pos, CASE WHEN length(text) > 80 THEN lower(text) || '!' ELSE text END AS text FROM final")
 def apply_retranslations(spark, d):
     f = A.final(A.cues(spark, d))
-    accepted = f.filter("pos % 19 = 2").select("file_id", "pos", F.concat(F.lower("text"), F.lit("!")).alias("new_text"))
-    rows, bad = validate.apply_retranslations(f, accepted)
-    wrong = bad.select("file_id", "pos", F.lit(1).alias("wrong"))
-    return rows.join(wrong, ["file_id", "pos"], "left").select("file_id", "pos", "text", F.coalesce("wrong", F.lit(0)).alias("violations"))
+    accepted = f.filter("length(text) > 80").select("file_id", "pos", F.concat(F.lower("text"), F.lit("!")).alias("new_text"))
+    return validate.apply_retranslations(f, accepted)[0].select("file_id", "pos", "text")
+
+
+@query("CUES", "FINAL", sql="""WITH n AS (SELECT file_id, pos, CASE WHEN length(text) % 31 = 1 THEN start_ms + 1 ELSE start_ms END AS start_ms, end_ms, CASE WHEN length(text) % 29 = 2 OR length(text) > 80 THEN lower(text) || '!' ELSE text END AS text FROM final WHERE length(text) % 37 <> 3)
+SELECT f.file_id, f.pos, CASE WHEN n.pos IS NULL THEN 'row_count' WHEN f.start_ms <> n.start_ms OR f.end_ms <> n.end_ms THEN 'timing' ELSE 'text' END AS violation FROM final AS f LEFT JOIN n USING (file_id, pos)
+WHERE n.pos IS NULL OR f.start_ms <> n.start_ms OR (f.text <> n.text AND length(f.text) <= 80)""")
+def retranslation_violations(spark, d):
+    """A tampered version against the original: rows lost, spans moved, texts touched that nobody selected."""
+    f = A.final(A.cues(spark, d))
+    n = F.length("text")
+    bad = f.filter(n % 37 != 3).withColumns({"start_ms": F.when(n % 31 == 1, F.col("start_ms") + 1).otherwise(F.col("start_ms")), "text": F.when((n % 29 == 2) | (n > 80), F.concat(F.lower("text"), F.lit("!"))).otherwise(F.col("text"))})
+    return validate.violations(f, bad, f.filter("length(text) > 80"))
 
 
 @query("CUES", "FINAL", sql="""WITH c AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS k FROM cues), s AS (SELECT file_id, start_ms, end_ms, bool_and(starts_with(text, '[未翻译]')) AS u FROM final GROUP BY ALL)
@@ -216,25 +266,40 @@ def placeholder_stats(spark, d):
     return quality.placeholder_stats(A.final(A.cues(spark, d)))
 
 
-@query("CUES", "FINAL", sql="""SELECT file_id, count(*) AS n, count(*) FILTER (pos % 17 = 3) AS missing, count(*) FILTER (pos % 17 <> 3 AND pos % 13 = 5) AS untranslated, count(*) FILTER (pos % 17 <> 3 AND pos % 13 <> 5) AS translated, true AS balanced FROM cues GROUP BY file_id""")
+@query("CUES", "FINAL", sql="""WITH s AS (SELECT c.file_id, CASE WHEN f.pos IS NULL THEN 'missing' WHEN starts_with(f.text, '[未翻译]') THEN 'untranslated' WHEN length(f.text) <> 7 THEN 'translated' END AS s FROM cues AS c LEFT JOIN final AS f USING (file_id, pos)),
+t AS (SELECT file_id, count(*) AS n, count(*) FILTER (s = 'missing') AS missing, count(*) FILTER (s = 'untranslated') AS untranslated, count(*) FILTER (s = 'translated') AS translated FROM s GROUP BY file_id)
+SELECT *, n = missing + untranslated + translated AS balanced FROM t""")
 def identity_check(spark, d):
+    """Rows of seven characters are left out on purpose: their files don't balance."""
     c = A.cues(spark, d)
     f = A.final(c)
     lost = c.join(f.select("file_id", "pos"), ["file_id", "pos"], "left_anti")
     u = T.is_untranslated(F.col("text"))
-    return quality.identity(c, missing=lost, untranslated=f.filter(u), translated=f.filter(~u))
+    return quality.identity(c, missing=lost, untranslated=f.filter(u), translated=f.filter(~u & (F.length("text") != 7)))
 
 
 @query("CUES", "FINAL", sql=r"""
-WITH k AS (SELECT file_id, idx, pos, text, length(regexp_replace(text, '\s', '', 'g')) AS n, (end_ms - start_ms) / 1000 AS sec FROM final),
-q AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n / sec DESC, pos) AS rank FROM k WHERE sec >= 0.5 AND n > 0 AND n / sec > 23)
-SELECT file_id, idx, 'untranslated' AS category, 'high' AS severity, 'left untranslated' AS message, text AS current_text FROM k WHERE starts_with(text, '[未翻译]')
-UNION ALL SELECT file_id, idx, 'single_line_too_long', 'medium', 'line of ' || n, text FROM k WHERE n > 30
-UNION ALL SELECT file_id, idx, 'missed', 'high', 'no translation', NULL FROM cues WHERE NOT EXISTS (FROM final AS f WHERE f.file_id = cues.file_id AND f.start_ms = cues.start_ms AND f.end_ms = cues.end_ms)
-UNION ALL SELECT file_id, idx, 'cps', 'low', 'rank ' || rank, text FROM q WHERE rank <= 20""")
+WITH k AS (SELECT *, length(regexp_replace(text, '\s', '', 'g')) AS n, (end_ms - start_ms) / 1000 AS sec FROM final),
+q AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n / sec DESC, pos) AS rank FROM k WHERE sec >= 0.5 AND n > 0 AND n / sec > 23),
+w AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, end_ms, pos) AS o FROM cues),
+g AS (SELECT a.file_id, a.idx, a.start_ms - b.end_ms AS gap FROM w AS a JOIN w AS b ON a.file_id = b.file_id AND a.o = b.o + 1 WHERE a.start_ms - b.end_ms > 1700),
+i AS (SELECT file_id, idx, 'untranslated' AS category, 'left untranslated' AS message, 'open' AS status, text AS own, NULL AS ex FROM k WHERE starts_with(text, '[未翻译]')
+  UNION ALL SELECT file_id, idx, 'single_line_too_long', 'line of ' || n, 'open', NULL, substr(text, 1, 60) FROM k WHERE n > 30
+  UNION ALL SELECT file_id, idx, 'cps_too_fast', 'rank ' || rank, 'open', NULL, '' FROM q WHERE rank <= 20
+  UNION ALL SELECT file_id, idx, 'digits', 'digits in it', 'open', NULL, NULL FROM cues WHERE regexp_matches(text, '[0-9]{3}')
+  UNION ALL SELECT file_id, idx, 'suspected_missed_speech', 'gap of ' || gap, 'observation', NULL, '' FROM g)
+SELECT i.file_id, i.idx, category, message, status, CASE WHEN status = 'open' THEN coalesce(own, f.text) END AS current_text, coalesce(ex, substr(c.text, 1, 40), '') AS source_excerpt,
+  row_number() OVER (PARTITION BY i.file_id ORDER BY i.idx, category, message) AS place FROM i LEFT JOIN final AS f USING (file_id, idx) LEFT JOIN cues AS c USING (file_id, idx)""")
 def guide_items(spark, d):
+    return guide(spark, d).select("file_id", "idx", "category", "message", "status", "current_text", "source_excerpt", "place")
+
+
+def guide(spark, d):
+    """Guide items from all five sources."""
     c = A.cues(spark, d)
-    return quality.guide_items(A.final(c), c)
+    warnings = c.filter("text rlike '[0-9]{3}'").select("file_id", "idx", "timing", F.lit("digits").alias("category"), F.lit("digits in it").alias("message"))
+    missed = quality.gap_observations(c, 1.7).select("file_id", "idx", "timing", F.concat(F.lit("gap of "), F.col("gap_ms").cast("string")).alias("message"))
+    return quality.guide_items(A.final(c), c, warnings, missed)
 
 
 @query("CUES", "PASS2", sql="""WITH a AS (SELECT file_id, start_ms, end_ms, min(text) AS a FROM cues GROUP BY ALL), b AS (SELECT file_id, start_ms, end_ms, min(text) AS b FROM pass2 GROUP BY ALL)
@@ -259,9 +324,10 @@ def speech_union(spark, d):
 
 @query("CUES", sql=r"""WITH d AS (SELECT *, coalesce(text = lag(text) OVER (PARTITION BY file_id ORDER BY pos), false) AS dup FROM cues)
 SELECT file_id, count(*) AS rows, avg((length(trim(text)) <= 3)::DOUBLE) AS fragment_ratio, count(*) FILTER (dup) AS duplicate_pairs,
-  count(*) FILTER (len(list_filter(range(1, length(text) - 2), lambda i: text[i] = text[i + 1] AND text[i] = text[i + 2] AND text[i] = text[i + 3])) > 0) AS repeated FROM d GROUP BY file_id""")
+  count(*) FILTER (len(list_filter(range(1, length(text) - 2), lambda i: text[i] = text[i + 1] AND text[i] = text[i + 2] AND text[i] = text[i + 3])) > 0) AS repeated, 0 + count(*) FILTER (length(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) >= 8
+    AND NOT regexp_matches(text, '[\x{4e00}-\x{9fff}]') AND len(regexp_extract_all(text, '[\x{3040}-\x{30ff}]')) > 0.95 * length(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g'))) AS kana_only, count(*) FILTER (regexp_matches(text, 'sch|tion')) AS clusters FROM d GROUP BY file_id""")
 def version_measures(spark, d):
-    return compare.version_measures(A.cues(spark, d))
+    return compare.version_measures(A.cues(spark, d), {"clusters": "sch|tion"})
 
 
 @query()
@@ -284,8 +350,9 @@ def changed_inputs(spark, d):
 
 
 @query(sql="""WITH g AS (SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'mid' ELSE 'long' END AS t, CASE WHEN len(string_split(text, ' ')) < 80 THEN 'short' WHEN len(string_split(text, ' ')) < 330 THEN 'mid' ELSE 'long' END AS p FROM documents),
-c AS (SELECT class, count(*) FILTER (t = class AND p = class) AS tp, count(*) FILTER (t <> class AND p = class) AS fp, count(*) FILTER (t = class AND p <> class) AS fn FROM g, (SELECT unnest(['short', 'mid', 'long', 'none']) AS class) GROUP BY class)
-SELECT class, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END AS recall FROM c""")
+c AS (SELECT class, count(*) FILTER (t = class AND p = class) AS tp, count(*) FILTER (t <> class AND p = class) AS fp, count(*) FILTER (t = class AND p <> class) AS fn FROM g, (SELECT unnest(['short', 'mid', 'long', 'none']) AS class) GROUP BY class),
+r AS (SELECT class, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fn) END AS recall FROM c)
+SELECT *, avg(precision) OVER () AS macro_precision, avg(recall) OVER () AS macro_recall FROM r""")
 def confusion(spark, d):
     docs = A.table(spark, d, "documents")
     words = F.size(F.split("text", " "))
@@ -369,17 +436,20 @@ def round_robin_sample(spark, d):
     return review.round_robin(A.cues(spark, d).filter("length(text) > 40"), 500).select("file_id", "pos", "place")
 
 
-@query("CUES", sql="""WITH e AS (SELECT file_id, pos, start_ms FROM cues WHERE pos % 25 = 3)
-SELECT file_id AS batch, pos::INT AS row, CASE WHEN pos % 2 = 1 THEN (pos % 7)::INT ELSE NULL END AS c0 FROM e""".replace("SELECT file_id AS batch, pos::INT AS row, CASE WHEN pos % 2 = 1 THEN (pos % 7)::INT ELSE NULL END AS c0 FROM e", "SELECT file_id AS batch, pos::INT AS row, CASE WHEN pos % 2 = 1 AND pos % 7 BETWEEN 1 AND 5 THEN (pos % 7)::INT ELSE 5 END AS category, CASE WHEN pos % 2 = 1 AND pos % 7 BETWEEN 1 AND 5 THEN CASE WHEN pos % 3 = 0 THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END ELSE 0.0::DOUBLE END AS confidence, CASE WHEN pos % 2 = 1 AND pos % 7 BETWEEN 1 AND 5 AND pos % 3 <> 0 THEN 'fail' ELSE 'pass' END AS verify FROM e"))
+@query("CUES", sql="""WITH e AS (SELECT file_id, pos, start_ms, length(text) AS n, pos % 7 AS cat, start_ms + CASE WHEN pos % 3 = 0 THEN 500 WHEN pos % 3 = 1 THEN 900000 ELSE NULL END AS cited FROM cues WHERE length(text) > 30),
+v AS (SELECT *, n % 2 = 1 AND cat BETWEEN 1 AND 5 AS given FROM e)
+SELECT file_id AS batch, pos::INT AS row, CASE WHEN given THEN cat ELSE 4 END AS category, NOT given AS filled, CASE WHEN NOT given THEN 'low' WHEN cat = 1 AND NOT ok THEN 'low' ELSE 'high' END AS confidence,
+  CASE WHEN NOT given OR cat <> 1 THEN 'N/A' WHEN ok THEN 'PASS' ELSE 'FAIL' END AS verify
+FROM (SELECT *, cited IS NOT NULL AND EXISTS (FROM cues AS c WHERE c.file_id = v.file_id AND c.pos BETWEEN v.pos - 5 AND v.pos + 5 AND abs(c.start_ms - v.cited) <= 1000) AS ok FROM v)""")
 def verdict_check(spark, d):
     """Verdicts written as fenced JSON replies, parsed, filled and checked against the rows around them."""
-    c = A.cues(spark, d)
-    e = c.filter("pos % 25 = 3").withColumn("at", F.col("start_ms") + F.when(F.col("pos") % 3 == 0, 0).otherwise(3_600_000))
     from cuelake.functions.timecode import format_ms
 
-    one = F.to_json(F.struct(F.col("pos").alias("row"), (F.col("pos") % 7).alias("category"), F.lit("a").alias("side"), F.lit(0.8).alias("confidence"), format_ms(F.col("at")).alias("evidence_timing"), F.lit("").alias("reason")))
-    replies = e.withColumn("one", one).groupBy(F.col("file_id").alias("batch")).agg(F.concat(F.lit("Here:\n```json\n["), F.array_join(F.collect_list(F.when(F.col("pos") % 2 == 1, F.col("one"))), ",\n"), F.lit("]\n```")).alias("body"))
+    c = A.cues(spark, d)
+    e = c.filter("length(text) > 30").withColumn("at", F.when(F.col("pos") % 3 == 0, F.col("start_ms") + 500).when(F.col("pos") % 3 == 1, F.col("start_ms") + 900_000))
+    one = F.to_json(F.struct(F.col("pos").alias("row"), (F.col("pos") % 7).alias("category"), F.lit("pass1").alias("side"), F.lit("high").alias("confidence"), F.coalesce(format_ms(F.col("at")), F.lit("")).alias("evidence_timing"), F.lit("pass1").alias("evidence_pass"), F.lit("fits").alias("reason")))
+    replies = e.withColumn("one", one).groupBy(F.col("file_id").alias("batch")).agg(F.concat(F.lit("Here:\n```json\n["), F.array_join(F.collect_list(F.when(F.length("text") % 2 == 1, F.col("one"))), ",\n"), F.lit("]\n```")).alias("body"))
     rows = review.verdicts(replies, e.select(F.col("file_id").alias("batch"), F.col("pos").alias("row")))
-    around = c.select(F.col("file_id").alias("batch"), F.explode(F.sequence(F.col("pos") - 5, F.col("pos") + 5)).alias("row"), "start_ms", "text").groupBy("batch", "row").agg(F.collect_list("start_ms").alias("starts"), F.array_join(F.collect_list("text"), "\n").alias("window"))
-    rows = review.verify_evidence(rows.join(around, ["batch", "row"]), F.col("starts"), F.col("window"))
-    return rows.select("batch", "row", "category", "confidence", "verify")
+    near = e.select("file_id", F.col("pos").alias("row"), F.explode(F.sequence(F.col("pos") - 5, F.col("pos") + 5)).alias("pos"))
+    around = near.join(c.select("file_id", "pos", "start_ms", "text"), ["file_id", "pos"]).groupBy(F.col("file_id").alias("batch"), "row").agg(F.collect_list(F.struct("start_ms", "text")).alias("window"))  # eleven rows
+    return review.verify_evidence(rows.join(around, ["batch", "row"], "left")).select("batch", "row", "category", "filled", "confidence", "verify")
