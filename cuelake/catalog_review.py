@@ -87,6 +87,20 @@ def review_order(spark, d):
     return review.review_order(rows, review.film_stats(rows)).select("film", "pos", "film_rank", "place")
 
 
+@query("CUES", sql=_FILMS + """SELECT v.film, v.pos, v."group", category, CASE WHEN v.pos % 2 = 0 THEN 'pass1' ELSE '' END AS side, CASE WHEN category = 1 AND v.pos % 2 = 0 THEN 'pass1@00:00:01,000' ELSE '' END AS evidence, verify, substr(c.text, 1, 50) AS reason
+FROM v JOIN cues AS c ON c.file_id = v.film AND c.pos = v.pos WHERE category IS NOT NULL""")
+def enhanced_review(spark, d):
+    """Reviewed rows written in review order and read again."""
+    path, even = folder(spark, "enhanced"), F.col("pos") % 2 == 0
+    rows = _films(spark, d)
+    films = review.film_stats(rows)
+    texts = A.cues(spark, d).select(F.col("file_id").alias("film"), "pos", F.col("text").alias("reason"))
+    rows = rows.filter("category is not null").join(texts, ["film", "pos"]).withColumns({"side": F.when(even, "pass1"), "evidence_pass": F.when(even, "pass1").otherwise(""), "evidence_timing": F.when(even, "00:00:01,000").otherwise(""), "confidence": F.lit("high")})
+    reports.write_enhanced(review.review_order(rows, films), path, "v1", 50)
+    back = spark.read.schema("film long, pos int, group string, similarity double, category int, side string, evidence string, verify string, confidence string, reason string, version string").options(**reports.CSV).csv(path)
+    return back.select("film", "pos", "group", "category", F.coalesce("side", F.lit("")).alias("side"), F.coalesce("evidence", F.lit("")).alias("evidence"), "verify", "reason")
+
+
 @query("CUES", "PASS2", sql="""WITH l AS (SELECT file_id AS prefix, start_ms AS at_ms, CASE WHEN length(text) % 3 = 0 THEN 'A' ELSE 'B' END AS label FROM cues)
 SELECT l.prefix, l.at_ms, l.label, p.pos, abs(l.at_ms - p.start_ms) AS gap FROM l JOIN pass2 AS p ON p.file_id = l.prefix AND (abs(l.at_ms - p.start_ms) <= 500 OR floor(l.at_ms / 1000) = floor(p.start_ms / 1000))
 QUALIFY row_number() OVER (PARTITION BY l.prefix, l.at_ms, l.label ORDER BY abs(l.at_ms - p.start_ms), p.pos) = 1""")
@@ -226,7 +240,7 @@ def conflict_table(spark, d):
     c, path = A.cues(spark, d), folder(spark, "conflicts")
     rows = glossary.conflicts(A.final(c), c, A.glossary(spark, d)).filter("verdict = 'neither'")
     reports.write_conflicts(rows.select(F.col("idx").alias("entry_id"), "timing", F.col("src").alias("source_term"), F.col("dst").alias("expected_targets"), F.col("text").alias("actual_text")), path)
-    return spark.read.schema("entry_id int, timing string, source_term string, expected_targets string, actual_text string, created_at string").option("header", True).option("escape", '"').csv(path).drop("created_at")
+    return spark.read.schema("entry_id int, timing string, source_term string, expected_targets string, actual_text string, created_at string").options(**reports.CSV).csv(path).drop("created_at")
 
 
 @query(sql="""WITH e AS (SELECT ts::DATE AS day, event_type, count(*) AS c, count(*) FILTER (value > 150) AS x FROM events GROUP BY ALL) SELECT day AS date, 'log' AS source, event_type AS term, c AS candidates, x AS conflicts FROM e""")
@@ -411,7 +425,7 @@ def script_residue(spark, d):
   ((length(t) + length(regexp_replace(t, '[^\\x{2e81}-\\x{10ffff}]', '', 'g'))) * 0.5) / greatest(1.0, (length(trim(c.text)) + length(regexp_replace(trim(c.text), '[^\\x{2e81}-\\x{10ffff}]', '', 'g'))) * 0.5) END AS r FROM cues AS c LEFT JOIN s USING (file_id, start_ms, end_ms)),
 m AS (SELECT file_id, 0 + count(*) FILTER (false) AS content_rows, 0 + count(*) FILTER (false) AS missed, list_sort(list(r) FILTER (r IS NOT NULL))[count(r) // 2 + 1] AS median_ratio, avg((r < 0.3)::DOUBLE) AS low_share FROM r GROUP BY file_id),
 a AS (SELECT f.file_id, count(*) AS rows, count(*) FILTER (EXISTS (FROM cues AS c WHERE c.file_id = f.file_id AND c.start_ms = f.start_ms AND c.end_ms = f.end_ms)) AS aligned FROM final AS f GROUP BY f.file_id)
-SELECT file_id, (SELECT count(*) FROM cues AS c WHERE c.file_id = m.file_id AND regexp_matches(c.text, '[\\x{4e00}-\\x{9fff}々]')) AS content_rows, missed, median_ratio, low_share, rows, aligned, aligned / rows AS align_rate FROM m FULL JOIN a USING (file_id)""".replace("\\\\", "\\"))
+SELECT file_id, (SELECT count(*) FROM cues AS c WHERE c.file_id = m.file_id AND regexp_matches(c.text, '[\\x{4e00}-\\x{9fff}々]')) AS content_rows, missed, median_ratio, low_share, rows, aligned, aligned / rows AS align_rate FROM m FULL JOIN a USING (file_id)""")
 def quality_recompute(spark, d):
     c = A.cues(spark, d)
     return quality.recompute(A.final(c), c)
@@ -445,6 +459,13 @@ def gate_quarantine(spark, d):
     return gate.quarantine(rows, f, f.filter("length(text) % 3 = 0"), "en").select("file_id", "idx")
 
 
+@query("CUES", "FINAL", sql="""SELECT f.file_id, f.pos, 'counted' AS signal, trim(substr(c.text, 1, 60)) AS source FROM final AS f JOIN cues AS c USING (file_id, start_ms) WHERE length(c.text) < 12 AND len(regexp_extract_all(f.text, '[A-Za-z]')) >= 2 AND NOT regexp_matches(c.text, '[\\x{4e00}-\\x{9fff}]')
+QUALIFY row_number() OVER (PARTITION BY f.file_id, f.pos ORDER BY c.pos) = 1""")
+def garble_review(spark, d):
+    c = A.cues(spark, d)
+    return gate.garble_review(A.final(c), c, c.filter("length(text) < 12"), "en").select("file_id", "pos", "signal", "source")
+
+
 # -- hints, text, table functions -----------------------------------------------------------------------------------------
 
 @query("CUES", sql=r"SELECT file_id, pos, regexp_extract(text, '(?:^|[^\p{L}\p{N}_])([A-Z]{2,})(?:$|[^\p{L}\p{N}_])', 1) AS acronym FROM cues WHERE regexp_matches(text, '(?:^|[^\p{L}\p{N}_])([A-Z]{2,})(?:$|[^\p{L}\p{N}_])')")

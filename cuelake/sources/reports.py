@@ -10,6 +10,8 @@ from cuelake.functions import text as T
 from cuelake.functions.timecode import timing
 from cuelake.operators.passes import best_overlap
 
+#: How tables are written: with a head, quotes doubled, white space kept.
+CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 #: Files that may lie beside a file's guide (fixed names, the file's stem in front).
 COMPANIONS = ("_final_cn.srt", "_质量报告.txt", "_分歧复核.csv", "_风险清单.md", "_风险清单.json", "_术语冲突观察.csv")
 REVIEW = "file_id string, group string, timing string, similarity string, iou string, offset_s string, artifact string, text1 string, text2 string, final_text string"
@@ -27,17 +29,25 @@ def divergence_review(rows: DataFrame, final: DataFrame, optional: int = 100) ->
 def write_review(rows: DataFrame, path: str, *order: str) -> None:
     """A review table as CSV with a head, its rows in order."""
     out = rows.select("file_id", "group", timing(F.col("start_ms"), F.col("end_ms")).alias("timing"), *(F.format_number(c, n).alias(c) for c, n in (("similarity", 4), ("iou", 4), ("offset_s", 3))), "artifact", "text1", "text2", "final_text")
-    out.orderBy(*(order or ("file_id", "group", "similarity", "timing"))).write.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    out.orderBy(*(order or ("file_id", "group", "similarity", "timing"))).write.options(**CSV).csv(path)
 
 
 def read_review(spark: SparkSession, path: str) -> DataFrame:
     """The rows of review tables, all as text."""
-    return spark.read.schema(REVIEW).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return spark.read.schema(REVIEW).options(**CSV).csv(path)
+
+
+def write_enhanced(rows: DataFrame, path: str, version: str, clip: int = 200) -> None:
+    """Reviewed rows (film, film_rank, place, the review's columns and its verdict) as CSV in review order: the evidence is
+    'pass@time' of a category 1 verdict that has both, reasons are clipped, the version of the prompt is on every row."""
+    evidence = F.when((F.col("category") == 1) & (F.col("evidence_pass") != "") & (F.col("evidence_timing") != ""), F.concat_ws("@", "evidence_pass", "evidence_timing")).otherwise("")
+    out = rows.orderBy("film_rank", "place").select("film", "pos", "group", "similarity", "category", F.coalesce("side", F.lit("")).alias("side"), evidence.alias("evidence"), "verify", "confidence", F.substring("reason", 1, clip).alias("reason"), F.lit(version).alias("version"))
+    out.write.options(**CSV).csv(path)
 
 
 def write_conflicts(conflicts: DataFrame, path: str) -> None:
     """Term conflicts (entry_id, timing, source_term, expected_targets, actual_text) with the time of writing."""
-    conflicts.select("entry_id", "timing", "source_term", "expected_targets", "actual_text", F.current_timestamp().alias("created_at")).write.option("header", True).option("escape", '"').csv(path)
+    conflicts.select("entry_id", "timing", "source_term", "expected_targets", "actual_text", F.current_timestamp().alias("created_at")).write.options(**CSV).csv(path)
 
 
 def companions(stems: DataFrame, listing: DataFrame) -> DataFrame:

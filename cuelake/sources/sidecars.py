@@ -39,13 +39,13 @@ def learned_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def export_memory(tm: DataFrame, path: str, stage: int | None = None) -> None:
     rows = tm if stage is None else tm.filter(F.col("stage") == stage)
-    rows.select("source_text", "target_text", "stage", "hit_count", "source_lang", "target_lang").orderBy("stage", F.desc("hit_count")).write.option("header", True).csv(path)
+    rows.select("source_text", "target_text", "stage", "hit_count", "source_lang", "target_lang").orderBy("stage", F.desc("hit_count")).write.option("header", True).option("escape", '"').csv(path)
 
 
 def import_memory(spark: SparkSession, path: str, source_lang: str, target_lang: str) -> DataFrame:
     """Rows of an export for the upsert, of any of its layouts: two columns, three with the stage, or six with hits and
     languages. Heads are rows whose first column names it; stages that are no number are 0; missing languages are given."""
-    rows = spark.read.schema("source string, target string, stage string, hits string, source_lang string, target_lang string").option("mode", "PERMISSIVE").csv(path)
+    rows = spark.read.schema("source string, target string, stage string, hits string, source_lang string, target_lang string").option("mode", "PERMISSIVE").option("escape", '"').csv(path)
     text = lambda c: T.strip(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", ""))
     rows = rows.select(text("source").alias("source_text"), text("target").alias("target_text"), *(text(c).alias(c) for c in ("stage", "source_lang", "target_lang")))
     rows = rows.filter((F.col("source_text") != "") & (F.col("target_text") != "") & ~F.lower("source_text").isin("source", "source_text", "原文", "original"))

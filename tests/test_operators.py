@@ -310,6 +310,13 @@ def test_one_to_one_across_long_stretches(spark):
     assert [(r.pos, r.r_pos) for r in compare.side_by_side(left, right).collect()] == [(0, 0)]
 
 
+def test_garbled_sources_with_fluent_targets(spark):
+    orig = spaced(spark, ["じゃあじゃあじゃあじゃあ", "うん", "漢字あああああああ", "話です", "ああああああ"])
+    final = spaced(spark, ["我们去吧", "好的", "我们走吧", "说话", "[未翻译] ああああああ"])
+    found = {r.pos: r.signal for r in gate.garble_review(final, orig, orig.filter("pos in (0, 1)")).collect()}
+    assert found == {0: "nonsense_syllables", 1: "counted"}
+
+
 def test_grammar_hints(spark):
     rows = spark.createDataFrame([("これはペンだけど", ""), ("僕たち三人で", ""), ("東京の空", ""), ("行ったのね", "彼は来た"), ("行ったのね", "来た"), ("plain", "")], "t string, before string")
     found = [r.h for r in rows.select(T.grammar_hints(F.col("t"), F.col("before")).alias("h")).collect()]
