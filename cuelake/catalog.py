@@ -269,7 +269,11 @@ h AS (SELECT query_id, id, count(*) AS n, sum(ln(1 + (docs - df + 0.5) / (df + 0
 f AS (SELECT h.* FROM h WHERE n = (SELECT count(*) FROM q WHERE q.query_id = h.query_id))
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 20""")
 def tm_search(spark, d):
-    return memory.search(A.sentences(spark, d), memory.postings(A.memory(spark, d)))
+    from cuelake.catalog_files import folder
+
+    path = folder(spark, "postings")
+    memory.postings(A.memory(spark, d)).write.parquet(path)
+    return memory.search(A.sentences(spark, d), spark.read.parquet(path))
 
 
 @query("CUES", "MEMORY", "SENTENCES", sql=f"""

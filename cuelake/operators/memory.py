@@ -48,15 +48,17 @@ def lookup_fuzzy(queries: DataFrame, tm: DataFrame, threshold: float = 0.8, cand
     """For each query (query_id, text, stage): entries of its stage and direction within half of its length, of these the
     most used, of these the most alike by character sets, capitals and runs of white space aside. Ties of the cut go to
     the smaller id. Of every length only the most used entries can be among the most used of all lengths, so the memory
-    is cut to these first, once, and a query meets a bounded number of entries however large the memory is."""
+    is cut to these first, and the candidates are picked once for all queries of a length: a query meets a bounded
+    number of entries however large the memory is."""
     key = [k for k in KEY if k != "content_hash"]
     q = _directed(queries).select("query_id", *key, F.lower(T.norm_spaces(F.col("text"))).alias("text")).filter("text <> ''").withColumn("n", F.length("text"))
     most = Window.partitionBy(*key, "char_count").orderBy(F.desc("hit_count"), "id")
     e = _directed(tm).select("id", *key, "char_count", "hit_count", F.lower(T.norm_spaces(F.col("source_text"))).alias("source")).withColumn("k", F.row_number().over(most)).filter(F.col("k") <= candidates).drop("k")
     lengths = F.sequence(F.greatest(F.lit(1), F.floor(F.col("n") * 0.5)).cast("int"), F.greatest(F.lit(1), F.floor(F.col("n") * 1.5)).cast("int"))
-    pairs = q.withColumn("char_count", F.explode(lengths)).join(e, [*key, "char_count"])
-    used = Window.partitionBy("query_id").orderBy(F.desc("hit_count"), "id")
-    pairs = pairs.withColumn("k", F.row_number().over(used)).filter(F.col("k") <= candidates)
+    near = q.select(*key, "n").distinct().withColumn("char_count", F.explode(lengths)).join(e.drop("source"), [*key, "char_count"])
+    used = Window.partitionBy(*key, "n").orderBy(F.desc("hit_count"), "id")
+    near = near.withColumn("k", F.row_number().over(used)).filter(F.col("k") <= candidates).select(*key, "n", "id")
+    pairs = q.join(near, [*key, "n"]).join(e.select("id", "hit_count", "source"), "id")
     pairs = pairs.withColumn("similarity", T.char_jaccard(F.col("text"), F.col("source"))).filter(F.col("similarity") >= threshold)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("hit_count"), "id")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "id", "similarity", "rank")
