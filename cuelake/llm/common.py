@@ -70,24 +70,22 @@ def filter_fits(keys: int) -> bool:
     return keys <= FILTER_BITS[1] // 4
 
 
-def bit_filter(df: DataFrame, key: Column) -> np.ndarray:
-    """A filter of 64-bit keys whose size follows their counted number: no key is missed, others pass at the rate of
-    the bits set. It is packed on the executors; the driver gets the filter itself and nothing else."""
-    keys = durable(df.select(key.alias("key")).distinct())
+def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A filter of a durable frame's 64-bit keys whose size follows their counted number: no key is missed, others pass at
+    the rate of the bits set. It is packed on the executors; the driver gets the filter itself and nothing else."""
     size = min(max(1 << (BITS_PER_KEY * max(keys.count(), 1) - 1).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-    spot = F.col("key").bitwiseAND(F.lit(size - 1))
-    byte, bit = F.shiftright(spot, 3), F.pow(F.lit(2), F.pmod(spot, F.lit(8))).cast("int")
-    marks = keys.groupBy(byte.alias("byte")).agg(F.bit_or(bit).alias("bits")).select(F.floor(F.col("byte") / _BLOCK).cast("int").alias("block"), (F.col("byte") % _BLOCK).cast("int").alias("at"), "bits")
+    spot = F.col(key).bitwiseAND(F.lit(size - 1))
+    spots = keys.select(F.shiftright(spot, 15).cast("int").alias("block"), spot.bitwiseAND(F.lit(8 * _BLOCK - 1)).cast("int").alias("at"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        block = np.zeros(_BLOCK, np.uint8)
-        block[frame["at"].to_numpy()] = frame["bits"].to_numpy().astype(np.uint8)
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "data": [block.tobytes()]})
+        bits = np.zeros(8 * _BLOCK, np.uint8)
+        bits[frame["at"].to_numpy()] = 1
+        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "data": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    out = np.zeros(max(size // 8, _BLOCK), np.uint8)
-    for row in marks.groupBy("block").applyInPandas(pack, "block int, data binary").toLocalIterator():  # size / 8 bytes in all
+    out = np.zeros(size // 8, np.uint8)
+    for row in spots.groupBy("block").applyInPandas(pack, "block int, data binary").toLocalIterator():  # size / 8 bytes in all
         out[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["data"], np.uint8)
-    return out[: size // 8]
+    return out
 
 
 def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

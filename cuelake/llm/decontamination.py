@@ -92,7 +92,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spans = durable(windows(benchmark))
     distinct = durable(spans.select("words").distinct())
     shingles = durable(distinct.mapInArrow(_shingle_rows, "words array<long>, place int, shingle long"))
-    bits = bit_filter(shingles, F.col("shingle"))
+    bits = bit_filter(shingles, "shingle")
     lengths = sorted(r[0] for r in distinct.select(F.size("words")).distinct().collect())  # at most WINDOW rows
     widths = sorted({(min(SHINGLE, n), min(m for m in lengths if min(SHINGLE, m) == min(SHINGLE, n))) for n in lengths})
 

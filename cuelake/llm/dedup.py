@@ -148,12 +148,11 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, keys: DataFrame, owners: DataFrame) -> DataFrame:
     """key, items: the full shingle sets of the classes in keys, read from the text of one document each. Texts are
     picked by a filter of ids where it is selective, else by a join; the set's own key decides."""
-    needed = durable(keys.join(owners, "key"))
-    ids = needed.select(F.xxhash64("doc_id").alias("h"))
+    needed = durable(keys.join(owners, "key").withColumn("h", F.xxhash64("doc_id")))
     texts = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("text").cast("string").alias("text"))
     fits = filter_fits(needed.count())
-    texts = texts if fits else texts.join(ids.distinct(), "h", "left_semi")
-    found = texts.mapInArrow(_shingling(bit_filter(ids, F.col("h")) if fits else None), "key binary, items array<long>")
+    texts = texts if fits else texts.join(needed.select("h"), "h", "left_semi")
+    found = texts.mapInArrow(_shingling(bit_filter(needed, "h") if fits else None), "key binary, items array<long>")
     return durable(found.join(small(needed.select("key")), "key", "left_semi").dropDuplicates(["key"]))
 
 
@@ -252,16 +251,15 @@ def _closed(labels: DataFrame, large: DataFrame, pairs: DataFrame, classes: Data
 def _ranks(twice: DataFrame) -> np.ndarray:
     """For each place of a table of hashed shingles, four times the logarithm of how often they occur; 0 for once."""
     place = F.col("item").bitwiseAND(F.lit(RANKS - 1)).cast("int")
-    rank = F.least(F.floor(F.log2(F.sum("n")) * 4), F.lit(255)).cast("int")
-    marks = twice.groupBy(place.alias("place")).agg(rank.alias("rank")).select(F.floor(F.col("place") / 4096).alias("block"), (F.col("place") % 4096).alias("at"), "rank")
+    counts = twice.select(F.shiftright(place, 12).alias("block"), place.bitwiseAND(F.lit(4095)).alias("at"), "n")
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        block = np.zeros(4096, np.uint8)
-        block[frame["at"].to_numpy()] = frame["rank"].to_numpy().astype(np.uint8)
+        n = np.bincount(frame["at"].to_numpy(), frame["n"].to_numpy(), 4096)
+        block = np.where(n > 0, np.minimum(np.floor(np.log2(np.maximum(n, 1)) * 4), 255), 0).astype(np.uint8)
         return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "data": [block.tobytes()]})
 
     out = np.zeros(RANKS, np.uint8)
-    for row in marks.groupBy("block").applyInPandas(pack, "block int, data binary").toLocalIterator():  # RANKS bytes in all
+    for row in counts.groupBy("block").applyInPandas(pack, "block int, data binary").toLocalIterator():  # RANKS bytes in all
         out[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["data"], np.uint8)
     return out
 
@@ -282,6 +280,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     kept = durable(kept.select(F.col("k.doc_id").alias("_id"), F.col("k._text").alias("_text")))
     again = durable(rows.groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), "_text"))
     is_row = lambda df: docs["doc_id"].cast("long").eqNullSafe(df["_id"]) & (text(docs) == df["_text"])
+    kept = small(kept)
     out = docs.join(kept, is_row(kept), "left_semi")
     if not again.head(1):
         return out
