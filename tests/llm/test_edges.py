@@ -1,14 +1,17 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import gzip
 import json
+import os
 import random
+import re
 
 import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cuelake.llm import chat, decontamination, dedup, language, mixing, quality, rules, sharding, toxicity, warc
+from cuelake.llm import chat, common, decontamination, dedup, language, mixing, quality, rules, sharding, toxicity, warc
 from cuelake.llm.sql import ORACLES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -121,6 +124,34 @@ def test_archives(spark):
     assert warc.archive_report(pages.limit(0)).count() == 0
 
 
+def test_archives_of_uneven_ids(spark):
+    """Ranges of page_ids hold where ids lie unevenly, at the ends of 64 bits, or tie."""
+    rows = [(k, f"u{k}", "x" * (k % 300)) for k in range(3000)] + [(10**15, "a", "y"), (-(2**63), "b", "z"), (2**63 - 1, "c", "w")]
+    rows += [(77_777, f"v{k}", f"{k} " * 60) for k in range(900)] + [(None, f"n{k}", f"{k} " * 60) for k in range(900)]
+    folder = warc.new_folder(spark, "warc")
+    files = warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(5), folder, shard_bytes=60_000).orderBy("name").collect()
+    last, null_shards, tied = None, set(), set()
+    for f in files:
+        ids = [int(x) for x in re.findall(rb"X-Page-Id: (-?\d+)", gzip.open(f.name).read())]
+        assert ids == sorted(ids) and (not ids or last is None or last <= ids[0])
+        last = ids[-1] if ids else last
+        null_shards |= {f.shard} if len(ids) < f.records else set()
+        tied |= {f.shard} if 77_777 in ids else set()
+    assert len({f.shard for f in files}) > 20 and max(f.bytes for f in files) < 200_000 and len(null_shards) > 3 and len(tied) > 3
+    back = warc.read_archives(spark, folder)
+    assert sorted((str(r.page_id), str(r.url), bytes(r.payload or b"").decode()) for r in back.filter("record_type = 'response'").collect()) == sorted((str(a), b, c) for a, b, c in _responses(rows))
+    assert not os.path.exists(f"{folder.removeprefix('file:')}/temporary")
+
+
+def _responses(rows):
+    """Of rows with equal payloads those with the largest id; null is the largest only of nulls."""
+    low = lambda a: -(2**63) - 1 if a is None else a
+    top = {}
+    for a, _, c in rows:
+        top[c] = max(top.get(c, low(None)), low(a))
+    return [(a, b, c) for a, b, c in rows if low(a) == top[c]]
+
+
 def test_archives_are_deterministic_and_roll(spark):
     pages = spark.createDataFrame([(k, f"http://h/{k}", prose(k, 400)) for k in range(200)], PAGES)
     found = []
@@ -154,7 +185,21 @@ def test_chat_links(spark):
 def test_adapter_of_odd_turns(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", None), (None, 0, "user", "x"), (2, None, "user", "x"), (3, 0, None, "x"), (1, 0, "user", None)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit(1))
-    assert chat.chat_report(turns).count() == 1
+    got = sorted((str(r.conv_id), str(r.turn), str(r.call_id), r.problems) for r in chat.chat_report(turns).collect())
+    assert got == [("1", "0", "call_1_0", "chars is missing; exact is missing"), ("2", "None", "None", "no turn"), ("3", "0", "None", "no role"), ("None", "0", "None", "no conversation")]
+
+
+def test_long_chains_of_calls(spark, monkeypatch):
+    # A chain of 300, a ladder (each call waits for the two before it), a cycle with a tail, and a call that waits for chain and ladder.
+    deps = {f"c{k}": [f"c{k - 1}"] if k else [] for k in range(300)} | {f"l{k}": [f"l{j}" for j in (k - 1, k - 2) if j >= 0] for k in range(12)}
+    deps |= {"x0": ["x2"], "x1": ["x0"], "x2": ["x1"], "tail": ["x1", "c5"], "both": ["c250", "l11"], "self": ["self"]}
+    calls = spark.createDataFrame([(1, k) for k in deps] + [(2, "c0")], "conv_id long, call_id string")
+    edges = spark.createDataFrame([(1, k, d) for k, ds in deps.items() for d in ds], "conv_id long, call_id string, dep string")
+    rounds = []
+    monkeypatch.setattr(chat, "durable", lambda df: rounds.append(1) or common.durable(df))
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(calls, edges).collect()}
+    assert got == {(1, f"c{k}"): k for k in range(300)} | {(1, f"l{k}"): k for k in range(12)} | {(1, "both"): 251, (2, "c0"): 0}
+    assert len(rounds) < 120  # six checkpoints a round; one round per link would be 1,800
 
 
 def test_chat_keeps_whole_texts_and_all_turns(spark):
