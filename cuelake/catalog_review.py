@@ -281,10 +281,10 @@ def resume_states(spark, d):
 def sidecar_discovery(spark, d):
     """Files find their one telemetry file by a stem off which several endings are taken; two hits are none."""
     docs = A.table(spark, d, "documents").select("doc_id", F.format_string("%s-", "doc_id").alias("stem"))
-    files = docs.select(F.concat("stem", F.lit(".ja.whisperjav.JA.srt")).alias("name"))
+    files = docs.select(F.concat("stem", F.lit(".ja.asr.JA.srt")).alias("name"))
     one = docs.filter("doc_id % 3 < 2").select(F.concat("stem", F.lit("tail.jsonl")).alias("name"))
     two = docs.filter("doc_id % 3 = 1").select(F.concat("stem", F.lit("again.jsonl")).alias("name"))
-    return sidecars.discover(files, one.union(two), ".jsonl").select(F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("file_id"), "sidecar")
+    return sidecars.discover(files, one.union(two), ".jsonl", (".ja.asr", ".asr", ".ja")).select(F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("file_id"), "sidecar")
 
 
 @query(sql="SELECT doc_id AS file_id FROM documents WHERE n_chars % 48 <= 24")

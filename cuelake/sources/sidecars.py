@@ -75,13 +75,9 @@ def fresh(files: DataFrame, sidecars: DataFrame, hours: float) -> DataFrame:
     return rows.filter(F.unix_timestamp("file_modified") - F.unix_timestamp("modified") <= hours * 3600)
 
 
-#: Endings of file names that say language or pipeline (fixed values).
-STEM_ENDINGS = (".ja.whisperjav", ".whisperjav", ".ja")
-
-
-def discover(files: DataFrame, sidecars: DataFrame, ending: str, endings: tuple[str, ...] = STEM_ENDINGS) -> DataFrame:
-    """Files (name) with the one sidecar (name, ends with ending) that begins with their stem, off which all endings are
-    taken, one after the other; none where there are several. They meet by the stem's first characters."""
+def discover(files: DataFrame, sidecars: DataFrame, ending: str, endings: tuple[str, ...]) -> DataFrame:
+    """Files (name) with the one sidecar (name, ends with ending) that begins with their stem, off which all endings
+    (a project's marks of language and pipeline) are taken, one after the other; none where there are several. They meet by the stem's first characters."""
     tail = "|".join(re.escape(e) for e in endings)
     files = files.withColumn("stem", F.regexp_extract(F.regexp_replace("name", r"\.[^.]+$", ""), f"(?i)^(.+?)(?:{tail})*$", 1))
     rest = F.col("name").substr(F.lit(1), F.length("name") - len(ending))
