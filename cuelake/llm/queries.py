@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import chat, decontamination, dedup, language, mixing, quality, rules, sharding, toxicity, warc
+from cuelake.llm import chat, decontamination, dedup, language, merkle, mixing, neighbours, quality, rules, sharding, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_warc, op3_reshard, op4_tool_calls, op5_languages, op6_toxicity, op7_near_duplicates, op8_quality, op9_quality_rules, op10_decontaminate)
+    f.__name__: f for f in (op1_mix_sources, op2_warc, op3_reshard, op4_tool_calls, op5_languages, op6_toxicity, op7_near_duplicates, op8_quality, op9_quality_rules, op10_decontaminate,
+                           op11_nearest_neighbours, op12_merkle_manifest, op13_whitening)
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuelake.llm import chat, mixing, rules
+from cuelake.llm import chat, merkle, mixing, neighbours, rules
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -35,4 +35,6 @@ ORACLES = {
     "op4_tool_calls": chat.ORACLE,
     "op9_quality_rules": rules.ORACLE,
     "op10_decontaminate": DECONTAMINATE,
+    "op11_nearest_neighbours": neighbours.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
