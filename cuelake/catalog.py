@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 from cuelake.functions.timecode import parse_timing
-from cuelake.operators import gate, glossary, memory, quality
+from cuelake.operators import gate, glossary, memory, quality, search
 from cuelake.registry import ORACLES, QUERIES, query
 from cuelake.sources import adapters as A
 
@@ -271,9 +271,10 @@ SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY q
 def tm_search(spark, d):
     from cuelake.catalog_files import folder
 
-    path = folder(spark, "postings")
-    memory.postings(A.memory(spark, d)).write.parquet(path)
-    return memory.search(A.sentences(spark, d), spark.read.parquet(path))
+    index = folder(spark, "index")
+    search.create(spark, index)
+    search.append(A.memory(spark, d).select("id", F.concat_ws(" ", "source_text", "target_text").alias("text")), index)
+    return search.search(A.sentences(spark, d), index)
 
 
 @query("CUES", "MEMORY", "SENTENCES", sql=f"""

@@ -7,12 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cuelake.operators import memory, quality
+from cuelake.operators import memory, quality, snapshots
 from cuelake.registry import query
 from cuelake.sources import adapters as A
 from cuelake.sources import cues as S
 from cuelake.sources import sidecars
 from cuelake.streaming import events as R
+from cuelake.streaming import sessions
 
 
 def folder(spark, name: str) -> str:
@@ -225,6 +226,32 @@ def events_dedup(spark, d):
     return rows.select("task_id", "type", "phase", "file", "message")
 
 
+_RUNS = """WITH r AS (SELECT *{columns} FROM run_events{only}), w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS at FROM r),
+g AS (SELECT *, coalesce(ts - lag(ts) OVER ({key} ORDER BY ts, seq) > INTERVAL 6 HOUR, true) AS b FROM r),
+s AS (SELECT *, sum(b::INT) OVER ({key} ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS no FROM g)
+"""
+
+
+@query("RUN_EVENTS", sql=_RUNS.format(columns="", only=" WHERE type = 'error'", key="PARTITION BY phase, file, message") + """,
+n AS (SELECT *, row_number() OVER run AS nth, count(*) OVER (PARTITION BY phase, file, message, no) AS seen, max(ts) OVER (PARTITION BY phase, file, message, no) AS last FROM s WINDOW run AS (PARTITION BY phase, file, message, no ORDER BY ts, seq))
+SELECT phase, file, message, ts, seq, nth::INTEGER AS nth, seen, greatest(seen - 3, 0) AS suppressed FROM n, w WHERE nth <= 3 AND last + INTERVAL 6 HOUR < w.at""")
+def events_capped(spark, d):
+    """The first three risks of a kind, and how many more came until it was quiet for six hours."""
+    with sessions.timed_state(spark):
+        rows = sessions.capped_risks(_stream(spark, d).filter("type = 'error'"), 3, "6 hours", keys=("phase", "file", "message"))
+        return R.drained(rows, folder(spark, "capped"))
+
+
+@query("RUN_EVENTS", sql=_RUNS.format(columns="", only="", key="PARTITION BY task_id") + """,
+e AS (SELECT task_id, no, min(ts) AS start, max(ts) AS last FROM s GROUP BY ALL)
+SELECT task_id, 'stalled' AS state, last + INTERVAL 6 HOUR AS at FROM e, w WHERE last + INTERVAL 6 HOUR < w.at
+UNION ALL SELECT task_id, 'resumed', start FROM e, w WHERE no > 1 AND start < w.at""")
+def events_stall_alarms(spark, d):
+    """Alarms of tasks that are silent for six hours, and their end."""
+    with sessions.timed_state(spark):
+        return R.drained(sessions.stall_alarms(_stream(spark, d), "6 hours", forget="3650 days"), folder(spark, "alarms"))
+
+
 @query("RUN_EVENTS", sql="SELECT task_id, file, CASE WHEN bool_or(type = 'phase_finished') THEN 'done' ELSE 'running' END AS state, max(seq) AS seq FROM run_events GROUP BY ALL")
 def events_files(spark, d):
     return R.drained(R.file_states(_stream(spark, d), "phase_finished"), folder(spark, "files"), "complete")
@@ -263,6 +290,29 @@ def learn_stream(spark, d):
     return spark.read.parquet(f"{base}/out").groupBy("source_text").agg(F.sum("n").alias("n"))
 
 
+@query("CUES", "MEMORY", "PAIRS", sql=r"""
+WITH b0 AS (SELECT trim(regexp_replace(source_text, '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g')) AS source_text, trim(regexp_replace(target_text, '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g')) AS target_text, created_at, source_name, conv_id * 1000 + turn AS ord FROM pairs
+  UNION ALL SELECT source_text, 'again ' || target_text, TIMESTAMP '2025-01-01', NULL, -id FROM tm WHERE stage = 1),
+b AS (SELECT substr(sha256(source_text), 1, 32) AS content_hash, 1 AS stage, arg_max(source_text, ord) AS source_text, arg_max(target_text, ord) AS target_text, arg_min(created_at, ord) AS created_at, arg_max(source_name, ord) FILTER (source_name IS NOT NULL) AS source_name
+  FROM b0 WHERE source_text <> '' AND target_text <> '' GROUP BY 1)
+SELECT coalesce(tm.id, (SELECT max(id) FROM tm) + row_number() OVER (PARTITION BY tm.id IS NULL ORDER BY content_hash, stage)) AS id, content_hash, stage, coalesce(b.source_text, tm.source_text) AS source_text, coalesce(b.target_text, tm.target_text) AS target_text,
+  length(coalesce(b.source_text, tm.source_text)) AS char_count, coalesce(tm.created_at, b.created_at) AS created_at, coalesce(tm.hit_count, 0) AS hit_count, coalesce(b.source_name, tm.source_name) AS source_name, 'ja' AS source_lang, 'zh' AS target_lang
+FROM tm FULL JOIN b USING (content_hash, stage)""")
+def tm_learned(spark, d):
+    """Pairs that arrive as a stream are merged into the memory's versions; the stream's batch comes twice."""
+    base = folder(spark, "learned")
+    tm = A.memory(spark, d)
+    again = tm.filter("stage = 1").select("source_text", F.concat(F.lit("again "), "target_text").alias("target_text"), F.lit("2025-01-01 00:00:00").cast("timestamp").alias("created_at"), F.lit(None).cast("string").alias("source_name"), (-F.col("id")).alias("ord"))
+    arrived = A.pairs(spark, d).select("source_text", "target_text", "created_at", "source_name", (F.col("conv_id") * 1000 + F.col("turn")).alias("ord")).unionByName(again).withColumn("stage", F.lit(1))
+    arrived.write.parquet(f"{base}/in")
+    snapshots.create(tm, f"{base}/memory")
+    stream = spark.readStream.schema(arrived.schema).parquet(f"{base}/in")
+    for state in ("first", "again"):  # a new state folder makes the stream send its batch again
+        snapshots.learn(stream, f"{base}/memory", "pairs", f"{base}/{state}").awaitTermination()
+    snapshots.compact(spark, f"{base}/memory")
+    return snapshots.read(spark, f"{base}/memory")
+
+
 @query("RUN_EVENTS", sql="SELECT task_id, seq, type FROM run_events WHERE k % 10 <> 9")
 def event_lines(spark, d):
     """Events written as protocol lines, some broken, and parsed again."""

@@ -13,7 +13,7 @@ SOURCE_LANG, TARGET_LANG = "ja", "zh"
 TM = "id long, content_hash string, source_text string, target_text string, stage int, char_count int, hit_count long, created_at timestamp, source_name string, source_lang string, target_lang string"
 
 
-def _directed(df: DataFrame) -> DataFrame:
+def directed(df: DataFrame) -> DataFrame:
     """The frame with its languages; those it lacks are the default ones."""
     for name, default in (("source_lang", SOURCE_LANG), ("target_lang", TARGET_LANG)):
         df = df.withColumn(name, F.coalesce(name, F.lit(default)) if name in df.columns else F.lit(default))
@@ -23,16 +23,16 @@ def _directed(df: DataFrame) -> DataFrame:
 def lookup_exact(queries: DataFrame, tm: DataFrame) -> DataFrame:
     """Queries (text, stage, languages or the default ones) with the memory's target. Equal texts are looked up once, so
     frequent replies make no hot key."""
-    hashed = _directed(queries.withColumn("content_hash", T.content_hash(F.col("text"))))
-    hits = hashed.select(*KEY).distinct().join(_directed(tm).select(*KEY, "id", "target_text"), KEY)
+    hashed = directed(queries.withColumn("content_hash", T.content_hash(F.col("text"))))
+    hits = hashed.select(*KEY).distinct().join(directed(tm).select(*KEY, "id", "target_text"), KEY)
     return hashed.join(hits, KEY, "left")
 
 
 def lookup_stages(queries: DataFrame, tm: DataFrame) -> DataFrame:
     """Queries (text) with targets, a map of the memory's target by stage; empty where the memory doesn't know the text."""
     key = [k for k in KEY if k != "stage"]
-    hashed = _directed(queries.withColumn("content_hash", T.content_hash(F.col("text"))))
-    known = _directed(tm).join(hashed.select(*key).distinct(), key, "left_semi")
+    hashed = directed(queries.withColumn("content_hash", T.content_hash(F.col("text"))))
+    known = directed(tm).join(hashed.select(*key).distinct(), key, "left_semi")
     stages = known.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stage", "target_text")))).alias("targets"))  # a row per stage
     none = F.map_from_entries(F.array().cast("array<struct<stage:int,target_text:string>>"))
     return hashed.join(stages, key, "left").withColumn("targets", F.coalesce("targets", none))
@@ -40,8 +40,8 @@ def lookup_stages(queries: DataFrame, tm: DataFrame) -> DataFrame:
 
 def known(queries: DataFrame, tm: DataFrame) -> DataFrame:
     """Those queries (text, stage) that the memory has."""
-    hashed = _directed(queries.withColumn("content_hash", T.content_hash(F.col("text"))))
-    return hashed.join(_directed(tm).select(*KEY), KEY, "left_semi")
+    hashed = directed(queries.withColumn("content_hash", T.content_hash(F.col("text"))))
+    return hashed.join(directed(tm).select(*KEY), KEY, "left_semi")
 
 
 def lookup_fuzzy(queries: DataFrame, tm: DataFrame, threshold: float = 0.8, candidates: int = 200, top: int = 10) -> DataFrame:
@@ -51,9 +51,9 @@ def lookup_fuzzy(queries: DataFrame, tm: DataFrame, threshold: float = 0.8, cand
     is cut to these first, and the candidates are picked once for all queries of a length: a query meets a bounded
     number of entries however large the memory is."""
     key = [k for k in KEY if k != "content_hash"]
-    q = _directed(queries).select("query_id", *key, F.lower(T.norm_spaces(F.col("text"))).alias("text")).filter("text <> ''").withColumn("n", F.length("text"))
+    q = directed(queries).select("query_id", *key, F.lower(T.norm_spaces(F.col("text"))).alias("text")).filter("text <> ''").withColumn("n", F.length("text"))
     most = Window.partitionBy(*key, "char_count").orderBy(F.desc("hit_count"), "id")
-    e = _directed(tm).select("id", *key, "char_count", "hit_count", F.lower(T.norm_spaces(F.col("source_text"))).alias("source")).withColumn("k", F.row_number().over(most)).filter(F.col("k") <= candidates).drop("k")
+    e = directed(tm).select("id", *key, "char_count", "hit_count", F.lower(T.norm_spaces(F.col("source_text"))).alias("source")).withColumn("k", F.row_number().over(most)).filter(F.col("k") <= candidates).drop("k")
     lengths = F.sequence(F.greatest(F.lit(1), F.floor(F.col("n") * 0.5)).cast("int"), F.greatest(F.lit(1), F.floor(F.col("n") * 1.5)).cast("int"))
     near = q.select(*key, "n").distinct().withColumn("char_count", F.explode(lengths)).join(e.drop("source"), [*key, "char_count"])
     used = Window.partitionBy(*key, "n").orderBy(F.desc("hit_count"), "id")
@@ -107,24 +107,24 @@ def probe(queries: DataFrame, tm: DataFrame) -> DataFrame:
     return exact.union(same).union(like).select("query_id", "match", "id")
 
 
-def upsert(tm: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert(tm: DataFrame, batch: DataFrame, top: int | None = None) -> DataFrame:
     """The next version of the memory, all its columns. batch: source_text, target_text, stage, created_at, source_name,
     ord, and languages or the default ones. Texts are folded to single spaces; rows with an empty side are ignored. Of a
     batch's rows with a key the last (by ord) gives the texts, the first its creation time; existing rows keep id, creation time and hit count;
-    provenance stays where the batch has none. New rows are numbered on from the largest id in order of their keys, by
-    counts of 4,096 hash prefixes, so no task sees all of them."""
-    rows = _directed(batch).withColumns({"source_text": T.norm_spaces(F.col("source_text")), "target_text": T.norm_spaces(F.col("target_text"))}).filter("source_text <> '' and target_text <> ''")
+    provenance stays where the batch has none. New rows are numbered on from the largest id (top, where tm is only a part)
+    in order of their keys, by counts of 4,096 hash prefixes, so no task sees all of them."""
+    rows = directed(batch).withColumns({"source_text": T.norm_spaces(F.col("source_text")), "target_text": T.norm_spaces(F.col("target_text"))}).filter("source_text <> '' and target_text <> ''")
     rows = rows.withColumn("content_hash", T.content_hash(F.col("source_text")))
     last = F.max_by(F.struct("source_text", "target_text"), "ord").alias("b")
     new = rows.groupBy(*KEY).agg(last, F.max_by("source_name", F.when(F.col("source_name").isNotNull(), F.col("ord"))).alias("name"), F.min_by("created_at", "ord").alias("at"))
-    both = _directed(tm).join(new, KEY, "full_outer")
+    both = directed(tm).join(new, KEY, "full_outer")
     old = both.filter("id is not null")
     fresh = both.filter("id is null").withColumn("prefix", F.substring("content_hash", 1, 3))
-    top = tm.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))  # one row
+    largest = tm.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")) if top is None else tm.sparkSession.range(1).select(F.lit(top).cast("long").alias("top"))  # one row
     counts = fresh.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("prefix")) - F.col("n")).drop("n")  # at most 4,096 rows
     place = F.row_number().over(Window.partitionBy("prefix").orderBy(*KEY))
-    fresh = fresh.join(F.broadcast(before), "prefix").crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("before") + place).drop("prefix", "before", "top")
+    fresh = fresh.join(F.broadcast(before), "prefix").crossJoin(F.broadcast(largest)).withColumn("id", F.col("top") + F.col("before") + place).drop("prefix", "before", "top")
     source = F.coalesce("b.source_text", "source_text")
     return old.unionByName(fresh).select("id", "content_hash", source.alias("source_text"), F.coalesce("b.target_text", "target_text").alias("target_text"), "stage", F.length(source).alias("char_count"), F.coalesce("hit_count", F.lit(0)).alias("hit_count"), F.coalesce("created_at", "at").alias("created_at"), F.coalesce("name", "source_name").alias("source_name"), "source_lang", "target_lang")
 
@@ -132,9 +132,9 @@ def upsert(tm: DataFrame, batch: DataFrame) -> DataFrame:
 def apply_suggestions(tm: DataFrame, suggestions: DataFrame, watch: DataFrame) -> DataFrame:
     """Suggested pairs (source, target, ord) for the upsert, with status added or exists (in the memory or earlier in the
     batch) and conflict_warn: the source is a term with conflicts in the watch log that nobody marked as false."""
-    rows = _directed(suggestions.withColumns({"source": T.strip(F.col("source")), "target": T.strip(F.col("target"))}).filter("source <> '' and target <> ''").withColumn("stage", F.lit(0)))
+    rows = directed(suggestions.withColumns({"source": T.strip(F.col("source")), "target": T.strip(F.col("target"))}).filter("source <> '' and target <> ''").withColumn("stage", F.lit(0)))
     rows = rows.withColumn("content_hash", T.content_hash(F.col("source")))
-    there = _directed(tm).select(*KEY).distinct().withColumn("there", F.lit(True))
+    there = directed(tm).select(*KEY).distinct().withColumn("there", F.lit(True))
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy("ord"))
     rows = rows.withColumn("place", place).join(there, KEY, "left")
     terms = watch.select(F.explode("per_term").alias("term", "v"), "manual_fp").filter(F.col("v.conflicts") > 0).filter(~F.coalesce(F.map_contains_key("manual_fp", F.col("term")), F.lit(False))).select("term").distinct()
