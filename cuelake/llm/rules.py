@@ -1,11 +1,11 @@
 """Quality rules: repetition inside a document and lines that a host repeats across documents. DataFrame functions only.
 
-Lines are normalised (lower case, white space folded, digits to 0) and hashed; per host the distinct texts that
-hold a line are counted. A line in more than min_texts of them is boilerplate and removed, however large the host
-is; a document that loses too much of itself is rejected. Exact copies of a text count once, so copies alone make no
-line common.
+Lines are normalised (lower case, white space folded, digits to 0) and hashed; per host the distinct documents that
+hold a line are counted. A line in more than most of them is boilerplate and removed, however large the host is; a
+document that loses too much of itself is rejected. So exact copies of a text, when there are more of them, take all
+its lines from each: near-duplicate removal belongs before this. by="texts" counts distinct texts instead, where it can't.
 
-Edge cases: a null or empty text has no words and fails the base rule; a null source is a host of its own; rows
+Edge cases: a document is its doc_id, rows without one are documents each; a null or empty text has no words and fails the base rule; a null source is a host of its own; rows
 with equal source and text share a verdict; an empty table gives an empty result; columns of the input named as
 the operator's are replaced.
 """
@@ -51,30 +51,31 @@ def _line_norm(line: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, _host, _text (hash of the text), the base columns and _lines, an array of (h, n): a line's hash and its words."""
+    """doc_id, _host, _text (hash of the text), _doc (the id, or a name of the row), the base columns and _lines, an array of (h, n): a line's hash and its words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id"), F.coalesce(F.concat(F.lit("1"), F.col("source").cast("string")), F.lit("0")).alias("_host"), text.alias("_t"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return rows.select(
-        "doc_id", "_host", F.xxhash64("_t").alias("_text"),
+        "doc_id", "_host", F.xxhash64("_t").alias("_text"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).alias("_doc"),
         _let(words_of(F.col("_t")), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), _repeated(ws).cast("long").alias("r"))).alias("_w"),
         F.length(F.translate("_t", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda ls: F.struct((F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("dup"), F.transform(ls, lambda x: F.struct(F.xxhash64(_line_norm(x)).alias("h"), F.size(words_of(x)).alias("n"))).alias("each"))).alias("_l"),
-    ).select("doc_id", "_host", "_text", F.col("_w.n").alias("n_words"), "word_chars", "n_symbols", F.col("_l.dup").alias("n_dup_lines"), F.col("_w.r").alias("n_repeat_words"), F.col("_l.each").alias("_lines"))
+    ).select("doc_id", "_host", "_text", "_doc", F.col("_w.n").alias("n_words"), "word_chars", "n_symbols", F.col("_l.dup").alias("n_dup_lines"), F.col("_w.r").alias("n_repeat_words"), F.col("_l.each").alias("_lines"))
 
 
-def quality_rules(docs: DataFrame, min_texts: int = 20, min_left: float = 0.5, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
+def quality_rules(docs: DataFrame, most: int = 20, min_left: float = 0.5, min_words: int = 10, max_repeat: int = 20, by: str = "documents") -> DataFrame:
     """doc_id, the base columns, base_failed, n_removed_words (words in boilerplate lines), n_left_words and kept."""
+    unit = {"documents": "_doc", "texts": "_text"}[by]
     rows = durable(measured(docs))
-    each = rows.select("_host", "_text", F.explode("_lines").alias("x")).select("_host", "_text", "x.h", "x.n")
+    each = rows.select("_host", "_text", "_doc", F.explode("_lines").alias("x")).select("_host", "_text", "_doc", "x.h", "x.n")
     copies = durable(rows.groupBy("_host", "_text").agg(F.count(F.lit(1)).alias("copies")))
-    counts = each.select("_host", "h", "_text").distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("texts"))
-    common = durable(counts.filter(F.col("texts") > min_texts).select("_host", "h"))
+    counts = each.select("_host", "h", unit).distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("held"))
+    common = durable(counts.filter(F.col("held") > most).select("_host", "h"))
     lost = each.join(small(common), ["_host", "h"]).groupBy("_host", "_text").agg(F.sum("n").alias("all"))
     # Rows with equal source and text have the same lines: the sum over them is shared among them.
     lost = durable(lost.join(copies, ["_host", "_text"]).select("_host", "_text", (F.col("all") / F.col("copies")).cast("long").alias("lost")))
-    out = rows.drop("_lines").join(small(lost), ["_host", "_text"], "left")
+    out = rows.drop("_lines", "_doc").join(small(lost), ["_host", "_text"], "left")
     lost_words = F.coalesce("lost", F.lit(0))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     left = F.col("n_words") - lost_words
@@ -93,7 +94,7 @@ r AS (SELECT doc_id, t, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, t,
 s AS (SELECT doc_id, t, sum(least(5, coalesce(nxt - i, 5)))::BIGINT AS n FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id, t ORDER BY i) AS nxt FROM r) GROUP BY doc_id, t),
 l AS (SELECT doc_id, host, t, unnest(ls) AS ln FROM w),
 m AS (SELECT doc_id, host, t, trim(regexp_replace(regexp_replace(lower(ln), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS k, len(regexp_extract_all(ln, '[^\x20\x09-\x0D]+')) AS n FROM l),
-c AS (SELECT host, k FROM m GROUP BY host, k HAVING count(DISTINCT t) > 20),
+c AS (SELECT host, k FROM m GROUP BY host, k HAVING count(DISTINCT doc_id) > 20),
 x AS (SELECT doc_id, t, sum(n)::BIGINT AS lost FROM m JOIN c USING (host, k) GROUP BY doc_id, t),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(w.t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
         (length(w.t) - length(regexp_replace(w.t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
