@@ -58,7 +58,7 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int
     rows = rows.select("_src", "_n", "_h")
     state = durable(targets(durable(rows.groupBy("_src").agg(F.sum("_n").alias("source_size"))), weights, max_repeat))
     for r in range(rounds):
-        state = state.withColumns({f"_room{r}": F.col("_left"), f"_bound{r}": F.lit(0).cast("long"), "_open": F.lit(True)})
+        state = state.withColumns({f"_room{r}": F.col("_left"), f"_bound{r}": F.lit(0).cast("long"), "_open": F.col("_base") < max_repeat})  # a source at its cap takes no more
         for shift, mask in _DIGITS:
             left = rows.join(small(state), "_src").filter("_open")
             left = left.filter(~_taken(r) & (F.col("_n") <= F.col(f"_room{r}")) if r else F.lit(True))
@@ -121,4 +121,4 @@ q{r} AS (SELECT *, NOT took{' AND size <= room' if r > 1 else ''} AS cand FROM r
 p{r} AS (SELECT *, cand AND sum(CASE WHEN cand THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h) <= room AS now FROM q{r}),
 r{r} AS (SELECT doc_id, source, size, h, source_size, target, base, took OR now AS took,
          room - coalesce(sum(CASE WHEN now THEN size END) OVER (PARTITION BY source), 0) AS room FROM p{r})"""
-    return sql + f"\nSELECT doc_id, size, source_size, target, base + took::BIGINT AS copies, size * (base + took::BIGINT) AS taken FROM r{rounds}"
+    return sql + f"\nSELECT doc_id, size, source_size, target, base + (took AND base < {max_repeat})::BIGINT AS copies, size * (base + (took AND base < {max_repeat})::BIGINT) AS taken FROM r{rounds}"
