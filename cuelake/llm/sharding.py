@@ -1,7 +1,7 @@
 """Resharding by minimum-cost flow: from old shard sizes and new capacities, the transfers that move the fewest bytes.
 
 A sharded corpus is a folder of files under data/gen=G/shard=K/file=F and a manifest that names, for its newest
-version, the files of every shard in order. Files of a shard hold blocks of documents (size class, then hash digit),
+version, the files of every shard in order. Files of a shard hold blocks of documents (size class, then hash digit; heavy blocks are several files),
 largest documents first, and each document's place and byte offset in its file.
 
 To reshard, the flow between shards is solved on shard totals alone. Each old shard gives its files, in order, first
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cuelake.llm.common import durable, new_folder, row_hash, small
+from cuelake.plans.versions import removed
 
 OVERHEAD = 16
 DIGITS = 64
@@ -98,11 +99,19 @@ def _write(rows: DataFrame, path: str, gen: str) -> None:
     rows.select("_row", "_h", "_size", "_from", "_pos", "_off", "shard", "file").write.partitionBy("shard", "file").parquet(f"{path}/data/gen={gen}")
 
 
-def _data(spark: SparkSession, path: str, row: StructType) -> DataFrame:
+def _data(spark: SparkSession, path: str, row: StructType, folders: list[str]) -> DataFrame:
+    """The rows of the named folders under data, a whole generation or single files; nothing else is listed or read."""
     schema = StructType().add("_row", row)
     for name, kind in (("_h", "long"), ("_size", "long"), ("_from", "integer"), ("_pos", "long"), ("_off", "long"), ("gen", "string"), ("shard", "integer"), ("file", "integer")):
         schema = schema.add(name, kind)
-    return spark.read.schema(schema).parquet(f"{path}/data")
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{path}/data").parquet(*(f"{path}/data/{f}" for f in folders))
+
+
+def _named(files: DataFrame) -> list[str]:
+    """The folders of a manifest's rows: a short name for each file, of which a shard has few."""
+    return [f"gen={r['gen']}/shard={r['shard']}/file={r['file']}" for r in files.select("gen", "shard", "file").collect()]
 
 
 def _commit(files: DataFrame, path: str, version: int) -> None:
@@ -119,8 +128,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("version") == (newest or 0))
 
 
-def _counted(data: DataFrame, gen: str, version: int) -> DataFrame:
-    rows = data.filter(F.col("gen") == gen).groupBy("gen", "shard", "file").agg(F.count(F.lit(1)).alias("rows"), F.sum("_size").alias("bytes"))
+def _counted(data: DataFrame, version: int) -> DataFrame:
+    rows = data.groupBy("gen", "shard", "file").agg(F.count(F.lit(1)).alias("rows"), F.sum("_size").alias("bytes"))
     return rows.withColumns({"seq": F.lit(version << 32) + F.col("file"), "fresh": F.lit(True)})
 
 
@@ -137,11 +146,14 @@ def lay_out(docs: DataFrame, path: str, shards: int = 32, shard: Column | None =
     if file_bytes is None:
         file_bytes = _file_bytes(blocks.groupBy("shard").agg(F.sum("_bytes").alias("b")).agg(F.max("b")).first()[0] or 0)
     before = F.sum("_bytes").over(Window.partitionBy("shard").orderBy("_class", "_dig")) - F.col("_bytes")
-    placed = durable(blocks.withColumn("file", F.floor(before / F.lit(file_bytes)).cast("int")).drop("_bytes"))
+    placed = durable(blocks.withColumn("_first", before))
     gen = f"g0-{uuid.uuid4().hex}"
-    _write(rows.join(small(placed), block), path, gen)
-    data = _data(docs.sparkSession, path, _unnamed(docs).schema)
-    _commit(_counted(data, gen, 0), path, 0)
+    # A block's documents are spread evenly over its bytes, so a heavy block is as many files as its bytes ask for.
+    spread = F.col("_h").bitwiseAND(F.lit((1 << 20) - 1)) / F.lit(1 << 20)
+    rows = rows.join(small(placed), block).withColumn("file", F.floor((F.col("_first") + spread * F.col("_bytes")) / F.lit(file_bytes)).cast("int"))
+    _write(rows, path, gen)
+    data = _data(docs.sparkSession, path, _unnamed(docs).schema, [f"gen={gen}"])
+    _commit(_counted(data, 0), path, 0)
 
 
 def plan(files: DataFrame, old_shards: int, new_shards: int) -> DataFrame:
@@ -177,7 +189,7 @@ def reshard(spark: SparkSession, path: str, row: StructType, new_shards: int = 4
     given = F.least(F.col("s.upto"), F.col("_before") + F.col("bytes")) - F.greatest(F.when(F.col("_k") > 0, F.get("shares", F.col("_k") - 1)["upto"]).otherwise(F.col("_before")), F.col("_before"))
     counts = durable(went.groupBy(F.col("s.to").alias("to")).agg(F.ceil(F.sum(given) / F.lit(file_bytes)).cast("int").alias("_files")))  # a row per shard
     moving = files.filter("not stays").select("gen", "shard", "file", "_before", "shares")
-    rows = _data(spark, path, row).join(small(durable(moving)), ["gen", "shard", "file"])
+    rows = _data(spark, path, row, _named(moving)).join(small(durable(moving)), ["gen", "shard", "file"])
     middle = F.col("_before") + F.col("_off") + F.col("_size") / 2
     to = F.coalesce(F.get(F.filter("shares", lambda x: middle < x["upto"]), 0), F.element_at("shares", -1))["to"]
     rows = rows.select("_row", "_h", "_size", F.col("shard").alias("_from"), to.alias("to")).join(small(counts), "to", "left")
@@ -185,13 +197,20 @@ def reshard(spark: SparkSession, path: str, row: StructType, new_shards: int = 4
     gen = f"g{version}-{uuid.uuid4().hex}"
     _write(rows, path, gen)
     kept = files.filter("stays").select("gen", "shard", "file", "rows", "bytes", "seq", F.lit(False).alias("fresh"))
-    _commit(kept.unionByName(_counted(_data(spark, path, row), gen, version)), path, version)
+    _commit(kept.unionByName(_counted(_data(spark, path, row, [f"gen={gen}"] if moving.head(1) else []), version)), path, version)
+
+
+def drop_superseded(spark: SparkSession, path: str) -> list[str]:
+    """Delete the files that the newest version doesn't name, and return their folders; older versions can't be read after."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    newest = set(_named(manifest(spark, path)))
+    return [f for f in sorted(set(_named(rows)) - newest) if removed(spark, f"{path}/data/{f}")]
 
 
 def read_shards(spark: SparkSession, path: str, row: StructType) -> DataFrame:
     """The documents of the newest version: the input's columns, shard, slot and move (the last resharding moved it)."""
     files = durable(manifest(spark, path).select("gen", "shard", "file", "first_slot", "fresh"))
-    rows = _data(spark, path, row).join(small(files), ["gen", "shard", "file"])
+    rows = _data(spark, path, row, _named(files)).join(small(files), ["gen", "shard", "file"])
     return rows.select("_row.*", "shard", (F.col("first_slot") + F.col("_pos")).alias("slot"), (F.col("fresh") & (F.col("_from") != F.col("shard"))).alias("move"))
 
 
@@ -200,6 +219,7 @@ def reshard_files(docs: DataFrame, new_shards: int = 40, old_shards: int = 32, o
     path, row = path or new_folder(docs.sparkSession, "shards"), _unnamed(docs).schema
     lay_out(docs, path, old_shards, old_shard, file_bytes)
     reshard(docs.sparkSession, path, row, new_shards, old_shards, file_bytes)
+    drop_superseded(docs.sparkSession, path)
     return read_shards(docs.sparkSession, path, row)
 
 

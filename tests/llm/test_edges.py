@@ -102,13 +102,26 @@ def test_rules_of_odd_rows(spark, docs, duck):
 
 
 def test_boilerplate_limit_does_not_grow_with_the_host(spark):
-    # 25 texts of a host of 2,000 share a line: under 2 % of it, and more than 20.
+    # 25 documents of a host of 2,000 share a line: under 2 % of it, and more than 20.
     big = [(k, prose(k, 40) + ("\n" + prose(9000, 20) if k < 25 else ""), "big") for k in range(2000)]
-    # Copies count once: 30 copies of a text on a host make its lines no boilerplate; 20 texts are still within the limit.
-    small = [(3000 + k, prose(9001, 40), "copies") for k in range(30)] + [(4000 + k, prose(k, 40) + "\n" + prose(9002, 20), "twenty") for k in range(20)]
+    # 30 copies of a text are 30 documents that share its lines; 20 documents are within the limit, as are repeated rows of one.
+    small = [(3000 + k, prose(9001, 40), "copies") for k in range(30)] + [(4000 + k, prose(k, 40) + "\n" + prose(9002, 20), "twenty") for k in range(20)] + [(5000, prose(9003, 40), "rows")] * 30
+    small += [(None, prose(9004, 40), "no ids")] * 30
     docs = spark.createDataFrame(big + small, "doc_id long, text string, source string")
-    removed = {r.doc_id: r.n_removed_words for r in rules.quality_rules(docs).collect()}
-    assert removed == {k: 20 if k < 25 else 0 for k, *_ in big + small}
+    removed = [((r.doc_id, r.n_removed_words), r.kept) for r in rules.quality_rules(docs).collect()]
+    lost = lambda k, t, s: 40 if s in ("copies", "no ids") else 20 if k is not None and k < 25 else 0
+    assert sorted(map(str, removed)) == sorted(str(((k, lost(k, t, s)), lost(k, t, s) < 40)) for k, t, s in big + small)
+    texts = {(r.doc_id, r.n_removed_words) for r in rules.quality_rules(docs, by="texts").collect()}
+    assert texts == {(k, 20 if k is not None and k < 25 else 0) for k, *_ in big + small}
+
+
+def test_a_source_at_its_cap_is_taken_no_fourth_time(spark):
+    """One source is tiny beside its weight: its target stops at three times its size, empty texts included."""
+    rows = [(k, f"{prose(k, 12)}", "a") for k in range(10)] + [(100 + k, None if k % 2 else " ", "a") for k in range(10)] + [(1000 + k, prose(k, 100), "b") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    report = mixing.mix_report(docs).collect()
+    assert {r.copies for r in report if r.doc_id < 1000} == {3} and max(r.copies for r in report) <= 3
+    assert mixing.mix_sources(docs).filter("doc_id < 1000").count() == 60
 
 
 PAGES = "page_id long, url string, html string"

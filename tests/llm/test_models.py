@@ -165,8 +165,10 @@ def plain_reshard(rows, old_shards, new_shards, file_bytes):
             if d[2] % old_shards == old:
                 blocks[80 - math.floor(math.log2(d[1]) * 2), (d[2] >> 20) % 64].append(d)
         for b in sorted(blocks):
-            files[old, sizes[old] // file_bytes] += blocks[b]
-            sizes[old] += sum(x[1] for x in blocks[b])
+            whole = sum(x[1] for x in blocks[b])
+            for d in blocks[b]:
+                files[old, math.floor((sizes[old] + (d[2] % (1 << 20)) / (1 << 20) * whole) / file_bytes)].append(d)
+            sizes[old] += whole
     total = sum(sizes)
     flow = sharding.min_cost_transfers(sizes, [total * (j + 1) // new_shards - total * j // new_shards for j in range(new_shards)])
     spans = {i: [] for i in range(old_shards)}
@@ -214,6 +216,21 @@ def test_shards_row_by_row(spark, docs, tables, file_bytes):
     assert all(r.size == len((texts[r.doc_id] or "").encode()) + 16 and r.text_crc32 == crc(texts[r.doc_id].encode()) and r.law == "bytes" for r in rows if texts[r.doc_id] is not None)
 
 
+def test_heavy_blocks_are_several_files(spark):
+    """Documents of one size are one class of 64 blocks; files stay near the bytes that were asked for."""
+    path = __import__("cuelake.llm.common", fromlist=["x"]).new_folder(spark, "shards")
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.lit(984)).alias("text"))
+    sharding.lay_out(docs, path, 2, file_bytes=100_000)
+    sharding.reshard(spark, path, docs.schema, 3, 2, file_bytes=100_000)
+    sizes = [r.bytes for r in sharding.manifest(spark, path).collect()]
+    assert sum(sizes) == 20_000_000 and max(sizes) <= 150_000 and len(sizes) < 260
+    before = {f for f in __import__("glob").glob(f"{path.removeprefix('file://')}/data/*/*/*")}
+    gone = sharding.drop_superseded(spark, path)
+    after = {f for f in __import__("glob").glob(f"{path.removeprefix('file://')}/data/*/*/*")}
+    assert gone and len(before) - len(after) == len(gone) and len(after) == len(sizes)
+    assert sharding.read_shards(spark, path, docs.schema).count() == 20000
+
+
 def test_only_affected_files_are_rewritten(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), (F.col("id") * 7 % 97).cast("int")).alias("text"), F.lit("clash").alias("_row"))
     path = __import__("cuelake.llm.common", fromlist=["x"]).new_folder(spark, "shards")
@@ -232,5 +249,8 @@ def test_only_affected_files_are_rewritten(spark):
         assert len(sizes) == new and sizes.max() - sizes.min() <= 2 * (97 * 3 + 16)
         assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in rows.groupby("shard"))
         last = set(files)
+        # What is read is what the manifest names, and of old files those that moved.
+        read = {tuple(x.split("=")[1] for x in f.split("/")[-4:-1]) for f in sharding.read_shards(spark, path, docs.schema).inputFiles()}
+        assert read == {tuple(map(str, k)) for k in files}
         if new == 5:  # a fifth of the bytes must move; little beyond the cut files is rewritten
             assert 380 < rows["move"].sum() < 420 * 2 and sum(r.rows for r in files.values() if r.fresh) < 0.6 * 2000
