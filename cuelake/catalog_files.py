@@ -11,7 +11,7 @@ from cuelake.operators import memory, quality, snapshots
 from cuelake.registry import query
 from cuelake.sources import adapters as A
 from cuelake.sources import cues as S
-from cuelake.sources import sidecars
+from cuelake.sources import reports, sidecars
 from cuelake.streaming import events as R
 from cuelake.streaming import sessions
 
@@ -140,8 +140,8 @@ def tm_csv(spark, d):
 def tm_csv_layouts(spark, d):
     """Older layouts of an export: two columns, or three with the stage, under a head of their own."""
     tm, path = A.memory(spark, d), folder(spark, "memory")
-    tm.filter("id % 2 = 1").select("source_text", "target_text").toDF("source", "target").write.option("header", True).csv(f"{path}/two")
-    tm.filter("id % 2 = 0").select("source_text", "target_text", "stage").toDF("原文", "译文", "stage").write.option("header", True).csv(f"{path}/three")
+    tm.filter("id % 2 = 1").select("source_text", "target_text").toDF("source", "target").write.options(**reports.CSV).csv(f"{path}/two")
+    tm.filter("id % 2 = 0").select("source_text", "target_text", "stage").toDF("原文", "译文", "stage").write.options(**reports.CSV).csv(f"{path}/three")
     rows = [sidecars.import_memory(spark, f"{path}/{k}", "en", "fr") for k in ("two", "three")]
     return rows[0].unionByName(rows[1]).select("source_text", "target_text", "stage", "source_lang", "target_lang")
 

@@ -76,8 +76,8 @@ def artifact_sample(spark, d):
 
 
 @query("CUES", "MERGED", "PASS2", sql=_DISAGREE + """, l AS (SELECT *, CASE WHEN short < 10 THEN 'C' WHEN long > 60 THEN 'A' ELSE 'B' END AS label FROM g),
-c AS (SELECT *, iou < i AND offset_s > o AS gone FROM l, (SELECT unnest([0.2::DOUBLE, 0.25, 0.3, 0.35]) AS i), (SELECT unnest([1.5::DOUBLE, 2.0, 2.5, 3.0]) AS o))
-SELECT i AS iou_limit, o AS offset_limit, count(*) FILTER (label = 'A' AND NOT gone) / count(*) FILTER (label = 'A') AS a_alive, count(*) FILTER (label = 'B' AND NOT gone) / count(*) FILTER (label = 'B') AS b_alive,
+c AS (SELECT *, rule = 'historical' AND iou < i AND offset_s > o AS gone FROM l, (SELECT unnest(['current', 'historical']) AS rule), (SELECT unnest([0.2::DOUBLE, 0.25, 0.3, 0.35]) AS i), (SELECT unnest([1.5::DOUBLE, 2.0, 2.5, 3.0]) AS o))
+SELECT rule, i AS iou_limit, o AS offset_limit, count(*) FILTER (label = 'A' AND NOT gone) / count(*) FILTER (label = 'A') AS a_alive, count(*) FILTER (label = 'B' AND NOT gone) / count(*) FILTER (label = 'B') AS b_alive,
   count(*) FILTER (label <> 'C' AND NOT gone) / count(*) FILTER (label <> 'C') AS ab_alive, count(*) FILTER (label = 'C' AND gone) / count(*) FILTER (label = 'C') AS c_cleared FROM c GROUP BY ALL""")
 def threshold_grid(spark, d):
     label = F.when(F.col("short") < 10, "C").when(F.col("long") > 60, "A").otherwise("B")
@@ -136,7 +136,7 @@ def premerge(spark, d):
 
 
 #: Rules of the catalogue, for Latin script.
-_TINY = clean.CleanRules(sensory=("tion", "heit"), short=("Un", "Of", "On"), exclamations=("Es", "In"), fillers=("And", "The"), addresses=("ing",), actions=("is", "est"), particles=("en",), degrees=("very",), hardened=("zz",), hardened_patterns=("[0-9]{4}",), meta_strong=("License",), meta_weak=("MIT",), garbage=(r"^[.!?]+$",))
+_TINY = clean.CleanRules(sensory=("tion", "heit"), short=("Un", "Of", "On"), exclamations=("Es", "In"), fillers=("And", "The"), addresses=("ing",), actions=("is", "est"), particles=("en",), degrees=("very",), beside=("en", "s"), hardened=("zz",), hardened_patterns=("[0-9]{4}",), meta_strong=("License",), meta_weak=("MIT",), garbage=(r"^[.!?]+$",))
 
 
 @query()

@@ -47,7 +47,7 @@ def divergence_review(spark, d):
     return _review_rows(spark, d).select("file_id", "pos", "group", "final_text")
 
 
-@query("CUES", "MERGED", "PASS2", "FINAL", sql=_REVIEW + f"""SELECT file_id::VARCHAR AS file_id, "group", {_SPAN} AS timing, round(similarity, 4) AS similarity, iou, offset_s, t1 AS text1, coalesce(final_text, '') AS final_text FROM k LEFT JOIN ft USING (file_id, pos) WHERE "group" <> 'artifact'""")
+@query("CUES", "MERGED", "PASS2", "FINAL", sql=_REVIEW + f"""SELECT file_id::VARCHAR AS file_id, "group", {_SPAN} AS timing, printf('%.4f', similarity)::DOUBLE AS similarity, iou, offset_s, t1 AS text1, coalesce(final_text, '') AS final_text FROM k LEFT JOIN ft USING (file_id, pos) WHERE "group" <> 'artifact'""")
 def review_table(spark, d):
     """Written as CSV and read again, without the rows that were filtered."""
     path = folder(spark, "review")
@@ -194,7 +194,7 @@ def guide_files(spark, d):
 _RISKS = f"""WITH r AS (SELECT *, {_SPAN} AS timing, CASE WHEN length(text) > 60 THEN 'long' ELSE 'untranslated' END AS reason, CASE WHEN starts_with(text, '[未翻译]') THEN 'kept source' ELSE '' END AS action, CASE WHEN length(text) > 90 THEN 'critical' WHEN length(text) > 60 THEN 'info' ELSE 'warning' END AS severity FROM final WHERE starts_with(text, '[未翻译]') OR length(text) > 60),
 e AS (SELECT file_id, reason, action, severity, CASE WHEN min(idx) = max(idx) THEN min(idx)::VARCHAR ELSE min(idx) || '-' || max(idx) END AS entry_range, arg_min(timing, idx) || '→' || arg_max(timing, idx) AS timing_range, count(*) AS affected, array_to_string(list(timing ORDER BY idx)[1:3], '|') AS timings FROM r GROUP BY ALL),
 t AS (SELECT file_id, count(*) AS total, count(*) FILTER (starts_with(text, '[未翻译]')) * 8 AS kept FROM final GROUP BY file_id),
-s AS (SELECT t.file_id, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'critical') AS critical, kept >= 0.8 * total AS untranslated_majority,
+s AS (SELECT t.file_id, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'critical') + (kept >= 0.8 * total)::INT AS critical, kept >= 0.8 * total AS untranslated_majority,
   coalesce(bool_or(severity <> 'info' AND action <> '' AND affected > 0), false) OR kept >= 0.8 * total AS degraded FROM t LEFT JOIN e USING (file_id) GROUP BY t.file_id, kept, total)
 """
 
@@ -234,12 +234,12 @@ def run_totals(spark, d):
 
 @query("CUES", "FINAL", "GLOSSARY", sql=rf"""WITH al AS (SELECT f.file_id, f.pos, f.idx, f.start_ms, f.end_ms, f.text, c.text AS src_text FROM final AS f JOIN cues AS c USING (file_id, pos)),
 w AS (SELECT DISTINCT file_id, idx, {_SPAN} AS timing, text, unnest(regexp_extract_all(lower(src_text), '[A-Za-z0-9_\x{{c0}}-\x{{24f}}]+')) AS t FROM al)
-SELECT idx AS entry_id, timing, src AS source_term, dst AS expected_targets, text AS actual_text FROM w JOIN glossary ON t = src WHERE NOT contains(text, dst) AND NOT (ord % 2 = 0 AND contains(text, reverse(src)))""")
+SELECT idx AS entry_id, timing, src AS source_term, dst || CASE WHEN ord % 2 = 0 THEN '|' || reverse(src) ELSE '' END AS expected_targets, substr(trim(text), 1, 60) AS actual_text FROM w JOIN glossary ON t = src WHERE NOT contains(text, dst) AND NOT (ord % 2 = 0 AND contains(text, reverse(src)))""")
 def conflict_table(spark, d):
     """Conflicts written as CSV and read again."""
     c, path = A.cues(spark, d), folder(spark, "conflicts")
     rows = glossary.conflicts(A.final(c), c, A.glossary(spark, d)).filter("verdict = 'neither'")
-    reports.write_conflicts(rows.select(F.col("idx").alias("entry_id"), "timing", F.col("src").alias("source_term"), F.col("dst").alias("expected_targets"), F.col("text").alias("actual_text")), path)
+    reports.write_conflicts(rows.select(F.col("idx").alias("entry_id"), "timing", F.col("src").alias("source_term"), F.array_join(F.concat(F.array("dst"), "aliases"), "|").alias("expected_targets"), F.col("text").alias("actual_text")), path)
     return spark.read.schema("entry_id int, timing string, source_term string, expected_targets string, actual_text string, created_at string").options(**reports.CSV).csv(path).drop("created_at")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 from cuelake.operators.passes import align_by_start
+from cuelake.plans.containment import containing
 
 #: Limits of the watch log's verdict (fixed values).
 MIN_RUNS, MIN_CANDIDATES, CANDIDATE_CUTOFF, FALSE_RATE = 3, 100, 300, 0.02
@@ -14,17 +15,15 @@ MIN_RUNS, MIN_CANDIDATES, CANDIDATE_CUTOFF, FALSE_RATE = 3, 100, 300, 0.02
 
 def term_hits(rows: DataFrame, glossary: DataFrame, text: str = "text") -> DataFrame:
     """Rows (file_id, pos) with every term they contain. Texts and terms are folded once. Single-word terms meet the rows'
-    words in an equi-join; the others (phrases, unspaced scripts) by their first two characters and are verified. Only
-    ids travel to the joins; the rows are fetched for what was hit."""
+    words in an equi-join; the others (phrases, unspaced scripts) by their rarest gram and are verified. Only ids travel to
+    the joins; the rows are fetched for what was hit."""
     folded = rows.select("file_id", "pos", T.fold(F.col(text)).alias("s"))
     words = F.array_distinct(F.regexp_extract_all("s", F.lit(f"{T.LATIN}+"), 0))
     g = glossary.withColumn("t", T.fold(F.col("src")))
     single = F.col("t").rlike(f"^{T.LATIN}+$")
     by_word = folded.select("file_id", "pos", F.explode(words).alias("t")).join(g.filter(single & (F.length("t") >= 2)), "t").drop("t")
-    rest = g.filter(~single).withColumn("gram", F.substring("t", 1, 2))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.substring(F.col("s"), i, F.lit(2))))
-    near = folded.select("file_id", "pos", F.explode(grams).alias("gram")).join(rest.select("src", "t", "gram"), "gram").select("file_id", "pos", "src", "t")
-    by_gram = near.join(folded, ["file_id", "pos"]).filter(T.contains_folded(F.col("t"), F.col("s"))).select("file_id", "pos", "src").join(glossary, "src")
+    inside = T.contains_folded(F.col("t"), F.col("s"))
+    by_gram = containing(folded, g.filter(~single).select("src", "t").distinct(), ["file_id", "pos"], "src", inside).drop("t").join(glossary, "src")
     hits = by_word.select("file_id", "pos", *glossary.columns).unionByName(by_gram.select("file_id", "pos", *glossary.columns))
     return rows.join(hits, ["file_id", "pos"])
 

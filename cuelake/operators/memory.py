@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
+from cuelake.plans.containment import containing
 
 KEY = ["content_hash", "stage", "source_lang", "target_lang"]
 #: The direction of rows that don't name one.
@@ -64,46 +65,17 @@ def lookup_fuzzy(queries: DataFrame, tm: DataFrame, threshold: float = 0.8, cand
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "id", "similarity", "rank")
 
 
-def _terms(c) -> Column:
-    return F.regexp_extract_all(T.nfkc_casefold(c), F.lit(r"[\p{L}\p{N}]+"), 0)
-
-
-def postings(tm: DataFrame) -> DataFrame:
-    """id, tokens and len of every entry, folded: the table that searches read. A memory that is searched often keeps it."""
-    return tm.select("id", _terms(F.concat_ws(" ", "source_text", "target_text")).alias("tokens")).withColumn("len", F.size("tokens"))
-
-
-def search(queries: DataFrame, index: DataFrame, limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """For each query (query_id, text): entries of postings() that hold all its terms, best BM25 first. Only rows of asked
-    terms are grouped; ties go to the smaller id."""
-    stats = index.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("avg_len"))  # one row
-    terms = queries.select("query_id", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    asked = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    own = index.select("id", "len", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    own = own.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
-    scored = terms.join(own, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hits = scored.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.sum(part).alias("score")).join(asked, "query_id").filter("n = n_terms")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(1, min(limit, 200))).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
-
-
 def probe(queries: DataFrame, tm: DataFrame) -> DataFrame:
     """For each query (query_id, text) the first entry (by id) with an equal text, else with an equal normalised text, else
-    with the text inside it: match exact, normalised or like; no row without any. Containment pairs meet by the first
-    three characters of the query."""
+    with the text inside it: match exact, normalised or like; no row without any. Containment pairs meet by the rarest
+    gram of the query."""
     q = queries.select("query_id", "text", T.content_hash(F.col("text")).alias("h"), T.norm_match(F.col("text")).alias("norm"), T.norm_spaces(F.col("text")).alias("like"))
     first = lambda df, name: df.groupBy("query_id").agg(F.min("id").alias("id")).withColumn("match", F.lit(name))
     exact = first(q.join(tm.select("id", F.col("content_hash").alias("h")), "h"), "exact")
     rest = q.join(exact, "query_id", "left_anti").filter("norm <> ''")
     same = first(rest.join(tm.select("id", T.norm_match(F.col("source_text")).alias("norm")), "norm"), "normalised")
-    rest = q.join(exact.union(same), "query_id", "left_anti").filter("like <> ''").withColumn("gram", F.substring("like", 1, 3))
-    n = F.length("source_text")
-    grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(F.col("source_text"), i, k)))))
-    wanted = rest.select("gram").distinct()
-    held = tm.select("id", "source_text", F.explode(grams).alias("gram")).join(wanted, "gram", "left_semi")
-    like = first(rest.join(held, "gram").filter(F.contains("source_text", "like")), "like")
+    rest = q.join(exact.union(same), "query_id", "left_anti").select("query_id", F.col("like").alias("t"))
+    like = first(containing(tm.select("id", F.col("source_text").alias("s")), rest, ["id"], "query_id"), "like")
     return exact.union(same).union(like).select("query_id", "match", "id")
 
 

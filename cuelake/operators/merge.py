@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
-from cuelake.plans.islands import by_file, island
+from cuelake.plans.islands import by_file, contains_join, island
 
 #: Endings and beginnings of unfinished and finished rows (fixed patterns).
 PARTICLE_END = r"(?:は|が|を|に|で|て|し|から|ので|って|けど|けども|ー)\s*$"
@@ -67,9 +67,10 @@ def premerge(cues: DataFrame, most: int = 3, span_ms: int = 5000, chars: int = 8
 
 
 def evidence(merged: DataFrame, cues: DataFrame, source: DataFrame) -> DataFrame:
-    """Merged rows with the source texts of all their members, by exact span."""
-    members = merged.select("file_id", F.col("pos").alias("head"), F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("members") - 1)).alias("pos"))
-    src = source.select("file_id", "start_ms", "end_ms", F.col("text").alias("src")).dropDuplicates(["file_id", "start_ms", "end_ms"])
-    rows = members.join(cues.select("file_id", "pos", "start_ms", "end_ms"), ["file_id", "pos"]).join(src, ["file_id", "start_ms", "end_ms"])
-    texts = rows.groupBy("file_id", F.col("head").alias("pos")).agg(F.array_sort(F.collect_list("src")).alias("evidence"))
+    """Merged rows with the source texts of every row before the merge that lies in their span, with 1 ms of play: all texts
+    of the source rows that have such a row's exact span."""
+    inside = contains_join(merged.select("file_id", "pos", "start_ms", "end_ms"), cues.select("file_id", "pos", "start_ms", "end_ms"), ["file_id"])
+    spans = inside.select("file_id", "pos", F.col("r_start_ms").alias("start_ms"), F.col("r_end_ms").alias("end_ms")).distinct()
+    rows = spans.join(source.select("file_id", "start_ms", "end_ms", F.col("text").alias("src")), ["file_id", "start_ms", "end_ms"])
+    texts = rows.groupBy("file_id", "pos").agg(F.array_sort(F.collect_list("src")).alias("evidence"))  # rows of one merged span
     return merged.join(texts, ["file_id", "pos"], "left")

@@ -75,17 +75,18 @@ def similarity_buckets(rows: DataFrame) -> DataFrame:
 
 def threshold_grid(rows: DataFrame, ious: tuple[float, ...] = (0.20, 0.25, 0.30, 0.35), offsets: tuple[float, ...] = (1.5, 2.0, 2.5, 3.0)) -> DataFrame:
     """For labelled rows (label A, B or C) and each pair of limits: the share of A, of B and of both that survives, and of C
-    that is cleared, when interjections and rows with IoU below and offset above their limits are artifacts; null without
-    rows of the label."""
+    that is cleared; null without rows of the label. rule historical: interjections and rows with IoU below and offset above
+    their limits are artifacts; rule current: the limits no longer count, interjections alone are artifacts, so all cells
+    are alike."""
     grid = F.explode(F.array(*(F.struct(F.lit(i).alias("iou_limit"), F.lit(o).alias("offset_limit")) for i in ious for o in offsets)))
-    cells = rows.groupBy("label", "iou", "offset_s", "interjection").agg(F.count(F.lit(1)).alias("n")).withColumn("g", grid).select("*", "g.*")
-    gone = F.col("interjection") | ((F.col("iou") < F.col("iou_limit")) & (F.col("offset_s") > F.col("offset_limit")))
+    cells = rows.groupBy("label", "iou", "offset_s", "interjection").agg(F.count(F.lit(1)).alias("n")).withColumn("g", grid).select("*", "g.*").withColumn("rule", F.explode(F.array(F.lit("current"), F.lit("historical"))))
+    gone = F.col("interjection") | ((F.col("rule") == "historical") & (F.col("iou") < F.col("iou_limit")) & (F.col("offset_s") > F.col("offset_limit")))
 
     def share(labels: tuple[str, ...], test):
         own = F.col("label").isin(*labels)
         return F.sum(F.when(own, F.when(test, F.col("n")).otherwise(0))) / F.sum(F.when(own, F.col("n")))
 
-    return cells.groupBy("iou_limit", "offset_limit").agg(share(("A",), ~gone).alias("a_alive"), share(("B",), ~gone).alias("b_alive"), share(("A", "B"), ~gone).alias("ab_alive"), share(("C",), gone).alias("c_cleared"))
+    return cells.groupBy("rule", "iou_limit", "offset_limit").agg(share(("A",), ~gone).alias("a_alive"), share(("B",), ~gone).alias("b_alive"), share(("A", "B"), ~gone).alias("ab_alive"), share(("C",), gone).alias("c_cleared"))
 
 
 def unmatched(left: DataFrame, right: DataFrame, width_ms: int = 2000) -> DataFrame:

@@ -88,7 +88,7 @@ def coverage(final: DataFrame, orig: DataFrame) -> DataFrame:
 
 def length_ratio(final: DataFrame, orig: DataFrame, low: float = 0.3) -> DataFrame:
     """Per file: the upper median of target over source weighted length, and the share of very short targets."""
-    src = orig.select("file_id", "start_ms", "end_ms", F.col("text").alias("source")).dropDuplicates(["file_id", "start_ms", "end_ms"])
+    src = orig.groupBy("file_id", "start_ms", "end_ms").agg(F.min_by("text", "pos").alias("source"))  # the first row of a span
     rows = final.join(src, ["file_id", "start_ms", "end_ms"]).filter(~T.is_untranslated(F.col("text")))
     rows = rows.withColumn("ratio", T.weighted_length(F.col("text")) / T.weighted_length(F.col("source")))
     ratios = F.array_sort(F.collect_list("ratio"))
@@ -113,7 +113,7 @@ def residue(final: DataFrame, orig: DataFrame, pattern: str = T.KANA) -> DataFra
 
 def term_retention(final: DataFrame, orig: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
     """Of source rows with a listed term, the share whose target has its translation. Terms are few and given."""
-    src = orig.select("file_id", "start_ms", "end_ms", F.col("text").alias("source")).dropDuplicates(["file_id", "start_ms", "end_ms"])
+    src = orig.groupBy("file_id", "start_ms", "end_ms").agg(F.min_by("text", "pos").alias("source"))  # the first row of a span
     rows = src.join(final.select("file_id", "start_ms", "end_ms", "text"), ["file_id", "start_ms", "end_ms"], "left")
     stacked = F.array(*(F.struct(F.lit(a).alias("term"), F.lit(b).alias("target")) for a, b in terms))
     rows = rows.select("*", F.explode(stacked).alias("t")).filter(F.contains("source", F.col("t.term")))
@@ -204,14 +204,23 @@ def risk_events(rows: DataFrame, samples: int = 3) -> DataFrame:
     return out.select("file_id", "stage", "reason", "action", "severity", span.alias("entry_range"), F.concat_ws("→", "first_timing", "last_timing").alias("timing_range"), "affected", "timings")
 
 
+def majority_events(files: DataFrame) -> DataFrame:
+    """The critical event of each file (file_id, total, kept, untranslated_majority) of which most is untranslated."""
+    rows = files.filter("untranslated_majority")
+    reason = F.concat(F.lit("untranslated majority: "), F.col("kept").cast("string"), F.lit("/"), F.col("total").cast("string"))
+    empty = F.lit("")
+    return rows.select("file_id", F.lit("final").alias("stage"), reason.alias("reason"), F.lit("kept source").alias("action"), F.lit("critical").alias("severity"), empty.alias("entry_range"), empty.alias("timing_range"), F.greatest(F.lit(0), F.col("total") - F.col("kept")).cast("long").alias("affected"), F.array().cast("array<string>").alias("timings"))
+
+
 def risk_files(events: DataFrame, totals: DataFrame, majority: float = 0.8) -> DataFrame:
     """Per file (totals: file_id, total, kept: rows left in the source language) events by severity, untranslated_majority
-    (kept is at least that share of all), and degraded: an event that isn't just information acted on rows, or a majority."""
+    (kept is at least that share of all; a critical event of its own), and degraded: an event that isn't just information
+    acted on rows, or a majority."""
     is_ = lambda name: F.count_if(F.col("severity") == name).alias(name)
     acted = F.coalesce(F.bool_or((F.col("severity") != "info") & (F.col("action") != "") & (F.col("affected") > 0)), F.lit(False))
     sums = events.groupBy("file_id").agg(is_("info"), is_("warning"), is_("critical"), acted.alias("acted"))
     rows = totals.join(sums, "file_id", "left").withColumn("untranslated_majority", (F.col("total") > 0) & (F.col("kept") >= majority * F.col("total")))
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("info", "warning", "critical")}
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("info", "warning")} | {"critical": F.coalesce("critical", F.lit(0)) + F.col("untranslated_majority").cast("int")}
     return rows.withColumns(zero | {"degraded": F.coalesce("acted", F.lit(False)) | F.col("untranslated_majority")}).drop("acted")
 
 

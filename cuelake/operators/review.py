@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cuelake.functions import text as T
 
 VERDICT = "array<struct<row:int,category:int,side:string,evidence_timing:string,evidence_pass:string,confidence:string,reason:string>>"
+#: What a verdict may name (fixed values).
+PASSES, CONFIDENCES = ("pass1", "pass2"), ("high", "medium", "low")
 #: The mark of a verdict that a person must look at (a fixed format).
 MANUAL = "[需人工复核]"
 
@@ -24,9 +26,11 @@ def round_robin(rows: DataFrame, n: int, *order: str) -> DataFrame:
 
 def verdicts(replies: DataFrame, expected: DataFrame) -> DataFrame:
     """One verdict per expected row (batch, row): parsed from a reply with a JSON array in it, the first valid one of a
-    row; missing rows get category 4 with low confidence, and filled says so."""
+    row; missing rows get category 4 with low confidence, and filled says so. A verdict is valid with a category, a reason, a
+    known confidence, and sides that are a pass or null."""
     parsed = replies.select("batch", F.posexplode(F.from_json(T.first_json(F.col("body")), VERDICT)).alias("at", "v")).select("batch", "at", "v.*")
-    good = parsed.filter(F.col("category").between(1, 5) & F.col("reason").isNotNull())
+    named = lambda c: F.col(c).isNull() | F.col(c).isin(*PASSES)
+    good = parsed.filter(F.col("category").between(1, 5) & F.col("reason").isNotNull() & named("side") & named("evidence_pass") & F.col("confidence").isin(*CONFIDENCES))
     first = good.withColumn("k", F.row_number().over(Window.partitionBy("batch", "row").orderBy("at"))).filter("k = 1").drop("k", "at")
     rows = expected.join(first, ["batch", "row"], "left")
     text = lambda c: F.coalesce(c, F.lit(""))

@@ -31,6 +31,17 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], how_wide:
     return pairs.filter((F.col("overlap_ms") > 0) & (F.floor(start / how_wide) == F.col("_bucket"))).drop("_bucket")
 
 
+def contains_join(outer: DataFrame, inner: DataFrame, keys: list[str], play: int = 1, how_wide: int = 10_000) -> DataFrame:
+    """Pairs where inner's span lies in outer's, with play ms at both ends; inner's other columns come out prefixed r_. An
+    inner row is in the bucket of its start alone, so a pair comes once; rows longer than the outer span never meet it."""
+    first, last = F.floor((F.col("start_ms") - play) / how_wide), F.floor((F.col("end_ms") + play) / how_wide)
+    o = outer.withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, last))))
+    i = inner.withColumn("_bucket", F.floor(F.col("start_ms") / how_wide))
+    i = i.select(*keys, "_bucket", *(F.col(c).alias(f"r_{c}") for c in i.columns if c not in [*keys, "_bucket"]))
+    inside = (F.col("r_start_ms") >= F.col("start_ms") - play) & (F.col("r_end_ms") <= F.col("end_ms") + play)
+    return o.join(i, [*keys, "_bucket"]).filter(inside).drop("_bucket")
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, width: int) -> DataFrame:
     """Pairs with |left_at - right_at| <= width. Left rows go to three buckets of that width, right rows to one."""
     l = left.withColumn("_bucket", F.explode(F.array(*(F.floor(F.col(left_at) / width) + k for k in (-1, 0, 1)))))

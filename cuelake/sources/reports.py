@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 from cuelake.functions import text as T
 from cuelake.functions.timecode import timing
 from cuelake.operators.passes import best_overlap
+from cuelake.operators.quality import majority_events
 
 #: How tables are written: with a head, quotes doubled, white space kept.
 CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -46,8 +47,9 @@ def write_enhanced(rows: DataFrame, path: str, version: str, clip: int = 200) ->
 
 
 def write_conflicts(conflicts: DataFrame, path: str) -> None:
-    """Term conflicts (entry_id, timing, source_term, expected_targets, actual_text) with the time of writing."""
-    conflicts.select("entry_id", "timing", "source_term", "expected_targets", "actual_text", F.current_timestamp().alias("created_at")).write.options(**CSV).csv(path)
+    """Term conflicts (entry_id, timing, source_term, expected_targets: the translation and its aliases with bars between them,
+    actual_text) with the time of writing; of the text the first 60 characters show."""
+    conflicts.select("entry_id", "timing", "source_term", "expected_targets", F.substring(T.strip(F.col("actual_text")), 1, 60).alias("actual_text"), F.current_timestamp().alias("created_at")).write.options(**CSV).csv(path)
 
 
 def companions(stems: DataFrame, listing: DataFrame) -> DataFrame:
@@ -64,8 +66,10 @@ def write_guide(items: DataFrame, stems: DataFrame, listing: DataFrame, path: st
 
 
 def write_risks(events: DataFrame, files: DataFrame, path: str) -> None:
-    """A JSON line per file with risks: its events and whether most of it is untranslated; files without any aren't written."""
-    lists = events.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("stage", "reason", "action", "severity", "entry_range", "timing_range", "affected", "timings"))).alias("events"))
+    """A JSON line per file with risks: its events, that most of it is untranslated among them, and whether it is; files
+    without any aren't written."""
+    columns = ["file_id", "stage", "reason", "action", "severity", "entry_range", "timing_range", "affected", "timings"]
+    lists = events.select(*columns).unionByName(majority_events(files).select(*columns)).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("stage", "reason", "action", "severity", "entry_range", "timing_range", "affected", "timings"))).alias("events"))
     rows = files.select("file_id", "untranslated_majority").join(lists, "file_id", "left").filter("events is not null or untranslated_majority")
     rows.select("file_id", F.greatest(F.size("events"), F.lit(0)).alias("risk_count"), "untranslated_majority", "events").write.json(path)
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
+from cuelake.plans.containment import containing
+from cuelake.sources.reports import CSV
 
 TM_COLUMNS = "source_text string, target_text string, stage int, hit_count long, source_lang string, target_lang string"
 SCENE = "scene int, audio_duration_s double, produced_output boolean, fallback_segments double, max_temperature double, max_compression_ratio double, max_no_speech_prob double, mean_avg_logprob double"
@@ -39,13 +41,24 @@ def learned_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def export_memory(tm: DataFrame, path: str, stage: int | None = None) -> None:
     rows = tm if stage is None else tm.filter(F.col("stage") == stage)
-    rows.select("source_text", "target_text", "stage", "hit_count", "source_lang", "target_lang").orderBy("stage", F.desc("hit_count")).write.option("header", True).option("escape", '"').csv(path)
+    rows.select("source_text", "target_text", "stage", "hit_count", "source_lang", "target_lang").orderBy("stage", F.desc("hit_count")).write.options(**CSV).csv(path)
+
+
+def _memory_rows(spark: SparkSession, path: str) -> DataFrame:
+    names = ["source", "target", "stage", "hits", "source_lang", "target_lang", "more"]
+    return spark.read.schema(", ".join(f"{n} string" for n in names)).options(**CSV | {"header": False}).csv(path)
+
+
+def rejected_memory(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of an export that have more columns than any layout, such as texts whose quotes were escaped otherwise."""
+    return _memory_rows(spark, path).filter("more is not null")
 
 
 def import_memory(spark: SparkSession, path: str, source_lang: str, target_lang: str) -> DataFrame:
     """Rows of an export for the upsert, of any of its layouts: two columns, three with the stage, or six with hits and
-    languages. Heads are rows whose first column names it; stages that are no number are 0; missing languages are given."""
-    rows = spark.read.schema("source string, target string, stage string, hits string, source_lang string, target_lang string").option("mode", "PERMISSIVE").option("escape", '"').csv(path)
+    languages. Heads are rows whose first column names it; stages that are no number are 0; missing languages are given;
+    rows with more columns are left to rejected_memory()."""
+    rows = _memory_rows(spark, path).filter("more is null")
     text = lambda c: T.strip(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", ""))
     rows = rows.select(text("source").alias("source_text"), text("target").alias("target_text"), *(text(c).alias(c) for c in ("stage", "source_lang", "target_lang")))
     rows = rows.filter((F.col("source_text") != "") & (F.col("target_text") != "") & ~F.lower("source_text").isin("source", "source_text", "原文", "original"))
@@ -141,9 +154,10 @@ def context_sidecar(lines: DataFrame) -> DataFrame:
 
 
 def mishear_rows(final: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Final rows (aligned: orig_text) that hold a suspect word of their file's context, one row per pair; a file's pairs
-    are few and given by hand."""
-    rows = final.join(pairs.select("file_id", "suspect", "correct"), "file_id").filter(F.contains(T.strip(F.coalesce("orig_text", F.lit(""))), "suspect"))
+    """Final rows (aligned: orig_text) that hold a suspect word of their file's context, one row per pair."""
+    texts = final.select("file_id", "pos", T.strip(F.coalesce("orig_text", F.lit(""))).alias("s"))
+    held = containing(texts, pairs.select("suspect", F.col("suspect").alias("t")).distinct(), ["file_id", "pos"], "suspect").drop("t")
+    rows = final.join(held.join(pairs.select("file_id", "suspect", "correct"), ["file_id", "suspect"]), ["file_id", "pos"])
     return rows.select("file_id", "pos", "idx", "suspect", "correct", F.substring(T.strip(F.coalesce("text", F.lit(""))), 1, 60).alias("preview"))
 
 

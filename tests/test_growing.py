@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cuelake.operators import memory, search, snapshots
 from cuelake.plans import versions as V
+from cuelake.plans.containment import containing
 from cuelake.streaming import sessions
 
 # -- full-text index ----------------------------------------------------------------------------------
@@ -254,3 +255,31 @@ def test_an_alarm_while_nobody_speaks(spark, tmp_path):
             assert sorted(read())[:2] == [("a", "resumed"), ("a", "stalled")]
         finally:
             query.stop()
+
+
+# -- containment --------------------------------------------------------------------------------------
+
+def test_texts_containing_needles(spark):
+    r = random.Random(4)
+    texts = [(k, "".join(r.choice("abcあいう ") for _ in range(r.randint(0, 30)))) for k in range(400)] + [(900, None), (901, ""), (902, "aaaa")]
+    needles = [(f"n{k}", "".join(r.choice("abcあいう ") for _ in range(r.randint(0, 4)))) for k in range(150)] + [("same", "ab"), ("same", "ab"), ("long", "x" * 50), ("all", "a")]
+    t, n = spark.createDataFrame(texts, "id long, s string"), spark.createDataFrame(needles, "key string, t string").distinct()
+    want = sorted({(k, key, x) for k, s in texts for key, x in needles if x and s and x in s})
+    for once in ({}, {"needles_at_once": 2, "texts_at_once": 7}):
+        assert sorted(map(tuple, containing(t, n, ["id"], "key", **once).collect())) == want
+    assert containing(t, n.limit(0), ["id"], "key").count() == 0 and containing(t.limit(0), n, ["id"], "key").count() == 0
+
+
+def test_terms_that_begin_alike_do_not_meet(spark):
+    """10,000 terms with one beginning over texts that have one of them each: candidates are near the true pairs."""
+    terms = spark.range(10_000).select(F.col("id").alias("key"), F.concat(F.lit("prefix-"), F.lpad(F.conv((F.col("id") * 7919 % 10_000 + 100_000).cast("string"), 10, 36), 4, "0")).alias("t"))
+    texts = terms.filter("key % 10 = 0").select(F.col("key").alias("id"), F.concat(F.lit("a "), "t", F.lit(" z")).alias("s"))
+    tried = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(s, t):
+        tried.add(1)
+        return t in s
+
+    found = containing(texts, terms, ["id"], "key", counted(F.col("s"), F.col("t"))).collect()
+    assert sorted((r.id, r.key) for r in found) == [(k, k) for k in range(0, 10_000, 10)] and tried.value < 100_000

@@ -1,6 +1,7 @@
 """Branches that the given tables don't reach, on small typed rows."""
 
 import io
+import json
 import wave
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 from cuelake.functions.timecode import format_ms, parse_timing
-from cuelake.operators import assemble, clean, compare, gate, glossary, memory, merge, passes, review, validate
+from cuelake.operators import assemble, clean, compare, gate, glossary, memory, merge, passes, quality, review, search, validate
 from cuelake.sources import cues as S
 from cuelake.sources import sidecars
 
@@ -210,10 +211,13 @@ def test_fuzzy_folds_and_filters(spark):
     assert memory.lookup_fuzzy(asked.withColumn("source_lang", F.lit("en")), tm, 0.6).count() == 0
 
 
-def test_full_text_folds(spark):
+def test_full_text_folds(spark, tmp_path):
     tm = entries(spark, [(1, "ＦＵＬＬ width text", "2024-01-01", "f"), (2, "other", "2024-01-01", "f")])
     asked = spark.createDataFrame([(1, "full"), (2, "FULL Text"), (3, "full other")], "query_id int, text string")
-    assert sorted((r.query_id, r.id) for r in memory.search(asked, memory.postings(tm)).collect()) == [(1, 1), (2, 1)]
+    root = str(tmp_path / "index")
+    search.create(spark, root)
+    search.append(tm.select("id", F.concat_ws(" ", "source_text", "target_text").alias("text")), root)
+    assert sorted((r.query_id, r.id) for r in search.search(asked, root).collect()) == [(1, 1), (2, 1)]
 
 
 def test_probe_falls_back(spark):
@@ -284,7 +288,9 @@ def test_three_lanes(spark):
     assert rows[3].artifact and not rows[3].interjection and (rows[3].iou, rows[3].offset_s) == (0.3333, 4.0)
     assert rows[4].group == "must_see" and not rows[4].artifact
     labelled = passes.disagreement(merged, first, second).withColumn("label", F.when(F.col("pos") == 3, "C").otherwise("A"))
-    grid = {(r.iou_limit, r.offset_limit): r for r in passes.threshold_grid(labelled).collect()}
+    grid = {(r.iou_limit, r.offset_limit): r for r in passes.threshold_grid(labelled).filter("rule = 'historical'").collect()}
+    now = passes.threshold_grid(labelled).filter("rule = 'current'").select("a_alive", "b_alive", "c_cleared").distinct().collect()
+    assert [tuple(r) for r in now] == [(2 / 3, None, 0.0)]
     assert len(grid) == 16 and grid[0.35, 3.0].c_cleared == 1.0 and grid[0.2, 3.0].c_cleared == 0.0 and grid[0.2, 1.5].b_alive is None and abs(grid[0.2, 1.5].a_alive - 2 / 3) < 1e-9
 
 
@@ -352,3 +358,46 @@ def test_sidecars(spark):
     assert [r.seconds for r in sidecars.log_batches(log).orderBy("batch").collect()] == [None, 10]
     ctx = spark.createDataFrame([(1, k, v) for k, v in enumerate(["x => y", "【剧情摘要】a story", "# no", "【误听怀疑】", "foo => bar", "foo =>", "no pair"])], "file_id long, line_no int, value string")
     assert [(r.kind, r.value, r.suspect, r.correct) for r in sidecars.context_sidecar(ctx).orderBy("line_no").collect()] == [("summary", "a story", "", ""), ("mishear", "foo => bar", "foo", "bar")]
+
+
+def test_verdicts_are_valid_or_filled(spark):
+    base = {"category": 1, "side": "pass1", "evidence_pass": "pass2", "confidence": "high", "reason": "r", "evidence_timing": "t"}
+    odd = [{}, {"side": None, "evidence_pass": None}, {"side": "left"}, {"evidence_pass": "both"}, {"confidence": None}, {"confidence": "sure"}, {"category": 6}, {"reason": None}]
+    body = json.dumps([base | {"row": k} | x for k, x in enumerate(odd)])
+    replies = spark.createDataFrame([(1, body)], "batch int, body string")
+    rows = {r.row: r for r in review.verdicts(replies, spark.createDataFrame([(1, k) for k in range(len(odd))], "batch int, row int")).collect()}
+    assert [rows[k].filled for k in range(len(odd))] == [False, False, True, True, True, True, True, True]
+    assert (rows[4].category, rows[4].side, rows[4].confidence, rows[4].reason) == (4, None, "low", "") and rows[1].side is None
+
+
+def test_a_majority_is_an_event(spark):
+    totals = spark.createDataFrame([(1, 10, 10), (2, 10, 1)], "file_id int, total int, kept int")
+    events = quality.risk_events(spark.createDataFrame([(2, 1, "t", "final", "long", "cut", "warning")], "file_id int, idx int, timing string, stage string, reason string, action string, severity string"))
+    files = quality.risk_files(events, totals)
+    found = {r.file_id: (r.warning, r.critical, r.untranslated_majority, r.degraded) for r in files.collect()}
+    assert found == {1: (0, 1, True, True), 2: (1, 0, False, True)}
+    (event,) = quality.majority_events(files).collect()
+    assert (event.file_id, event.severity, event.affected) == (1, "critical", 0) and "10/10" in event.reason
+
+
+def test_garbage_matches_at_the_start(spark):
+    rules = clean.CleanRules(garbage=("ab+c", "x|yz"), sensory=("soft",), particles=("so", "much"), degrees=("quite",), beside=("so", "quite"))
+    rows = cues(spark, [(k * 100_000, k * 100_000 + 900, t) for k, t in enumerate(["hello abbc there", "abbc there", "then x", "yz", "so soft quite", "much soft"])]).withColumn("evidence", F.array(F.lit("ああああああ")))
+    found = {r.pos: r.rule for r in clean.judged(rows, rules).collect()}
+    assert [found[k] for k in range(6)] == ["keep", "L5-garbage", "keep", "L5-garbage", "L7-sensory", "keep"]
+
+
+def test_torn_memory_rows_are_rejected(spark, tmp_path):
+    (tmp_path / "tm.csv").write_text('source,target\n"a ""quoted"", text","x, y"\n"torn \\"quote\\", text, one, two, three, four, five",b\n"two\nlines",c\n', encoding="utf-8")
+    path = str(tmp_path / "tm.csv")
+    rows = sidecars.import_memory(spark, path, "en", "fr").collect()
+    assert {(r.source_text, r.target_text, r.source_lang) for r in rows} == {('a "quoted", text', "x, y", "en"), ("two\nlines", "c", "en")}
+    assert sidecars.rejected_memory(spark, path).count() == 1
+
+
+def test_evidence_of_all_rows_inside(spark):
+    merged = cues(spark, [(0, 3000, "ab"), (20_000, 21_000, "c")]).withColumn("members", F.lit(2))
+    before = cues(spark, [(0, 1000, "a"), (0, 1000, "a again"), (1000, 3001, "b"), (2500, 3002, "sticks out"), (9000, 30_000, "longer")])
+    source = cues(spark, [(0, 1000, "s1"), (0, 1000, "s2"), (1000, 3001, "s3"), (2500, 3002, "s4"), (9000, 30_000, "s5")])
+    found = {r.pos: r.evidence for r in merge.evidence(merged, before, source).collect()}
+    assert found == {0: ["s1", "s2", "s3"], 1: None}
