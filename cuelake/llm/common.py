@@ -40,9 +40,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+    """A durable frame on as many tasks as its counted rows ask for. Every task of an exchange leaves files of its own, so
+    small frames on many tasks would cost more disk than their rows."""
+    df = durable(df)
+    return df.coalesce(max(1, -(-df.count() // rows_per_task)))
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a durable frame when its counted rows stay within the limit; else leave the choice to Spark."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).head(limit + 1)) <= limit else df
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def fold(key: Column, mod: int) -> Column:

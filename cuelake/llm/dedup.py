@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import SPACE_WORD_BYTES, as_bytes, bit_filter, durable, filter_fits, in_filter, mixed, shingle_hashes, small, word_hashes
+from cuelake.llm.common import SPACE_WORD_BYTES, as_bytes, bit_filter, durable, filter_fits, gathered, in_filter, mixed, shingle_hashes, small, word_hashes
 from cuelake.llm.components import components
 
 REGISTERS, BAND = 128, 4
@@ -148,12 +148,12 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, keys: DataFrame, owners: DataFrame) -> DataFrame:
     """key, items: the full shingle sets of the classes in keys, read from the text of one document each. Texts are
     picked by a filter of ids where it is selective, else by a join; the set's own key decides."""
-    needed = durable(keys.join(owners, "key").withColumn("h", F.xxhash64("doc_id")))
+    needed = gathered(keys.join(owners, "key").withColumn("h", F.xxhash64("doc_id")))
     texts = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("text").cast("string").alias("text"))
     fits = filter_fits(needed.count())
     texts = texts if fits else texts.join(needed.select("h"), "h", "left_semi")
     found = texts.mapInArrow(_shingling(bit_filter(needed, "h") if fits else None), "key binary, items array<long>")
-    return durable(found.join(small(needed.select("key")), "key", "left_semi").dropDuplicates(["key"]))
+    return gathered(found.join(small(needed.select("key")), "key", "left_semi").dropDuplicates(["key"]), 2_000)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,27 +177,27 @@ def _components(docs: DataFrame, percent: int, extra: Column | None = None) -> D
     """doc_id, key, n_shingles, component_id and label, the class that names the component (null without shingles)."""
     rows = durable(sketches(docs, extra))
     full = rows.filter("key is not null")
-    classes = durable(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")))
+    classes = gathered(full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")))
     owners = classes.select("key", "doc_id")
     placed = classes.select("key", F.explode("bands").alias("band"))
-    buckets = durable(placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    members = durable(placed.join(buckets, "band"))
+    buckets = gathered(placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    members = gathered(placed.join(buckets, "band"))
     whole = members.filter(F.col("size") <= CHUNK).groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # CHUNK keys at most
     near = whole.select(F.posexplode("keys").alias("i", "a"), "keys").select("a", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("b"))
     # The lead of a large bucket is its most central member: the one whose buckets hold the most.
     large = members.filter(F.col("size") > CHUNK)
-    weight = durable(large.groupBy("key").agg(F.sum("size").alias("weight")))
-    lead = durable(large.join(weight, "key").groupBy("band").agg(F.max(F.struct("weight", "key"))["key"].alias("lead")))
+    weight = gathered(large.groupBy("key").agg(F.sum("size").alias("weight")))
+    lead = gathered(large.join(weight, "key").groupBy("band").agg(F.max(F.struct("weight", "key"))["key"].alias("lead")))
     star = large.join(lead, "band").filter("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
-    pairs = durable(_likely(star.union(near).distinct(), classes))
-    links = durable(_verified(pairs, _sets(docs, _ends(pairs), owners), percent))
+    pairs = gathered(_likely(star.union(near).distinct(), classes))
+    links = gathered(_verified(pairs, _sets(docs, _ends(pairs), owners), percent))
     labels = components(links)
     more = _closed(labels, large, pairs, classes, docs, owners, percent)
     if more is not None:
         labels = components(links.union(more))
     sets = classes.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    lowest = durable(sets.groupBy("label").agg(F.min("doc_id").alias("component_id")))
-    named = durable(sets.join(lowest, "label").select("key", "label", "component_id"))
+    lowest = gathered(sets.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    named = gathered(sets.join(lowest, "label").select("key", "label", "component_id"))
     out = rows.select("doc_id", "key", F.col("n").alias("n_shingles"), "_text").join(named, "key", "left")
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
@@ -207,8 +207,8 @@ def _closed(labels: DataFrame, large: DataFrame, pairs: DataFrame, classes: Data
 
     Shingles of one set alone come first in the order and need no row; they only use up places of the prefix."""
     large = large.select("band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    split = durable(large.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band"))
-    open_ = durable(large.join(split, "band", "left_semi").select("key", "label").distinct())
+    split = gathered(large.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band"))
+    open_ = gathered(large.join(split, "band", "left_semi").select("key", "label").distinct())
     if not open_.head(1):
         return None
     sets = _sets(docs, open_.select("key"), owners)
@@ -231,9 +231,9 @@ def _closed(labels: DataFrame, large: DataFrame, pairs: DataFrame, classes: Data
             whole = lambda parts: pa.array(np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), whole(items), whole(places), whole(sizes)], ["key", "item", "place", "n"])
 
-    rows = durable(sets.mapInArrow(prefixes, "key binary, item long, place long, n long").join(open_, "key"))
+    rows = gathered(sets.mapInArrow(prefixes, "key binary, item long, place long, n long").join(open_, "key"))
     counts = rows.groupBy("item", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("item").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("top"))
-    counts = durable(counts.filter("labels > 1").select("item", "top", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
+    counts = gathered(counts.filter("labels > 1").select("item", "top", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")))
     rows = durable(rows.join(small(counts), "item").withColumn("out", F.col("label") != F.col("top")))
     # The smaller set gives its first places only: twice the threshold over one and the threshold of it may be missing.
     first = rows.filter(F.col("place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / F.lit(100 + percent))).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
@@ -244,8 +244,8 @@ def _closed(labels: DataFrame, large: DataFrame, pairs: DataFrame, classes: Data
     # Two members of a shingle's most frequent component needn't meet.
     met = meet(first.filter("out"), second).unionByName(meet(first.filter("not out"), second.filter("out")))
     cross = met.select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct()
-    more = durable(_likely(cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), classes))
-    return durable(_verified(more, sets, percent))
+    more = gathered(_likely(cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), classes))
+    return gathered(_verified(more, sets, percent))
 
 
 def _ranks(twice: DataFrame) -> np.ndarray:
@@ -277,8 +277,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = _components(docs, 75, text(docs))
     group = F.coalesce(F.col("label"), F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "_text")).cast("binary"))
     kept = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("k"))
-    kept = durable(kept.select(F.col("k.doc_id").alias("_id"), F.col("k._text").alias("_text")))
-    again = durable(rows.groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), "_text"))
+    kept = gathered(kept.select(F.col("k.doc_id").alias("_id"), F.col("k._text").alias("_text")))
+    again = gathered(rows.groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), "_text"))
     is_row = lambda df: docs["doc_id"].cast("long").eqNullSafe(df["_id"]) & (text(docs) == df["_text"])
     kept = small(kept)
     out = docs.join(kept, is_row(kept), "left_semi")
