@@ -107,6 +107,21 @@ def gate_report(spark, d):
     return gate.file_report(_gated(spark, d))
 
 
+@query("CUES", sql=_GATE + """, k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS place FROM g6 WHERE category IS NOT NULL),
+c AS (SELECT file_id, category, count(*) AS n, count(*) FILTER (would AND NOT valve_tripped) AS del FROM k GROUP BY ALL),
+m AS (SELECT file_id, string_agg(category || ':' || n || ':' || del, ',' ORDER BY category) AS categories FROM c GROUP BY ALL),
+x AS (SELECT file_id, string_agg(pos || ':' || category || ':' || substr(text, 1, 60), '|' ORDER BY pos) AS samples FROM k WHERE place <= 50 GROUP BY ALL)
+SELECT g.file_id, count(*) AS total, count(*) FILTER (would AND NOT valve_tripped) AS deleted, count(category) AS detected, bool_or(valve_tripped) AS valve_tripped, coalesce(any_value(categories), '') AS categories, coalesce(any_value(samples), '') AS samples
+FROM g6 AS g LEFT JOIN m USING (file_id) LEFT JOIN x USING (file_id) GROUP BY g.file_id""")
+def gate_summary(spark, d):
+    """A row per file, its classes as class:detected:deleted and its first fifty detected rows."""
+    rows = gate.gate_summary(_gated(spark, d))
+    classes = F.transform(F.array_sort(F.map_keys("categories")), lambda c: F.concat_ws(":", c, F.col("categories")[c]["detected"], F.col("categories")[c]["deleted"]))
+    shown = F.transform("samples", lambda x: F.concat_ws(":", x["pos"], x["category"], x["text"]))
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return rows.select("file_id", "total", "deleted", "detected", "valve_tripped", text(classes).alias("categories"), F.array_join(shown, "|").alias("samples"))
+
+
 @query("CUES", sql=_GATE + "SELECT file_id, run_id, min(pos) AS first_pos, count(*) AS rows, min(norm) AS norm FROM g3 WHERE run >= 2 GROUP BY file_id, run_id")
 def gate_repeat_islands(spark, d):
     rows = gate.with_predicates(A.cues(spark, d), LATIN_GATE).filter("run >= 2")

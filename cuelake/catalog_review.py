@@ -10,7 +10,7 @@ from cuelake.catalog_files import folder
 from cuelake.catalog_lanes import _BY_LENGTH, by_length, guide
 from cuelake.functions import tables
 from cuelake.functions import text as T
-from cuelake.functions.timecode import timing
+from cuelake.functions.timecode import timing, timing_key
 from cuelake.operators import assemble, compare, gate, glossary, memory, merge, passes, quality, review, validate
 from cuelake.registry import query
 from cuelake.sources import adapters as A
@@ -389,7 +389,7 @@ def verified_terms(spark, d):
     first = lambda x: F.split(x, " ")[0]
     pairs = both.select("file_id", first("source").alias("src"), first("target").alias("dst")).distinct()
     known = c.filter("length(text) < 30").select(first("text").alias("src"))
-    return validate.verified_pairs(pairs, both.select("file_id", "source", "target"), known)
+    return validate.verified_pairs(pairs, both, known)
 
 
 @query(sql=r"""WITH w AS (SELECT ts::DATE AS day, event_type AS term, count(*) FILTER (value > 150) AS x, count(*) FILTER (value > 195) AS w FROM events GROUP BY ALL),
@@ -487,6 +487,38 @@ def text_functions(spark, d):
     return A.cues(spark, d).select("file_id", "pos", F.trim(T.strip_pause(t)).alias("bare"), T.fluent(t, "en").alias("fluent"), T.clip(t).alias("clipped"), T.drop_lines(F.concat(t, F.lit("\nnote: x")), "^note").alias("lines"))
 
 
+@query("CUES", sql=r"""WITH r AS (SELECT file_id, pos, CASE pos % 6 WHEN 0 THEN '（ 删除：' || text || '）' WHEN 1 THEN text || chr(10) || '说明：x' || chr(10) || 'kept' WHEN 2 THEN 'Scene 3' || chr(13) || chr(10) || text WHEN 3 THEN 'Note : ' || text WHEN 4 THEN 'ASR ' || text ELSE text END AS text FROM cues),
+s AS (SELECT file_id, pos, trim(array_to_string(list_filter(regexp_split_to_array(text, '\r\n|[\n\r]'), lambda x: NOT regexp_matches(x, '本批次|[Ss]cene\s*\d|#\d|硬性豁免特征|无删除条目|全部保留|^(?:说明|总结|注[：:]|Note\s*[：:])')), chr(10))) AS text FROM r)
+SELECT * FROM s WHERE text <> '' AND NOT regexp_matches(text, '^[（(]\s*[削删]\s*除') AND NOT regexp_matches(text, '^[（(]?\s*(?:ASR|杂音|噪声|呼吸声|无实义|孤立)')""")
+def replied_rows(spark, d):
+    """Rows with comments and placeholders of a model among them."""
+    t, lit = F.col("text"), F.lit
+    made = F.when(F.col("pos") % 6 == 0, F.concat(lit("（ 删除："), t, lit("）"))).when(F.col("pos") % 6 == 1, F.concat(t, lit("\n说明：x\nkept"))).when(F.col("pos") % 6 == 2, F.concat(lit("Scene 3\r\n"), t))
+    made = made.when(F.col("pos") % 6 == 3, F.concat(lit("Note : "), t)).when(F.col("pos") % 6 == 4, F.concat(lit("ASR "), t)).otherwise(t)
+    return validate.replied_rows(A.cues(spark, d).withColumn("text", made)).select("file_id", "pos", "text")
+
+
+@query("CUES", sql=r"""WITH r AS (SELECT file_id, pos, text, CASE pos % 5 WHEN 0 THEN '【语法提示】a' || chr(10) || '原文：x' || text || ' ||| ' || text WHEN 1 THEN '【语法提示】b' || chr(10) || text WHEN 2 THEN text || chr(10) || '原文：x ||| y'
+  WHEN 3 THEN '[Grammar Tip] c' || chr(10) || chr(10) || 'Source: ' || text || chr(10) || chr(10) || '**Final:**' || chr(10) || 'English: ' || text ELSE 'x ||| ' || text END AS t FROM cues),
+a AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '(?s)【语法提示】.*?原文：', '', 'g'), '【语法提示】[^\n]*', '', 'g'), '(?m)^原文：[^\n]*', '', 'g') AS z FROM r),
+e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(z, '(?m)^(?:\[Grammar Tip\][^\n]*|- Word segmentation reference:[^\n]*|Word segmentation:[^\n]*|(?:Original|Source): [^\n]*|\*\*Final:\*\*$)', '', 'g'), '(?m)^English: ', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS y FROM a)
+SELECT file_id, pos, trim(list_last(string_split(z, ' ||| ')), E' \n') AS zh, trim(list_last(string_split(y, ' ||| ')), E' \n') AS en FROM e""")
+def hint_echo(spark, d):
+    """Replies that echo hints, cleaned for both targets."""
+    t, lit = F.col("text"), F.lit
+    made = F.when(F.col("pos") % 5 == 0, F.concat(lit("【语法提示】a\n原文：x"), t, lit(" ||| "), t)).when(F.col("pos") % 5 == 1, F.concat(lit("【语法提示】b\n"), t)).when(F.col("pos") % 5 == 2, F.concat(t, lit("\n原文：x ||| y")))
+    made = made.when(F.col("pos") % 5 == 3, F.concat(lit("[Grammar Tip] c\n\nSource: "), t, lit("\n\n**Final:**\nEnglish: "), t)).otherwise(F.concat(lit("x ||| "), t))
+    return A.cues(spark, d).select("file_id", "pos", T.strip_hint_echo(made).alias("zh"), T.strip_hint_echo(made, "en").alias("en"))
+
+
+@query("CUES", sql=rf"""WITH q AS (SELECT *, {_SPAN} AS timing FROM cues)
+SELECT file_id, pos, regexp_replace(timing, '[\s,.]', '', 'g') AS key, trim(text) AS peeled, len(regexp_extract_all(text || 'かな漢字', '[\x{{3040}}-\x{{30ff}}\x{{4e00}}-\x{{9fff}}]'))::INT AS kana, 1 + (regexp_matches(text, '^[^,]+,.*\S'))::INT AS pairs FROM q""")
+def reply_functions(spark, d):
+    t = F.col("text")
+    lines = F.concat(F.lit("one，two\nnothing\n"), F.regexp_replace(t, "[，\t]", " "))
+    return A.cues(spark, d).select("file_id", "pos", timing_key(F.col("timing")).alias("key"), T.peel_quotes(F.concat(F.lit(" 「"), t, F.lit("」"))).alias("peeled"), T.kana_count(F.concat(t, F.lit("かな漢字"))).alias("kana"), F.size(T.csv_pairs(lines)).alias("pairs"))
+
+
 @query("CUES", sql="SELECT name, CASE WHEN k = 0 THEN 'same' WHEN k = 1 THEN 'changed' WHEN k = 2 THEN 'only_a' ELSE 'only_b' END AS status, CASE WHEN k = 1 THEN 1 ELSE 0 END AS lines FROM (SELECT DISTINCT 'f' || file_id AS name, file_id % 4 AS k FROM cues)")
 def folder_diff(spark, d):
     """Two folders of reports whose clock times and memory lines differ without meaning anything."""

@@ -124,10 +124,14 @@ def grammar_hints(c: Column, before: Column) -> Column:
     return F.array_compact(F.array(*(F.when(test, F.lit(name)) for test, name in ((contrast, "contrast"), (c.rlike(r"\S+の\S+"), "modifier"), (omitted, "omitted_subject"), (plural, "plural_adnominal")))))
 
 
+#: What a report line has of its own run (fixed formats): the time after its label, and the summary line's label.
+RUN_TIME, RUN_SUMMARY = r"时间: \d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "TM: "
+
+
 def report_line(c: Column) -> Column:
     """A report line without what changes from run to run: clock times and the memory's summary line."""
-    timeless = F.regexp_replace(c, r"时间: \d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "时间: <归一化>")
-    return F.when(F.startswith(c, F.lit("TM: ")), F.lit("TM: <归一化>")).otherwise(timeless)
+    timeless = F.regexp_replace(c, RUN_TIME, "时间: <归一化>")
+    return F.when(F.startswith(c, F.lit(RUN_SUMMARY)), F.lit("TM: <归一化>")).otherwise(timeless)
 
 
 def keep_last_part(c: Column) -> Column:
@@ -135,6 +139,37 @@ def keep_last_part(c: Column) -> Column:
     return F.substring_index(c, " ||| ", -1)
 
 
+#: Rows that stand for a deleted one, and lines in which a model comments on its work (fixed patterns).
+PLACEHOLDERS = (rf"^[（(]{BLANK}*[削删]{BLANK}*除", rf"^[（(]?{BLANK}*(?:ASR|杂音|噪声|呼吸声|无实义|孤立)")
+CHATTER = rf"本批次|[Ss]cene{BLANK}*\p{{Nd}}|#\p{{Nd}}|硬性豁免特征|无删除条目|全部保留|^(?:说明|总结|注[：:]|Note{BLANK}*[：:])"
+#: What a reply may echo of a hint, and of a hint that was translated into English (fixed patterns).
+HINT_ECHO = (r"(?s)【语法提示】.*?原文：", r"【语法提示】[^\n]*", r"(?m)^原文：[^\n]*")
+HINT_ECHO_EN = (r"(?m)^\[Grammar Tip\][^\n]*", r"(?m)^- Word segmentation reference:[^\n]*", r"(?m)^Word segmentation:[^\n]*", r"(?m)^(?:Original|Source): [^\n]*", r"(?m)^\*\*Final:\*\*$", r"(?m)^English: ")
+
+
+def is_placeholder(c: Column) -> Column:
+    s = strip(F.coalesce(c, F.lit("")))
+    return s.rlike(PLACEHOLDERS[0]) | s.rlike(PLACEHOLDERS[1])
+
+
+def strip_chatter(c: Column) -> Column:
+    """A text without the lines that comment on the work."""
+    lines = F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]")
+    return strip(F.array_join(F.filter(lines, lambda x: ~x.rlike(CHATTER)), "\n"))
+
+
+def strip_hint_echo(c: Column, target: str = "") -> Column:
+    """A reply without echoed hints, and of 'source ||| target' the last part. For the target en the English echo goes
+    too, and runs of empty lines that it leaves become one."""
+    for pattern in HINT_ECHO:
+        c = F.regexp_replace(c, pattern, "")
+    if target == "en":
+        for pattern in HINT_ECHO_EN:
+            c = F.regexp_replace(c, pattern, "")
+        c = F.regexp_replace(c, r"\n{3,}", "\n\n")
+    return strip(keep_last_part(c))
+
+
 def strip_language_suffix(c: Column) -> Column:
     return F.regexp_replace(c, r"\.(japanese|chinese|translated)$", "")
 

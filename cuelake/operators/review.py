@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
+from cuelake.plans.ranks import ranked
 
 VERDICT = "array<struct<row:int,category:int,side:string,evidence_timing:string,evidence_pass:string,confidence:string,reason:string>>"
 #: What a verdict may name (fixed values).
@@ -95,9 +96,9 @@ def review_order(rows: DataFrame, films: DataFrame) -> DataFrame:
     most first; in a film by category, verified rows first, similarity and time. Places are counted by film."""
     done = (F.col("must_total") > 0) & (F.col("must_done") >= F.col("must_total"))
     key = F.when(done, F.col("problem_rate")).otherwise(F.col("must_total").cast("double"))
-    ranked = films.withColumn("film_rank", F.row_number().over(Window.orderBy(F.desc(key), "film"))).select("film", "film_rank")  # a row per film
+    places = ranked(films.withColumn("_key", key), "film_rank", F.desc("_key"), F.col("film")).select("film", F.col("film_rank").cast("int").alias("film_rank"))
     w = Window.partitionBy("film").orderBy("category", F.when(F.col("verify") == "PASS", 0).otherwise(1), "similarity", F.greatest("start_ms", F.lit(0)), "pos")
-    return rows.join(ranked, "film").withColumn("place", F.row_number().over(w))
+    return rows.join(places, "film").withColumn("place", F.row_number().over(w))
 
 
 def action_status(items: DataFrame, ledger: DataFrame) -> DataFrame:

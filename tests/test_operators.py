@@ -401,3 +401,34 @@ def test_evidence_of_all_rows_inside(spark):
     source = cues(spark, [(0, 1000, "s1"), (0, 1000, "s2"), (1000, 3001, "s3"), (2500, 3002, "s4"), (9000, 30_000, "s5")])
     found = {r.pos: r.evidence for r in merge.evidence(merged, before, source).collect()}
     assert found == {0: ["s1", "s2", "s3"], 1: None}
+
+
+def test_hint_echoes_and_placeholders(spark):
+    rows = spark.createDataFrame([
+        (0, "【语法提示】a\nb\n原文：text", "text", "text"), (1, "【语法提示】rest of line\nkept", "kept", "kept"), (2, "a\n原文：x ||| y\nb", "a\n\nb", "a\n\nb"), (3, "in 原文：stays", "in 原文：stays", "in 原文：stays"),
+        (4, "jp ||| zh ||| last", "last", "last"), (5, "[Grammar Tip] x\n\nWord segmentation: y\n\nEnglish: hello", "[Grammar Tip] x\n\nWord segmentation: y\n\nEnglish: hello", "hello"),
+        (6, "one\nSource: x\n**Final:**\nOriginal: z\ntwo", "one\nSource: x\n**Final:**\nOriginal: z\ntwo", "one\n\ntwo"), (7, None, None, None),
+    ], "k int, t string, zh string, en string")
+    for r in rows.withColumns({"a": T.strip_hint_echo(F.col("t")), "b": T.strip_hint_echo(F.col("t"), "en")}).collect():
+        assert (r.a, r.b) == (r.zh, r.en), r.k
+    texts = [(0, "（削除：ASR杂音）", None), (1, "(删 除：孤立)", None), (2, "呼吸声", None), (3, "plain", "plain"), (4, "本批次全部保留", None), (5, "a\r\nNote: b\r\nc", "a\nc"), (6, "注：x\nok", "ok"), (7, None, None), (8, "see #4", None), (9, "（说 删除", "（说 删除")]
+    kept = {r.pos: r.text for r in validate.replied_rows(spark.createDataFrame([(k, t) for k, t, _ in texts], "pos int, text string")).collect()}
+    assert kept == {k: want for k, _, want in texts if want is not None}
+
+
+def test_places_in_a_total_order(spark):
+    from cuelake.plans.ranks import ranked
+
+    rows = [(k, (k * 7919) % 101 if k % 9 else None) for k in range(500)]
+    out = ranked(spark.createDataFrame(rows, "k int, v int").repartition(7), "place", F.desc("v"), F.col("k")).collect()
+    order = sorted(rows, key=lambda r: (-(r[1] if r[1] is not None else -1), r[0]))
+    assert {(r.k, r.place) for r in out} == {(k, i) for i, (k, _) in enumerate(order, 1)}
+    assert ranked(spark.createDataFrame([], "k int"), "place", F.col("k")).count() == 0
+
+
+def test_verified_pairs_of_a_common_word(spark):
+    texts = spark.createDataFrame([(1, k, f"the word{k} end", f"der wort{k} ende") for k in range(300)] + [(2, 0, "the other", "das andere")], "file_id int, pos int, source string, target string")
+    pairs = [(1, "the", f"wort{k}") for k in range(300)] + [(1, f"word{k}", "der") for k in range(300)] + [(1, "the", "das"), (2, "the", "das"), (2, "word1", "der"), (1, "word1", "wort2"), (1, "same", "same"), (1, "", "der"), (2, "OTHER", "andere"), (2, "other", "andere")]
+    known = spark.createDataFrame([("WORD7",)], "src string")
+    found = {tuple(r) for r in validate.verified_pairs(spark.createDataFrame(pairs, "file_id int, src string, dst string"), texts, known).collect()}
+    assert found == {("the", f"wort{k}") for k in range(300)} | {(f"word{k}", "der") for k in range(300) if k != 7} | {("the", "das"), ("other", "andere")}
