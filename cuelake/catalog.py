@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
@@ -62,6 +64,12 @@ def long_lines(spark, d):
     return quality.long_lines(A.cues(spark, d)).select("file_id", "idx", "max_len", "excerpt")
 
 
+@query("CUES", sql=r"""WITH k AS (SELECT file_id, idx, length(regexp_replace(text, '\s', '', 'g')) AS n FROM cues WHERE NOT contains(text, 'the ')) SELECT file_id, idx, n AS max_len FROM k WHERE n > 30""")
+def long_lines_whitelist(spark, d):
+    """Rows that a project's list lets be long are left out."""
+    return quality.long_lines(A.cues(spark, d), whitelist=F.contains("text", F.lit("the "))).select("file_id", "idx", "max_len")
+
+
 @query(sql=r"""SELECT page_id, k.i AS line_no, len(regexp_extract_all(k.l, '<[^>]+>')) AS tags, trim(regexp_replace(k.l, '<[^>]+>', '', 'g')) AS text
 FROM pages, (SELECT unnest(range(len(string_split(html, chr(10))))) AS i, unnest(string_split(html, chr(10))) AS l) AS k""")
 def tag_strip(spark, d):
@@ -92,6 +100,17 @@ def _gated(spark, d):
     return gate.classify(A.cues(spark, d), LATIN_GATE)
 
 
+_TIGHT = _GATE.replace("count(*) OVER (PARTITION BY file_id, run_id) AS run,", "count(*) OVER (PARTITION BY file_id, run_id) AS run, bool_or(pos % 4 = 1) OVER (PARTITION BY file_id, run_id) AS run_tight,").replace(
+    "run >= 4", "run >= CASE WHEN run_tight THEN 2 ELSE 4 END").replace("start_ms >= lo + (hi - lo) * 0.9::DOUBLE", "(start_ms >= lo + (hi - lo) * 0.9::DOUBLE OR (pos % 4 = 1 AND start_ms >= lo + (hi - lo) * 0.5::DOUBLE))")
+
+
+@query("CUES", sql=_TIGHT + "SELECT file_id, pos, category, would AND NOT valve_tripped AS deleted FROM g6 WHERE category IS NOT NULL")
+def gate_low_trust(spark, d):
+    """Rows of little trust are judged by tighter limits; so is a run that holds one."""
+    rules = dataclasses.replace(LATIN_GATE, tight={"repeat_run": 2, "window_ratio": 0.5})
+    return gate.classify(A.cues(spark, d), rules, F.col("pos") % 4 == 1).filter("category is not null").select("file_id", "pos", "category", "deleted")
+
+
 @query("CUES", sql=_GATE + "SELECT file_id, pos, category, would, valve_tripped, would AND NOT valve_tripped AS deleted FROM g6 WHERE category IS NOT NULL")
 def gate_classify(spark, d):
     return _gated(spark, d).filter("category is not null").select("file_id", "pos", "category", "would", "valve_tripped", "deleted")

@@ -396,12 +396,22 @@ def verified_terms(spark, d):
 o AS (SELECT DISTINCT term FROM w WHERE x > 0 AND NOT (term = 'error' AND w > 0)),
 g AS (SELECT trim(CASE WHEN turn % 4 = 0 THEN (['error', 'View', 'other'])[conv_id % 3 + 1] ELSE text END) AS source, 'T' || turn AS target, conv_id * 1000 + turn AS ord FROM conversations WHERE role = 'user'),
 k AS (SELECT *, regexp_replace(source, '\s+', ' ', 'g') AS f FROM g WHERE source <> '')
-SELECT source, target, ord, CASE WHEN row_number() OVER (PARTITION BY f ORDER BY ord) > 1 THEN 'exists' ELSE 'added' END AS status, source IN (SELECT term FROM o) OR lower(source) IN (SELECT term FROM o) AS conflict_warn FROM k""")
+SELECT source, target, ord, CASE WHEN row_number() OVER (PARTITION BY f ORDER BY ord) > 1 OR f IN (SELECT f FROM k WHERE ord // 1000 % 5 = 0) THEN 'exists' ELSE 'added' END AS status, source IN (SELECT term FROM o) OR lower(source) IN (SELECT term FROM o) AS conflict_warn FROM k""")
 def suggestions(spark, d):
     turns = A.table(spark, d, "conversations").filter("role = 'user'")
     source = F.when(F.col("turn") % 4 == 0, F.element_at(F.array(F.lit("error"), F.lit("View"), F.lit("other")), (F.col("conv_id") % 3 + 1).cast("int"))).otherwise(F.col("text"))
     rows = turns.select(source.alias("source"), F.concat(F.lit("T"), "turn").alias("target"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
-    return memory.apply_suggestions(A.memory(spark, d).limit(0), rows, watch_log(spark, d))
+    there = rows.filter((F.col("ord") / 1000).cast("long") % 5 == 0).select(T.content_hash(T.strip(F.col("source"))).alias("content_hash"), F.lit(0).alias("stage"))  # a fifth is in the memory
+    return memory.apply_suggestions(there, rows, watch_log(spark, d))
+
+
+@query("RUN_EVENTS", sql="""WITH c AS (SELECT phase, CASE WHEN k % 7 <> 0 THEN k END AS n, seq % 500 AS p, CASE WHEN seq % 3 <> 0 THEN seq % 90 END AS c, (seq % 4000) / 1000 AS s FROM run_events),
+t AS (SELECT phase, count(*) AS total_calls, coalesce(sum(n), 0)::BIGINT AS total_rows, coalesce(sum(p), 0)::BIGINT AS total_prompt_tokens, coalesce(sum(c), 0)::BIGINT AS total_completion_tokens, round(sum(s), 6) AS e FROM c GROUP BY phase)
+SELECT phase, total_calls, total_rows, total_prompt_tokens, total_completion_tokens, round_even((total_prompt_tokens + total_completion_tokens) / total_rows, 1) AS tokens_per_row, round_even(e, 3) AS total_elapsed_s, round_even(e / total_rows, 3) AS avg_s_per_row FROM t""")
+def usage_totals(spark, d):
+    e = A.run_events(spark, d)
+    calls = e.select("phase", F.when(F.col("k") % 7 != 0, F.col("k")).alias("rows"), (F.col("seq") % 500).alias("prompt_tokens"), F.when(F.col("seq") % 3 != 0, F.col("seq") % 90).alias("completion_tokens"), (F.col("seq") % 4000 / 1000).alias("elapsed_s"))
+    return review.usage_totals(calls, "phase")
 
 
 # -- quality ------------------------------------------------------------------------------------------------------------

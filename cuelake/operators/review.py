@@ -91,6 +91,15 @@ def film_stats(rows: DataFrame, classes: tuple[int, ...] = (1, 2, 3, 4, 5)) -> D
     return out.withColumn("problem_rate", F.when(F.col("must_total") > 0, (F.col("c1") + F.col("c2")) / F.col("must_total")))
 
 
+def usage_totals(calls: DataFrame, *by: str) -> DataFrame:
+    """Calls (rows, prompt_tokens, completion_tokens, elapsed_s; nulls count nothing) in sum, with tokens and seconds per row;
+    0 without rows."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = calls.groupBy(*by).agg(F.count(F.lit(1)).alias("total_calls"), total("rows").alias("total_rows"), total("prompt_tokens").alias("total_prompt_tokens"), total("completion_tokens").alias("total_completion_tokens"), total("elapsed_s").alias("elapsed"))
+    each = lambda c, digits: F.when(F.col("total_rows") > 0, F.bround(c / F.col("total_rows"), digits)).otherwise(0.0)
+    return out.select(*by, "total_calls", "total_rows", "total_prompt_tokens", "total_completion_tokens", each(F.col("total_prompt_tokens") + F.col("total_completion_tokens"), 1).alias("tokens_per_row"), F.bround("elapsed", 3).alias("total_elapsed_s"), each(F.col("elapsed"), 3).alias("avg_s_per_row"))
+
+
 def review_order(rows: DataFrame, films: DataFrame) -> DataFrame:
     """place of every row: films that are reviewed whole by their share of true problems, the others by their must-see rows,
     most first; in a film by category, verified rows first, similarity and time. Places are counted by film."""
