@@ -11,7 +11,7 @@ from cuelake.operators import memory, quality, snapshots
 from cuelake.registry import query
 from cuelake.sources import adapters as A
 from cuelake.sources import cues as S
-from cuelake.sources import reports, sidecars
+from cuelake.sources import cue_source, reports, sidecars
 from cuelake.streaming import events as R
 from cuelake.streaming import sessions
 
@@ -280,6 +280,15 @@ def file_intake(spark, d):
     return S.parse_srt(R.drained(stream, f"{base}/out"))
 
 
+@query("CUES", sql="SELECT file_id, pos, idx, start_ms, end_ms, text FROM cues")
+def cue_source_files(spark, d):
+    """Cue files read by the data source, decoded and parsed."""
+    base = folder(spark, "source")
+    S.write_srt(A.cues(spark, d), f"{base}/in")
+    files = S.decode(cue_source.cue_files(spark, f"{base}/in", pattern="*.txt").filter("error is null").drop("error"))
+    return S.parse_srt(files.select(F.regexp_extract("path", r"file_id=(\d+)", 1).cast("long").alias("file_id"), F.col("text").alias("content")))
+
+
 @query("PAIRS", sql="SELECT source_text, count(*) AS n FROM pairs GROUP BY ALL")
 def learn_stream(spark, d):
     """Pairs that arrive as a stream go through a merge per micro-batch."""

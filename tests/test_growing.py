@@ -283,3 +283,39 @@ def test_terms_that_begin_alike_do_not_meet(spark):
 
     found = containing(texts, terms, ["id"], "key", counted(F.col("s"), F.col("t"))).collect()
     assert sorted((r.id, r.key) for r in found) == [(k, k) for k in range(0, 10_000, 10)] and tried.value < 100_000
+
+
+# -- cue files as a data source -----------------------------------------------------------------------
+
+def test_cue_files_in_batch_and_stream(spark, tmp_path):
+    from cuelake.sources import cue_source
+    from cuelake.streaming import events as R
+
+    folder = tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+    one = lambda k: f"1\n00:00:0{k},000 --> 00:00:0{k},500\nrow {k}\n"
+    for k in range(5):
+        (folder / ("deep" if k % 2 else ".") / f"f{k}.srt").write_text(one(k), encoding="utf-8")
+    (folder / "legacy.srt").write_bytes("1\n00:00:01,000 --> 00:00:02,000\n日本語\n".encode("cp932"))
+    (folder / "page.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.000\nvtt\n", encoding="utf-8")
+    (folder / "note.txt").write_text("x", encoding="utf-8")
+    (folder / "_unfinished.srt").write_text(one(9), encoding="utf-8")
+    batch = cue_source.cue_files(spark, str(folder), splitBytes=100)
+    assert 1 < batch.rdd.getNumPartitions() < 8
+    cues, rejects = cue_source.parsed(batch)
+    assert sorted(r.text for r in cues.collect()) == sorted([f"row {k}" for k in range(5)] + ["日本語", "vtt"])
+    found = {r.file_id.rsplit("/", 1)[-1]: r.warning for r in rejects.collect()}
+    assert found == {"note.txt": "unknown format"}
+    # A file that went between listing and reading is a row with an error.
+    (gone,) = cue_source.CueFiles({"path": str(folder)}).reader(None).read(cue_source._Part([(0, f"{folder}/gone.srt", 3)]))
+    assert gone[1] == "gone.srt" and gone[4] is None and "FileNotFoundError" in gone[5]
+    broken = spark.createDataFrame([(gone[0], gone[1], gone[2], gone[3], gone[4], gone[5])], cue_source.CueFiles({}).schema())
+    assert [r.warning for r in cue_source.parsed(broken)[1].collect()] == [gone[5]]
+    stream = cue_source.cue_files(spark, str(folder), stream=True)
+    first = R.drained(stream, str(tmp_path / "out")).select("name", "content")
+    assert sorted(map(str, first.collect())) == sorted(map(str, batch.select("name", "content").collect()))
+    (folder / "late.srt").write_text(one(7), encoding="utf-8")
+    again = R.drained(cue_source.cue_files(spark, str(folder), stream=True), str(tmp_path / "out"))
+    assert batch.count() == 8 and again.count() == 9 and again.filter("name = 'late.srt'").count() == 1
+    only = cue_source.cue_files(spark, str(folder), pattern="f?.srt")
+    assert only.count() == 5 and cue_source.cue_files(spark, str(tmp_path / "none")).count() == 0
