@@ -124,6 +124,18 @@ def _shingling(wanted: np.ndarray | None):
     return shingle
 
 
+def _placing(shared: np.ndarray):
+    """key and band of the bands that pass the filter."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            bands_ = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            inside = in_filter(shared, bands_)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[inside])), pa.array(bands_[inside])], ["key", "band"])
+
+    return place
+
+
 def sketches(docs: DataFrame, extra: Column | None = None) -> DataFrame:
     """doc_id, key (digest of the set, null when empty), n, regs, bands and _text (the extra column) for every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(None) if extra is None else extra).cast("string").alias("_text"))
@@ -181,14 +193,18 @@ def _components(docs: DataFrame, percent: int, extra: Column | None = None) -> D
     owners = classes.select("key", "doc_id")
     placed = classes.select("key", F.explode("bands").alias("band"))
     buckets = gathered(placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    members = gathered(placed.join(buckets, "band"))
-    whole = members.filter(F.col("size") <= CHUNK).groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # CHUNK keys at most
+    # Bands of one member are left out by a filter before rows are dealt; members of large buckets are never dealt by
+    # band: the few large bands and their leads go to them.
+    if filter_fits(buckets.count()):
+        placed = classes.select("key", "bands").mapInArrow(_placing(bit_filter(buckets, "band")), "key binary, band long")
+    crowded = small(buckets.filter(F.col("size") > CHUNK))
+    large = gathered(placed.join(crowded, "band"))
+    whole = placed.join(crowded.select("band"), "band", "left_anti").join(buckets.select("band"), "band").groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # CHUNK keys at most
     near = whole.select(F.posexplode("keys").alias("i", "a"), "keys").select("a", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("b"))
     # The lead of a large bucket is its most central member: the one whose buckets hold the most.
-    large = members.filter(F.col("size") > CHUNK)
     weight = gathered(large.groupBy("key").agg(F.sum("size").alias("weight")))
-    lead = gathered(large.join(weight, "key").groupBy("band").agg(F.max(F.struct("weight", "key"))["key"].alias("lead")))
-    star = large.join(lead, "band").filter("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
+    lead = gathered(large.join(small(weight), "key").groupBy("band").agg(F.max(F.struct("weight", "key"))["key"].alias("lead")))
+    star = large.join(small(lead), "band").filter("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b"))
     pairs = gathered(_likely(star.union(near).distinct(), classes))
     links = gathered(_verified(pairs, _sets(docs, _ends(pairs), owners), percent))
     labels = components(links)
@@ -206,9 +222,9 @@ def _closed(labels: DataFrame, large: DataFrame, pairs: DataFrame, classes: Data
     """The links that are left in large buckets of several components; None when there is no such bucket.
 
     Shingles of one set alone come first in the order and need no row; they only use up places of the prefix."""
-    large = large.select("band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    large = large.select("band", "key").join(small(labels.withColumnRenamed("node", "key")), "key", "left").withColumn("label", F.coalesce("label", "key"))
     split = gathered(large.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band"))
-    open_ = gathered(large.join(split, "band", "left_semi").select("key", "label").distinct())
+    open_ = gathered(large.join(small(split), "band", "left_semi").select("key", "label").distinct())
     if not open_.head(1):
         return None
     sets = _sets(docs, open_.select("key"), owners)
@@ -270,21 +286,41 @@ def _item_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(items), pa.array(n.astype(np.int64))], ["item", "n"])
 
 
+def _sifting(gone: np.ndarray, doubtful: bool):
+    """Rows whose hash, the last column, is in a filter (doubtful) or isn't, without that column."""
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inside = in_filter(gone, batch.column(batch.num_columns - 1).to_numpy())
+            yield batch.filter(pa.array(inside == doubtful)).select(list(range(batch.num_columns - 1)))
+
+    return sift
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The input with one row of each component: of the rows with its smallest id, the one with the smallest text digest.
-    Rows without shingles are components of their own; of rows with equal id and text one stays."""
+    Rows without shingles are components of their own; of rows with equal id and text one stays.
+
+    Rows that a filter of the removed ones rules out stay where they are; only the others, removed ones nearly all, are
+    joined with the rows to keep. So the texts of what stays aren't shuffled."""
     text = lambda df: F.coalesce(F.md5(df["text"].cast("string").cast("binary")), F.lit(""))
     rows = _components(docs, 75, text(docs))
     group = F.coalesce(F.col("label"), F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "_text")).cast("binary"))
     kept = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("k"))
     kept = gathered(kept.select(F.col("k.doc_id").alias("_id"), F.col("k._text").alias("_text")))
     again = gathered(rows.groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), "_text"))
-    is_row = lambda df: docs["doc_id"].cast("long").eqNullSafe(df["_id"]) & (text(docs) == df["_text"])
-    kept = small(kept)
-    out = docs.join(kept, is_row(kept), "left_semi")
+    is_row = lambda df, side: df["doc_id"].cast("long").eqNullSafe(side["_id"]) & (text(df) == side["_text"])
+    both = rows.select("doc_id", F.col("_text").alias("_digest"))
+    gone = gathered(both.join(kept, both["doc_id"].eqNullSafe(kept["_id"]) & (both["_digest"] == kept["_text"]), "left_anti").select(F.xxhash64("doc_id", "_digest").alias("h")))
+    if filter_fits(gone.count()):
+        bits = bit_filter(gone, "h")
+        hashed = docs.select("*", F.xxhash64(docs["doc_id"].cast("long"), text(docs)).alias("_row_hash_"))
+        doubtful = hashed.mapInArrow(_sifting(bits, True), docs.schema)
+        out = hashed.mapInArrow(_sifting(bits, False), docs.schema).unionByName(doubtful.join(kept, is_row(doubtful, kept), "left_semi"))
+    else:
+        out = docs.join(kept, is_row(docs, kept), "left_semi")
     if not again.head(1):
         return out
-    same = [docs["doc_id"].cast("long"), text(docs)]
-    repeated = out.join(small(again), is_row(again), "left_semi")
-    one = repeated.withColumn("_row", F.struct(*docs.columns)).groupBy(*same).agg(F.first("_row").alias("_row")).select("_row.*")
-    return out.join(small(again), is_row(again), "left_anti").unionByName(one)
+    again = small(again)
+    repeated = out.join(again, is_row(out, again), "left_semi")
+    one = repeated.withColumn("_row", F.struct(*docs.columns)).groupBy(repeated["doc_id"].cast("long"), text(repeated)).agg(F.first("_row").alias("_row")).select("_row.*")
+    return out.join(again, is_row(out, again), "left_anti").unionByName(one)
