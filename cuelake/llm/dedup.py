@@ -290,8 +290,10 @@ def _sifting(gone: np.ndarray, doubtful: bool):
     """Rows whose hash, the last column, is in a filter (doubtful) or isn't, without that column."""
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inside = in_filter(gone, batch.column(batch.num_columns - 1).to_numpy())
-            yield batch.filter(pa.array(inside == doubtful)).select(list(range(batch.num_columns - 1)))
+            for at in range(0, batch.num_rows, 256):  # what goes back is small, however long the texts are
+                part = batch.slice(at, 256)
+                inside = in_filter(gone, part.column(part.num_columns - 1).to_numpy())
+                yield part.filter(pa.array(inside == doubtful)).select(list(range(part.num_columns - 1)))
 
     return sift
 
