@@ -95,12 +95,14 @@ def read_watch(spark: SparkSession, path: str) -> DataFrame:
 
 def labelled_sample(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """Lines 'idx|prefix|similarity|H:M:S|P1:text|P2:text' with the label of their idx (labels: idx, label), or an empty one.
-    Lines of other shapes and numbers that aren't numbers are dropped."""
+    Where idx alone doesn't tell lines of several prefixes apart, labels have a prefix too. Lines of other shapes and numbers
+    that aren't numbers are dropped."""
     part = F.split(T.strip(F.col("value")), r"\|", 6)
     rows = lines.select(part.alias("p")).filter(F.size("p") == 6)
     clock = F.split(F.split(F.col("p")[3], "[,.]")[0], ":")
     seconds = (F.try_element_at(clock, F.lit(1)).try_cast("long") * 60 + F.try_element_at(clock, F.lit(2)).try_cast("long")) * 60 + F.try_element_at(clock, F.lit(3)).try_cast("long")
     text = lambda k: F.regexp_replace(F.col("p")[3 + k], f"^P{k}:", "")
     rows = rows.select(F.col("p")[0].try_cast("int").alias("idx"), F.col("p")[1].alias("prefix"), F.col("p")[2].try_cast("double").alias("similarity"), seconds.alias("at_s"), text(1).alias("text1"), text(2).alias("text2"))
-    known = labels.groupBy("idx").agg(F.max(T.strip(F.col("label"))).alias("label"))
-    return rows.filter("idx is not null and similarity is not null").join(known, "idx", "left").withColumn("label", F.coalesce("label", F.lit("")))
+    key = [c for c in ("idx", "prefix") if c in labels.columns]
+    known = labels.groupBy(*key).agg(F.max(T.strip(F.col("label"))).alias("label"))
+    return rows.filter("idx is not null and similarity is not null").join(known, key, "left").withColumn("label", F.coalesce("label", F.lit("")))
