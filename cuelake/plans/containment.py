@@ -1,8 +1,10 @@
-"""Which texts contain which needles, by the rarest gram of each needle."""
+"""Which texts contain which needles: by the rarest gram of each needle, or inside groups of their own."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Longest gram. Needles of a gram that meet its texts at a time, and texts of a gram that do.
@@ -35,3 +37,14 @@ def containing(texts: DataFrame, needles: DataFrame, ids: list[str], key: str, t
     left = held.join(grid, "gram").withColumn("column", deal(ids, "columns")).withColumn("row", every("rows")).select(*ids, "gram", "row", "column")
     right = rarest.join(grid, "gram").withColumn("row", deal([key], "rows")).withColumn("column", every("columns")).select(key, "t", "gram", "row", "column")
     return left.join(right, ["gram", "row", "column"]).select(*ids, key, "t").join(texts.select(*ids, "s"), ids).filter(F.contains("s", "t") if test is None else test).drop("s")
+
+
+def containing_in(texts: DataFrame, needles: DataFrame, group: str, test: Callable[[Column], Column], needles_at_once: int = NEEDLES) -> DataFrame:
+    """texts' columns and needles' for every text and needle of the same group (a file, say) for which test, over the needle's
+    struct, holds. Needles of other groups are never met, so no gram is laid out and work grows with the groups' number.
+    A group's needles go in parts of about needles_at_once, each of which meets the group's texts."""
+    needle = F.struct(*(c for c in needles.columns if c != group))
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(group)) / needles_at_once)
+    dealt = needles.select(group, needle.alias("_n"), F.pmod(F.xxhash64(needle), parts).alias("_part"))
+    dealt = dealt.groupBy(group, "_part").agg(F.collect_list("_n").alias("_n"))
+    return texts.join(dealt, group).withColumn("_n", F.explode(F.filter("_n", test))).select(*texts.columns, "_n.*")

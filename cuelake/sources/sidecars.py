@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
-from cuelake.plans.containment import containing
+from cuelake.plans.containment import containing_in
 from cuelake.sources.reports import CSV
 
 TM_COLUMNS = "source_text string, target_text string, stage int, hit_count long, source_lang string, target_lang string"
@@ -155,9 +155,8 @@ def context_sidecar(lines: DataFrame) -> DataFrame:
 
 def mishear_rows(final: DataFrame, pairs: DataFrame) -> DataFrame:
     """Final rows (aligned: orig_text) that hold a suspect word of their file's context, one row per pair."""
-    texts = final.select("file_id", "pos", T.strip(F.coalesce("orig_text", F.lit(""))).alias("s"))
-    held = containing(texts, pairs.select("suspect", F.col("suspect").alias("t")).distinct(), ["file_id", "pos"], "suspect").drop("t")
-    rows = final.join(held.join(pairs.select("file_id", "suspect", "correct"), ["file_id", "suspect"]), ["file_id", "pos"])
+    texts = final.select("file_id", "pos", "idx", "text", T.strip(F.coalesce("orig_text", F.lit(""))).alias("s"))
+    rows = containing_in(texts, pairs.filter("suspect <> ''").select("file_id", "suspect", "correct"), "file_id", lambda x: F.contains("s", x["suspect"]))
     return rows.select("file_id", "pos", "idx", "suspect", "correct", F.substring(T.strip(F.coalesce("text", F.lit(""))), 1, 60).alias("preview"))
 
 

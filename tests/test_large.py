@@ -1,5 +1,7 @@
 """What only larger tables show: keys that meet, and steps whose work grew faster than their input."""
 
+from pyspark.sql import functions as F
+
 from cuelake.sources import reports
 
 
@@ -9,3 +11,23 @@ def test_labels_of_films_that_share_an_index(spark):
     rows = {(r.idx, r.prefix, r.label) for r in reports.labelled_sample(lines, labels).collect()}
     assert rows == {(2500, "film1", "A"), (2500, "film2", "")}
     assert {r.label for r in reports.labelled_sample(lines, labels.drop("prefix")).collect()} == {"A"}
+
+
+def test_needles_meet_their_own_group_only(spark, monkeypatch):
+    """A word of every file is a needle of every file: pairs come from the file alone, and no gram of a text is laid out."""
+    from cuelake.operators import validate
+    from cuelake.plans import containment
+    from cuelake.sources import sidecars
+
+    monkeypatch.setattr(containment, "_grams", lambda *_: 1 / 0)
+    final = spark.range(40).selectExpr("id % 20 AS file_id", "id AS pos", "id AS idx", "'the word' AS text", "concat('the word', id) AS orig_text")
+    pairs = spark.range(20).selectExpr("id AS file_id", "'the' AS suspect", "'a' AS correct").union(spark.createDataFrame([(1, "word21", "x"), (2, "word21", "y"), (1, "", "z")]))
+    rows = sorted((r.file_id, r.pos, r.suspect, r.correct) for r in sidecars.mishear_rows(final, pairs).collect())
+    assert rows == sorted([(k % 20, k, "the", "a") for k in range(40)] + [(1, 21, "word21", "x")])
+    texts = spark.range(300).selectExpr("0 AS file_id", "id AS pos", "concat('the word', id, ' end') AS source", "concat('der wort', id, ' ende') AS target")
+    pairs = spark.range(300).selectExpr("0 AS file_id", "'the' AS src", "concat('wort', id) AS dst").union(spark.createDataFrame([(1, "the", "der"), (0, "word1", "wort299")]))
+    for once in (1000, 7):
+        found = containment.containing_in(texts, pairs, "file_id", lambda x: F.contains("source", x["src"]) & F.contains("target", x["dst"]), once).select("src", "dst").distinct()
+        assert {tuple(r) for r in found.collect()} == {("the", f"wort{k}") for k in range(300)}
+    known = spark.createDataFrame([], "src string")
+    assert validate.verified_pairs(pairs, texts, known).count() == 300
