@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
-from cuelake.plans.containment import containing
-from cuelake.plans.versions import settled
+from cuelake.plans.containment import containing_in
 
 
 #: Characters beside Latin letters that don't make a row Chinese or Japanese, characters that do, and particles that make
@@ -140,19 +139,8 @@ def full_sources(items: DataFrame, source: DataFrame) -> DataFrame:
 
 def verified_pairs(pairs: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
     """Proposed terms (file_id, src, dst; no empty sides) whose sides both occur in a row of the file (texts: file_id, pos,
-    source, target), differ, and are new. Each side is looked up by grams; a pair then meets the rows that hold its rarer
-    side, and of these the ones that hold the other."""
-    pairs, row = settled(pairs.filter("src <> dst").select("file_id", "src", "dst").distinct()), ["file_id", "pos"]
-
-    def held(side: str, word: str) -> DataFrame:
-        needles = pairs.select(word, F.col(word).alias("t")).distinct()
-        found = containing(texts.select(*row, F.col(side).alias("s")), needles, row, word).drop("t")
-        return settled(found.join(pairs.select("file_id", word).distinct(), ["file_id", word], "left_semi"))
-
-    source, target = held("source", "src"), held("target", "dst")
-    many = lambda df, word, n: df.groupBy("file_id", word).agg(F.count(F.lit(1)).alias(n))
-    both = pairs.join(many(source, "src", "n_src"), ["file_id", "src"]).join(many(target, "dst", "n_dst"), ["file_id", "dst"])
-    left = both.filter("n_src <= n_dst").join(source, ["file_id", "src"]).join(target, [*row, "dst"], "left_semi")
-    right = both.filter("n_src > n_dst").join(target, ["file_id", "dst"]).join(source, [*row, "src"], "left_semi")
-    new = left.select("src", "dst").union(right.select("src", "dst")).distinct().withColumn("key", F.lower("src"))
+    source, target), differ, and are new. A pair meets the rows of its own file only."""
+    pairs = pairs.filter("src <> dst and src <> '' and dst <> ''").select("file_id", "src", "dst").distinct()
+    held = containing_in(texts.select("file_id", "source", "target"), pairs, "file_id", lambda x: F.contains("source", x["src"]) & F.contains("target", x["dst"]))
+    new = held.select("src", "dst").distinct().withColumn("key", F.lower("src"))
     return new.join(known.select(F.lower("src").alias("key")).distinct(), "key", "left_anti").drop("key")
