@@ -373,14 +373,12 @@ sg AS (SELECT file_id, min(hop_no) * 10 AS start_ms, (max(hop_no) + 1) * 10 AS e
 
 @query("CUES", "HOPS", sql=_SEG + "SELECT * FROM sg")
 def speech_segments(spark, d):
-    h = A.hops(A.cues(spark, d))
-    return audio.speech_segments(h, audio.threshold(h)).select("file_id", "start_ms", "end_ms")
+    return audio.series_segments(A.series(A.cues(spark, d))).select("file_id", "start_ms", "end_ms")
 
 
 @query("CUES", "HOPS", sql=_SEG + ", t AS (SELECT file_id, count(*) * 10 AS ms FROM hops GROUP BY file_id) SELECT file_id, sum(end_ms - start_ms)::BIGINT AS speech_ms, round_even(100 * sum(end_ms - start_ms) / min(ms), 1) AS speech_pct FROM sg JOIN t USING (file_id) GROUP BY file_id")
 def speech_ratio(spark, d):
-    h = A.hops(A.cues(spark, d))
-    return audio.speech_ratio(audio.speech_segments(h, audio.threshold(h)), h)
+    return audio.series_ratio(audio.series_segments(A.series(A.cues(spark, d))))
 
 
 @query("CUES", "HOPS", sql=_SEG + """, g AS (SELECT file_id, idx, lag(end_ms) OVER w AS gs, start_ms AS ge FROM cues WINDOW w AS (PARTITION BY file_id ORDER BY start_ms, end_ms, pos)),
@@ -388,8 +386,7 @@ o AS (SELECT g.file_id, idx, gs, ge - gs AS gap_ms, sum(least(ge, end_ms) - grea
 SELECT file_id, idx, gap_ms, speech_ms FROM o QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY gs, idx) <= 20""")
 def speech_in_gaps(spark, d):
     c = A.cues(spark, d)
-    h = A.hops(c)
-    return audio.speech_in_gaps(c, audio.speech_segments(h, audio.threshold(h))).select("file_id", "idx", "gap_ms", "speech_ms")
+    return audio.speech_in_gaps(c, audio.series_segments(A.series(c)).drop("total_ms")).select("file_id", "idx", "gap_ms", "speech_ms")
 
 
 # -- requests and review ---------------------------------------------------------------------------------------

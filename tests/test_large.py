@@ -31,3 +31,21 @@ def test_needles_meet_their_own_group_only(spark, monkeypatch):
         assert {tuple(r) for r in found.collect()} == {("the", f"wort{k}") for k in range(300)}
     known = spark.createDataFrame([], "src string")
     assert validate.verified_pairs(pairs, texts, known).count() == 300
+
+
+def test_series_are_never_rows(spark):
+    """Segments of a series equal those of its hops, over block borders too, and no shuffle or sort has its values."""
+    import random
+
+    from cuelake.operators import audio
+
+    r = random.Random(1)
+    files = [(k, [float(r.choice([0, 1, 1, 9, 9, 9, 12]) if k % 2 else r.random()) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 511, 512, 513, 1024, 5000])] + [(99, [1.0] * 700)]
+    series = spark.createDataFrame(files, "file_id long, rms array<double>")
+    hops = series.select("file_id", F.posexplode("rms").alias("hop_no", "rms"))
+    old = audio.speech_segments(hops, audio.threshold(hops))
+    new = audio.series_segments(series)
+    assert sorted(map(tuple, new.drop("total_ms").collect())) == sorted(map(tuple, old.select("file_id", "start_ms", "end_ms").collect()))
+    assert sorted(map(tuple, audio.series_ratio(new).collect())) == sorted(map(tuple, audio.speech_ratio(old, hops).collect()))
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
