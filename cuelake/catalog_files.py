@@ -277,7 +277,8 @@ def file_intake(spark, d):
     base = folder(spark, "intake")
     S.write_srt(A.cues(spark, d), f"{base}/in")
     stream = R.arriving_files(spark, f"{base}/in", "*.txt").select(F.regexp_extract("path", r"file_id=(\d+)", 1).cast("long").alias("file_id"), "content")
-    return S.parse_srt(R.drained(stream, f"{base}/out"))
+    with S.many_files(spark):
+        return S.parse_srt(R.drained(stream, f"{base}/out"))
 
 
 @query("CUES", sql="SELECT file_id, pos, idx, start_ms, end_ms, text FROM cues")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,12 +18,28 @@ _STAMP = r"\d+:\d+:\d+[,.]\d+\s*-->\s*\d+:\d+:\d+[,.]\d+"
 CONVERT, REVIEW = ("utf-8", "cp932", "gb18030"), ("utf-8", "gbk")
 
 
+@contextmanager
+def many_files(spark: SparkSession):
+    """Listings and streams that begin inside this take many small files at a task. As Spark comes, every folder is a task of
+    the listing, up to 10,000, and 32 small files one of the reading."""
+    wanted = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism), "spark.sql.files.openCostInBytes": "65536"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.srt", least: int = 0, most: int | None = None, after: str | None = None, before: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Files under a folder as binaryFile rows, filtered by name, size, date and excluded name patterns."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     for name, value in (("modifiedAfter", after), ("modifiedBefore", before)):
         reader = reader.option(name, value) if value else reader
-    rows = reader.load(folder).filter(F.col("length") >= least)
+    with many_files(spark):
+        rows = reader.load(folder).filter(F.col("length") >= least)
     rows = rows if most is None else rows.filter(F.col("length") <= most)
     name = F.element_at(F.split("path", "/"), -1)
     for glob in exclude:
@@ -135,9 +153,29 @@ def format_srt(cues: DataFrame) -> DataFrame:
 
 
 def write_srt(cues: DataFrame, folder: str) -> None:
-    """A folder per file with its text; the writer ends the last line."""
-    rows = format_srt(cues).select("file_id", F.regexp_replace("content", r"\n\z", "").alias("value"))
-    rows.repartition("file_id").write.partitionBy("file_id").text(folder)
+    """A folder per file with its text. Tasks write the files in place, each under a hidden name until it is whole, so that
+    nothing on the driver grows with their number; a task that runs again writes the same files."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(folder)
+    store.create_dir(root)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for file_id, content in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                own = f"{root}/file_id={file_id}"
+                hidden = f"{own}/.{uuid.uuid4().hex}"
+                store.create_dir(own)
+                with store.open_output_stream(hidden) as f:
+                    f.write(content)
+                store.move(hidden, f"{own}/cues.txt")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    format_srt(cues).select("file_id", F.encode("content", "UTF-8")).mapInArrow(put, "files long").agg(F.sum("files")).collect()
 
 
 def to_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -49,3 +49,23 @@ def test_series_are_never_rows(spark):
     assert sorted(map(tuple, audio.series_ratio(new).collect())) == sorted(map(tuple, audio.speech_ratio(old, hops).collect()))
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_cue_files_are_written_by_the_tasks(spark, tmp_path):
+    """A file per file_id, whole and with no job of Spark's writer, whose commit moves every folder on the driver."""
+    import pytest
+
+    from cuelake.sources import cues as S
+
+    cues = spark.range(60).selectExpr("id % 20 AS file_id", "cast(id AS int) AS pos", "id * 1000 AS start_ms", "id * 1000 + 500 AS end_ms", "concat('é', id) AS text")
+    folder = tmp_path / "out"
+    S.write_srt(cues, str(folder))
+    found = {p.relative_to(folder).as_posix(): p.read_bytes().decode() for p in folder.rglob("*") if p.is_file()}
+    assert found == {f"file_id={r.file_id}/cues.txt": r.content for r in S.format_srt(cues).collect()}
+    assert not (folder / "_SUCCESS").exists()
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    assert [tuple(r) for r in S.scan_summary(S.list_files(spark, str(folder), "*.txt")).select("files", "folders").collect()] == [(20, 20)]
+    assert spark.conf.get(name) == before
+    with pytest.raises(FileExistsError):
+        S.write_srt(cues, str(folder))
