@@ -254,3 +254,21 @@ def test_only_affected_files_are_rewritten(spark):
         assert read == {tuple(map(str, k)) for k in files}
         if new == 5:  # a fifth of the bytes must move; little beyond the cut files is rewritten
             assert 380 < rows["move"].sum() < 420 * 2 and sum(r.rows for r in files.values() if r.fresh) < 0.6 * 2000
+
+
+def test_all_labels_teach_quality(spark, monkeypatch):
+    """Rows of every block teach and move the cut; labels beyond a broadcast find their texts through a filter."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("## $$ "), "id")).otherwise(F.concat(F.lit("some plain words of text "), "id")).alias("text"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 > 0).cast("int").alias("quality"))
+    assert quality.labelled(docs, labels, "quality", F.lit(True)).count() == 3000
+    seen = []
+    monkeypatch.setattr(quality, "BLOCK", 500)
+    made = quality.model_of
+    monkeypatch.setattr(quality, "model_of", lambda scale, w, counts: seen.append(counts) or made(scale, w, counts))
+    one = quality.train(docs, labels, F.lit(True))
+    assert seen[0][["good", "bad"]].sum().tolist() == [2250, 750]
+    monkeypatch.setattr(quality, "LABELS", 10)
+    two = quality.train(docs.repartition(7), labels, F.lit(True))
+    assert np.allclose(one["w"], two["w"]) and one["cut"] == pytest.approx(two["cut"])
+    rows = [quality.features(r.text.encode()) for r in docs.limit(100).collect()]
+    assert [bool(p >= 0.5) for p in quality.strength(one, np.array(rows))] == [k % 4 > 0 for k in range(100)]
