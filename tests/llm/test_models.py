@@ -272,3 +272,18 @@ def test_all_labels_teach_quality(spark, monkeypatch):
     assert np.allclose(one["w"], two["w"]) and one["cut"] == pytest.approx(two["cut"])
     rows = [quality.features(r.text.encode()) for r in docs.limit(100).collect()]
     assert [bool(p >= 0.5) for p in quality.strength(one, np.array(rows))] == [k % 4 > 0 for k in range(100)]
+
+
+def test_all_labels_teach_toxicity(spark, monkeypatch):
+    """Blocks share their weights after each epoch; every labelled row is fitted to or calibrates, and counts as before the cut."""
+    docs = spark.range(1600).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 5 == 0, "nasty words here ").otherwise("kind words here "), F.col("id") % 50).alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(1600).select(F.col("id").alias("doc_id"), (F.col("id") % 5 == 0).cast("int").alias("toxic"))
+    monkeypatch.setattr(toxicity, "BLOCK", 300)
+    seen, made = [], toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda *a: seen.append(a) or made(*a))
+    one, two = toxicity.train(docs, labels), toxicity.train(docs.repartition(5), labels)
+    n = labels.filter(~toxicity.language.held_out(F.col("doc_id"))).filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).count()
+    assert (seen[0][1] + seen[0][2]).sum() == n
+    assert np.allclose(one["v"], two["v"], atol=1e-4) and np.allclose(one["cuts"], two["cuts"], atol=0.02)
+    z = toxicity.logits(one, [toxicity.word_ids(r.text.encode()) for r in docs.limit(100).collect()])
+    assert [bool(x >= one["cuts"][0]) for x in z] == [k % 5 == 0 for k in range(100)]
