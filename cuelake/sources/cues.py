@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +55,8 @@ def scan_summary(files: DataFrame) -> DataFrame:
 
 def decode(files: DataFrame, ladder: tuple[str, ...] = CONVERT) -> DataFrame:
     """content bytes to text, encoding and error. Rejected files have no text and name the reason."""
-    @F.pandas_udf("text string, encoding string, error string")
-    def step(raw: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("text string, encoding string, error string")
+    def step(raw: pa.Array) -> pa.Array:
         def one(data):
             if data is None:
                 return None, None, "no content"
@@ -69,7 +70,11 @@ def decode(files: DataFrame, ladder: tuple[str, ...] = CONVERT) -> DataFrame:
                     pass
             return None, None, "no encoding fits"
 
-        return pd.DataFrame([one(x) for x in raw], columns=["text", "encoding", "error"])
+        parts = [pa.array([], pa.struct([(name, pa.string()) for name in ("text", "encoding", "error")]))]
+        for at in range(0, len(raw), 64):  # so few texts are Python strings at a time
+            rows = zip(*(one(x.as_py()) for x in raw.slice(at, 64)), strict=True)
+            parts.append(pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in rows], ["text", "encoding", "error"]))
+        return pa.concat_arrays(parts)
 
     return files.withColumn("_d", step(F.col("content"))).select("*", "_d.*").drop("_d")
 
@@ -155,7 +160,6 @@ def format_srt(cues: DataFrame) -> DataFrame:
 def write_srt(cues: DataFrame, folder: str) -> None:
     """A folder per file with its text. Tasks write the files in place, each under a hidden name until it is whole, so that
     nothing on the driver grows with their number; a task that runs again writes the same files."""
-    import pyarrow as pa
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)

@@ -69,3 +69,11 @@ def test_cue_files_are_written_by_the_tasks(spark, tmp_path):
     assert spark.conf.get(name) == before
     with pytest.raises(FileExistsError):
         S.write_srt(cues, str(folder))
+
+
+def test_decoding_in_slices(spark):
+    from cuelake.sources import cues as S
+
+    files = spark.range(150, numPartitions=1).selectExpr("id AS file_id", "CASE WHEN id % 7 > 0 THEN encode(concat('é', id), 'UTF-8') END AS content")
+    rows = {r.file_id: (r.text, r.encoding, r.error) for r in S.decode(files).collect()}
+    assert rows == {k: (f"é{k}", "utf-8", None) if k % 7 else (None, None, "no content") for k in range(150)}
