@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,19 +72,23 @@ def side_by_side(a: DataFrame, b: DataFrame, least_ms: int = 200) -> DataFrame:
     reach = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
     stretch = both.withColumn("stretch", island(F.coalesce(F.col("start_ms") >= reach, F.lit(True)), w)).filter("side = 0").select("file_id", "pos", "stretch")
 
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["pos", "overlap_ms", "r_pos"], ascending=[True, False, True])
-        used, served, take = set(), set(), []
-        for k, (pos, r_pos) in enumerate(zip(frame["pos"].tolist(), frame["r_pos"].tolist(), strict=True)):
-            if pos not in served and r_pos not in used:
-                served.add(pos)
-                used.add(r_pos)
-                take.append(k)
-        return frame.iloc[take][["file_id", "pos", "r_pos", "overlap_ms"]]
-
-    # Stretches don't touch each other, so a group may hold many of them.
-    rows = pairs.join(stretch, ["file_id", "pos"]).withColumn("part", F.floor(F.col("stretch") / 1000))
-    return rows.groupBy("file_id", "part").applyInPandas(match, "file_id long, pos long, r_pos long, overlap_ms long")
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used, served = None, set(), set()
+        for batch in batches:
+            take = []
+            for k, (file_id, part, pos, r_pos) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("file_id", "part", "pos", "r_pos")), strict=True)):
+                if at != (file_id, part):
+                    at, used, served = (file_id, part), set(), set()
+                if pos not in served and r_pos not in used:
+                    served.add(pos)
+                    used.add(r_pos)
+                    take.append(k)
+            yield batch.take(pa.array(take, pa.int64())).select(["file_id", "pos", "r_pos", "overlap_ms"])
+
+    # Stretches don't touch each other, so a part may hold many of them; parts follow each other in a task, as one stream.
+    rows = pairs.join(stretch, ["file_id", "pos"]).select("file_id", F.floor(F.col("stretch") / 1000).alias("part"), *(F.col(c).cast("long").alias(c) for c in ("pos", "r_pos", "overlap_ms")))
+    rows = rows.repartition("file_id", "part").sortWithinPartitions("file_id", "part", "pos", F.desc("overlap_ms"), "r_pos")
+    return rows.mapInArrow(match, "file_id long, pos long, r_pos long, overlap_ms long")
 
 
 def label_rows(labels: DataFrame, rows: DataFrame, width_ms: int = 500) -> DataFrame:

@@ -77,3 +77,17 @@ def test_decoding_in_slices(spark):
     files = spark.range(150, numPartitions=1).selectExpr("id AS file_id", "CASE WHEN id % 7 > 0 THEN encode(concat('é', id), 'UTF-8') END AS content")
     rows = {r.file_id: (r.text, r.encoding, r.error) for r in S.decode(files).collect()}
     assert rows == {k: (f"é{k}", "utf-8", None) if k % 7 else (None, None, "no content") for k in range(150)}
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_to_one_matching_is_a_stream_of_parts(spark):
+    """Files aren't frames of their own: a task takes its files one after the other."""
+    from cuelake.operators import compare
+
+    a = spark.range(200).selectExpr("id % 50 AS file_id", "id AS pos", "id * 1000 AS start_ms", "id * 1000 + 900 AS end_ms", "'x' AS text")
+    found = compare.side_by_side(a, a)
+    assert "FlatMapGroupsInPandas" not in _optimized(found) and "MapInArrow" in _optimized(found)
+    assert sorted(map(tuple, found.collect())) == sorted((k % 50, k, k, 900) for k in range(200))
