@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import text as T
 from cuelake.functions.timecode import parse_timing
 from cuelake.operators import gate, glossary, memory, quality, search
+from cuelake.plans.versions import settled
 from cuelake.registry import ORACLES, QUERIES, query
 from cuelake.sources import adapters as A
 
@@ -256,7 +257,7 @@ def _purge(spark, d):
     c = A.cues(spark, d).withColumns({"name": F.concat(F.lit("src"), (F.col("file_id") % 8).cast("string")), "after": F.lead("text").over(Window.partitionBy("file_id").orderBy("pos"))})
     asked = c.withColumn("text", F.when(F.col("lang") == "en", F.col("text")).when(F.col("lang") == "de", F.concat(F.lit("  "), "text")).otherwise(F.concat(F.lit("«"), "text", F.lit("»!"))))
     joined = c.filter("length(text) < 12 and after is not null").withColumn("text", F.concat("text", "after"))
-    tm = A.memory(spark, d).withColumn("created_at", F.when(F.col("id") % 50 != 0, F.col("created_at")))
+    tm = settled(A.memory(spark, d).withColumn("created_at", F.when(F.col("id") % 50 != 0, F.col("created_at"))))
     at = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp")
     return tm, memory.purge_plan(tm, memory.purge_candidates(asked, joined), at("2024-01-10"), at("2024-02-20"), exclude=tm.filter("id % 20 = 0"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -12,6 +13,8 @@ from pyspark.sql.types import DoubleType, StringType
 
 WORD = r"[\p{L}\p{N}_]"
 BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
+#: The characters of BLANK, one by one: translate() drops or changes listed characters without a search.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 KANA = r"[\x{3040}-\x{30ff}]"
 HAN = r"[\x{4e00}-\x{9fff}]"
 LATIN = r"[A-Za-z0-9_\x{c0}-\x{24f}]"
@@ -22,8 +25,9 @@ UNTRANSLATED = "[未翻译]"
 
 
 def strip(c: Column) -> Column:
-    """Unicode white space off both ends."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{BLANK}+", ""), f"{BLANK}+$", "")
+    """Unicode white space off both ends; texts without any there, most of them, aren't searched."""
+    blank = F.substring(c, 1, 1).rlike(BLANK) | F.substring(c, -1, 1).rlike(BLANK)
+    return F.when(~blank, c).otherwise(F.regexp_replace(F.regexp_replace(c, f"^{BLANK}+", ""), f"{BLANK}+$", ""))
 
 
 def norm_words(c: Column) -> Column:
@@ -33,21 +37,31 @@ def norm_words(c: Column) -> Column:
 
 def norm_spaces(c: Column) -> Column:
     """Runs of white space to one space, ends stripped."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{BLANK}+", " "))
+    spaced = F.translate(F.coalesce(c, F.lit("")), BLANKS, " " * len(BLANKS))
+    return F.trim(F.regexp_replace(spaced, "  +", " "))
 
 
 def norm_similarity(c: Column) -> Column:
     """White space and the punctuation in SIMILARITY_MARKS dropped before comparing two transcriptions."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), BLANK[:-1] + SIMILARITY_MARKS + "]+", "")
+    return F.translate(F.coalesce(c, F.lit("")), BLANKS + re.sub(r"\\(.)", r"\1", SIMILARITY_MARKS), "")
 
 
 def norm_match(c: Column) -> Column:
     """NFKC, punctuation dropped, white space folded."""
-    return norm_spaces(F.regexp_replace(nfkc(c), r"[\p{P}…⋯‥~〜～·]", ""))
+    return norm_marks(nfkc(c))
+
+
+def norm_marks(c: Column) -> Column:
+    """norm_match() of a text in NFKC form. In ASCII, punctuation is a short list."""
+    return norm_spaces(F.when(ascii_only(c), F.translate(c, "!\"#%&'()*,-./:;?@[\\]_{}~", "")).otherwise(F.regexp_replace(c, r"[\p{P}…⋯‥~〜～·]", "")))
+
+
+def ascii_only(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
 
 
 def compact(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), BLANK, "")
+    return F.translate(F.coalesce(c, F.lit("")), BLANKS, "")
 
 
 def content_hash(c: Column) -> Column:
@@ -222,8 +236,13 @@ def fold(c: Column) -> Column:
     return F.lower(nfkc(c))
 
 
+def nfkc(c: Column) -> Column:
+    """NFKC; ASCII texts, which it leaves alone, don't travel to Python."""
+    return F.when(ascii_only(c), c).otherwise(_nfkc(F.when(~ascii_only(c), c)))
+
+
 @F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
@@ -234,8 +253,14 @@ def nfkc_casefold(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks, longest first, of two short texts; 0 where one is empty."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
+    """Ratio of matching blocks, longest first, of two short texts; 0 where one is empty. A text inside another of fewer
+    than 200 characters, where no character counts as too frequent, is one block; so is an equal one of any length."""
+    def ratio(x: str, y: str) -> float:
+        if x and y and (x == y or len(y) < 200 and (x in y or y in x)):
+            return 2.0 * min(len(x), len(y)) / (len(x) + len(y))
+        return SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:

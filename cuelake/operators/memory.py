@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
+from cuelake.plans import versions as V
 from cuelake.plans.containment import containing
+from cuelake.plans.once import once
 
 KEY = ["content_hash", "stage", "source_lang", "target_lang"]
 #: The direction of rows that don't name one.
@@ -155,39 +157,44 @@ def purge_plan(tm: DataFrame, candidates: DataFrame, since=None, until=None, unk
     best form as match. Entries outside the time window (both ends in it) aren't planned; action is would_delete,
     would_keep_unknown_time (no creation time, a window is given, unknown_time is not) or would_keep_excluded. Unless
     one of the matching candidates comes from the entry's own file, the entry is suspicious."""
-    c = candidates.withColumns({"h": T.content_hash(F.col("text")), "norm": T.norm_match(F.col("text"))})
-    rows = tm.withColumn("norm", T.norm_match(F.col("source_text"))).withColumn("h", F.col("content_hash"))
-    raw_hash = c.filter("form = 'raw'").select("h").distinct()
-    forms = {"raw": raw_hash, "premerge": c.filter("form = 'premerge'").select("h").distinct().join(raw_hash, "h", "left_anti"), "normalized": c.filter("norm <> ''").select("norm").distinct()}
-    for name, keys in forms.items():
-        rows = rows.join(keys.withColumn(name, F.lit(name)), keys.columns, "left")
-    rows = rows.filter(F.coalesce(*forms).isNotNull())
-    for key, flag in (("h", "own_h"), ("norm", "own_norm")):
-        rows = rows.join(c.filter(f"{key} <> ''").select(key, F.col("name").alias("source_name")).distinct().withColumn(flag, F.lit(True)), [key, "source_name"], "left")
-    window = since is not None or until is not None
-    inside = F.lit(True)
-    if since is not None:
-        inside = inside & (F.col("created_at") >= since)
-    if until is not None:
-        inside = inside & (F.col("created_at") <= until)
+    digest = F.when(F.col("marks") != "", T.content_hash(F.col("marks"))).alias("norm")
+    matched = lambda df, text: once(df.withColumn("nfkc", T.nfkc(F.col(text))), marks=T.norm_marks(F.col("nfkc")))
+    c = matched(candidates, "text")
+    c = V.settled(c.select(T.content_hash(F.col("text")).alias("h"), digest, F.col("name").alias("source_name"), "form"))  # five steps read it; texts stay behind
     unknown = F.col("created_at").isNull()
-    rows = rows.filter(unknown | inside) if window else rows
-    action = F.when(unknown & F.lit(window and not unknown_time), "would_keep_unknown_time").otherwise("would_delete")
+    window = since is not None or until is not None
+    rows = tm
+    if window:
+        inside = F.lit(True)
+        if since is not None:
+            inside = inside & (F.col("created_at") >= since)
+        if until is not None:
+            inside = inside & (F.col("created_at") <= until)
+        rows = rows.filter(unknown | inside)
+    rows = matched(rows, "source_text").select("id", "stage", "source_name", unknown.alias("unknown"), F.col("content_hash").alias("h"), digest)
+    forms = c.groupBy("h").agg(F.bool_or(F.col("form") == "raw").alias("raw"), F.bool_or(F.col("form") == "premerge").alias("premerge"))
+    rows = rows.join(forms, "h", "left").join(c.filter("norm is not null").select("norm").distinct().withColumn("normalized", F.lit(True)), "norm", "left")
+    match = F.when(F.col("raw"), "raw").when(F.col("premerge"), "premerge").when(F.col("normalized"), "normalized")
+    rows = rows.withColumn("match", match).filter("match is not null")
+    for key, flag in (("h", "own_h"), ("norm", "own_norm")):
+        own = c.filter(F.col(key).isNotNull()).select(key, "source_name").distinct().withColumn(flag, F.lit(True))
+        rows = rows.join(own, [key, "source_name"], "left")
+    action = F.when(F.col("unknown") & F.lit(window and not unknown_time), "would_keep_unknown_time").otherwise("would_delete")
     if exclude is not None:
         rows = rows.join(exclude.select("id").distinct().withColumn("hold", F.lit(True)), "id", "left")
         action = F.when(F.col("hold"), "would_keep_excluded").otherwise(action)
-    return rows.select("id", "stage", F.coalesce(*forms).alias("match"), action.alias("action"), (F.col("own_h").isNull() & F.col("own_norm").isNull()).alias("suspicious"))
+    return rows.select("id", "stage", "match", action.alias("action"), (F.col("own_h").isNull() & F.col("own_norm").isNull()).alias("suspicious"))
 
 
 def purge_digest(plan: DataFrame) -> DataFrame:
     """Per kind of match the rows to delete, the suspicious ones and a digest of the ids in ascending order. Each id and
     a newline are hashed in runs of 65,536 ids, the runs' digests likewise, in four levels: no group is larger than that."""
     rows = plan.filter("action = 'would_delete'")
-    level = rows.select("match", F.col("id").alias("k"), F.concat(F.col("id").cast("string"), F.lit("\n")).alias("d"))
+    level = rows.select("match", F.col("id").alias("k"), F.concat(F.col("id").cast("string"), F.lit("\n")).alias("d"), F.lit(1).cast("long").alias("rows"), F.col("suspicious").cast("long").alias("suspicious"))
     for _ in range(4):
-        level = level.groupBy("match", F.shiftright("k", 16).alias("up")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), "").cast("binary"), 256).alias("d")).withColumnRenamed("up", "k")
-    counts = rows.groupBy("match").agg(F.count(F.lit(1)).alias("rows"), F.count_if("suspicious").alias("suspicious"))
-    return counts.join(level.select("match", F.col("d").alias("sha256")), "match")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), "")
+        level = level.groupBy("match", F.shiftright("k", 16).alias("up")).agg(F.sha2(joined.cast("binary"), 256).alias("d"), F.sum("rows").alias("rows"), F.sum("suspicious").alias("suspicious")).withColumnRenamed("up", "k")
+    return level.select("match", "rows", "suspicious", F.col("d").alias("sha256"))
 
 
 def purged(tm: DataFrame, plan: DataFrame, path: str) -> DataFrame:

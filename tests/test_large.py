@@ -83,6 +83,18 @@ def _optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_purge_computes_its_candidates_once(spark):
+    """However many steps read the candidates, their texts are normalised once, and the digest makes the plan once."""
+    from cuelake.operators import memory
+    from cuelake.plans.versions import settled
+
+    tm = settled(memory.upsert(spark.createDataFrame([], memory.TM), spark.range(20).selectExpr("concat('Tëxt ', id) AS source_text", "'t' AS target_text", "1 AS stage", "timestamp'2024-01-01' AS created_at", "'f' AS source_name", "id AS ord")))
+    rows = spark.range(0, 40, 2).selectExpr("concat('Tëxt ', id, if(id % 4 = 0, '!', '')) AS text", "if(id = 2, 'f', 'g') AS name")
+    digest = memory.purge_digest(memory.purge_plan(tm, memory.purge_candidates(rows, rows.limit(0))))
+    assert _optimized(digest).count("ArrowEvalPython") == 1
+    assert sorted((r.match, r.rows, r.suspicious) for r in digest.collect()) == [("normalized", 5, 5), ("raw", 5, 4)]
+
+
 def test_one_to_one_matching_is_a_stream_of_parts(spark):
     """Files aren't frames of their own: a task takes its files one after the other."""
     from cuelake.operators import compare
@@ -91,3 +103,16 @@ def test_one_to_one_matching_is_a_stream_of_parts(spark):
     found = compare.side_by_side(a, a)
     assert "FlatMapGroupsInPandas" not in _optimized(found) and "MapInArrow" in _optimized(found)
     assert sorted(map(tuple, found.collect())) == sorted((k % 50, k, k, 900) for k in range(200))
+
+
+def test_listed_characters_are_those_of_the_patterns(spark):
+    from cuelake.functions import text as T
+
+    chars = spark.range(0x10000).filter("id NOT BETWEEN 55296 AND 57343").selectExpr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') AS x")
+    texts = chars.select(F.explode(F.array(F.concat("x", F.lit("a b"), "x", F.lit(" "), "x", F.lit("c"), "x"), F.col("x"), F.concat(F.lit("ä  "), "x"))).alias("t"))
+    t, blank = F.col("t"), T.BLANK
+    spaces = lambda c: F.trim(F.regexp_replace(c, f"{blank}+", " "))
+    old = [spaces(t), F.regexp_replace(t, blank[:-1] + T.SIMILARITY_MARKS + "]+", ""), F.regexp_replace(t, blank, ""), F.regexp_replace(F.regexp_replace(t, f"^{blank}+", ""), f"{blank}+$", ""), spaces(F.regexp_replace(T._nfkc(t), r"[\p{P}…⋯‥~〜～·]", ""))]
+    new = [T.norm_spaces(t), T.norm_similarity(t), T.compact(t), T.strip(t), T.norm_match(t)]
+    for a, b in zip(old, new, strict=True):
+        assert texts.filter(~a.eqNullSafe(b)).count() == 0
