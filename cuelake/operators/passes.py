@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 from cuelake.plans.islands import band_join, interval_join
+from cuelake.plans.once import once
 
 #: Review thresholds on similarity, and the lengths that make a pair an artifact (fixed values).
 STRICT, OPTIONAL = 0.30, 0.50
@@ -45,7 +46,8 @@ def disagreement(merged: DataFrame, first: DataFrame, second: DataFrame, native:
     overlap = F.greatest(F.lit(0), F.least("end_ms1", "end_ms2") - F.greatest("start_ms1", "start_ms2"))
     union = F.col("end_ms1") - F.col("start_ms1") + F.col("end_ms2") - F.col("start_ms2") - overlap
     offset = F.greatest(F.abs(F.col("start_ms1") - F.col("start_ms2")), F.abs(F.col("end_ms1") - F.col("end_ms2")))
-    rows = rows.withColumns({"iou": F.bround(F.when(union > 0, overlap / union).otherwise(0.0), 4), "offset_s": F.bround(offset / 1000, 3), "norm1": T.norm_similarity(F.col("text1")), "norm2": T.norm_similarity(F.col("text2"))})
+    rows = rows.withColumns({"iou": F.bround(F.when(union > 0, overlap / union).otherwise(0.0), 4), "offset_s": F.bround(offset / 1000, 3)})
+    rows = once(rows, norm1=T.norm_similarity(F.col("text1")), norm2=T.norm_similarity(F.col("text2")))
     a, b = F.col("norm1"), F.col("norm2")
     rows = rows.withColumns({
         "short": F.least(F.length(a), F.length(b)), "long": F.greatest(F.length(a), F.length(b)),

@@ -105,6 +105,15 @@ def test_one_to_one_matching_is_a_stream_of_parts(spark):
     assert sorted(map(tuple, found.collect())) == sorted((k % 50, k, k, 900) for k in range(200))
 
 
+def test_texts_of_a_pair_are_normalised_once(spark):
+    from cuelake.operators import passes
+
+    c = spark.range(40).selectExpr("id % 4 AS file_id", "id AS pos", "id * 1000 AS start_ms", "id * 1000 + 900 AS end_ms", "concat('a, b ', id) AS text")
+    rows = passes.disagreement(c, c, c)
+    assert _optimized(rows).count("translate(") == 2
+    assert {(r.similarity, r.short) for r in rows.collect()} == {(1.0, 3), (1.0, 4)}
+
+
 def test_listed_characters_are_those_of_the_patterns(spark):
     from cuelake.functions import text as T
 
@@ -116,3 +125,20 @@ def test_listed_characters_are_those_of_the_patterns(spark):
     new = [T.norm_spaces(t), T.norm_similarity(t), T.compact(t), T.strip(t), T.norm_match(t)]
     for a, b in zip(old, new, strict=True):
         assert texts.filter(~a.eqNullSafe(b)).count() == 0
+
+
+def test_ratio_of_texts_inside_others(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from cuelake.functions import text as T
+
+    r = random.Random(3)
+    rows = []
+    for n in (1, 5, 60, 199, 200, 450):
+        for k in range(12):
+            x = "".join(r.choice("ab c"[: 1 + k % 4]) for _ in range(n))
+            i = r.randrange(n)
+            rows += [(x, x), (x, x[i:] or "a"), (x[i:], x), (x, x[:i] + "z" + x[i:]), ("", x)]
+    for f in spark.createDataFrame(rows, "a string, b string").select("a", "b", T.seq_ratio(F.col("a"), F.col("b")).alias("s")).collect():
+        assert f.s == (SequenceMatcher(None, f.a, f.b).ratio() if f.a and f.b else 0.0)
