@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 from cuelake.functions.timecode import parse_timing, timing
+from cuelake.plans.once import once
 
 _STAMP = r"\d+:\d+:\d+[,.]\d+\s*-->\s*\d+:\d+:\d+[,.]\d+"
 #: Orders in which encodings are tried after a byte order mark.
@@ -103,9 +104,11 @@ def _lines(files: DataFrame) -> DataFrame:
 
 def _clock(c, digits: int = 3):
     """H:MM:SS.fff, or MM:SS.fff, in ms; null for anything else."""
-    m = lambda k: F.regexp_extract(c, r"^\s*(?:(\d+):)?(\d{1,2}):(\d{1,2})[.,](\d{1,3})\s*$", k)
-    hours = F.when(m(1) == "", 0).otherwise(m(1).try_cast("long"))
-    return F.when(m(3) != "", ((hours * 60 + m(2).try_cast("long")) * 60 + m(3).try_cast("long")) * 1000 + F.rpad(m(4), digits, "0").try_cast("long"))
+    shape = r"^\s*(?:(\d+):)?(\d{1,2}):(\d{1,2})[.,](\d{1,3})\s*$"
+    parts = F.split(F.regexp_replace(F.regexp_extract(c, shape, 0), shape, "$1:$2:$3:$4"), ":")
+    hours = lambda p: F.when(p[0] == "", 0).otherwise(p[0].try_cast("long"))
+    at = lambda p: F.when(F.size(p) == 4, ((hours(p) * 60 + p[1].try_cast("long")) * 60 + p[2].try_cast("long")) * 1000 + F.rpad(p[3], digits, "0").try_cast("long"))
+    return F.get(F.transform(F.array(parts), at), F.lit(0))  # the parts are named once, so they are found once
 
 
 def parse_vtt(files: DataFrame) -> DataFrame:
@@ -128,19 +131,21 @@ def parse_ass(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("section", F.last(F.when(F.col("s").rlike(r"^\[.*\]$"), F.lower("s")), True).over(w)).filter("section = '[events]'")
     names = F.transform(F.split(F.regexp_replace(F.lower("s"), "^format:", ""), ","), lambda x: F.trim(x))
     rows = rows.withColumn("format", F.last(F.when(F.lower("s").rlike("^format:"), names), True).over(w))
-    rows = rows.filter(F.lower("s").rlike("^dialogue:")).withColumn("payload", F.trim(F.regexp_replace("s", "(?i)^dialogue:", "")))
-    fits = F.coalesce(F.size(F.array_intersect("format", F.array(F.lit("start"), F.lit("end"), F.lit("text")))) == 3, F.lit(False))
+    rows = once(rows.filter(F.lower("s").rlike("^dialogue:")), payload=F.trim(F.regexp_replace("s", "(?i)^dialogue:", "")), n=F.size("format"))
+    rows = once(rows, fields=F.split("payload", ","), named=F.coalesce(F.size(F.array_intersect("format", F.array(F.lit("start"), F.lit("end"), F.lit("text")))) == 3, F.lit(False)))
     # The last column takes the rest of the line.
-    fields, n = F.split("payload", ","), F.size("format")
-    fits = fits & (F.size(fields) >= n)
-    value = lambda name: F.get(F.concat(F.slice(fields, 1, n - 1), F.array(F.array_join(F.slice(fields, n, F.size(fields)), ","))), (F.array_position("format", F.lit(name)) - 1).cast("int"))
-    return rows.select("file_id", (F.col("line") + 1).alias("line"), F.when(fits, _clock(value("start"))).alias("start_ms"), F.when(fits, _clock(value("end"))).alias("end_ms"), F.when(fits, value("text")).otherwise(F.col("payload")).alias("text"))
+    last = F.array_join(F.slice("fields", F.col("n"), F.size("fields")), ",")
+    rows = once(rows, values=F.when(F.col("named") & (F.size("fields") >= F.col("n")), F.concat(F.slice("fields", F.lit(1), F.col("n") - 1), F.array(last))))
+    fits = F.col("values").isNotNull()
+    value = lambda name: F.get("values", (F.array_position("format", F.lit(name)) - 1).cast("int"))
+    return rows.select("file_id", (F.col("line") + 1).alias("line"), _clock(value("start")).alias("start_ms"), _clock(value("end")).alias("end_ms"), F.when(fits, value("text")).otherwise(F.col("payload")).alias("text"))
 
 
 def converted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed VTT or ASS rows to cues: empty events go (second frame: file_id, line, text), starts inside the row before
     move to its end, inline tags are stripped and counted."""
-    clean = rows.withColumn("tags", T.tag_count(F.coalesce("text", F.lit("")))).withColumn("text", T.strip(T.strip_tags(F.coalesce("text", F.lit("")))))
+    raw = rows.withColumn("_raw", F.coalesce("text", F.lit(""))).drop("text")
+    clean = once(once(raw, _bare=T.strip_tags(F.col("_raw")), tags=T.tag_count(F.col("_raw"))), text=T.strip(F.col("_bare"))).drop("_raw", "_bare")
     bad = (F.col("text") == "") | F.col("start_ms").isNull() | F.col("end_ms").isNull()
     w = Window.partitionBy("file_id").orderBy("start_ms", "end_ms", "line")
     good = clean.filter(~bad).withColumns({"pos": F.row_number().over(w) - 1, "start_ms": F.greatest("start_ms", F.coalesce(F.lag("end_ms").over(w), F.col("start_ms")))})

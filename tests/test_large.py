@@ -142,3 +142,12 @@ def test_ratio_of_texts_inside_others(spark):
             rows += [(x, x), (x, x[i:] or "a"), (x[i:], x), (x, x[:i] + "z" + x[i:]), ("", x)]
     for f in spark.createDataFrame(rows, "a string, b string").select("a", "b", T.seq_ratio(F.col("a"), F.col("b")).alias("s")).collect():
         assert f.s == (SequenceMatcher(None, f.a, f.b).ratio() if f.a and f.b else 0.0)
+
+
+def test_a_clock_is_searched_once(spark):
+    from cuelake.sources import cues as S
+
+    stamps = {"01:02:03.456": 3723456, " 2:3,4 ": 123400, "1:2:3.04": 3723040, "12:34": None, "1:2:3:4.5": None, "": None, "a|01:02.3": None}
+    rows = spark.createDataFrame([(k,) for k in stamps], "c string").select("c", S._clock(F.col("c")).alias("ms"))
+    assert {r.c: r.ms for r in rows.collect()} == stamps
+    assert _optimized(rows).count("regexp_extract(") == 1
