@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 from cuelake.operators import assemble, audio, clean, compare, merge, passes, quality, review, validate
+from cuelake.plans.islands import neighbours
 from cuelake.registry import query
 from cuelake.sources import adapters as A
 
@@ -118,7 +119,7 @@ def align_by_start(spark, d):
 @query("CUES", sql="""WITH t AS (SELECT file_id, pos AS target FROM cues WHERE length(text) > 60)
 SELECT t.file_id, target, string_agg(c.text, '|' ORDER BY c.pos) AS context FROM t JOIN cues AS c ON c.file_id = t.file_id AND c.pos BETWEEN target - 5 AND target + 5 GROUP BY ALL""")
 def review_context(spark, d):
-    c = A.cues(spark, d)
+    c = A.cues(spark, d, by_file=True)
     return passes.context_windows(c.filter("length(text) > 60"), c).withColumn("context", F.array_join("context", "|"))
 
 
@@ -296,7 +297,7 @@ def guide_items(spark, d):
 
 def guide(spark, d):
     """Guide items from all five sources."""
-    c = A.cues(spark, d)
+    c = A.cues(spark, d, by_file=True)
     warnings = c.filter("text rlike '[0-9]{3}'").select("file_id", "idx", "timing", F.lit("digits").alias("category"), F.lit("digits in it").alias("message"))
     missed = quality.gap_observations(c, 1.7).select("file_id", "idx", "timing", F.concat(F.lit("gap of "), F.col("gap_ms").cast("string")).alias("message"))
     return quality.guide_items(A.final(c), c, warnings, missed)
@@ -442,11 +443,10 @@ def verdict_check(spark, d):
     """Verdicts written as fenced JSON replies, parsed, filled and checked against the rows around them."""
     from cuelake.functions.timecode import format_ms
 
-    c = A.cues(spark, d)
+    c = A.cues(spark, d, by_file=True)
     e = c.filter("length(text) > 30").withColumn("at", F.when(F.col("pos") % 3 == 0, F.col("start_ms") + 500).when(F.col("pos") % 3 == 1, F.col("start_ms") + 900_000))
     one = F.to_json(F.struct(F.col("pos").alias("row"), (F.col("pos") % 7).alias("category"), F.lit("pass1").alias("side"), F.lit("high").alias("confidence"), F.coalesce(format_ms(F.col("at")), F.lit("")).alias("evidence_timing"), F.lit("pass1").alias("evidence_pass"), F.lit("fits").alias("reason")))
     replies = e.withColumn("one", one).groupBy(F.col("file_id").alias("batch")).agg(F.concat(F.lit("Here:\n```json\n["), F.array_join(F.collect_list(F.when(F.length("text") % 2 == 1, F.col("one"))), ",\n"), F.lit("]\n```")).alias("body"))
     rows = review.verdicts(replies, e.select(F.col("file_id").alias("batch"), F.col("pos").alias("row")))
-    near = e.select("file_id", F.col("pos").alias("row"), F.explode(F.sequence(F.col("pos") - 5, F.col("pos") + 5)).alias("pos"))
-    around = near.join(c.select("file_id", "pos", "start_ms", "text"), ["file_id", "pos"]).groupBy(F.col("file_id").alias("batch"), "row").agg(F.collect_list(F.struct("start_ms", "text")).alias("window"))  # eleven rows
-    return review.verify_evidence(rows.join(around, ["batch", "row"], "left")).select("batch", "row", "category", "filled", "confidence", "verify")
+    around = neighbours(rows.withColumnRenamed("batch", "file_id"), c, "row", 5, "start_ms", "text").withColumnRenamed("file_id", "batch")  # eleven rows
+    return review.verify_evidence(around).select("batch", "row", "category", "filled", "confidence", "verify")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
-from cuelake.plans.islands import band_join, interval_join
+from cuelake.plans.islands import band_join, interval_join, neighbours
 from cuelake.plans.once import once
 
 #: Review thresholds on similarity, and the lengths that make a pair an artifact (fixed values).
@@ -120,10 +120,8 @@ def assign_scenes(cues: DataFrame, scenes: DataFrame, closed: bool = True, how_w
 
 def context_windows(targets: DataFrame, lane: DataFrame, around: int = 5) -> DataFrame:
     """The lane's rows within a number of places of each target row, as one array."""
-    at = targets.select("file_id", F.col("pos").alias("target"))
-    near = at.withColumn("pos", F.explode(F.sequence(F.col("target") - around, F.col("target") + around)))
-    rows = near.join(lane.select("file_id", "pos", "text"), ["file_id", "pos"])
-    return rows.groupBy("file_id", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("context"))
+    near = neighbours(targets.select("file_id", F.col("pos").alias("target")), lane, "target", around, "text").filter(F.size("window") > 0)
+    return near.select("file_id", "target", F.col("window.text").alias("context"))
 
 
 def align_by_start(left: DataFrame, right: DataFrame) -> DataFrame:

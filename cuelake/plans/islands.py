@@ -42,6 +42,17 @@ def contains_join(outer: DataFrame, inner: DataFrame, keys: list[str], play: int
     return o.join(i, [*keys, "_bucket"]).filter(inside).drop("_bucket")
 
 
+def neighbours(rows: DataFrame, lane: DataFrame, at: str, around: int, *columns: str) -> DataFrame:
+    """rows with window, the lane's rows (columns as structs, ordered by pos) whose pos is within around of the row's place at.
+    Rows and lane meet in one pass over a file, so what is around a row is never shuffled."""
+    l = lane.filter("pos is not null").select("file_id", F.col("pos").cast("long").alias("_at"), F.struct("pos", *columns).alias("_lane"))
+    r = rows.filter(F.col(at).isNotNull()).select("file_id", F.col(at).cast("long").alias("_at"), F.struct(*rows.columns).alias("_row"))
+    w = Window.partitionBy("file_id").orderBy("_at").rangeBetween(-around, around)
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_near", F.collect_list("_lane").over(w)).filter("_row is not null")
+    shown = F.transform(F.array_sort("_near"), lambda x: F.struct(*(x[c].alias(c) for c in columns)))
+    return both.select("_row.*", shown.alias("window"))
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, width: int) -> DataFrame:
     """Pairs with |left_at - right_at| <= width. Left rows go to three buckets of that width, right rows to one."""
     l = left.withColumn("_bucket", F.explode(F.array(*(F.floor(F.col(left_at) / width) + k for k in (-1, 0, 1)))))
