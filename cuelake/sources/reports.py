@@ -60,9 +60,11 @@ def companions(stems: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def write_guide(items: DataFrame, stems: DataFrame, listing: DataFrame, path: str) -> None:
-    """A JSON line per file (stems: file_id, stem) with its guide items in order and its companions. A file's guide is bounded."""
+    """A JSON line per file (stems: file_id, stem) with its guide items in order and its companions, gzipped. A file's guide is
+    bounded. Stems meet their companions first, so the items aren't dealt by stem again."""
     lists = items.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("place", "idx", "timing", "category", "message", "current_text", "source_excerpt", "status"))).alias("items"))
-    lists.join(stems, "file_id").join(companions(stems, listing), "stem").select("file_id", "stem", "items", "companions").write.json(path)
+    beside = stems.join(companions(stems, listing), "stem")
+    lists.join(beside, "file_id").select("file_id", "stem", "items", "companions").write.json(path, compression="gzip")
 
 
 def write_risks(events: DataFrame, files: DataFrame, path: str) -> None:
