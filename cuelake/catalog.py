@@ -211,7 +211,7 @@ SELECT coalesce(tm.id, (SELECT max(id) FROM tm) + row_number() OVER (PARTITION B
   length(coalesce(b.source_text, tm.source_text)) AS char_count, coalesce(tm.created_at, b.created_at) AS created_at, coalesce(tm.hit_count, 0) AS hit_count, coalesce(b.source_name, tm.source_name) AS source_name, 'ja' AS source_lang, 'zh' AS target_lang
 FROM tm FULL JOIN b USING (content_hash, stage)""")
 def tm_upsert(spark, d):
-    tm = A.memory(spark, d)
+    tm = settled(A.memory(spark, d))
     new = A.pairs(spark, d).select(F.lit(1).alias("stage"), "source_text", "target_text", "created_at", "source_name", (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
     again = tm.filter("id % 5 = 0").select("stage", "source_text", F.reverse("target_text").alias("target_text"), F.lit("2025-01-01 00:00:00").cast("timestamp").alias("created_at"), F.lit(None).cast("string").alias("source_name"), F.col("id").alias("ord"))
     return memory.upsert(tm, new.unionByName(again))

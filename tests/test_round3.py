@@ -43,3 +43,10 @@ def test_neighbours_of_odd_rows(spark):
     near = {r["name"]: [x["text"] for x in r["window"]] for r in neighbours(rows, lane, "row", 3, "text").collect()}
     assert near == {"a": ["t0", "t1", "t2", "t5"], "b": ["t5", "t9"], "c": [], "d": ["other"], "e": []}
     assert {(r["target"], *r["context"]) for r in passes.context_windows(rows.select("file_id", F.col("row").alias("pos")), lane, 3).collect()} == {(2, "t0", "t1", "t2", "t5"), (7, "t5", "t9"), (1, "other")}
+
+
+@pytest.mark.parametrize("name", ["tm_upsert", "tm_probe"])
+def test_the_memory_is_made_once(spark, name):
+    """What reads the memory again reads its rows, not the documents that it is made from."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_chars" not in plan
