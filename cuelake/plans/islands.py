@@ -31,15 +31,19 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], how_wide:
     return pairs.filter((F.col("overlap_ms") > 0) & (F.floor(start / how_wide) == F.col("_bucket"))).drop("_bucket")
 
 
-def contains_join(outer: DataFrame, inner: DataFrame, keys: list[str], play: int = 1, how_wide: int = 10_000) -> DataFrame:
+def contains_join(outer: DataFrame, inner: DataFrame, keys: list[str], play: int = 1, how_wide: int = 10_000, how: str = "inner") -> DataFrame:
     """Pairs where inner's span lies in outer's, with play ms at both ends; inner's other columns come out prefixed r_. An
-    inner row is in the bucket of its start alone, so a pair comes once; rows longer than the outer span never meet it."""
+    inner row is in the bucket of its start alone, so a pair comes once; rows longer than the outer span never meet it. With
+    how="left" outer rows stay where they meet none, in each bucket that has none for them."""
     first, last = F.floor((F.col("start_ms") - play) / how_wide), F.floor((F.col("end_ms") + play) / how_wide)
-    o = outer.withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, last))))
+    buckets = F.sequence(first, F.greatest(first, last))
+    o = outer.withColumn("_bucket", F.explode(buckets) if how == "inner" else F.explode_outer(buckets))
     i = inner.withColumn("_bucket", F.floor(F.col("start_ms") / how_wide))
-    i = i.select(*keys, "_bucket", *(F.col(c).alias(f"r_{c}") for c in i.columns if c not in [*keys, "_bucket"]))
+    i = i.select(*(F.col(c).alias(f"_{c}") for c in [*keys, "_bucket"]), *(F.col(c).alias(f"r_{c}") for c in i.columns if c not in [*keys, "_bucket"]))
     inside = (F.col("r_start_ms") >= F.col("start_ms") - play) & (F.col("r_end_ms") <= F.col("end_ms") + play)
-    return o.join(i, [*keys, "_bucket"]).filter(inside).drop("_bucket")
+    for c in [*keys, "_bucket"]:
+        inside = (F.col(c) == F.col(f"_{c}")) & inside
+    return o.join(i, inside, how).drop(*(f"_{c}" for c in [*keys, "_bucket"]), "_bucket")
 
 
 def neighbours(rows: DataFrame, lane: DataFrame, at: str, around: int, *columns: str) -> DataFrame:
