@@ -44,7 +44,7 @@ def _lanes(spark, d):
 @query("CUES", "MERGED", "PASS2", sql=_DISAGREE + "SELECT file_id, pos, pos1, pos2, iou, offset_s, short, long FROM g")
 def pass_disagreement(spark, d):
     """The rows of both passes beside each merged row; similarity is in the next query, SQL has no such measure."""
-    return passes.disagreement(*_lanes(spark, d)).select("file_id", "pos", "pos1", "pos2", "iou", "offset_s", "short", "long")
+    return passes.disagreement(*_lanes(spark, d), texts=False).select("file_id", "pos", "pos1", "pos2", "iou", "offset_s", "short", "long")
 
 
 @query()
@@ -59,9 +59,9 @@ r AS (SELECT *, CASE WHEN artifact THEN 'artifact' WHEN similarity < 0.3 THEN 'm
 """
 
 
-def by_length(spark, d):
+def by_length(spark, d, texts=False):
     """The comparison with the ratio of lengths as similarity, which SQL has too."""
-    rows = passes.disagreement(*_lanes(spark, d)).withColumn("similarity", F.when(F.col("short") == 0, 0.0).otherwise(F.col("short") / F.col("long")))
+    rows = passes.disagreement(*_lanes(spark, d), texts=texts).withColumn("similarity", F.when(F.col("short") == 0, 0.0).otherwise(F.col("short") / F.col("long")))
     artifact = F.col("interjection") | ((F.col("short") <= passes.SHORT_MOST) & (F.col("long") >= passes.LONG_LEAST) & (F.col("similarity") < passes.STRICT))
     return passes.review_groups(rows.withColumn("artifact", artifact))
 
@@ -82,7 +82,7 @@ SELECT rule, i AS iou_limit, o AS offset_limit, count(*) FILTER (label = 'A' AND
   count(*) FILTER (label <> 'C' AND NOT gone) / count(*) FILTER (label <> 'C') AS ab_alive, count(*) FILTER (label = 'C' AND gone) / count(*) FILTER (label = 'C') AS c_cleared FROM c GROUP BY ALL""")
 def threshold_grid(spark, d):
     label = F.when(F.col("short") < 10, "C").when(F.col("long") > 60, "A").otherwise("B")
-    return passes.threshold_grid(passes.disagreement(*_lanes(spark, d)).withColumn("label", label))
+    return passes.threshold_grid(passes.disagreement(*_lanes(spark, d), texts=False).withColumn("label", label))
 
 
 @query("CUES", "PASS2", sql="""WITH m AS (SELECT file_id, pos, (start_ms + end_ms) // 2 AS mid FROM cues), o AS (SELECT file_id, (start_ms + end_ms) // 2 AS mid FROM pass2)

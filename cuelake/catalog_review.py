@@ -36,10 +36,9 @@ ft AS (SELECT k.file_id, k.pos, f.text AS final_text FROM k JOIN final AS f ON k
 """
 
 
-def _review_rows(spark, d):
+def _review_rows(spark, d, texts=False):
     c = A.cues(spark, d)
-    rows = by_length(spark, d).join(A.merged(c).select("file_id", "pos", "start_ms", "end_ms"), ["file_id", "pos"])
-    return reports.divergence_review(rows, A.final(c), 2)
+    return reports.divergence_review(by_length(spark, d, texts), A.final(c), 2)
 
 
 @query("CUES", "MERGED", "PASS2", "FINAL", sql=_REVIEW + """SELECT file_id, pos, "group", coalesce(final_text, '') AS final_text FROM k LEFT JOIN ft USING (file_id, pos)""")
@@ -51,7 +50,7 @@ def divergence_review(spark, d):
 def review_table(spark, d):
     """Written as CSV and read again, without the rows that were filtered."""
     path = folder(spark, "review")
-    reports.write_review(_review_rows(spark, d), path)
+    reports.write_review(_review_rows(spark, d, texts=True), path)
     rows = review.with_review_rows(reports.read_review(spark, path))
     return rows.select("file_id", "group", "timing", "similarity", "iou", "offset_s", F.coalesce("text1", F.lit("")).alias("text1"), F.coalesce("final_text", F.lit("")).alias("final_text"))
 

@@ -19,40 +19,47 @@ INTERJECTIONS = (
 )
 
 
-def best_spans(left: DataFrame, right: DataFrame) -> DataFrame:
-    """file_id, pos, r_pos, r_start_ms, r_end_ms and overlap_ms: the right row that overlaps a left row most, the first in
-    file order on ties. Texts don't take part."""
+def best_spans(left: DataFrame, right: DataFrame, how: str = "inner", more: tuple[str, ...] = ()) -> DataFrame:
+    """left's columns, r_pos, r_start_ms, r_end_ms and overlap_ms: the right row that overlaps a left row most, the first in
+    file order on ties. Left rows without overlap are out, or stay with how="left". Of right's other columns only more take
+    part, small ones: texts are fetched for what is left."""
     span = ["file_id", "pos", "start_ms", "end_ms"]
-    pairs = interval_join(left.select(*span), right.select(*span), ["file_id"])
-    best = F.max_by(F.struct("r_pos", "r_start_ms", "r_end_ms", "overlap_ms"), F.struct("overlap_ms", -F.col("r_pos")))
-    return pairs.groupBy("file_id", "pos").agg(best.alias("b")).select("file_id", "pos", "b.*")
+    own = [c for c in left.columns if c not in span]
+    pairs = interval_join(left, right.select(*span, *more), ["file_id"], how=how)
+    best = F.max_by(F.struct("r_pos", "r_start_ms", "r_end_ms", "overlap_ms", *(f"r_{c}" for c in more)), F.when(F.col("overlap_ms").isNotNull(), F.struct("overlap_ms", -F.col("r_pos"))))
+    return pairs.groupBy(*span).agg(*(F.first(c).alias(c) for c in own), best.alias("b")).select(*left.columns, "b.*")
 
 
 def best_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each left row with the right row that overlaps it most; none without overlap."""
-    best = best_spans(left, right).join(right.select("file_id", F.col("pos").alias("r_pos"), F.col("text").alias("r_text")), ["file_id", "r_pos"])
-    return left.join(best, ["file_id", "pos"], "left")
+    texts = right.select("file_id", F.col("pos").alias("r_pos"), F.col("text").alias("r_text"))
+    return best_spans(left, right, "left").join(texts, ["file_id", "r_pos"], "left").select(*left.columns, "r_pos", "r_start_ms", "r_end_ms", "overlap_ms", "r_text")
 
 
-def disagreement(merged: DataFrame, first: DataFrame, second: DataFrame, native: bool = False) -> DataFrame:
-    """Rows of the merged transcription that overlap a row of both passes, with these two rows: their IoU, the larger
-    difference of their starts or ends, the similarity of their texts and whether the pair is an artifact. native takes
-    the Levenshtein ratio instead of matching blocks."""
-    sides = []
+def disagreement(merged: DataFrame, first: DataFrame, second: DataFrame, native: bool = False, texts: bool = True) -> DataFrame:
+    """Rows of the merged transcription (file_id, pos and span) that overlap a row of both passes, with these two rows: their IoU,
+    the larger difference of their starts or ends, the similarity of their texts and whether the pair is an artifact. native
+    takes the Levenshtein ratio instead of matching blocks. Without texts there is no text, similarity or artifact; lengths
+    and interjections are those of the passes' rows, so no text travels."""
+    sides, span = [], ["file_id", "pos", "start_ms", "end_ms"]
     for k, lane in ((1, first), (2, second)):
-        best = best_spans(merged, lane).select("file_id", "pos", *(F.col(f"r_{c}").alias(f"{c}{k}") for c in ("pos", "start_ms", "end_ms")))
-        sides.append(best.join(lane.select("file_id", F.col("pos").alias(f"pos{k}"), F.col("text").alias(f"text{k}")), ["file_id", f"pos{k}"]))
+        lane = once(lane.select(*span, "text"), norm=T.norm_similarity(F.col("text")))
+        lane = lane.withColumns({"size": F.length("norm"), "known": F.col("norm").isin(*INTERJECTIONS)})
+        best = best_spans(merged.select(*span), lane, more=("size", "known"))
+        best = best.select("file_id", "pos", *(span[2:] if k == 1 else ()), *(F.col(f"r_{c}").alias(f"{c}{k}") for c in ("pos", "start_ms", "end_ms", "size", "known")))
+        own = lane.select("file_id", *(F.col(c).alias(f"{c}{k}") for c in ("pos", "text", "norm")))
+        sides.append(best.join(own, ["file_id", f"pos{k}"]) if texts else best)
     rows = sides[0].join(sides[1], ["file_id", "pos"])
     overlap = F.greatest(F.lit(0), F.least("end_ms1", "end_ms2") - F.greatest("start_ms1", "start_ms2"))
     union = F.col("end_ms1") - F.col("start_ms1") + F.col("end_ms2") - F.col("start_ms2") - overlap
     offset = F.greatest(F.abs(F.col("start_ms1") - F.col("start_ms2")), F.abs(F.col("end_ms1") - F.col("end_ms2")))
     rows = rows.withColumns({"iou": F.bround(F.when(union > 0, overlap / union).otherwise(0.0), 4), "offset_s": F.bround(offset / 1000, 3)})
-    rows = once(rows, norm1=T.norm_similarity(F.col("text1")), norm2=T.norm_similarity(F.col("text2")))
+    interjection = F.when(F.col("size1") <= F.col("size2"), F.col("known1")).otherwise(F.col("known2"))
+    rows = rows.withColumns({"short": F.least("size1", "size2"), "long": F.greatest("size1", "size2"), "interjection": interjection}).drop("size1", "size2", "known1", "known2")
+    if not texts:
+        return rows
     a, b = F.col("norm1"), F.col("norm2")
-    rows = rows.withColumns({
-        "short": F.least(F.length(a), F.length(b)), "long": F.greatest(F.length(a), F.length(b)),
-        "interjection": F.when(F.length(a) <= F.length(b), a).otherwise(b).isin(*INTERJECTIONS), "similarity": T.levenshtein_ratio(a, b) if native else T.seq_ratio(a, b),
-    })
+    rows = rows.withColumn("similarity", T.levenshtein_ratio(a, b) if native else T.seq_ratio(a, b))
     artifact = F.col("interjection") | ((F.col("short") <= SHORT_MOST) & (F.col("long") >= LONG_LEAST) & (F.col("similarity") < STRICT))
     return rows.withColumn("artifact", artifact).drop("norm1", "norm2")
 

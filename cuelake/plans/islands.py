@@ -15,19 +15,27 @@ def island(breaks: Column, window) -> Column:
     return F.sum(F.when(breaks, 1).otherwise(0)).over(window.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], how_wide: int = 10_000) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], how_wide: int = 10_000, how: str = "inner") -> DataFrame:
     """Pairs that overlap by more than 0 ms. Both sides have start_ms and end_ms (right's come out as r_start_ms,
     r_end_ms, its other columns prefixed r_). Rows go to each time bucket they touch; a pair comes from the bucket
-    where its overlap begins, so once."""
-    def bucketed(df: DataFrame) -> DataFrame:
+    where its overlap begins, so once. With how="left" left rows stay where they meet none, in each bucket that has none for
+    them, and their overlap is null."""
+    def bucketed(df: DataFrame, outer: bool = False) -> DataFrame:
         span = F.sequence(F.floor(F.col("start_ms") / how_wide), F.floor((F.greatest("end_ms", F.col("start_ms") + 1) - 1) / how_wide))
-        return df.withColumn("_bucket", F.explode(span))
+        return df.withColumn("_bucket", F.explode_outer(F.when(F.col("end_ms") > F.col("start_ms"), span)) if outer else F.explode(span))
 
     r = bucketed(right.filter("end_ms > start_ms"))
     r = r.select(*keys, "_bucket", *(F.col(c).alias(f"r_{c}") for c in r.columns if c not in [*keys, "_bucket"]))
-    pairs = bucketed(left.filter("end_ms > start_ms")).join(r, [*keys, "_bucket"])
     start = F.greatest("start_ms", "r_start_ms")
-    pairs = pairs.withColumn("overlap_ms", F.least("end_ms", "r_end_ms") - start)
+    overlap = F.least("end_ms", "r_end_ms") - start
+    if how == "left":
+        r = r.select(*(F.col(c).alias(f"_{c}") for c in [*keys, "_bucket"]), *(c for c in r.columns if c.startswith("r_")))
+        meet = (overlap > 0) & (F.floor(start / how_wide) == F.col("_bucket"))
+        for c in [*keys, "_bucket"]:
+            meet = (F.col(c) == F.col(f"_{c}")) & meet
+        pairs = bucketed(left, True).join(r, meet, "left")
+        return pairs.withColumn("overlap_ms", F.when(F.col("r_start_ms").isNotNull(), overlap)).drop(*(f"_{c}" for c in [*keys, "_bucket"]), "_bucket")
+    pairs = bucketed(left.filter("end_ms > start_ms")).join(r, [*keys, "_bucket"]).withColumn("overlap_ms", overlap)
     return pairs.filter((F.col("overlap_ms") > 0) & (F.floor(start / how_wide) == F.col("_bucket"))).drop("_bucket")
 
 

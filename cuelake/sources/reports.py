@@ -23,8 +23,8 @@ def divergence_review(rows: DataFrame, final: DataFrame, optional: int = 100) ->
     the final row that overlaps it most. rows come from review_groups() and have the merged row's span."""
     place = F.row_number().over(Window.partitionBy("file_id", "group").orderBy("similarity", "pos"))
     picked = rows.withColumn("place", place).filter(F.col("group").isin("must_see", "artifact") | ((F.col("group") == "optional") & (F.col("place") <= optional)))
-    text = best_overlap(picked.select("file_id", "pos", "start_ms", "end_ms"), final).select("file_id", "pos", F.coalesce("r_text", F.lit("")).alias("final_text"))
-    return picked.join(text, ["file_id", "pos"])
+    found = best_overlap(picked, final).withColumn("final_text", F.coalesce("r_text", F.lit("")))
+    return found.select(*picked.columns, "final_text")
 
 
 def write_review(rows: DataFrame, path: str, *order: str) -> None:
