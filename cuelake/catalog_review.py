@@ -119,7 +119,7 @@ def labelled_sample(spark, d):
     film = F.concat(F.lit("film"), "file_id")
     good = F.concat_ws("|", "key", film, F.col("n") / 100, format_ms(F.col("start_ms")), F.concat(F.lit("P1:"), "t"), F.concat(F.lit("P2:"), "t"))
     lines = c.select(F.when(F.col("n") % 5 > 0, good).otherwise(F.concat_ws("|", F.lit("x"), "t")).alias("value"))
-    labels = c.filter("n % 4 = 0").select(F.col("key").cast("int").alias("idx"), film.alias("prefix"), F.lit(" A ").alias("label"))
+    labels = c.filter("n % 4 = 0").select(F.col("key").alias("idx"), film.alias("prefix"), F.lit(" A ").alias("label"))
     return reports.labelled_sample(lines, labels).select("idx", "prefix", "similarity", "at_s", "text1", "label")
 
 

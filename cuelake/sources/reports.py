@@ -104,7 +104,7 @@ def labelled_sample(lines: DataFrame, labels: DataFrame) -> DataFrame:
     clock = F.split(F.split(F.col("p")[3], "[,.]")[0], ":")
     seconds = (F.try_element_at(clock, F.lit(1)).try_cast("long") * 60 + F.try_element_at(clock, F.lit(2)).try_cast("long")) * 60 + F.try_element_at(clock, F.lit(3)).try_cast("long")
     text = lambda k: F.regexp_replace(F.col("p")[3 + k], f"^P{k}:", "")
-    rows = rows.select(F.col("p")[0].try_cast("int").alias("idx"), F.col("p")[1].alias("prefix"), F.col("p")[2].try_cast("double").alias("similarity"), seconds.alias("at_s"), text(1).alias("text1"), text(2).alias("text2"))
+    rows = rows.select(F.col("p")[0].try_cast("long").alias("idx"), F.col("p")[1].alias("prefix"), F.col("p")[2].try_cast("double").alias("similarity"), seconds.alias("at_s"), text(1).alias("text1"), text(2).alias("text2"))
     key = [c for c in ("idx", "prefix") if c in labels.columns]
     known = labels.groupBy(*key).agg(F.max(T.strip(F.col("label"))).alias("label"))
     return rows.filter("idx is not null and similarity is not null").join(known, key, "left").withColumn("label", F.coalesce("label", F.lit("")))
