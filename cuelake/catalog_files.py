@@ -276,18 +276,17 @@ def legacy_lines(spark, d):
 def file_intake(spark, d):
     """Cue files written one per file_id, picked up as a stream and parsed."""
     base = folder(spark, "intake")
-    S.write_srt(A.cues(spark, d), f"{base}/in")
+    S.write_srt(A.cues(spark, d), f"{base}/in", S.SPREAD)
     stream = R.arriving_files(spark, f"{base}/in", "*.txt").select(F.regexp_extract("path", r"file_id=(\d+)", 1).cast("long").alias("file_id"), "content")
-    with S.many_files(spark):
-        return S.parse_srt(R.drained(stream, f"{base}/out"))
+    return S.parse_srt(R.drained(stream, f"{base}/out"))
 
 
 @query("CUES", sql="SELECT file_id, pos, idx, start_ms, end_ms, text FROM cues")
 def cue_source_files(spark, d):
     """Cue files read by the data source, decoded and parsed."""
     base = folder(spark, "source")
-    S.write_srt(A.cues(spark, d), f"{base}/in")
-    files = S.decode(cue_source.cue_files(spark, f"{base}/in", pattern="*.txt").filter("error is null").drop("error"))
+    S.write_srt(A.cues(spark, d), f"{base}/in", S.SPREAD)
+    files = S.decode(cue_source.cue_files(spark, f"{base}/in", pattern="*.txt", shares=cue_source.shares_of(spark)).filter("error is null").drop("error"))
     return S.parse_srt(files.select(F.regexp_extract("path", r"file_id=(\d+)", 1).cast("long").alias("file_id"), F.col("text").alias("content")))
 
 

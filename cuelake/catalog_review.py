@@ -349,7 +349,7 @@ def dropped_rows(spark, d):
 def file_listing(spark, d):
     """Cue files on disk, listed with an exclusion and summed up."""
     path = folder(spark, "listing")
-    S.write_srt(A.cues(spark, d), path)
+    S.write_srt(A.cues(spark, d), path, S.SPREAD)
     files = S.list_files(spark, path, "*.txt", least=1).filter(~F.col("path").rlike(r"file_id=\d*3/"))
     return S.scan_summary(files).select("files", "folders")
 

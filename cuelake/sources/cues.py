@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -16,38 +16,44 @@ from cuelake.functions.timecode import parse_timing, timing
 from cuelake.plans.once import once
 
 _STAMP = r"\d+:\d+:\d+[,.]\d+\s*-->\s*\d+:\d+:\d+[,.]\d+"
+#: Folders that written files are spread over where there may be millions.
+SPREAD = 1024
 #: Orders in which encodings are tried after a byte order mark.
 CONVERT, REVIEW = ("utf-8", "cp932", "gb18030"), ("utf-8", "gbk")
 
 
-@contextmanager
-def many_files(spark: SparkSession):
-    """Listings and streams that begin inside this take many small files at a task. As Spark comes, every folder is a task of
-    the listing, up to 10,000, and 32 small files one of the reading."""
-    wanted = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism), "spark.sql.files.openCostInBytes": "65536"}
-    before = {name: spark.conf.get(name, None) for name in wanted}
-    for name, value in wanted.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.srt", least: int = 0, most: int | None = None, after: str | None = None, before: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Files under a folder as binaryFile rows, filtered by name, size, date and excluded name patterns. Tasks list the folder, a
+    share each, so nothing on the driver grows with the files' number; a file's content is read where the column is used."""
+    from pyarrow import fs
 
+    from cuelake.sources.cue_source import cue_files, shares_of
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*.srt", least: int = 0, most: int | None = None, after: str | None = None, before: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Files under a folder as binaryFile rows, filtered by name, size, date and excluded name patterns."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    for name, value in (("modifiedAfter", after), ("modifiedBefore", before)):
-        reader = reader.option(name, value) if value else reader
-    with many_files(spark):
-        rows = reader.load(folder).filter(F.col("length") >= least)
+    store, root = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(root).type == fs.FileType.NotFound:
+        raise FileNotFoundError(folder)
+    prefix = "file:" if isinstance(store, fs.LocalFileSystem) else folder[: folder.index(root)]
+
+    @F.arrow_udf("binary")
+    def read(paths: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        store, _ = fs.FileSystem.from_uri(folder)
+        for batch in paths:
+            parts = []
+            for path in batch.to_pylist():
+                with store.open_input_stream(path.removeprefix(prefix)) as f:
+                    parts.append(f.read())
+            yield pa.array(parts, pa.binary())
+
+    listed = cue_files(spark, folder, pattern=pattern, shares=shares_of(spark), content="false")
+    rows = listed.select(F.concat(F.lit(prefix), "path").alias("path"), F.date_trunc("millisecond", "modified").alias("modificationTime"), F.col("bytes").alias("length")).filter(F.col("length") >= least)
+    for value, late in ((after, F.col("modificationTime") > F.lit(after).cast("timestamp")), (before, F.col("modificationTime") < F.lit(before).cast("timestamp"))):
+        rows = rows.filter(late) if value else rows
     rows = rows if most is None else rows.filter(F.col("length") <= most)
     name = F.element_at(F.split("path", "/"), -1)
     for glob in exclude:
         like = "^" + "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() else c for c in glob) + "$"
         rows = rows.filter(~name.rlike(like))
-    return rows
+    return rows.withColumn("content", read("path"))
 
 
 def scan_summary(files: DataFrame) -> DataFrame:
@@ -162,8 +168,9 @@ def format_srt(cues: DataFrame) -> DataFrame:
     return rows.groupBy("file_id").agg(F.concat(joined, F.lit("\n")).alias("content"))
 
 
-def write_srt(cues: DataFrame, folder: str) -> None:
-    """A folder per file with its text. Tasks write the files in place, each under a hidden name until it is whole, so that
+def write_srt(cues: DataFrame, folder: str, spread: int = 0) -> None:
+    """A folder per file with its text, in as many folders more as spread says, by hash, so that no listing gets all files. Tasks
+    write the files in place, each under a hidden name until it is whole, so that
     nothing on the driver grows with their number; a task that runs again writes the same files."""
     from pyarrow import fs
 
@@ -176,7 +183,8 @@ def write_srt(cues: DataFrame, folder: str) -> None:
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for file_id, content in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
-                own = f"{root}/file_id={file_id}"
+                place = f"{zlib.crc32(str(file_id).encode()) % spread:03x}/" if spread else ""
+                own = f"{root}/{place}file_id={file_id}"
                 hidden = f"{own}/.{uuid.uuid4().hex}"
                 store.create_dir(own)
                 with store.open_output_stream(hidden) as f:

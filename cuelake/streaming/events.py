@@ -75,9 +75,12 @@ def learn_stream(pairs: DataFrame, merge: Callable[[DataFrame, int], None], chec
 
 
 def arriving_files(spark: SparkSession, folder: str, pattern: str = "*.srt") -> DataFrame:
-    """New files as rows (path, content), for the cue parser."""
-    rows = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).schema("value string").load(folder)
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """New files as rows (path, content), for the cue parser. Tasks list the folder, a share each; what was read is kept as a
+    time, so nothing on the driver grows with the files' number. A file that can't be read fails the batch."""
+    from cuelake.sources.cue_source import cue_files, shares_of
+
+    rows = cue_files(spark, folder, stream=True, pattern=pattern, shares=shares_of(spark))
+    return rows.select("path", F.when(F.col("error").isNull(), F.col("content").cast("string")).otherwise(F.raise_error("error")).alias("content"))
 
 
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
