@@ -320,7 +320,7 @@ SELECT query_id, CASE WHEN e IS NOT NULL THEN 'exact' WHEN n IS NOT NULL THEN 'n
 def tm_probe(spark, d):
     q = A.sentences(spark, d).select("query_id", "text")
     more = q.select(F.concat("query_id", F.lit("m")).alias("query_id"), F.concat(F.lit("("), "text", F.lit(")")).alias("text")).union(q.select(F.concat("query_id", F.lit("p")), F.substring("text", 3, 12)))
-    return memory.probe(q.union(more), settled(A.memory(spark, d)))
+    return memory.probe(q.union(more), settled(A.memory(spark, d).select("id", "content_hash", "source_text")))
 
 
 # -- glossary ---------------------------------------------------------------------------------------

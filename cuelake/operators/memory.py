@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
 from cuelake.plans import versions as V
-from cuelake.plans.containment import containing
+from cuelake.plans.containment import containing, few, first_containing
 from cuelake.plans.once import once
 
 KEY = ["content_hash", "stage", "source_lang", "target_lang"]
@@ -69,15 +69,19 @@ def lookup_fuzzy(queries: DataFrame, tm: DataFrame, threshold: float = 0.8, cand
 
 def probe(queries: DataFrame, tm: DataFrame) -> DataFrame:
     """For each query (query_id, text) the first entry (by id) with an equal text, else with an equal normalised text, else
-    with the text inside it: match exact, normalised or like; no row without any. Containment pairs meet by the rarest
-    gram of the query."""
-    q = queries.select("query_id", "text", T.content_hash(F.col("text")).alias("h"), T.norm_match(F.col("text")).alias("norm"), T.norm_spaces(F.col("text")).alias("like"))
-    first = lambda df, name: df.groupBy("query_id").agg(F.min("id").alias("id")).withColumn("match", F.lit(name))
-    exact = first(q.join(tm.select("id", F.col("content_hash").alias("h")), "h"), "exact")
+    with the text inside it: match exact, normalised or like; no row without any. Queries and what each step finds are made
+    once. Where they are few, counted, all tasks get them and the memory stays where it is; else containment pairs meet by
+    the rarest gram of the query."""
+    q = V.settled(queries.select("query_id", "text", T.content_hash(F.col("text")).alias("h"), T.norm_match(F.col("text")).alias("norm"), T.norm_spaces(F.col("text")).alias("like")))
+    sent = few(q, "text")
+    near = F.broadcast if sent else lambda df: df
+    first = lambda df, name: V.settled(df.groupBy("query_id").agg(F.min("id").alias("id")).withColumn("match", F.lit(name)))
+    exact = first(near(q).join(tm.select("id", F.col("content_hash").alias("h")), "h"), "exact")
     rest = q.join(exact, "query_id", "left_anti").filter("norm <> ''")
-    same = first(rest.join(tm.select("id", T.norm_match(F.col("source_text")).alias("norm")), "norm"), "normalised")
+    same = first(near(rest).join(tm.select("id", T.norm_match(F.col("source_text")).alias("norm")), "norm"), "normalised")
     rest = q.join(exact.union(same), "query_id", "left_anti").select("query_id", F.col("like").alias("t"))
-    like = first(containing(tm.select("id", F.col("source_text").alias("s")), rest, ["id"], "query_id"), "like")
+    texts = tm.select("id", F.col("source_text").alias("s"))
+    like = first(first_containing(texts, rest, "query_id") if sent else containing(texts, rest, ["id"], "query_id"), "like")
     return exact.union(same).union(like).select("query_id", "match", "id")
 
 
