@@ -36,8 +36,8 @@ g AS (SELECT *, round_even(ov / ((e1 - s1) + (e2 - s2) - ov), 4) AS iou, round_e
 """
 
 
-def _lanes(spark, d):
-    c = A.cues(spark, d)
+def _lanes(spark, d, by_file=False):
+    c = A.cues(spark, d, by_file)
     return A.merged(c), c, A.second_pass(c)
 
 
@@ -59,9 +59,9 @@ r AS (SELECT *, CASE WHEN artifact THEN 'artifact' WHEN similarity < 0.3 THEN 'm
 """
 
 
-def by_length(spark, d, texts=False):
+def by_length(spark, d, texts=False, by_file=False):
     """The comparison with the ratio of lengths as similarity, which SQL has too."""
-    rows = passes.disagreement(*_lanes(spark, d), texts=texts).withColumn("similarity", F.when(F.col("short") == 0, 0.0).otherwise(F.col("short") / F.col("long")))
+    rows = passes.disagreement(*_lanes(spark, d, by_file), texts=texts).withColumn("similarity", F.when(F.col("short") == 0, 0.0).otherwise(F.col("short") / F.col("long")))
     artifact = F.col("interjection") | ((F.col("short") <= passes.SHORT_MOST) & (F.col("long") >= passes.LONG_LEAST) & (F.col("similarity") < passes.STRICT))
     return passes.review_groups(rows.withColumn("artifact", artifact))
 

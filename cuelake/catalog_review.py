@@ -12,6 +12,7 @@ from cuelake.functions import tables
 from cuelake.functions import text as T
 from cuelake.functions.timecode import timing, timing_key
 from cuelake.operators import assemble, compare, gate, glossary, memory, merge, passes, quality, review, validate
+from cuelake.plans.islands import lying_by_file
 from cuelake.registry import query
 from cuelake.sources import adapters as A
 from cuelake.sources import cues as S
@@ -36,9 +37,9 @@ ft AS (SELECT k.file_id, k.pos, f.text AS final_text FROM k JOIN final AS f ON k
 """
 
 
-def _review_rows(spark, d, texts=False):
-    c = A.cues(spark, d)
-    return reports.divergence_review(by_length(spark, d, texts), A.final(c), 2)
+def _review_rows(spark, d, texts=False, by_file=False):
+    c = A.cues(spark, d, by_file)
+    return reports.divergence_review(by_length(spark, d, texts, by_file), A.final(c), 2)
 
 
 @query("CUES", "MERGED", "PASS2", "FINAL", sql=_REVIEW + """SELECT file_id, pos, "group", coalesce(final_text, '') AS final_text FROM k LEFT JOIN ft USING (file_id, pos)""")
@@ -50,7 +51,8 @@ def divergence_review(spark, d):
 def review_table(spark, d):
     """Written as CSV and read again, without the rows that were filtered."""
     path = folder(spark, "review")
-    reports.write_review(_review_rows(spark, d, texts=True), path)
+    with lying_by_file(spark):
+        reports.write_review(_review_rows(spark, d, texts=True, by_file=True), path)
     rows = review.with_review_rows(reports.read_review(spark, path))
     return rows.select("file_id", "group", "timing", "similarity", "iou", "offset_s", F.coalesce("text1", F.lit("")).alias("text1"), F.coalesce("final_text", F.lit("")).alias("final_text"))
 

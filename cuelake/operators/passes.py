@@ -43,11 +43,12 @@ def disagreement(merged: DataFrame, first: DataFrame, second: DataFrame, native:
     and interjections are those of the passes' rows, so no text travels."""
     sides, span = [], ["file_id", "pos", "start_ms", "end_ms"]
     for k, lane in ((1, first), (2, second)):
-        lane = once(lane.select(*span, "text"), norm=T.norm_similarity(F.col("text")))
-        lane = lane.withColumns({"size": F.length("norm"), "known": F.col("norm").isin(*INTERJECTIONS)})
-        best = best_spans(merged.select(*span), lane, more=("size", "known"))
-        best = best.select("file_id", "pos", *(span[2:] if k == 1 else ()), *(F.col(f"r_{c}").alias(f"{c}{k}") for c in ("pos", "start_ms", "end_ms", "size", "known")))
-        own = lane.select("file_id", *(F.col(c).alias(f"{c}{k}") for c in ("pos", "text", "norm")))
+        normal = once(lane.select(*span, "text"), norm=T.norm_similarity(F.col("text")))
+        normal = normal.withColumns({"size": F.length("norm"), "known": F.col("norm").isin(*INTERJECTIONS)})
+        best = best_spans(merged.select(*span), lane if texts else normal, more=() if texts else ("size", "known"))
+        own = normal.select("file_id", *(F.col(c).alias(f"{c}{k}") for c in ("pos", "text", "norm", "size", "known")))
+        of = ("pos", "start_ms", "end_ms") if texts else ("pos", "start_ms", "end_ms", "size", "known")
+        best = best.select("file_id", "pos", *(span[2:] if k == 1 else ()), *(F.col(f"r_{c}").alias(f"{c}{k}") for c in of))
         sides.append(best.join(own, ["file_id", f"pos{k}"]) if texts else best)
     rows = sides[0].join(sides[1], ["file_id", "pos"])
     overlap = F.greatest(F.lit(0), F.least("end_ms1", "end_ms2") - F.greatest("start_ms1", "start_ms2"))

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+@contextmanager
+def lying_by_file(spark: SparkSession) -> Iterator[None]:
+    """What runs inside this joins rows that lie by file where they are, also where the file is one key of several. As Spark comes,
+    a join of several keys deals both sides out again by all of them. Such a stage does much with each byte, so its tasks are
+    small ones."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def by_file(*order) -> Window:
     return Window.partitionBy("file_id").orderBy(*(order or ("pos",)))
 

@@ -29,6 +29,7 @@ def divergence_review(rows: DataFrame, final: DataFrame, optional: int = 100) ->
 
 def write_review(rows: DataFrame, path: str, *order: str) -> None:
     """A review table as CSV with a head, its rows in order."""
+    rows = rows.repartition("file_id", "group")  # the sort reads its rows twice; dealt out they are made once
     out = rows.select("file_id", "group", timing(F.col("start_ms"), F.col("end_ms")).alias("timing"), *(F.format_number(c, n).alias(c) for c, n in (("similarity", 4), ("iou", 4), ("offset_s", 3))), "artifact", "text1", "text2", "final_text")
     out.orderBy(*(order or ("file_id", "group", "similarity", "timing"))).write.options(**CSV).csv(path)
 
